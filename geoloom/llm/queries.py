@@ -6,8 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from geoloom.llm import pieces
+from geoloom.llm.packing import pack_documents
+from geoloom.llm.pii import find_pii
 from geoloom.llm.quality import quality
 from geoloom.llm.sharding import shard
+from geoloom.llm.wordbpe import count_tokens
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, which every machine has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,12 +31,30 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_docs(spark, sf_dir))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_docs(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_docs(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_docs(spark, sf_dir))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_docs(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ["n_email", "n_ip", "n_card", "n_phone"]
+    return find_pii(_docs(spark, sf_dir)).select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op6_quality_rules)
+    f.__name__: f
+    for f in (op1_sharding, op2_sentencepiece, op3_best_fit_packing, op6_quality_rules, op7_token_counts, op9_pii)
 }
 
 ORACLE_SQL: dict[str, str] = {}
