@@ -13,6 +13,7 @@ from geoloom.llm.packing import pack_documents
 from geoloom.llm.pii import find_pii
 from geoloom.llm.quality import quality
 from geoloom.llm.sharding import shard
+from geoloom.llm.vectors import near_vectors
 from geoloom.llm.wordbpe import count_tokens
 
 
@@ -39,6 +40,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_docs(spark, sf_dir))
 
@@ -54,7 +59,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_sentencepiece, op3_best_fit_packing, op6_quality_rules, op7_token_counts, op9_pii)
+    for f in (op1_sharding, op2_sentencepiece, op3_best_fit_packing, op4_embedding_near_dedup, op6_quality_rules, op7_token_counts, op9_pii)
 }
 
 ORACLE_SQL: dict[str, str] = {}
