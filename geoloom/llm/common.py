@@ -84,9 +84,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(most_rounds):
         both = links.union(links.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # The minima are read back from a table, so that the joins below can split a vertex that has many edges.
+        low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = stage(both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        release(low)
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m")))
         small = (
             large.join(low, "a")
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
@@ -95,6 +97,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         small = stage(small)
+        release(low)
         release(large)
         release(links)
         links = small

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import pieces
+from geoloom.llm.jaccard import jaccard_join
 from geoloom.llm.packing import pack_documents
 from geoloom.llm.pii import find_pii
 from geoloom.llm.quality import quality
 from geoloom.llm.sharding import shard
+from geoloom.llm.substrings import dedup_bytes, dedup_words, digest
 from geoloom.llm.vectors import near_vectors
 from geoloom.llm.wordbpe import count_tokens
 
@@ -44,6 +46,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(_docs(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", digest("kept").alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_docs(spark, sf_dir))
 
@@ -52,14 +58,25 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_docs(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_words(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", digest("kept").alias("kept_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ["n_email", "n_ip", "n_card", "n_phone"]
     return find_pii(_docs(spark, sf_dir)).select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_sentencepiece, op3_best_fit_packing, op4_embedding_near_dedup, op6_quality_rules, op7_token_counts, op9_pii)
+    for f in (
+        op1_sharding, op2_sentencepiece, op3_best_fit_packing, op4_embedding_near_dedup, op5_suffix_array_dedup,
+        op6_quality_rules, op7_token_counts, op8_substring_dedup, op9_pii, op10_ngram_jaccard,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
