@@ -140,6 +140,27 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     )
 
 
+def strip_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated bytes of ``text`` removed, as :func:`dedup_bytes` finds them; rows and other columns
+    stay. A character of which only some bytes are repeated goes whole. A null text stays null."""
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    rows = docs.select(
+        F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("id"), F.hash("text").alias("th"), "doc_id", "text", others.alias("others")
+    )
+    starts = repeated_starts(keyed(docs), BYTES, BYTE_GRAM, _byte_tokens, _byte_context, sort_suffixes)
+
+    @F.udf("string", useArrow=True)
+    def left(text, spans):
+        if text is None or spans is None:
+            return text
+        raw = text.encode()
+        edges = [0, *[x for r in removed(spans, BYTES) for x in r], len(raw)]
+        return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8", "ignore")
+
+    out = with_spans(rows, starts).withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left("text", "spans")))
+    return out.select(*[F.col("text") if c == "text" else F.col("others")[c].alias(c) for c in docs.columns])
+
+
 def dedup_words(docs: DataFrame) -> DataFrame:
     """Remove each word covered by a run of WORDS words that starts anywhere else in the corpus.
 
