@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from geoloom.functions.core import Num, c, wrap_longitude
+from geoloom.functions.core import Num, c, let, wrap_longitude
 
 # The closed box inside which GCJ-02 differs from WGS-84, and the offset's spheroid.
 BOX = {"west": 72.004, "east": 137.8347, "south": 0.8293, "north": 55.8271}
@@ -80,10 +80,16 @@ def gcj02_to_wgs84_fast(lat: Num, lon: Num) -> Column:
     """
     lat, lon = c(lat), c(lon)
     dlat, dlon = _offset(lat, lon)
-    a, o = lat - dlat, lon - dlon
-    again = wgs84_to_gcj02(a, o)
-    rest = gap_m(lat, again["lat"] - lat, again["lon"] - lon)
-    inside = F.struct(a.alias("lat"), o.alias("lon"), F.when(rest <= FAST_GCJ_M, F.lit(FAST_GCJ_M)).otherwise(rest + FAST_GCJ_M).alias("max_error_m"))
+
+    def bounded(at: Column) -> Column:
+        def finish(again: Column) -> Column:
+            rest = gap_m(lat, again["lat"] - lat, again["lon"] - lon)
+            bound = F.when(rest <= FAST_GCJ_M, F.lit(FAST_GCJ_M)).otherwise(rest + FAST_GCJ_M)
+            return F.struct(at["lat"].alias("lat"), at["lon"].alias("lon"), bound.alias("max_error_m"))
+
+        return let(wgs84_to_gcj02(at["lat"], at["lon"]), finish)
+
+    inside = let(_pair(lat - dlat, lon - dlon), bounded)
     return F.when(in_china_box(lat, lon), inside).otherwise(F.struct(lat.alias("lat"), lon.alias("lon"), F.lit(0.0).alias("max_error_m")))
 
 
@@ -101,9 +107,11 @@ def gcj02_to_wgs84_refined(lat: Num, lon: Num, steps: int = 100) -> Column:
         )
         return F.when(at["rest"] < 1e-9, at).otherwise(moved)
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
-    bound = F.when(end["rest"] < 1e-9, F.lit(0.5)).otherwise(F.radians(end["rest"]) * METERS_PER_RADIAN + 0.5)
-    inside = F.struct(end["lat"].alias("lat"), end["lon"].alias("lon"), bound.alias("max_error_m"))
+    def finish(end: Column) -> Column:
+        bound = F.when(end["rest"] < 1e-9, F.lit(0.5)).otherwise(F.radians(end["rest"]) * METERS_PER_RADIAN + 0.5)
+        return F.struct(end["lat"].alias("lat"), end["lon"].alias("lon"), bound.alias("max_error_m"))
+
+    inside = let(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step), finish)
     return F.when(in_china_box(lat, lon), inside).otherwise(F.struct(lat.alias("lat"), lon.alias("lon"), F.lit(0.0).alias("max_error_m")))
 
 
@@ -128,12 +136,16 @@ def bd09_to_gcj02_fast(lat: Num, lon: Num) -> Column:
 
 
 def wgs84_to_bd09(lat: Num, lon: Num) -> Column:
-    g = wgs84_to_gcj02(lat, lon)
-    return gcj02_to_bd09(g["lat"], g["lon"])
+    return let(wgs84_to_gcj02(lat, lon), lambda g: gcj02_to_bd09(g["lat"], g["lon"]))
 
 
 def bd09_to_wgs84_fast(lat: Num, lon: Num) -> Column:
     """Both one-step inverses; the bounds add."""
-    g = bd09_to_gcj02_fast(lat, lon)
-    w = gcj02_to_wgs84_fast(g["lat"], g["lon"])
-    return F.when(g.isNotNull(), F.struct(w["lat"].alias("lat"), w["lon"].alias("lon"), (w["max_error_m"] + g["max_error_m"]).alias("max_error_m")))
+
+    def both(g: Column) -> Column:
+        return let(
+            gcj02_to_wgs84_fast(g["lat"], g["lon"]),
+            lambda w: F.struct(w["lat"].alias("lat"), w["lon"].alias("lon"), (w["max_error_m"] + g["max_error_m"]).alias("max_error_m")),
+        )
+
+    return let(bd09_to_gcj02_fast(lat, lon), lambda g: F.when(g.isNotNull(), both(g)))

@@ -28,6 +28,14 @@ def c(x: Num) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(float(x))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` worked out once, however often ``then`` uses it.
+
+    A Column used n times is written out n times in the plan; nested uses multiply.
+    """
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def finite(x: Num) -> Column:
     return c(x).isNotNull() & ~F.isnan(c(x)) & (F.abs(c(x)) != float("inf"))
 
@@ -116,9 +124,10 @@ def confidence(value: Num) -> Column:
 
 
 def wrap_longitude(lon: Num) -> Column:
-    """Longitude in [-180, 180)."""
-    x = F.pmod(c(lon), F.lit(360.0))
-    return F.when(x >= 180.0, x - 360.0).otherwise(x) + 0.0
+    """Longitude in [-180, 180); one that lies there already stays as it is, to the last bit."""
+    lon = c(lon)
+    x = F.pmod(lon, F.lit(360.0))
+    return F.when((lon >= -180.0) & (lon < 180.0), lon).when(x >= 180.0, x - 360.0).otherwise(x) + 0.0
 
 
 def clamp_latitude(lat: Num) -> Column:

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from geoloom.functions.core import NAD27, PULKOVO, TOKYO, WGS84, Num, c, normalize_degrees, wrap_longitude
+from geoloom.functions.core import NAD27, PULKOVO, TOKYO, WGS84, Num, c, let, normalize_degrees, wrap_longitude
 
 #: Mean radius of the sphere in metres.
 SPHERE_M = 6371008.8
@@ -134,21 +134,31 @@ def from_ecef(x: Num, y: Num, z: Num, crs: str = WGS84) -> Column:
     Near the earth's surface three turns reach the last bit of a double.
     """
     e = ELLIPSOIDS[crs]
-    x, y, z = c(x), c(y), c(z)
-    r = F.hypot(x, y)
     second = e.e2 / (1.0 - e.e2)
-    tan_u = z / r * (e.a / e.b)
-    tan_p = None
-    for _ in range(3):
-        cos_u = F.lit(1.0) / F.sqrt(tan_u * tan_u + 1.0)
-        sin_u = tan_u * cos_u
-        tan_p = (z + sin_u * sin_u * sin_u * (second * e.b)) / (r - cos_u * cos_u * cos_u * (e.e2 * e.a))
-        tan_u = tan_p * (1.0 - e.f)
-    p = F.when(r == 0, F.signum(z) * (pi / 2)).otherwise(F.atan(tan_p))
-    n = F.lit(e.a) / F.sqrt(F.lit(1.0) - F.sin(p) * F.sin(p) * e.e2)
-    high = F.when(r == 0, F.abs(z) - e.b).otherwise(r * F.cos(p) + z * F.sin(p) - n * (F.lit(1.0) - F.sin(p) * F.sin(p) * e.e2))
-    lon = F.when(r == 0, F.lit(0.0)).otherwise(wrap_longitude(F.degrees(F.atan2(y, x))))
-    return F.when((r > 0) | (z != 0), F.struct(F.degrees(p).alias("lat"), lon.alias("lon"), high.alias("height_m")))
+
+    def solve(v: Column) -> Column:
+        x, y, z, r = v["x"], v["y"], v["z"], v["r"]
+
+        def turn(tan_u: Column, _: Column) -> Column:
+            cos_u = F.lit(1.0) / F.sqrt(tan_u * tan_u + 1.0)
+            return let(
+                F.struct(cos_u.alias("c"), (tan_u * cos_u).alias("s")),
+                lambda u: (z + u["s"] * u["s"] * u["s"] * (second * e.b)) / (r - u["c"] * u["c"] * u["c"] * (e.e2 * e.a)) * (1.0 - e.f),
+            )
+
+        tan_u = F.aggregate(F.sequence(F.lit(1), F.lit(3)), z / r * (e.a / e.b), turn)
+        p = F.when(r == 0, F.signum(z) * (pi / 2)).otherwise(F.atan(tan_u / (1.0 - e.f)))
+
+        def finish(p: Column) -> Column:
+            w2 = F.lit(1.0) - F.sin(p) * F.sin(p) * e.e2
+            high = F.when(r == 0, F.abs(z) - e.b).otherwise(r * F.cos(p) + z * F.sin(p) - F.sqrt(w2) * e.a)
+            lon = F.when(r == 0, F.lit(0.0)).otherwise(wrap_longitude(F.degrees(F.atan2(y, x))))
+            return F.struct(F.degrees(p).alias("lat"), lon.alias("lon"), high.alias("height_m"))
+
+        return F.when((r > 0) | (z != 0), let(p, finish))
+
+    point = F.struct(c(x).alias("x"), c(y).alias("y"), c(z).alias("z"), F.hypot(c(x), c(y)).alias("r"))
+    return let(point, solve)
 
 
 def to_enu(lat: Num, lon: Num, height_m: Num, lat0: Num, lon0: Num, height0_m: Num, crs: str = WGS84) -> Column:

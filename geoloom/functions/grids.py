@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from geoloom.functions.core import WGS84, Num, c, clamp_latitude, wrap_longitude
+from geoloom.functions.core import WGS84, Num, c, clamp_latitude, let, wrap_longitude
 from geoloom.functions.geodesy import ELLIPSOIDS
 
 # The digits of the codes.
@@ -131,19 +131,25 @@ def utm(lat: Num, lon: Num, zone: Column | None = None, crs: str = WGS84) -> Col
     dl = F.radians(wrap_longitude(wrap_longitude(lon) - (zone * 6 - 183)))
     s = F.sin(p)
     t = F.sinh(F.atanh(s) - F.atanh(s * ecc) * ecc)
-    xi, eta = F.atan2(t, F.cos(dl)), F.asinh(F.sin(dl) / F.hypot(t, F.cos(dl)))
-    x, y = eta, xi
-    for k, a in enumerate(alpha, 1):
-        x = x + F.cos(xi * (2 * k)) * F.sinh(eta * (2 * k)) * a
-        y = y + F.sin(xi * (2 * k)) * F.cosh(eta * (2 * k)) * a
-    north = y * (0.9996 * radius)
-    return F.when(
-        zone.isNotNull(),
-        F.struct(
-            zone.alias("zone"), F.when(c(lat) >= 0, "N").otherwise("S").alias("hemi"), (x * (0.9996 * radius) + 500000.0).alias("easting_m"),
-            F.when(c(lat) >= 0, north).otherwise(north + 10000000.0).alias("northing_m"),
-        ),
-    )
+
+    def project(v: Column) -> Column:
+        xi, eta = F.atan2(v["t"], F.cos(v["dl"])), F.asinh(F.sin(v["dl"]) / F.hypot(v["t"], F.cos(v["dl"])))
+        return let(F.struct(xi.alias("xi"), eta.alias("eta")), series)
+
+    def series(q: Column) -> Column:
+        x, y = q["eta"], q["xi"]
+        for k, a in enumerate(alpha, 1):
+            x = x + F.cos(q["xi"] * (2 * k)) * F.sinh(q["eta"] * (2 * k)) * a
+            y = y + F.sin(q["xi"] * (2 * k)) * F.cosh(q["eta"] * (2 * k)) * a
+        return F.struct((x * (0.9996 * radius)).alias("x"), (y * (0.9996 * radius)).alias("y"))
+
+    def place(q: Column) -> Column:
+        return F.struct(
+            zone.alias("zone"), F.when(c(lat) >= 0, "N").otherwise("S").alias("hemi"), (q["x"] + 500000.0).alias("easting_m"),
+            F.when(c(lat) >= 0, q["y"]).otherwise(q["y"] + 10000000.0).alias("northing_m"),
+        )
+
+    return F.when(zone.isNotNull(), let(let(F.struct(t.alias("t"), dl.alias("dl")), project), place))
 
 
 def utm_inverse(u: Column, crs: str = WGS84) -> Column:

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from geoloom.functions.geodesy import SPHERE_M, haversine, unit_vector
 
 
+def _us(x: Column) -> Column:
+    """Whole microseconds of a timestamp with or without a time zone."""
+    return F.unix_micros(x.cast("timestamp"))
+
+
 def clean_track(fixes: DataFrame, track: str = "track_id", ts: str = "ts", idx: str = "idx") -> DataFrame:
     """Timed fixes of each track, one for each instant: the first in input order stays.
 
@@ -34,9 +39,8 @@ def asof_locate(tracks: DataFrame, events: DataFrame, max_gap_s: float = 1800.0,
     within ``max_hold_s``, the earlier of equals; else the position is null. Both inputs are united and looked at in one
     window ordered by time, so a track is shuffled once. Time is compared in whole microseconds.
     """
-    us = lambda x: F.unix_micros(x)
-    fixes = tracks.select("track_id", us(F.col("ts")).alias("t"), F.struct(us(F.col("ts")).alias("t"), "lat", "lon").alias("fix"), F.lit(None).cast("bigint").alias("event_id"))
-    asked = events.select("track_id", (us(F.col("ts")) + offset_ms * 1000).alias("t"), F.lit(None).cast("struct<t:bigint,lat:double,lon:double>").alias("fix"), "event_id")
+    fixes = tracks.select("track_id", _us(F.col("ts")).alias("t"), F.struct(_us(F.col("ts")).alias("t"), "lat", "lon").alias("fix"), F.lit(None).cast("bigint").alias("event_id"))
+    asked = events.select("track_id", (_us(F.col("ts")) + offset_ms * 1000).alias("t"), F.lit(None).cast("struct<t:bigint,lat:double,lon:double>").alias("fix"), "event_id")
     w = W.partitionBy("track_id").orderBy("t")
     both = (
         fixes.unionByName(asked)
@@ -74,7 +78,7 @@ def segment_trips(visits: DataFrame, gap_s: float, keys: list[str], idx: str = "
     opens a trip. Returns keys, trip (from 0), n_visits, start, end."""
     w = W.partitionBy(*keys).orderBy("arrival", idx)
     until = F.max("departure").over(w.rowsBetween(W.unboundedPreceding, -1))
-    opens = (until.isNull() | (F.unix_micros("arrival") - F.unix_micros(until) > int(gap_s * 1_000_000))).cast("int")
+    opens = (until.isNull() | (_us(F.col("arrival")) - _us(until) > int(gap_s * 1_000_000))).cast("int")
     return (
         visits.withColumn("opens", opens)
         .withColumn("trip", F.sum("opens").over(w) - 1)
