@@ -117,7 +117,7 @@ class Model:
         rank, k = small.astype(np.int64), 1
         while True:  # prefix doubling, as deep as the longest piece
             key = rank * (int(rank.max()) + 2)
-            key[: n - k] += rank[k:] + 1
+            key[: max(n - k, 0)] += rank[k:] + 1
             order = np.argsort(key, kind="stable")
             k *= 2
             if k >= deep:
