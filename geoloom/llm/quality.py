@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import SPACE, stage
 
 WINDOW = 8
+#: Log odds that a vote for junk weighs at least beyond the prior.
+SURE = 6.0
 
 
 def _let(value: Column, then) -> Column:
@@ -103,17 +105,19 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = 12) -> tuple[float,
     """Expectation-maximisation over ``patterns`` (a vote column per rule, and n), at most 3 ** len(names) rows.
 
     Returns the log prior odds and, for each rule and vote, the log odds that the vote adds. Each round is one
-    aggregate of the pattern table; only the sums reach the driver. An abstention adds nothing. The start trusts a vote
-    for junk far more than one for good, since the rules look for junk; votes never seen add nothing. With no rows the
-    prior odds are even.
+    aggregate of the pattern table; only the sums reach the driver. That a rule abstains says
+    something too: rules for junk abstain on good documents. The start trusts a vote
+    for junk far more than one for good, since the rules look for junk, and no estimate trusts it less than to outweigh
+    the prior by SURE: else junk of one rare kind, which only one rule sees, would pass for good. With no rows the prior
+    odds are even.
     """
-    start = {-1: -5.0, 0: 0.0, 1: 0.7}
+    start = {-1: -5.0, 0: 0.3, 1: 0.7}
     prior, odds = 2.0, {k: dict(start) for k in names}
     for _ in range(rounds):
         good = F.col("n") * posterior(prior, odds)
         sums = [F.sum("n").alias("n"), F.sum(good).alias("good")]
         for k in names:
-            for v in (-1, 1):
+            for v in (-1, 0, 1):
                 hit = F.col(k) == v
                 sums += [F.sum(F.when(hit, F.col("n"))).alias(f"{k}{v}n"), F.sum(F.when(hit, good)).alias(f"{k}{v}g")]
         got = patterns.agg(*sums).first()
@@ -123,9 +127,10 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = 12) -> tuple[float,
         n_junk = max(got["n"] - got["good"], 1.0)
         prior = _log(n_good / n_junk)
         for k in names:
-            for v in (-1, 1):
+            for v in (-1, 0, 1):
                 g, n = got[f"{k}{v}g"] or 0.0, got[f"{k}{v}n"] or 0
                 odds[k][v] = _log((g + 1) / (n_good + 3)) - _log((max(n - g, 0.0) + 1) / (n_junk + 3)) if n else 0.0
+            odds[k][-1] = min(odds[k][-1], -max(prior, 0.0) - SURE)
     return prior, odds
 
 
@@ -139,7 +144,7 @@ def posterior(prior: float, odds: dict[str, dict[int, float]]) -> Column:
     """Probability of good given the vote columns."""
     total = F.lit(float(prior))
     for k, by in odds.items():
-        total = total + F.when(F.col(k) == -1, F.lit(float(by[-1]))).when(F.col(k) == 1, F.lit(float(by[1]))).otherwise(F.lit(0.0))
+        total = total + F.when(F.col(k) == -1, F.lit(float(by[-1]))).when(F.col(k) == 1, F.lit(float(by[1]))).otherwise(F.lit(float(by[0])))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
