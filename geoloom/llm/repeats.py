@@ -26,7 +26,7 @@ from geoloom.llm.textwords import mix
 
 BASE = 0x9E3779B97F4A7C15
 #: Tokens looked at together, and bytes of contexts compared together: bounds on a worker's memory.
-CHUNK, COMPARED = 1 << 21, 1 << 21
+CHUNK, COMPARED = 1 << 18, 1 << 19
 
 _powers: dict[str, np.ndarray] = {}
 
