@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ class Model:
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if lib.is_byte(i)}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.silent = {i for i in range(len(self.piece)) if lib.is_control(i)}
+        self.shown = [
+            bytes([self.of_byte[i]]) if i in self.of_byte else b"" if i in self.silent else p.replace(BLANK, " ").encode("utf-8", "surrogatepass")
+            for i, p in enumerate(self.piece)
+        ]
         plain = [i for i in range(len(self.piece)) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
         self.id = {self.piece[i]: i for i in plain}
         self.score = {self.piece[i]: lib.get_score(i) for i in plain}
@@ -191,6 +196,8 @@ class Model:
         """Words: runs of blanks with what follows them; the whole text where the pieces do not allow it."""
         if not text:
             return []
+        if self.cuts and BLANK not in text and "" not in (plain := text.split(" ")):
+            return list(map(BLANK.__add__, plain))
         text = BLANK + text.replace(" ", BLANK)
         if not self.cuts:
             return [text]
@@ -214,21 +221,17 @@ class Model:
         split = [self.cut(t) for t in texts]
         if len(self.words) > CACHE:
             self.words.clear()
-        parts = {w: self.inner(w) for w in {w for ws in split for w in ws if w not in self.words}}
+        parts = {w: self.inner(w) for w in set().union(*split).difference(self.words)}
         self.learn(list({p for ps in parts.values() for p in ps if p not in self.words}))
         for w, ps in parts.items():
             if len(ps) > 1:
                 self.words[w] = tuple(i for p in ps for i in self.words[p])
         for ws in split:
-            yield [i for w in ws for i in self.words[w]]
+            yield list(chain.from_iterable(map(self.words.__getitem__, ws)))
 
     def decode(self, ids: list[int]) -> str:
         """Text of ``ids``: bytes are joined to characters, blanks become spaces, and the first one is left out."""
-        out = b"".join(
-            bytes([self.of_byte[i]]) if i in self.of_byte else b"" if i in self.silent else self.piece[i].replace(BLANK, " ").encode("utf-8", "surrogatepass")
-            for i in ids
-        )
-        text = out.decode("utf-8", "replace")
+        text = b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -252,10 +255,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 some = batch.slice(lo, TOGETHER)
                 texts = some.column(1).to_pylist()
                 ids = list(pieces.encode(texts))
+                size = list(map(len, ids))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(map(len, ids), pa.int64()),
-                        pa.array(ids, pa.list_(pa.int32())), pa.array([pieces.decode(i) == t for i, t in zip(ids, texts)], pa.bool_()),
+                        some.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(size, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, sum(size)))),
+                        pa.array([pieces.decode(i) == t for i, t in zip(ids, texts)], pa.bool_()),
                     ],
                     ["doc_id", "n_bytes", "n_pieces", "ids", "round_trip"],
                 )
