@@ -53,13 +53,15 @@ def fill(counts: dict[int, int], capacity: int) -> Iterator[list[int]]:
             order = [n for n in order if left[n]]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """Token ids of every text and then ``end_id``, cut every ``capacity`` tokens.
 
     docs: doc_id, text; a null text is empty and so gives the one token ``end_id``. Returns doc_id, piece, start,
-    length, ids_crc32 and ids (little-endian unsigned 32-bit).
+    length, ids_crc32 and, unless ``with_ids`` is false, ids (little-endian unsigned 32-bit).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, last = library_ids(path), end_id.to_bytes(4, "little")
@@ -74,16 +76,16 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
                         piece.append(k)
                         start.append(at // 4)
                         blob.append(b[at : at + 4 * capacity])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        some.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                        pa.array([len(b) // 4 for b in blob], pa.int64()), pa.array([zlib.crc32(b) for b in blob], pa.int64()), pa.array(blob, pa.binary()),
-                    ],
-                    ["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
-                )
+                columns = [
+                    some.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                    pa.array([len(b) // 4 for b in blob], pa.int64()), pa.array([zlib.crc32(b) for b in blob], pa.int64()),
+                ]
+                if with_ids:
+                    columns.append(pa.array(blob, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(cut, schema)
 
 
 def pack(cut: DataFrame, n_groups: int, capacity: int = 2048) -> DataFrame:
@@ -127,4 +129,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     they are read; only lengths, checksums and numbers are shuffled.
     """
     docs = docs.select("doc_id", "text")
-    return pack(pieces(docs, path, capacity, end_id).drop("ids"), groups_for(docs), capacity)
+    return pack(pieces(docs, path, capacity, end_id, with_ids=False), groups_for(docs), capacity)
