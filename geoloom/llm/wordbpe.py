@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct words kept by a worker before it starts anew; a bound on memory, not on results.
-CACHE = 400_000
+CACHE = 800_000
 
 _ODD = "\x1c\x1d\x1e\x1f"
 _BLANK = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -175,15 +175,18 @@ class Ids(dict):
             self.clear()
         if len(self.known) >= CACHE:
             self.known.clear()
+        new = set().union(*cut).difference(self)
+        plain = {w: w.lower() for w in new if w.isascii() and w.isalpha()}  # each is one piece
         parts = {}
-        for w in set().union(*cut).difference(self):
+        for w in new.difference(plain):
             if self.special is not None and "<" in w and self.special.search(w):
                 self[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 parts[w] = pre_tokens(w, self.pieces)
-        self._learn(list({p for ps in parts.values() for p in ps if p not in self.known}))
+        self._learn(list(set(plain.values()).union(*parts.values()).difference(self.known)))
+        self.update(zip(plain, map(self.known.__getitem__, plain.values())))
         for w, ps in parts.items():
-            self[w] = b"".join(map(self.known.__getitem__, ps))
+            self[w] = self.known[ps[0]] if len(ps) == 1 else b"".join(map(self.known.__getitem__, ps))
         for ws in cut:
             yield b"".join(map(self.__getitem__, ws))
 
