@@ -10,9 +10,9 @@ whose neighbours all may, so the relaxed path is what the library's merging give
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 #: Characters indexed at once, texts cut at once and words kept: bounds on a worker's memory.
-INDEXED, TOGETHER, CACHE = 400_000, 500, 300_000
+INDEXED, TOGETHER, CACHE = 400_000, 500, 1_000_000
 
 
 class Model:
@@ -61,7 +61,9 @@ class Model:
         self.beyond = np.array([pad(p, b"\xff") for p in order], f"S{2 * self.longest}")
         self.full = np.array([len(p) == self.longest for p in order])
         self.ids, self.size = np.array([self.made[p] for p in order]), np.array([len(p) for p in order])
-        self.words: dict[str, tuple[int, ...]] = {}
+        #: Ids as bytes, four for each, so that a text's are joined at once and a word takes little memory.
+        self.words: dict[str, bytes] = {}
+        self.shown_array = pa.array(self.shown, pa.large_binary())
         self.meets: dict[int, bool] = {}
 
     def merge(self, text: str, least: int = 1) -> list[str]:
@@ -189,7 +191,7 @@ class Model:
                 else:
                     ids.append(p)
                 j = i
-            self.words[w] = tuple(reversed(ids))
+            self.words[w] = array("i", reversed(ids)).tobytes()
             at += len(w) + 1
 
     def cut(self, text: str) -> list[str]:
@@ -213,11 +215,12 @@ class Model:
         """A word cut between letters and marks that no piece joins, and around NUL, which ends words in the index."""
         parts = [word]
         if "\0" in word:
-            self.words.setdefault("\0", (self.byte[0],))
+            self.words.setdefault("\0", array("i", [self.byte[0]]).tobytes())
             parts = [p for x in word.split("\0") for p in (x, "\0")][:-1]
         return [q for p in parts if p for q in (self.mark.split(p) if self.mark is not None and self.cuts and not p.isalpha() else [p])]
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text, as bytes of 32-bit numbers."""
         split = [self.cut(t) for t in texts]
         if len(self.words) > CACHE:
             self.words.clear()
@@ -225,9 +228,20 @@ class Model:
         self.learn(list({p for ps in parts.values() for p in ps if p not in self.words}))
         for w, ps in parts.items():
             if len(ps) > 1:
-                self.words[w] = tuple(i for p in ps for i in self.words[p])
-        for ws in split:
-            yield list(chain.from_iterable(map(self.words.__getitem__, ws)))
+                self.words[w] = b"".join(map(self.words.__getitem__, ps))
+        return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [array("i", b).tolist() for b in self.encoded(texts)]
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
+        """UTF-8 texts of the runs of ``ids`` between ``bounds``, as :meth:`decode` gives them but with stray bytes kept."""
+        shown = self.shown_array.take(pa.array(ids))
+        offsets = np.frombuffer(shown.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        data = memoryview(shown.buffers()[2] or b"")
+        places = offsets[bounds].tolist()
+        for lo, hi in zip(places, places[1:]):
+            yield bytes(data[lo + (hi > lo and data[lo] == 32) : hi])
 
     def decode(self, ids: list[int]) -> str:
         """Text of ``ids``: bytes are joined to characters, blanks become spaces, and the first one is left out."""
@@ -254,13 +268,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for lo in range(0, batch.num_rows, TOGETHER):
                 some = batch.slice(lo, TOGETHER)
                 texts = some.column(1).to_pylist()
-                ids = list(pieces.encode(texts))
-                size = list(map(len, ids))
+                ids = pieces.encoded(texts)
+                size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                flat, bounds = np.frombuffer(b"".join(ids), np.int32), np.cumsum(np.r_[0, size])
+                utf8 = list(map(str.encode, texts))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(size, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, sum(size)))),
-                        pa.array([pieces.decode(i) == t for i, t in zip(ids, texts)], pa.bool_()),
+                        some.column(0), pa.array(list(map(len, utf8)), pa.int64()), pa.array(size),
+                        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat)),
+                        pa.array(list(map(bytes.__eq__, pieces.decode_all(flat, bounds), utf8)), pa.bool_()),
                     ],
                     ["doc_id", "n_bytes", "n_pieces", "ids", "round_trip"],
                 )

@@ -145,7 +145,10 @@ def test_pieces_equal_the_library(docs, nothing):
     path = queries.vocabulary("piece_bpe_32k.model")
     library, own = SentencePieceProcessor(model_file=path), pieces.model(path)
     texts = odd_texts()
-    assert list(own.encode(texts)) == library.encode(texts)
+    assert own.encode(texts) == library.encode(texts)
+    flat = [i for ids in library.encode(texts) for i in ids]
+    bounds = np.cumsum([0, *map(len, library.encode(texts))])
+    assert [b.decode("utf-8", "replace") for b in own.decode_all(np.array(flat, np.int32), bounds)] == library.decode(library.encode(texts))
     assert [own.decode(i) for i in library.encode(texts)] == library.decode(library.encode(texts))
     assert pieces.encode(nothing, path).count() == 0
     got = pieces.encode(docs, path)
