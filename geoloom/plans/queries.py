@@ -123,14 +123,14 @@ def box_intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark, sf_dir).select("event_id", geodesy.box_intersects(geodesy.box(-20, 150, 45, -120), own).alias("hit"))
 
 
-@query(f"""WITH {SPREAD}, u AS (SELECT * FROM spread WHERE event_id % 40 = user_id % 40), l AS (SELECT DISTINCT user_id, CASE WHEN lon = 180 THEN -180 ELSE lon END AS x FROM u),
+@query(f"""WITH {SPREAD}, u AS (SELECT * FROM spread), l AS (SELECT DISTINCT user_id, CASE WHEN lon = 180 THEN -180 ELSE lon END AS x FROM u),
 o AS (SELECT user_id, x, lag(x) OVER (PARTITION BY user_id ORDER BY x) AS p, min(x) OVER (PARTITION BY user_id) AS lo, max(x) OVER (PARTITION BY user_id) AS hi FROM l),
 g AS (SELECT user_id, x AS west, coalesce(p, hi) AS east, CASE WHEN p IS NULL THEN lo + 360 - hi ELSE x - p END AS gap, CASE WHEN p IS NULL THEN 0 ELSE 1 END AS later FROM o),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY gap DESC, later, west) AS rn FROM g),
 s AS (SELECT user_id, min(lat) AS south, max(lat) AS north FROM u GROUP BY user_id)
 SELECT s.user_id, round(south,7) AS south, round(west,7) AS west, round(north,7) AS north, round(east,7) AS east FROM s JOIN k USING (user_id) WHERE rn = 1""")
 def bounds_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spread(spark, sf_dir).where("event_id % 40 = user_id % 40")
+    p = spread(spark, sf_dir)
     return bounds_agg(p, ["user_id"]).select("user_id", *[_r(F.col(k), 7).alias(k) for k in ("south", "west", "north", "east")])
 
 
@@ -245,12 +245,12 @@ def quadkey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", "quadkey", back["x"].alias("back_x"), back["y"].alias("back_y"))
 
 
-@query(f"""WITH {SPREAD}, {_tile_sql(5)}, b AS (SELECT event_id, x, y, CAST(least(floor((CASE WHEN lon+30 > 180 THEN lon+30-360 ELSE lon+30 END + 180)/360*32), 31) AS BIGINT) AS x2 FROM t WHERE event_id % 10 = 0),
+@query(f"""WITH {SPREAD}, {_tile_sql(5)}, b AS (SELECT event_id, x, y, CAST(least(floor((CASE WHEN lon+30 > 180 THEN lon+30-360 ELSE lon+30 END + 180)/360*32), 31) AS BIGINT) AS x2 FROM t),
 s AS (SELECT *, CASE WHEN x2 < x THEN x2 - x + 32 ELSE x2 - x END AS span FROM b)
 SELECT event_id, (x + k) % 32 AS x, y FROM (SELECT *, unnest(generate_series(0, span)) AS k FROM s)""")
 def tiles_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     east = F.when(F.col("lon") + 30 > 180, F.col("lon") + 30 - 360).otherwise(F.col("lon") + 30)
-    p = spread(spark, sf_dir).where("event_id % 10 = 0")
+    p = spread(spark, sf_dir)
     return p.select("event_id", F.explode(mercator.tiles_covering("lat", "lon", "lat", east, 5)).alias("t")).select("event_id", "t.x", "t.y")
 
 
