@@ -187,3 +187,67 @@ def s2_level(cell: Column) -> Column:
 
 def h3_resolution(cell: Column) -> Column:
     return F.shiftrightunsigned(cell, 52).bitwiseAND(15).cast("int")
+
+
+# The letters of MGRS bands, of columns (three sets in turn) and of rows.
+BANDS, COLUMNS, ROWS = "CDEFGHJKLMNPQRSTUVWX", ("ABCDEFGH", "JKLMNPQR", "STUVWXYZ"), "ABCDEFGHJKLMNPQRSTUV"
+
+
+def mgrs(lat: Num, lon: Num, digits: int = 5) -> Column:
+    """MGRS reference with 0 to 5 digits for each axis, cut and not rounded; null outside the UTM area [-80, 84)."""
+    if not 0 <= digits <= 5:
+        raise ValueError(digits)
+    band = F.least(F.floor((c(lat) + 80.0) / 8.0), F.lit(19))
+
+    def code(u: Column) -> Column:
+        e, n = F.floor(u["easting_m"]).cast("bigint"), F.floor(u["northing_m"]).cast("bigint")
+        turn = (u["zone"] - 1) % 3
+        column = F.substring(F.lit("".join(COLUMNS)), (turn * 8 + F.floor(e / 100000)).cast("int"), F.lit(1))
+        row = _digit(ROWS, (F.floor(n / 100000) + F.when(u["zone"] % 2 == 0, 5).otherwise(0)) % 20)
+        part = lambda v: F.lpad(F.floor(v % 100000 / 10 ** (5 - digits)).cast("string"), digits, "0")
+        return F.concat(F.lpad(u["zone"].cast("string"), 2, "0"), _digit(BANDS, band), column, row, *([part(e), part(n)] if digits else []))
+
+    return F.when((c(lat) >= -80) & (c(lat) < 84), let(utm(lat, lon), code))
+
+
+# Place on the Hilbert curve of the quarters (0,0), (0,1), (1,0), (1,1) in each of four orientations, and how
+# a place changes the orientation.
+CURVE, TURN = ((0, 1, 3, 2), (0, 3, 1, 2), (2, 3, 1, 0), (2, 1, 3, 0)), (1, 0, 0, 3)
+
+
+def _faces(x: Column, y: Column, z: Column) -> Column:
+    """Face of the cube and the place (u, v) on it of a direction."""
+    ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
+    side = lambda f, u, v: F.struct(F.lit(f).alias("face"), u.alias("u"), v.alias("v"))
+    on_x = F.when(x >= 0, side(0, y / x, z / x)).otherwise(side(3, z / x, y / x))
+    on_y = F.when(y >= 0, side(1, -x / y, z / y)).otherwise(side(4, z / y, -x / y))
+    on_z = F.when(z >= 0, side(2, -x / z, -y / z)).otherwise(side(5, -y / z, -x / z))
+    return F.when((ax > ay) & (ax > az), on_x).when(ay > az, on_y).otherwise(on_z)
+
+
+def s2_cell(lat: Num, lon: Num, level: int) -> Column:
+    """Id of the S2 cell of level 0 to 30 that holds a point, as BIGINT with the bits of the unsigned id."""
+    if not 0 <= level <= 30:
+        raise ValueError(level)
+    p, l = F.radians(c(lat)), F.radians(c(lon))
+    direction = F.struct((F.cos(p) * F.cos(l)).alias("x"), (F.cos(p) * F.sin(l)).alias("y"), F.sin(p).alias("z"))
+    square = lambda u: F.when(u >= 0, F.sqrt(u * 3.0 + 1.0) * 0.5).otherwise(F.lit(1.0) - F.sqrt(F.lit(1.0) - u * 3.0) * 0.5)
+    cell = lambda u: F.greatest(F.least(F.floor(square(u) * float(1 << 30)), F.lit((1 << 30) - 1)), F.lit(0)).cast("bigint")
+    places = F.array(*[F.lit(v) for row in CURVE for v in row])
+    turns = F.array(*[F.lit(v) for v in TURN])
+
+    def curve(q: Column) -> Column:
+        start = F.struct(q["face"].cast("bigint").alias("id"), q["face"].bitwiseAND(1).alias("turn"))
+
+        def step(state: Column, k: Column) -> Column:
+            bit = lambda v: F.call_function("shiftright", v, k).bitwiseAND(1).cast("int")
+            place = F.get(places, state["turn"] * 4 + bit(q["i"]) * 2 + bit(q["j"]))
+            return let(place, lambda at: F.struct((F.shiftleft(state["id"], 2) + at).alias("id"), state["turn"].bitwiseXOR(F.get(turns, at)).alias("turn")))
+
+        levels = F.array(*[F.lit(29 - k) for k in range(level)]) if level else F.array().cast("array<int>")
+        end = F.aggregate(levels, start, step)
+        low = 1 << (2 * (30 - level))
+        return F.shiftleft(F.shiftleft(end["id"], 1).bitwiseOR(F.lit(1).cast("bigint")), (low.bit_length() - 1))
+
+    grid = lambda f: F.struct(f["face"].alias("face"), cell(f["u"]).alias("i"), cell(f["v"]).alias("j"))
+    return let(let(let(direction, lambda d: _faces(d["x"], d["y"], d["z"])), grid), curve)

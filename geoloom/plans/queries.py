@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.functions import china, core, geodesy, grids, mercator
+from geoloom.functions import china, core, geodesy, grids, mercator, text
 from geoloom.operators.aggregates import bounds_agg, bucket_by_geohash, centroid_agg
 from geoloom.operators.dbscan import dbscan
 from geoloom.operators.joins import knn_join, radius_join, reverse_lookup
 from geoloom.operators.tracks import asof_locate, segment_trips, segment_visits, zones_strip
+from geoloom.sources.sentences import parse_geo_uri, parse_nmea
+from geoloom.streaming.cells import arrived, windowed_cells
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -442,3 +444,107 @@ def geohash_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["geohash_decode"] += " WHERE lon < 180"
+
+
+@query(f"""WITH {SPREAD}, s AS (SELECT event_id, lat, lon, printf('%.4f', abs(lat)) AS a4, printf('%.4f', abs(lon)) AS b4 FROM spread)
+SELECT event_id, (CASE WHEN lat < 0 AND a4 <> '0.0000' THEN '-' ELSE '' END) || a4 || ', ' || (CASE WHEN lon < 0 AND b4 <> '0.0000' THEN '-' ELSE '' END) || b4 AS point,
+ replace(a4, '.', ',') || (CASE WHEN lat < 0 AND a4 <> '0.0000' THEN ' S ' ELSE ' N ' END) || replace(b4, '.', ',') || (CASE WHEN lon < 0 AND b4 <> '0.0000' THEN ' W' ELSE ' E' END) AS comma FROM s""")
+def format_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark, sf_dir).select(
+        "event_id", text.format_dd("lat", "lon", 4).alias("point"), text.format_dd("lat", "lon", 4, cardinal=True, separator=",").alias("comma")
+    )
+
+
+def _dms_sql(v: str, letters: str) -> str:
+    """Whole tenths of a second in SQL, so that a carry needs no case of its own."""
+    t = f"CAST(floor(abs({v}) * 3600 * 10 + 0.5) AS BIGINT)"
+    return (
+        f"CAST({t} // 36000 AS VARCHAR) || '°' || lpad(CAST({t} // 600 % 60 AS VARCHAR), 2, '0') || '′' || lpad(CAST({t} // 10 % 60 AS VARCHAR), 2, '0') || '.' || "
+        f"CAST({t} % 10 AS VARCHAR) || '″' || CASE WHEN {v} < 0 AND {t} > 0 THEN '{letters[1]}' ELSE '{letters[0]}' END"
+    )
+
+
+def _ddm_sql(v: str, letters: str) -> str:
+    t = f"CAST(floor(abs({v}) * 60 * 1000 + 0.5) AS BIGINT)"
+    return (
+        f"CAST({t} // 60000 AS VARCHAR) || 'd' || lpad(CAST({t} // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST({t} % 1000 AS VARCHAR), 3, '0') || 'm' || "
+        f"CASE WHEN {v} < 0 AND {t} > 0 THEN '{letters[1]}' ELSE '{letters[0]}' END"
+    )
+
+
+@query(f"""WITH {SPREAD}, p AS (SELECT event_id, lat + 0.000011 AS lat, lon + 0.000011 AS lon FROM spread)
+SELECT event_id, {_dms_sql('lat', 'NS')} || ' ' || {_dms_sql('lon', 'EW')} AS dms, {_ddm_sql('lat', 'NS')} || ' ' || {_ddm_sql('lon', 'EW')} AS ddm FROM p""")
+def format_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions moved off the grid on which seconds end in five, where the two engines could round apart."""
+    p = spread(spark, sf_dir).select("event_id", (F.col("lat") + 0.000011).alias("lat"), (F.col("lon") + 0.000011).alias("lon"))
+    return p.select("event_id", text.format_dms("lat", "lon", 1).alias("dms"), text.format_ddm("lat", "lon", 3, "letters").alias("ddm"))
+
+
+@query(f"""WITH {SPREAD} SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN round(lat, 9) + 0.0::DOUBLE END AS lat, CASE WHEN event_id % 7 <> 0 THEN round(lon, 9) + 0.0::DOUBLE END AS lon,
+ CASE WHEN event_id % 7 = 1 THEN 4.5::DOUBLE END AS horizontal_m, CASE WHEN event_id % 7 = 1 THEN CAST(event_id AS DOUBLE) END AS height_m, CASE WHEN event_id % 7 = 0 THEN 'NoFix' END AS error_kind FROM spread""")
+def nmea_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event written as a sentence (one in seven a GGA, one in seven a void RMC, the others GLL) and read again."""
+    size = lambda v: F.abs(F.col(v))
+    field = lambda v, d: F.concat(F.format_string(f"%0{d}d", F.floor(size(v))), F.format_string("%011.8f", (size(v) - F.floor(size(v))) * 60.0))
+    letter = lambda v, plus, minus: F.when(F.col(v) < 0, minus).otherwise(plus)
+    at = F.concat_ws(",", field("lat", 2), letter("lat", "N", "S"), field("lon", 3), letter("lon", "E", "W"))
+    turn = F.col("event_id") % 7
+    sentence = (
+        F.when(turn == 0, F.concat(F.lit("$GPRMC,123519,V,"), at, F.lit(",0,0,010124,,")))
+        .when(turn == 1, F.concat(F.lit("$GNGGA,123519,"), at, F.lit(",1,08,0.9,"), F.col("event_id").cast("string"), F.lit(",M,46.9,M,,")))
+        .otherwise(F.concat(F.lit("$GPGLL,"), at, F.lit(",123519,A")))
+    )
+    p = spread(spark, sf_dir).select("event_id", parse_nmea(sentence).alias("p"))
+    return p.select("event_id", _r(F.col("p.lat"), 9).alias("lat"), _r(F.col("p.lon"), 9).alias("lon"), "p.horizontal_m", "p.height_m", "p.error_kind")
+
+
+@query(f"""WITH {SPREAD} SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN lat + 0.0::DOUBLE END AS lat, CASE WHEN event_id % 5 <> 0 THEN lon + 0.0::DOUBLE END AS lon,
+ CASE WHEN event_id % 5 = 1 THEN 12.5::DOUBLE END AS horizontal_m, CASE WHEN event_id % 5 = 2 THEN 1 WHEN event_id % 5 <> 0 THEN 0 END AS n_notes, CASE WHEN event_id % 5 = 0 THEN 'Unsupported' END AS error_kind FROM spread""")
+def geo_uri_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event written as a geo: URI, with an uncertainty, an unknown parameter or a foreign crs in turn, and read again."""
+    turn = F.col("event_id") % 5
+    tail = F.when(turn == 0, ";crs=nad27").when(turn == 1, ";crs=WGS84;u=12.5").when(turn == 2, ";z=1").otherwise("")
+    uri = F.concat(F.lit("geo:"), F.col("lat").cast("string"), F.lit(","), F.col("lon").cast("string"), tail)
+    p = spread(spark, sf_dir).select("event_id", parse_geo_uri(uri).alias("p"))
+    return p.select("event_id", "p.lat", "p.lon", "p.horizontal_m", F.when(F.col("p.notes").isNotNull(), F.size("p.notes")).alias("n_notes"), "p.error_kind")
+
+
+@query(f"""WITH RECURSIVE {SPREAD}, d AS (SELECT event_id, cos(radians(lat))*cos(radians(lon)) AS x, cos(radians(lat))*sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM spread),
+f AS (SELECT event_id, CASE WHEN abs(x) > abs(y) AND abs(x) > abs(z) THEN (CASE WHEN x >= 0 THEN 0 ELSE 3 END) WHEN abs(y) > abs(z) THEN (CASE WHEN y >= 0 THEN 1 ELSE 4 END) ELSE (CASE WHEN z >= 0 THEN 2 ELSE 5 END) END AS face, x, y, z FROM d),
+u AS (SELECT event_id, face, CASE face WHEN 0 THEN y/x WHEN 1 THEN -x/y WHEN 2 THEN -x/z WHEN 3 THEN z/x WHEN 4 THEN z/y ELSE -y/z END AS u, CASE face WHEN 0 THEN z/x WHEN 1 THEN z/y WHEN 2 THEN -y/z WHEN 3 THEN y/x WHEN 4 THEN -x/y ELSE -x/z END AS v FROM f),
+g AS (SELECT event_id, face, CAST(floor((CASE WHEN u >= 0 THEN 0.5*sqrt(1+3*u) ELSE 1-0.5*sqrt(1-3*u) END) * 4096) AS BIGINT) AS i, CAST(floor((CASE WHEN v >= 0 THEN 0.5*sqrt(1+3*v) ELSE 1-0.5*sqrt(1-3*v) END) * 4096) AS BIGINT) AS j FROM u),
+h AS (SELECT event_id, face, i, j, 11 AS k, CAST(face AS BIGINT) AS id, face % 2 AS turn FROM g UNION ALL
+ SELECT event_id, face, i, j, k - 1, id * 4 + p, xor(turn, CASE p WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 0 END) FROM (SELECT *, list_extract([[0,1,3,2],[0,3,1,2],[2,3,1,0],[2,1,3,0]][turn+1], ((i >> k) & 1) * 2 + ((j >> k) & 1) + 1) AS p FROM h WHERE k >= 0))
+SELECT id, count(*) AS n, min(event_id) AS first_idx FROM h WHERE k = -1 GROUP BY id""")
+def s2_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by S2 cell of level 12; ``id`` is the face and the curve's place, without the bits that mark the level."""
+    cell = grids.s2_cell("lat", "lon", 12)
+    return spread(spark, sf_dir).groupBy(F.shiftrightunsigned(cell, 37).alias("id")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_idx"))
+
+
+@query(f"""WITH {SPREAD}, z AS (SELECT event_id, lat, l, CASE WHEN lat >= 56 AND lat < 64 AND l >= 3 AND l < 12 THEN 32 WHEN lat >= 72 AND l >= 0 AND l < 9 THEN 31 WHEN lat >= 72 AND l >= 9 AND l < 21 THEN 33 WHEN lat >= 72 AND l >= 21 AND l < 33 THEN 35
+ WHEN lat >= 72 AND l >= 33 AND l < 42 THEN 37 ELSE CAST(floor((l+180)/6) AS INT) + 1 END AS zone FROM (SELECT event_id, lat, CASE WHEN lon = 180 THEN -180 ELSE lon END AS l FROM spread)),
+n AS (SELECT *, 1/298.257223563/(2-1/298.257223563) AS n, radians(l - (zone*6-183)) AS d FROM z), t AS (SELECT *, 2*sqrt(n)/(1+n) AS k FROM n), c AS (SELECT *, sinh(atanh(sin(radians(lat))) - k*atanh(k*sin(radians(lat)))) AS t FROM t),
+q AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d)/sqrt(1+t*t)) AS eta, 6378137/(1+n)*(1+n*n/4+n**4/64)*0.9996 AS r, n/2-2*n**2/3+5*n**3/16+41*n**4/180 AS a1, 13*n**2/48-3*n**3/5+557*n**4/1440 AS a2, 61*n**3/240-103*n**4/140 AS a3, 49561*n**4/161280 AS a4 FROM c),
+m AS (SELECT event_id, lat, zone, 500000 + r*(eta+a1*cos(2*xi)*sinh(2*eta)+a2*cos(4*xi)*sinh(4*eta)+a3*cos(6*xi)*sinh(6*eta)+a4*cos(8*xi)*sinh(8*eta)) AS e,
+ CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + r*(xi+a1*sin(2*xi)*cosh(2*eta)+a2*sin(4*xi)*cosh(4*eta)+a3*sin(6*xi)*cosh(6*eta)+a4*sin(8*xi)*cosh(8*eta)) AS y FROM q)
+SELECT event_id, lpad(CAST(zone AS VARCHAR), 2, '0') || substr('CDEFGHJKLMNPQRSTUVWX', least(CAST(floor((lat+80)/8) AS INT), 19) + 1, 1) || substr('ABCDEFGHJKLMNPQRSTUVWXYZ', (zone-1) % 3 * 8 + CAST(floor(e/100000) AS INT), 1)
+ || substr('ABCDEFGHJKLMNPQRSTUV', (CAST(floor(y/100000) AS INT) + CASE WHEN zone % 2 = 0 THEN 5 ELSE 0 END) % 20 + 1, 1) || lpad(CAST(CAST(floor(e) AS BIGINT) % 100000 // 1000 AS VARCHAR), 2, '0') || lpad(CAST(CAST(floor(y) AS BIGINT) % 100000 // 1000 AS VARCHAR), 2, '0') AS mgrs FROM m""")
+def mgrs_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The square of one kilometre of every event."""
+    return spread(spark, sf_dir).select("event_id", grids.mgrs("lat", "lon", 2).alias("mgrs"))
+
+
+@query(f"""WITH {SPREAD}, {_geohash_sql(2)}, w AS (SELECT cell, count(*) AS n, avg(lat) AS y, epoch(date_trunc('hour', ts)) AS start_s FROM h GROUP BY cell, start_s)
+SELECT CAST(start_s AS BIGINT) AS start_s, cell, n, round(y, 6) + 0.0::DOUBLE AS mean_lat FROM w WHERE start_s + 3600 <= (SELECT epoch_us(max(ts)) / 1000000.0 FROM events) - 3600""")
+def stream_cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events read as a stream and counted by hour and cell; hours the watermark has not passed are still open."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    e, u = F.col("event_id"), F.col("user_id")
+    fixes = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        _d((e * 7919 + u * 104729) % 1600001, 10000, 80).alias("lat"), _d((e * 15485863 + u * 32452843) % 3600001, 10000, 180).alias("lon"),
+    )
+    counts = arrived(windowed_cells(fixes, 2))
+    start = F.unix_micros(F.col("start").cast("timestamp_ntz").cast("timestamp")) / 1000000
+    return counts.select(start.cast("bigint").alias("start_s"), "cell", "n", _r(F.col("mean_lat"), 6).alias("mean_lat"))
