@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct words kept by a worker before it starts anew; a bound on memory, not on results.
-CACHE = 800_000
+CACHE = 1_200_000
 
 _ODD = "\x1c\x1d\x1e\x1f"
 _BLANK = re.compile("[\t-\r \x85\xa0  -     　]+")
