@@ -16,6 +16,7 @@ from geoloom.operators.aggregates import bounds_agg, bucket_by_geohash, centroid
 from geoloom.operators.dbscan import dbscan
 from geoloom.operators.joins import knn_join, radius_join, reverse_lookup
 from geoloom.operators.tracks import asof_locate, segment_trips, segment_visits, zones_strip
+from geoloom.sources.freetext import parse_text
 from geoloom.sources.sentences import parse_geo_uri, parse_nmea
 from geoloom.streaming.cells import arrived, windowed_cells
 
@@ -548,3 +549,15 @@ def stream_cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = arrived(windowed_cells(fixes, 2))
     start = F.unix_micros(F.col("start").cast("timestamp_ntz").cast("timestamp")) / 1000000
     return counts.select(start.cast("bigint").alias("start_s"), "cell", "n", _r(F.col("mean_lat"), 6).alias("mean_lat"))
+
+
+@query(f"""WITH {SPREAD} SELECT event_id, round(lat, 6) + 0.0::DOUBLE AS lat, round(lon, 6) + 0.0::DOUBLE AS lon,
+ CASE WHEN event_id % 3 <> 0 THEN 1.0::DOUBLE WHEN abs(lon) > 90 THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM spread""")
+def text_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event written as decimal degrees, degrees and minutes by letters or degrees and seconds, in turn, and read again."""
+    turn = F.col("event_id") % 3
+    written = (
+        F.when(turn == 0, text.format_dd("lat", "lon", 7)).when(turn == 1, text.format_ddm("lat", "lon", 6, "letters")).otherwise(text.format_dms("lat", "lon", 5))
+    )
+    p = spread(spark, sf_dir).select("event_id", parse_text(written).alias("p"))
+    return p.select("event_id", _r(F.col("p.lat"), 6).alias("lat"), _r(F.col("p.lon"), 6).alias("lon"), "p.confidence")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import core, grids, text
+from geoloom.sources.freetext import parse_text
 from geoloom.sources.sentences import parse_geo_uri, parse_nmea
 from geoloom.streaming.cells import arrived, windowed_cells
 
@@ -103,3 +104,32 @@ def test_stream_leaves_late_fixes_out(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, lat double, lon double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     got = arrived(windowed_cells(stream, 2)).orderBy("start").collect()
     assert [(r.start, r.n) for r in got] == [(at(0), 2), (at(5), 1), (at(6), 1)]
+
+
+BAD = lambda kind: (None, None, None, None, kind)
+NEW_YORK = (40 + 42 / 60 + 46 / 3600, -(74 + 22 / 3600), 1.0, None, None)
+TEXTS = [
+    ("40.7128, -74.006", (40.7128, -74.006, 0.7, "LatLon", None)), ("151.2 -33.9", (-33.9, 151.2, 0.9, "LonLat", None)),
+    ("40°42′46″N 74°00′22″W", NEW_YORK), ("74°0'22\"W, 40°42'46\"N", NEW_YORK), ("N 40°42'46\" W 74°00'22\"", NEW_YORK), ("40d42m46sN 74d00m22sW", NEW_YORK),
+    ("4042.766N, 07400.456W", (40 + 42.766 / 60, -(74 + 0.456 / 60), 1.0, None, None)), ("40.7N, 74.006", (40.7, 74.006, 0.9, None, None)),
+    ("1234.5, 10", BAD("Ambiguous")), ("40.5 30, 10", BAD("Ambiguous")), ("4e1, 3e1", BAD("Ambiguous")), ("10d30m15S, 20E", (-(10 + 30 / 60 + 15 / 3600), 20.0, 1.0, None, None)),
+    ("10d30m15SN 20E", (10 + 30 / 60 + 15 / 3600, 20.0, 1.0, None, None)), ("200, 0", (0.0, 200.0, None, None, "OutOfRange")),
+    ("95°N 10°E", (95.0, 10.0, None, None, "OutOfRange")), ("10, 181E", (10.0, 181.0, None, None, "OutOfRange")), ("100, 150", (100.0, 150.0, None, None, "OutOfRange")),
+    ("10N 20N", BAD("Syntax")), ("-10N 20E", BAD("Syntax")), ("10°60' 20", BAD("Syntax")), ("hello", BAD("Syntax")), ("", BAD("Syntax")), ("1, 2, 3", BAD("Syntax")), ("nan, inf", BAD("Syntax")),
+    (" 48.8566, 2.3522 ", (48.8566, 2.3522, 0.7, "LatLon", None)), ("40º42′46″N\u00a074º0’22”\u202fW", NEW_YORK), ("-0, 0", (0.0, 0.0, 0.7, "LatLon", None)),
+]
+
+
+def _close(got, want):
+    return all(a == b or (isinstance(a, float) and isinstance(b, float) and abs(a - b) < 1e-9) for a, b in zip(tuple(got), want, strict=True))
+
+
+def test_free_text(spark):
+    rows = spark.createDataFrame([(t,) for t, _ in TEXTS], "t string").select("t", parse_text(F.col("t")).alias("p"))
+    wrong = [(r.t, tuple(r.p)) for r, (_, want) in zip(rows.collect(), TEXTS) if not _close(r.p, want)]
+    assert not wrong
+    comma = [("48,8566, 2,3522", 48.8566), ("48,8566; 2,3522", 48.8566), ("48,8566 2,3522", 48.8566), ("48,8566", None), (None, None)]
+    got = spark.createDataFrame([(t,) for t, _ in comma], "t string").select(parse_text(F.col("t"), "LatLon", True).alias("p")).select("p.lat").collect()
+    assert [r.lat for r in got] == [w for _, w in comma]
+    first = spark.createDataFrame([("-74.006, 40.7128",), ("100, 150",)], "t string").select(parse_text(F.col("t"), "LonLat").alias("p")).collect()
+    assert (first[0].p.lat, first[0].p.axis_order, first[1].p.lat) == (40.7128, "LonLat", 150.0)
