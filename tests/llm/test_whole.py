@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from geoloom.llm.jaccard import jaccard_join
+from geoloom.llm.pii import spans
 
 
 def test_near_copies_of_a_passage_that_many_longer_texts_hold(spark):
@@ -29,3 +32,27 @@ def test_near_copies_of_a_passage_that_many_longer_texts_hold(spark):
     frame = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
     for part in ({}, {"tile_sigs": 16}):
         assert {r.doc_id: r.n_links for r in jaccard_join(frame, **part).collect()} == want
+
+
+@pytest.mark.parametrize("rest", ["", " Look at the dot on this."])
+@pytest.mark.parametrize(
+    ("before", "said"),
+    [
+        ("write to ", "john at example.com"),
+        ("", "john\tat\texample\tdot\tcom"),
+        ("card ", "4111 one one 1 1 1111 1111"),
+        ("card ", "4-one-one-1 1111 1111 1111"),
+        ("write to ", "john at example dot cloud"),
+        ("write to ", "john at mail.example.pl"),
+        ("write to ", "john[at]example.com"),
+    ],
+)
+def test_disguises_need_nothing_else_in_the_text(before, said, rest):
+    text = f"{before}{said} today.{rest}"
+    base, found = spans(text)
+    assert not base and [text[a:b] for a, b, _ in found] == [said]
+
+
+@pytest.mark.parametrize("text", ["look at the dot on this", "we met at one two three places", "stay at home. Then go", "stare at the dot marked red"])
+def test_plain_words_are_not_addresses(text):
+    assert spans(text) == ([], [])
