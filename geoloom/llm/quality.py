@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import SPACE, stage
 
 WINDOW = 8
-#: Log odds that a vote for junk weighs at least beyond the prior.
-SURE = 6.0
+STRETCH = 100
+#: Class-conditional priors of a rule's votes, (junk, abstain, good): on good documents, on junk, and how many times the
+#: documents' own counts they weigh. The rules look for junk, so one misfires rarely but sees only some kinds of it.
+ON_GOOD, ON_JUNK, WEIGHT = {-1: 0.001, 0: 0.4, 1: 0.599}, {-1: 0.25, 0: 0.375, 1: 0.375}, 10.0
 
 
 def _let(value: Column, then) -> Column:
@@ -55,12 +57,18 @@ def _covered(windows: Column) -> Column:
     )
 
 
+def _varied(words: Column) -> Column:
+    starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words), F.lit(STRETCH))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(starts, F.lit(0), lambda n, i: n + F.size(F.array_distinct(F.slice(words, i, STRETCH))))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """Counts per document, by DataFrame functions in one pass without a shuffle.
 
     docs: doc_id, text; other columns are ignored; a null text has no words. Words are runs of characters other than
     the six ASCII white spaces. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all as
-    documented in :func:`quality`), n_distinct, n_upper, n_lines.
+    documented in :func:`quality`), n_distinct, n_varied (distinct words of each stretch of STRETCH words, summed), n_upper,
+    n_lines.
     """
     text = F.coalesce("text", F.lit(""))
     blanks = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -77,6 +85,7 @@ def features(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0)).otherwise(_covered(F.col("windows"))).cast("long").alias("n_repeat_words"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
+        _let(F.col("words"), _varied).cast("long").alias("n_varied"),
         (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
         F.size("lines").cast("long").alias("n_lines"),
     )
@@ -95,7 +104,7 @@ def votes() -> dict[str, Column]:
         "symbols": rule(F.col("n_symbols") > 0.1 * n),
         "word_length": rule((mean < 3.0) | (mean > 7.0), (mean >= 4.0) & (mean <= 6.2)),
         "repeats": rule(F.col("n_repeat_words") > 0.25 * n),
-        "variety": rule(F.col("n_distinct") < 0.1 * n, F.col("n_distinct") >= 0.3 * n),
+        "variety": rule(F.col("n_varied") < 0.25 * n, F.col("n_varied") >= 0.5 * n),
         "capitals": rule(F.col("n_upper") > 0.3 * chars),
         "lines": rule(F.col("n_dup_lines") > 0.5 * F.col("n_lines")),
     }
@@ -106,12 +115,11 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = 12) -> tuple[float,
 
     Returns the log prior odds and, for each rule and vote, the log odds that the vote adds. Each round is one
     aggregate of the pattern table; only the sums reach the driver. That a rule abstains says
-    something too: rules for junk abstain on good documents. The start trusts a vote
-    for junk far more than one for good, since the rules look for junk, and no estimate trusts it less than to outweigh
-    the prior by SURE: else junk of one rare kind, which only one rule sees, would pass for good. With no rows the prior
-    odds are even.
+    something too: rules for junk abstain on good documents. The estimates start at the
+    class-conditional priors and stay weighed with them (WEIGHT): by counts alone, junk of one rare kind, which only one
+    rule sees, would be taken for good. With no rows the prior odds are even.
     """
-    start = {-1: -5.0, 0: 0.3, 1: 0.7}
+    start = {v: _log(ON_GOOD[v] / ON_JUNK[v]) for v in (-1, 0, 1)}
     prior, odds = 2.0, {k: dict(start) for k in names}
     for _ in range(rounds):
         good = F.col("n") * posterior(prior, odds)
@@ -129,8 +137,9 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = 12) -> tuple[float,
         for k in names:
             for v in (-1, 0, 1):
                 g, n = got[f"{k}{v}g"] or 0.0, got[f"{k}{v}n"] or 0
-                odds[k][v] = _log((g + 1) / (n_good + 3)) - _log((max(n - g, 0.0) + 1) / (n_junk + 3)) if n else 0.0
-            odds[k][-1] = min(odds[k][-1], -max(prior, 0.0) - SURE)
+                on_good = (g + 1 + WEIGHT * n_good * ON_GOOD[v]) / (n_good * (1 + WEIGHT) + 3)
+                on_junk = (max(n - g, 0.0) + 1 + WEIGHT * n_junk * ON_JUNK[v]) / (n_junk * (1 + WEIGHT) + 3)
+                odds[k][v] = _log(on_good) - _log(on_junk) if n else 0.0
     return prior, odds
 
 

@@ -8,6 +8,7 @@ import pytest
 
 from geoloom.llm.jaccard import jaccard_join
 from geoloom.llm.pii import spans
+from geoloom.llm.quality import fit, quality, votes
 
 
 def test_near_copies_of_a_passage_that_many_longer_texts_hold(spark):
@@ -56,3 +57,23 @@ def test_disguises_need_nothing_else_in_the_text(before, said, rest):
 @pytest.mark.parametrize("text", ["look at the dot on this", "we met at one two three places", "stay at home. Then go", "stare at the dot marked red"])
 def test_plain_words_are_not_addresses(text):
     assert spans(text) == ([], [])
+
+
+def test_one_abstention_does_not_reject(spark):
+    # Vote patterns as frequent as in a corpus whose labels are known: the last but one is labelled good.
+    seen = [((0, 1, 0, 1, 0, 0), 8350), ((-1, 1, 0, 1, 0, 0), 350), ((-1, -1, 0, 1, 0, 0), 340), ((0, 0, 0, 1, 0, 0), 15), ((0, 1, -1, -1, 0, -1), 300)]
+    names = list(votes())
+    patterns = spark.createDataFrame([(*p, n) for p, n in seen], ", ".join(f"{k} int" for k in names) + ", n long").coalesce(1)
+    prior, odds = fit(patterns, names)
+    good = [prior + sum(odds[k][v] for k, v in zip(names, p)) >= 0 for p, _ in seen]
+    assert good == [True, False, False, True, False]
+    # No vote is held at a bound: the estimates differ by what the counts say.
+    assert len({round(odds[k][-1], 6) for k in ("symbols", "word_length", "repeats")}) == 3
+
+
+def test_long_texts_are_not_less_varied(spark):
+    rng = random.Random(5)
+    words = [f"wort{k}" for k in range(400)]
+    rows = [(1, " ".join(rng.choice(words) for _ in range(80))), (2, " ".join(rng.choice(words) for _ in range(6000))), (3, "eins zwei " * 40), (4, None)]
+    got = {r.doc_id: r.vote_variety for r in quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in (1, 2, 3)] == [1, 1, -1]
