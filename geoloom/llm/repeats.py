@@ -1,32 +1,38 @@
-"""Windows of tokens that occur more than once in a corpus, for substring deduplication.
+"""Windows of tokens that occur more than once in a corpus: what byte and word deduplication share.
 
 A text is a row of tokens (bytes or words) and a window is ``width`` of them. Every window has an anchor: the run of
 ``gram`` tokens in it with the least hash, the left one of equals. Equal windows have equal anchors at equal places, so
+the sampled positions, not all of them, need to be sorted or looked up. Consecutive windows with one anchor are a segment:
+its tokens, and the anchor's place in them, are all that judging its windows takes. Segments of equal anchors meet in one
+bucket, whatever their text, which costs one shuffle of about four times the text before compression.
 
-1. consecutive windows with one anchor form a stretch; stretches are counted by anchor and by whole content, and a
-   stretch whose content occurs again is repeated throughout; one whose anchor occurs nowhere else is unique;
-2. what is left (near copies around their edits, the ends of shared passages) is fetched as short contexts and dealt to
-   buckets by range over the anchor's leading tokens; a bucket compares the contexts that share an anchor.
-
-Keys that occur very often are summed before they are shuffled, joins on them are left to adaptive skew splitting over
-plain exchanges, and an anchor with many different contexts is compared in tiles.
+A task packs what it sends to a bucket into compressed blobs, in which equal segments are stored once. An anchor that
+occurs more than ``HOT`` times does not name a bucket: its windows travel one by one, under the whole window, so that such
+groups spread too; equal windows have been combined by then.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import parts, stage
+from geoloom.llm.common import parts
 from geoloom.llm.textwords import mix
 
 BASE = 0x9E3779B97F4A7C15
-#: Tokens looked at together, and bytes of contexts compared together: bounds on a worker's memory.
-CHUNK, COMPARED = 1 << 18, 1 << 19
+#: Tokens of a text looked at together; bytes of text whose segments are packed together: bounds on a worker's memory.
+CHUNK, PACKED = 1 << 18, 3 << 23
+#: Segments with one anchor that a bucket takes, about 80 MB of them; bytes of segments that a bucket is planned for.
+HOT, BUCKET = 1 << 18, 1 << 24
+#: Rows of the sample per bucket; how many times the text its segments take.
+SAMPLED, SPREAD = 64, 4
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -53,10 +59,10 @@ def _least(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def stretches(tokens: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(start, windows, anchor's place after start, anchor's hash, content's hash) arrays of a text's stretches.
+def segments(tokens: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(start, windows, anchor's place after start, anchor's hash) arrays of a text's segments.
 
-    tokens: well-mixed 64-bit hashes. Very long texts are cut, which only makes some stretches shorter.
+    tokens: well-mixed 64-bit hashes. Very long texts are cut, which only makes some segments shorter.
     """
     for at in range(0, len(tokens) - width + 1, CHUNK):
         t = tokens[at : at + CHUNK + width - 1]
@@ -70,161 +76,173 @@ def stretches(tokens: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.nd
         anchor = (_least(order, width - gram + 1) & low).astype(np.int64)
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         end = np.r_[first[1:], len(anchor)]
-        stop = end - 1 + width
-        content = mix(mix((total[stop] - total[first]) * down[first]) + (stop - first).astype(np.uint64))
-        yield first + at, end - first, anchor[first] - first, g[anchor[first]], content
+        yield first + at, end - first, anchor[first] - first, g[anchor[first]].view(np.int64)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(id, th, text): rows told apart by doc_id and text; a null doc_id stands as the least number."""
+    """(id, th, doc_id, text): rows told apart by doc_id and text; a null doc_id stands as the least number."""
     return docs.select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("id"), F.hash("text").alias("th"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
+        F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("id"), F.xxhash64("text").alias("th"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
     )
 
 
-def repeated_starts(
-    docs: DataFrame,
-    width: int,
-    gram: int,
-    tokens: Callable[[str], np.ndarray],
-    context: Callable[[str], Callable[[int, int], bytes]],
-    compare: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]],
-    tile: int = 256,
-) -> DataFrame:
-    """Runs of window starts that are repeated, as (id, th, lo, hi), hi exclusive; runs of a text may touch or repeat.
-
-    docs: from :func:`keyed`. tokens: a text's token hashes. context: a text's function from a token range to its bytes.
-    compare: given contexts and, for each, its group, its anchor's place and its number of windows, tells for each
-    which of its windows occur in another context of the group.
-    """
-    source = docs.select("id", "th", "text")
+@dataclass
+class Kind:
+    """What is compared: how texts become tokens and token ranges become bytes."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                row, out = [], []
-                for i, t in enumerate(some.column(2)):
-                    for x in stretches(tokens(t.as_py()), width, gram):
-                        row.append(np.full(len(x[0]), i))
-                        out.append(x)
-                if not out:
-                    continue
-                take = pa.array(np.concatenate(row))
-                start, count, off, g, u = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(take), some.column(1).take(take), pa.array(start), pa.array(count.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(u.view(np.int64))],
-                    ["id", "th", "start", "count", "off", "g", "u"],
-                )
-
-    found = source.mapInArrow(find, "id long, th int, start long, count int, off int, g long, u long")
-    whole = stage(found.select("g", "u").groupBy("g", "u").agg(F.count("*").alias("c")))
-    shared = stage(
-        whole.groupBy("g")
-        .agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.sum((F.col("c") == 1).cast("int")).alias("lone"))
-        .where("n >= 2")
-        .select("g", "kinds", "lone")
-    )
-    status = stage(whole.join(shared, "g"))
-    known = stage(found.join(status, ["g", "u"]).select("id", "th", "start", "count", "off", "g", "u", "c", "kinds", "lone"))
-    sure = known.where("c >= 2").select("id", "th", F.col("start").alias("lo"), (F.col("start") + F.col("count")).alias("hi"))
-    open_ = known.where("c = 1 AND kinds >= 2").select("id", "th", "start", "count", "off", "g")
-    one = (
-        known.where("c >= 2 AND lone > 0")
-        .groupBy("g", "u")
-        .agg(F.min(F.struct("id", "th", "start", "count", "off")).alias("r"))
-        .select("r.*", "g")
-    )
-    needed = stage(open_.withColumn("asks", F.lit(True)).unionByName(one.withColumn("asks", F.lit(False))))
+    width: int
+    gram: int
+    tokens: Callable[[str], np.ndarray]
+    context: Callable[[str], Callable[[int, int], bytes]]
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                row, blob, lead = [], [], []
-                for i, (t, asked) in enumerate(zip(some.column(2), some.column(3).to_pylist())):
-                    cut = context(t.as_py())
-                    for a in asked:
-                        row.append((i, a["start"], a["count"], a["off"], a["g"], a["asks"]))
-                        blob.append(cut(a["start"], a["start"] + a["count"] - 1 + width))
-                        lead.append(int.from_bytes(cut(a["start"] + a["off"], a["start"] + a["off"] + gram)[:7].ljust(7, b"\0"), "big"))
-                if row:
-                    i, start, count, off, g, asks = zip(*row)
-                    take = pa.array(i)
-                    yield pa.RecordBatch.from_arrays(
-                        [some.column(0).take(take), some.column(1).take(take), pa.array(start, pa.int64()), pa.array(count, pa.int32()), pa.array(off, pa.int32()), pa.array(g, pa.int64()), pa.array(asks, pa.bool_()), pa.array(lead, pa.int64()), pa.array(blob, pa.binary())],
-                        ["id", "th", "start", "count", "off", "g", "asks", "lead", "context"],
-                    )
-
-    asked = needed.groupBy("id", "th").agg(F.collect_list(F.struct("start", "count", "off", "g", "asks")).alias("asked"))
-    contexts = stage(
-        source.join(asked, ["id", "th"])
-        .select("id", "th", "text", "asked")
-        .mapInArrow(fetch, "id long, th int, start long, count int, off int, g long, asks boolean, lead long, context binary")
-    )
-    many = stage(
-        needed.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > tile).select("g", F.ceil(F.col("m") / tile).cast("int").alias("tiles"))
-    )
-    dealt = (
-        contexts.join(many, "g", "left")
-        .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("id", "th", "start"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("id", "th", "start", "count", "off", "g", "asks", "lead", "context", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
 
-    def judge(rows: pa.Table) -> pa.RecordBatch:
-        g, i, j = (rows.column(c).to_numpy() for c in ("g", "i", "j"))
-        group = np.cumsum(np.r_[0, (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        hits = compare(rows.column("context").to_pylist(), group, rows.column("off").to_numpy(), rows.column("count").to_numpy())
-        asks, start = rows.column("asks").to_numpy(zero_copy_only=False), rows.column("start").to_numpy()
-        row, lo, hi = [], [], []
-        for k, hit in enumerate(hits):
-            if asks[k] and hit.any():
-                edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
-                row += [k] * (len(edge) // 2)
-                lo += (edge[::2] + start[k]).tolist()
-                hi += (edge[1::2] + start[k]).tolist()
-        take = pa.array(row, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [rows.column("id").take(take).combine_chunks(), rows.column("th").take(take).combine_chunks(), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())],
-            ["id", "th", "lo", "hi"],
-        )
-
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Judge whole groups, many small ones together; rows come sorted by group."""
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def ready(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            rows = pa.Table.from_batches(held)
-            at = rows.num_rows
-            if not last:  # the last group may go on in the next batch
-                key = [rows.column(c).to_numpy() for c in ("g", "i", "j")]
-                same = np.logical_and.reduce([k == k[-1] for k in key])
-                at = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if at:
-                yield judge(rows.slice(0, at))
-            held = rows.slice(at).to_batches()
-            size = sum(b.nbytes for b in held)
+@dataclass
+class Plan:
+    """Where segments go. leads: sorted splitters, the tokens that buckets begin with; hot: hashes of anchors that
+    name no bucket."""
 
+    buckets: int
+    leads: list[bytes] = field(default_factory=list)
+    hot: frozenset[int] = frozenset()
+
+
+def plan(docs: DataFrame, kind: Kind, hot: int = HOT, bucket: int = BUCKET) -> Plan:
+    """Buckets of about ``bucket`` bytes of segments, their splitters and the hot anchors, from a sample of anchors.
+
+    The sample grows with the number of buckets, SAMPLED anchors for each, and only it reaches the driver; so an anchor that fills
+    a bucket or more of its own is all but sure to be in it many times. Its counts decide how segments travel, not which
+    are found.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    buckets = max(parts(spark), -(-size * SPREAD // bucket))
+    wanted = SAMPLED * buckets
+    share = min(1.0, 4.0 * wanted * (kind.width // 2) / max(size, 1))
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                some = batch.slice(lo, 2000)
-                held.append(some)
-                size += some.nbytes
-                if size >= COMPARED:
-                    yield from ready(False)
-        if held:
-            yield from ready(True)
-
-    more = (
-        dealt.repartitionByRange(parts(docs.sparkSession), "lead", "g", "i", "j")
-        .sortWithinPartitions("lead", "g", "i", "j")
-        .mapInArrow(bucket, "id long, th int, lo long, hi long")
-    )
-    return stage(sure.unionByName(more))
+            g, lead = [], []
+            for text in batch.column(0).to_pylist():
+                cut = kind.context(text)
+                for start, _, off, hashes in segments(kind.tokens(text), kind.width, kind.gram):
+                    g += hashes.tolist()
+                    lead += [cut(a, a + kind.gram) for a in (start + off).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(lead, pa.binary())], ["g", "lead"])
+
+    some = docs.select("text").sample(share, 7).mapInArrow(anchors, "g long, lead binary").orderBy(F.rand(7)).limit(wanted).collect()
+    leads = sorted(bytes(r.lead) for r in some)
+    splitters = sorted({leads[len(leads) * k // buckets] for k in range(1, buckets)}) if leads else []
+    each = (size / (kind.width / 2)) / max(len(some), 1)
+    often: dict[int, int] = {}
+    for r in some:
+        often[r.g] = often.get(r.g, 0) + 1
+    return Plan(buckets, splitters, frozenset(g for g, n in often.items() if n > 1 and n * each > hot))
+
+
+def pack(*arrays) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+
+
+def unpack(blob: bytes) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+
+
+@dataclass
+class Packed:
+    """Different segments (times, count, off, g, size of its bytes, and the bytes joined) and the rows they occur in."""
+
+    times: np.ndarray
+    count: np.ndarray
+    off: np.ndarray
+    g: np.ndarray
+    size: np.ndarray
+    raw: bytes
+    item: np.ndarray
+    id: np.ndarray
+    th: np.ndarray
+    start: np.ndarray
+
+    def contexts(self) -> list[bytes]:
+        end = np.cumsum(self.size).tolist()
+        return [self.raw[a:b] for a, b in zip([0, *end], end)]
+
+    @classmethod
+    def merged(cls, blobs: list[bytes]) -> Packed:
+        """One of several blobs, each different segment once."""
+        seen: dict[bytes, int] = {}
+        times, facts, rows = [], [], []
+        for blob in blobs:
+            one = cls(*unpack(blob))
+            place = np.fromiter((seen.setdefault(x, len(seen)) for x in one.contexts()), np.int64, len(one.size))
+            times.append((place, one.times))
+            facts.append((place, one.count, one.off, one.g))
+            rows.append((place[one.item], one.id, one.th, one.start))
+        place, many = (np.concatenate(x) for x in zip(*times))
+        where = np.empty(len(seen), np.int64)
+        where[place] = np.arange(len(place))
+        count, off, g = (np.concatenate(x)[where] for x in list(zip(*facts))[1:])
+        size = np.fromiter(map(len, seen), np.int64, len(seen))
+        total = np.bincount(place, many, len(seen)).astype(np.int64)
+        return cls(total, count, off, g, size, b"".join(seen), *(np.concatenate(x) for x in zip(*rows)))
+
+
+def bundles(made: tuple, bucket: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, blob of a Packed) of the segments that :func:`gathered` made, with the occurrences flagged in ``which``."""
+    contexts, times, count, off, g, _, item, ids, th, start = made
+    item, ids, th, start = item[which], ids[which], th[which], start[which]
+    by, rows = np.argsort(bucket, kind="stable"), np.argsort(bucket[item], kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    edge = np.flatnonzero(np.r_[True, np.diff(bucket[by]) != 0, True])
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        some, k = by[a:b], bucket[by[a]]
+        x, y = np.searchsorted(bucket[item][rows], [k, k + 1])
+        r = rows[x:y]
+        held = [contexts[i] for i in some.tolist()]
+        size = np.fromiter(map(len, held), np.int64, len(held))
+        yield int(k), pack(times[some], count[some], off[some], g[some], size, b"".join(held), place[item[r]] - a, ids[r], th[r], start[r])
+
+
+def gathered(batches: Iterator[pa.RecordBatch], kind: Kind, hot: frozenset[int]) -> Iterator[tuple]:
+    """The different segments of about PACKED bytes of texts at a time.
+
+    batches: id, th, text. Yields (contexts, times, count, off, g, anchors' tokens, item, id, th, start); the last four
+    tell of each occurrence. The windows of hot anchors are segments of their own.
+    """
+    seen: dict[bytes, int] = {}
+    facts: list[tuple] = []
+    rows: list[tuple] = []
+    held = 0
+
+    def out():
+        times = np.bincount(np.fromiter((r[0] for r in rows), np.int64, len(rows)), minlength=len(seen))
+        count, off, g, lead = zip(*facts)
+        item, ids, th, start = (np.array(x, np.int64) for x in zip(*rows))
+        yield list(seen), times, np.array(count), np.array(off), np.array(g, np.int64), lead, item, ids, th, start
+        seen.clear(), facts.clear(), rows.clear()
+
+    for batch in batches:
+        for id_, th, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            cut = kind.context(text)
+            for found in segments(kind.tokens(text), kind.width, kind.gram):
+                for start, count, off, g in zip(*(x.tolist() for x in found)):
+                    one = g in hot
+                    for s, n, o in [(start + k, 1, off - k) for k in range(count)] if one else [(start, count, off)]:
+                        held += 40
+                        context = cut(s, s + n - 1 + kind.width)
+                        if (i := seen.get(context)) is None:
+                            i = seen[context] = len(seen)
+                            held += len(context)
+                            facts.append((n, o, g, cut(s + o, s + o + kind.gram)))
+                        rows.append((i, id_, th, s))
+                        if held >= PACKED and one:
+                            yield from out()
+                            held = 0
+                if held >= PACKED and rows:
+                    yield from out()
+                    held = 0
+    if rows:
+        yield from out()
 
 
 def with_spans(docs: DataFrame, starts: DataFrame) -> DataFrame:
@@ -242,3 +260,15 @@ def removed(spans: list[dict] | None, width: int) -> list[tuple[int, int]]:
         else:
             out.append((lo, hi))
     return out
+
+
+def runs(hit: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, lo, hi) of the runs of true flags in ``hit``, which holds ``count`` flags for each segment."""
+    base = np.cumsum(count) - count
+    first = np.zeros(len(hit) + 1, bool)
+    first[base] = True
+    first[-1] = True
+    on = np.flatnonzero(hit & (first[:-1] | ~np.r_[False, hit[:-1]]))
+    off = np.flatnonzero(hit & (first[1:] | ~np.r_[hit[1:], False])) + 1
+    owner = np.searchsorted(base, on, "right") - 1
+    return owner, on - base[owner], off - base[owner]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,11 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.repeats import keyed, removed, repeated_starts, with_spans
+from geoloom.llm.common import stage
+from geoloom.llm.repeats import HOT, Kind, Packed, Plan, bundles, gathered, keyed, pack, plan, removed, runs, unpack, with_spans
 from geoloom.llm.textwords import mix, word_hashes, words
 
 BYTES, BYTE_GRAM = 200, 24
 WORDS, WORD_GRAM = 35, 8
+#: Sub-shards that the occurrences of hot windows are dealt to.
+SALTS = 16
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -39,77 +43,267 @@ def _word_context(text: str):
     return lambda a, b: " ".join(ws[a:b]).encode()
 
 
-def sort_suffixes(contexts: list[bytes], group: np.ndarray, off: np.ndarray, count: np.ndarray, width: int = BYTES) -> list[np.ndarray]:
-    """Multikey quicksort of the suffixes at all window starts, eight bytes a step.
+_BYTEWISE = Kind(BYTES, BYTE_GRAM, _byte_tokens, _byte_context)
+_WORDWISE = Kind(WORDS, WORD_GRAM, _word_tokens, _word_context)
+_STARTS = "id long, th long, lo long, hi long"
 
-    Suffixes begin in one class for each group and place of the anchor. A step splits every class by the next eight
-    bytes; a suffix alone in its class has no equal and is done with. Those left after ``width`` bytes are repeated.
+
+def sorted_suffixes(raw: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of the suffixes of ``raw`` that start at ``at``, by their first ``depth`` bytes, eight a step.
+
+    A step splits every class of suffixes that agree so far by their next eight bytes; one alone in its class is done
+    with. Returns the order and each suffix's common prefix, at most ``depth``, with the one before it in that order.
+    depth: a multiple of eight, by which raw goes on after the last start.
     """
-    raw = np.frombuffer(b"".join(contexts), np.uint8)
-    at = np.cumsum([0, *map(len, contexts)])[:-1]
-    owner = np.repeat(np.arange(len(contexts)), count)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    place = at[owner] + step
-    words8 = np.lib.stride_tricks.as_strided(raw, (max(len(raw) - 7, 0), 8), (1, 1))
-    live = np.arange(len(owner))
-    kind = group[owner] * np.int64(1 << 20) + (off[owner] - step)
-    for depth in [None, *range(0, width - 8, 8), width - 8]:
+    eight = np.lib.stride_tricks.as_strided(raw, (max(len(raw) - 7, 0), 8), (1, 1))
+    order, common = np.arange(len(at)), np.zeros(len(at), np.int16)
+    live, kind = np.arange(len(at)), np.zeros(len(at), np.int64)
+    for d in range(0, depth, 8):
         if not len(live):
             break
-        if depth is None:
-            order = np.argsort(kind, kind="stable")
-            new = np.r_[True, kind[order][1:] != kind[order][:-1]]
-        else:
-            next8 = np.ascontiguousarray(words8[place[live] + depth]).view(">u8").ravel()
-            order = np.lexsort((next8, kind))
-            new = np.r_[True, (kind[order][1:] != kind[order][:-1]) | (next8[order][1:] != next8[order][:-1])]
-        number = np.cumsum(new) - 1
+        some = order[live]
+        key = np.ascontiguousarray(eight[at[some] + d]).view(">u8").ravel().astype(np.uint64)
+        by = np.lexsort((key, kind))
+        key = key[by]
+        order[live] = some[by]
+        apart, same = key[1:] ^ key[:-1], kind[1:] == kind[:-1]
+        cut = same & (apart != 0)
+        x = apart[cut]
+        equal = sum((x < np.uint64(1 << k)).astype(np.int16) for k in range(8, 64, 8))
+        common[live[1:][cut]] = d + equal
+        number = np.cumsum(np.r_[True, ~same | cut]) - 1
         many = np.bincount(number)[number] > 1
-        live, kind = live[order][many], number[many]
-    hit = np.zeros(len(owner), bool)
-    hit[live] = True
-    return np.split(hit, np.cumsum(count)[:-1])
+        live, kind = live[many], number[many]
+    common[live[1:][kind[1:] == kind[:-1]]] = depth
+    return order, common
 
 
-def stream_automaton(contexts: list[bytes], group: np.ndarray, off: np.ndarray, count: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
-    """Confirm recurring passages, compile them into an Aho-Corasick automaton, and stream every context through it.
+def repeated_windows(found: Packed, width: int = BYTES, gram: int = BYTE_GRAM) -> np.ndarray:
+    """Whether each window of each segment is also in another segment, one flag after the other.
 
-    A word is one character of a string here. Windows that occur in two contexts of a group are confirmed; runs of them
-    are passages; each occurrence of a passage marks the windows inside it.
+    The suffixes at the anchors are sorted forwards, and the prefixes before them backwards. A window with o bytes before its
+    anchor is a pair: the class of suffixes that agree on width - o bytes, and that of prefixes that agree on o; both are
+    stretches of the sorted orders. Windows with equal pairs are equal.
     """
-    code: dict[str, str] = {}
-    shown = []
-    for c in contexts:
-        s = []
-        for w in c.decode().split(" "):
-            if (x := code.get(w)) is None:
-                k = 256 + len(code)
-                x = code[w] = chr(k if k < 0xD800 else k + 0x800)
-            s.append(x)
-        shown.append("".join(s))
-    confirmed: list[np.ndarray] = []
-    lo = 0
-    while lo < len(shown):
-        hi = int(np.searchsorted(group, group[lo], "right"))
-        seen = Counter(s[k : k + width] for s, n in zip(shown[lo:hi], count[lo:hi]) for k in range(n))
-        confirmed += [np.fromiter((seen[s[k : k + width]] > 1 for k in range(n)), bool, n) for s, n in zip(shown[lo:hi], count[lo:hi])]
-        lo = hi
-    machine = ahocorasick.Automaton()
-    for s, hit in zip(shown, confirmed):
-        edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
-        for a, b in zip(edge[::2], edge[1::2]):
-            machine.add_word(s[a : b - 1 + width], b - a)
-    out = [np.zeros(n, bool) for n in count]
-    if len(machine):
-        machine.make_automaton()
-        for s, hit in zip(shown, out):
-            for end, n in machine.iter(s):
-                first = end + 2 - width - n
-                hit[first : first + n] = True
+    pad = bytes(width + 16)
+    raw = np.frombuffer(pad + found.raw + pad, np.uint8)
+    anchor = np.cumsum(found.size) - found.size + len(pad) + found.off
+    depth = -(-width // 8) * 8
+    order, common = sorted_suffixes(raw, anchor, depth)
+    near = common >= gram
+    shared = near | np.r_[near[1:], False]
+    order, common = order[shared], common[shared]
+    base = np.cumsum(found.count) - found.count
+    hit = np.repeat(found.times > 1, found.count)
+    if not len(order):
+        return hit
+    some = np.sort(order)
+    order = np.searchsorted(some, order)
+    back, shared_back = sorted_suffixes(np.ascontiguousarray(raw[::-1]), len(raw) - anchor[some], depth)
+    off, first, base = found.off[some], found.off[some] - found.count[some] + 1, base[some]
+    left, right = np.empty(len(some), np.int64), np.empty(len(some), np.int64)
+    for o in range(int(first.min()), int(off.max()) + 1):
+        has = np.flatnonzero((first <= o) & (o <= off))
+        if len(has) < 2:
+            continue
+        right[order] = np.cumsum(common < width - o)
+        left[back] = np.cumsum(shared_back < o)
+        pair = left[has] * (len(some) + 1) + right[has]
+        by = np.argsort(pair)
+        equal = pair[by][1:] == pair[by][:-1]
+        twice = has[by[np.r_[equal, False] | np.r_[False, equal]]]
+        hit[base[twice] + off[twice] - o] = True
+    return hit
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
+    """(bucket, its rows as (kind, blob)) of batches sorted by bucket; each bucket's rows are to be read before the next."""
+    from itertools import groupby
+
+    rows = ((b, k, x.as_py()) for batch in batches for b, k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)))
+    for bucket, some in groupby(rows, lambda r: r[0]):
+        yield bucket, ((k, x) for _, k, x in some)
+
+
+_DEALT = "bucket int, kind int, blob binary"
+
+
+def _dealt(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    b, k, x = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], ["bucket", "kind", "blob"])
+
+
+def _starts(ids, th, lo, hi) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, th, lo, hi)], ["id", "th", "lo", "hi"])
+
+
+def _located(found: Packed, hit: np.ndarray) -> pa.RecordBatch:
+    """The runs of repeated windows in the rows that the segments occur in."""
+    owner, lo, hi = runs(hit, found.count)
+    a, b = np.searchsorted(owner, found.item), np.searchsorted(owner, found.item, "right")
+    row = np.repeat(np.arange(len(a)), b - a)
+    run = np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[row]
+    return _starts(found.id[row], found.th[row], found.start[row] + lo[run], found.start[row] + hi[run])
+
+
+def byte_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """Runs of starts of repeated byte windows, as (id, th, lo, hi), hi exclusive; runs of a text may touch or repeat.
+
+    docs: from :func:`keyed`. Segments are range-partitioned by their anchors' bytes with sampled splitters, and each
+    bucket sorts its suffixes. Segments that a task meets twice are repeated; one of them goes on, for others to meet.
+    """
+    kind, to = _BYTEWISE, plan(docs, _BYTEWISE, hot)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitters = np.array(to.leads or [b""], f"S{kind.gram}")
+        for made in gathered(batches, kind, to.hot):
+            contexts, times, count, _, g, lead, item, ids, th, start = made
+            bucket = np.searchsorted(splitters, np.array(lead, f"S{kind.gram}"), "right")
+            for k in np.flatnonzero(np.isin(g, list(to.hot))).tolist() if to.hot else ():
+                bucket[k] = zlib.crc32(contexts[k]) % to.buckets
+            again = times[item] > 1
+            out = [(b, 0, x) for b, x in bundles(made, bucket, ~again)]
+            if again.any():
+                out.append((out[0][0], 1, pack(ids[again], th[again], start[again], start[again] + count[item[again]])))
+            yield _dealt(out)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches):
+            held = []
+            for k, blob in rows:
+                if k:
+                    yield _starts(*unpack(blob))
+                else:
+                    held.append(blob)
+            if held:
+                found = Packed.merged(held)
+                yield _located(found, repeated_windows(found))
+
+    dealt = docs.select("id", "th", "text").mapInArrow(deal, _DEALT)
+    return stage(dealt.repartition(to.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(judge, _STARTS))
+
+
+def _coded(found: Packed, code: dict[str, str], grow: bool) -> list[str]:
+    """Segments with one character for each word; words without a code share one."""
+    out = []
+    for c in found.contexts():
+        ws = c.decode().split(" ")
+        if grow:
+            for w in ws:
+                if w not in code:
+                    k = 256 + len(code)
+                    code[w] = chr(k if k < 0xD800 else k + 0x800)
+        out.append("".join([code.get(w, "\1") for w in ws]))
     return out
 
 
-def dedup_bytes(docs: DataFrame) -> DataFrame:
+def confirmed(found: Packed, width: int = WORDS) -> list[str]:
+    """The recurring passages: different runs of words all of whose windows occur more than once in the segments."""
+    shared = np.unique(found.g, return_inverse=True)[1]
+    some = np.bincount(shared, found.times)[shared] > 1
+    code: dict[str, str] = {}
+    shown = _coded(found, code, True)
+    seen: Counter[str] = Counter()
+    for s, n, t, ok in zip(shown, found.count.tolist(), found.times.tolist(), some.tolist()):
+        if ok:
+            for k in range(n):
+                seen[s[k : k + width]] += t
+    word = {x: w for w, x in code.items()}
+    out: dict[str, None] = {}
+    for s, n, ok in zip(shown, found.count.tolist(), some.tolist()):
+        if ok:
+            hit = np.fromiter((seen[s[k : k + width]] > 1 for k in range(n)), bool, n)
+            edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
+            for a, b in zip(edge[::2], edge[1::2]):
+                out[s[a : b - 1 + width]] = None
+    return [" ".join([word[x] for x in s]) for s in out]
+
+
+class Automaton:
+    """Finds the windows of some passages in segments, by Aho-Corasick over words."""
+
+    def __init__(self, passages: list[str], width: int = WORDS):
+        self.code: dict[str, str] = {}
+        self.machine, self.width = ahocorasick.Automaton(), width
+        for p in passages:
+            s = []
+            for w in p.split(" "):
+                if (x := self.code.get(w)) is None:
+                    k = 256 + len(self.code)
+                    x = self.code[w] = chr(k if k < 0xD800 else k + 0x800)
+                s.append(x)
+            s = "".join(s)
+            for k in range(len(s) - width + 1):
+                self.machine.add_word(s[k : k + width], True)
+        if len(self.machine):
+            self.machine.make_automaton()
+
+    def locate(self, found: Packed) -> np.ndarray:
+        """Whether each window of each segment is in a passage, one flag after the other."""
+        hit, base = np.zeros(int(found.count.sum()), bool), 0
+        if len(self.machine):
+            for s, n in zip(_coded(found, self.code, False), found.count.tolist()):
+                at = [end for end, _ in self.machine.iter(s)]
+                if at:
+                    hit[np.array(at) + (base - self.width + 1)] = True
+                base += n
+        return hit
+
+
+def word_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """Runs of starts of repeated word windows, as (id, th, lo, hi), hi exclusive; runs of a text may touch or repeat.
+
+    docs: from :func:`keyed`. Anchors name shards. First the different segments of each task go to their shards, without
+    telling whose they are, and confirm the recurring passages; then each shard's passages are compiled into an automaton, and all
+    documents' segments stream through the automata of their shards, which locate the occurrences. Hot windows' occurrences stream through
+    SALTS copies of their automata.
+    """
+    kind, to = _WORDWISE, plan(docs, _WORDWISE, hot)
+    shards = to.buckets
+
+    def route(made: tuple) -> np.ndarray:
+        """Shards; those of hot windows, which the whole window names, come after the others."""
+        shard = (made[4].view(np.uint64) % np.uint64(shards)).astype(np.int64)
+        for k in np.flatnonzero(np.isin(made[4], list(to.hot))).tolist() if to.hot else ():
+            shard[k] = shards + zlib.crc32(made[0][k]) % shards * SALTS
+        return shard
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in gathered(batches, kind, to.hot):
+            yield _dealt([(b, 0, x) for b, x in bundles(made, route(made), np.zeros(len(made[6]), bool))])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _grouped(batches):
+            passages = confirmed(Packed.merged([blob for _, blob in rows]))
+            if passages:
+                blob = pack(passages)
+                yield _dealt([(shard + k, 0, blob) for k in range(SALTS if shard >= shards else 1)])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+        for made in gathered(batches, kind, to.hot):
+            shard = route(made)
+            shard = np.where(shard < shards, shard, shard + turn % SALTS)
+            turn += 1
+            yield _dealt([(b, 1, x) for b, x in bundles(made, shard, np.ones(len(made[6]), bool))])
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches):
+            machine = None
+            for k, blob in rows:  # passages come first
+                if k == 0:
+                    machine = Automaton(*unpack(blob))
+                elif machine:
+                    found = Packed(*unpack(blob))
+                    yield _located(found, machine.locate(found))
+
+    texts = docs.select("id", "th", "text")
+    at_shards = lambda df: df.repartition(to.buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    passages = stage(at_shards(texts.mapInArrow(offer, _DEALT)).mapInArrow(confirm, _DEALT))
+    return stage(at_shards(texts.mapInArrow(stream, _DEALT).unionByName(passages)).mapInArrow(locate, _STARTS))
+
+
+def dedup_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Remove each byte covered by a BYTES-byte string that starts anywhere else in the corpus.
 
     docs: doc_id, text; other columns are ignored; a null text is empty; shorter texts lose nothing; of two equal rows
@@ -117,21 +311,21 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     n_spans (maximal removed runs), spans (array of (lo, hi) in bytes) and kept (the bytes left).
     """
     rows = keyed(docs)
-    starts = repeated_starts(rows, BYTES, BYTE_GRAM, _byte_tokens, _byte_context, sort_suffixes)
+    starts = byte_starts(rows, hot)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, spans, kept = [], [], [], []
             for t, s in zip(batch.column(1), batch.column(2).to_pylist()):
-                raw, runs = t.as_py().encode(), removed(s, BYTES)
-                edges = [0, *[x for r in runs for x in r], len(raw)]
+                raw, gaps = t.as_py().encode(), removed(s, BYTES)
+                edges = [0, *[x for r in gaps for x in r], len(raw)]
                 n.append(len(raw))
-                gone.append(sum(b - a for a, b in runs))
-                spans.append([{"lo": a, "hi": b} for a, b in runs])
+                gone.append(sum(b - a for a, b in gaps))
+                spans.append([{"lo": a, "hi": b} for a, b in gaps])
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+            of = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, of), pa.array(kept, pa.binary())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
             )
 
@@ -145,39 +339,42 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     stay. A character of which only some bytes are repeated goes whole. A null text stays null."""
     others = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
     rows = docs.select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("id"), F.hash("text").alias("th"), "doc_id", "text", others.alias("others")
+        F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("id"), F.xxhash64("text").alias("th"), "doc_id", "text", others.alias("others")
     )
-    starts = repeated_starts(keyed(docs), BYTES, BYTE_GRAM, _byte_tokens, _byte_context, sort_suffixes)
+    starts = byte_starts(keyed(docs))
 
-    @F.udf("string", useArrow=True)
+    @F.pandas_udf("string")
     def left(text, spans):
-        if text is None or spans is None:
-            return text
-        raw = text.encode()
-        edges = [0, *[x for r in removed(spans, BYTES) for x in r], len(raw)]
-        return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8", "ignore")
+        out = []
+        for t, s in zip(text, spans):
+            if t is not None and s is not None:
+                raw = t.encode()
+                edges = [0, *[x for r in removed(s, BYTES) for x in r], len(raw)]
+                t = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8", "ignore")
+            out.append(t)
+        return text.__class__(out, dtype=object)
 
     out = with_spans(rows, starts).withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left("text", "spans")))
     return out.select(*[F.col("text") if c == "text" else F.col("others")[c].alias(c) for c in docs.columns])
 
 
-def dedup_words(docs: DataFrame) -> DataFrame:
+def dedup_words(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Remove each word covered by a run of WORDS words that starts anywhere else in the corpus.
 
     docs: doc_id, text; other columns are ignored; a null text has no words; shorter texts lose nothing. Windows are
     judged on the input. Returns one row per row: doc_id, n_words, n_removed, kept (words left, joined by spaces).
     """
     rows = keyed(docs)
-    starts = repeated_starts(rows, WORDS, WORD_GRAM, _word_tokens, _word_context, stream_automaton)
+    starts = word_starts(rows, hot)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
             for t, s in zip(batch.column(1), batch.column(2).to_pylist()):
-                ws, runs = words(t.as_py()), removed(s, WORDS)
-                edges = [0, *[x for r in runs for x in r], len(ws)]
+                ws, gaps = words(t.as_py()), removed(s, WORDS)
+                edges = [0, *[x for r in gaps for x in r], len(ws)]
                 n.append(len(ws))
-                gone.append(sum(b - a for a, b in runs))
+                gone.append(sum(b - a for a, b in gaps))
                 kept.append(" ".join(w for a, b in zip(edges[::2], edges[1::2]) for w in ws[a:b]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
