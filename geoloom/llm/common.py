@@ -35,12 +35,13 @@ def stage(df: DataFrame) -> DataFrame:
     table go. The tables are removed when the driver ends, or earlier by :func:`release`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path, schema = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
     _written.append((spark, path))
+    del df  # or the plan that was run would keep its shuffle files
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop shuffle files that nothing refers to
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(df: DataFrame) -> None:

@@ -28,7 +28,7 @@ from geoloom.llm.textwords import mix
 
 BASE = 0x9E3779B97F4A7C15
 #: Tokens of a text looked at together; bytes of text whose segments are packed together: bounds on a worker's memory.
-CHUNK, PACKED = 1 << 18, 3 << 23
+CHUNK, PACKED = 1 << 18, 1 << 24
 #: Segments with one anchor that a bucket takes, about 80 MB of them; bytes of segments that a bucket is planned for.
 HOT, BUCKET = 1 << 18, 1 << 24
 #: Rows of the sample per bucket; how many times the text its segments take.
@@ -37,7 +37,7 @@ SAMPLED, SPREAD = 64, 4
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse modulo 2 ** 64, for i under n."""
     if len(_powers.get("up", ())) < n:
         size = max(n, 1 << 14)
@@ -67,7 +67,7 @@ def segments(tokens: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.nda
     for at in range(0, len(tokens) - width + 1, CHUNK):
         t = tokens[at : at + CHUNK + width - 1]
         n = len(t)
-        up, down = _power(n + 1)
+        up, down = powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(t * up[:n], out=total[1:])
         g = mix((total[gram:] - total[:-gram]) * down[: n - gram + 1])
@@ -88,12 +88,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Kind:
-    """What is compared: how texts become tokens and token ranges become bytes."""
+    """What is compared. opened: a text's token hashes, and the function from a range of tokens to its bytes; ranged: whether
+    buckets are ranges of anchors' bytes."""
 
     width: int
     gram: int
-    tokens: Callable[[str], np.ndarray]
-    context: Callable[[str], Callable[[int, int], bytes]]
+    opened: Callable[[str], tuple[np.ndarray, Callable[[int, int], bytes]]]
+    ranged: bool
 
 
 @dataclass
@@ -109,9 +110,9 @@ class Plan:
 def plan(docs: DataFrame, kind: Kind, hot: int = HOT, bucket: int = BUCKET) -> Plan:
     """Buckets of about ``bucket`` bytes of segments, their splitters and the hot anchors, from a sample of anchors.
 
-    The sample grows with the number of buckets, SAMPLED anchors for each, and only it reaches the driver; so an anchor that fills
-    a bucket or more of its own is all but sure to be in it many times. Its counts decide how segments travel, not which
-    are found.
+    The sample grows with the number of buckets, about SAMPLED anchors for each, and only it reaches the driver; so an anchor
+    that fills a bucket or more of its own is all but sure to be in it many times. Its counts decide how segments travel,
+    not which are found.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
@@ -123,14 +124,16 @@ def plan(docs: DataFrame, kind: Kind, hot: int = HOT, bucket: int = BUCKET) -> P
         for batch in batches:
             g, lead = [], []
             for text in batch.column(0).to_pylist():
-                cut = kind.context(text)
-                for start, _, off, hashes in segments(kind.tokens(text), kind.width, kind.gram):
+                tokens, cut = kind.opened(text)
+                for start, _, off, hashes in segments(tokens, kind.width, kind.gram):
                     g += hashes.tolist()
-                    lead += [cut(a, a + kind.gram) for a in (start + off).tolist()]
+                    lead += [cut(a, a + kind.gram) if kind.ranged else None for a in (start + off).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(lead, pa.binary())], ["g", "lead"])
 
-    some = docs.select("text").sample(share, 7).mapInArrow(anchors, "g long, lead binary").orderBy(F.rand(7)).limit(wanted).collect()
-    leads = sorted(bytes(r.lead) for r in some)
+    found = docs.select("text").sample(share, 7).mapInArrow(anchors, "g long, lead binary")
+    thinned = min(1.0, wanted / max(share * size / (kind.width // 2), 1))
+    some = found.where(F.rand(7) < thinned).collect()
+    leads = sorted(bytes(r.lead) for r in some if kind.ranged)
     splitters = sorted({leads[len(leads) * k // buckets] for k in range(1, buckets)}) if leads else []
     each = (size / (kind.width / 2)) / max(len(some), 1)
     often: dict[int, int] = {}
@@ -140,7 +143,7 @@ def plan(docs: DataFrame, kind: Kind, hot: int = HOT, bucket: int = BUCKET) -> P
 
 
 def pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
 
 
 def unpack(blob: bytes) -> tuple:
@@ -223,8 +226,8 @@ def gathered(batches: Iterator[pa.RecordBatch], kind: Kind, hot: frozenset[int])
 
     for batch in batches:
         for id_, th, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            cut = kind.context(text)
-            for found in segments(kind.tokens(text), kind.width, kind.gram):
+            tokens, cut = kind.opened(text)
+            for found in segments(tokens, kind.width, kind.gram):
                 for start, count, off, g in zip(*(x.tolist() for x in found)):
                     one = g in hot
                     for s, n, o in [(start + k, 1, off - k) for k in range(count)] if one else [(start, count, off)]:
@@ -233,7 +236,7 @@ def gathered(batches: Iterator[pa.RecordBatch], kind: Kind, hot: frozenset[int])
                         if (i := seen.get(context)) is None:
                             i = seen[context] = len(seen)
                             held += len(context)
-                            facts.append((n, o, g, cut(s + o, s + o + kind.gram)))
+                            facts.append((n, o, g, cut(s + o, s + o + kind.gram) if kind.ranged else None))
                         rows.append((i, id_, th, s))
                         if held >= PACKED and one:
                             yield from out()

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import stage
-from geoloom.llm.repeats import HOT, Kind, Packed, Plan, bundles, gathered, keyed, pack, plan, removed, runs, unpack, with_spans
-from geoloom.llm.textwords import mix, word_hashes, words
+from geoloom.llm.repeats import CHUNK, HOT, Kind, Packed, bundles, gathered, keyed, pack, plan, powers, removed, runs, unpack, with_spans
+from geoloom.llm.textwords import mix, words
 
 BYTES, BYTE_GRAM = 200, 24
 WORDS, WORD_GRAM = 35, 8
@@ -25,26 +25,32 @@ SALTS = 16
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _byte_tokens(text: str) -> np.ndarray:
-    return _BYTE[np.frombuffer(text.encode(), np.uint8)]
-
-
-def _byte_context(text: str):
+def _by_bytes(text: str):
     raw = text.encode()
-    return lambda a, b: raw[a:b]
-
-
-def _word_tokens(text: str) -> np.ndarray:
-    return word_hashes(words(text))
-
-
-def _word_context(text: str):
-    ws = words(text)
-    return lambda a, b: " ".join(ws[a:b]).encode()
-
-
-_BYTEWISE = Kind(BYTES, BYTE_GRAM, _byte_tokens, _byte_context)
-_WORDWISE = Kind(WORDS, WORD_GRAM, _word_tokens, _word_context)
+    return _BYTE[np.frombuffer(raw, np.uint8)], lambda a, b: raw[a:b]
+
+
+def _by_words(text: str):
+    raw = " ".join(words(text)).encode()
+    if not raw:
+        return np.zeros(0, np.uint64), lambda a, b: b""
+    flat = np.frombuffer(raw, np.uint8)
+    blank = np.flatnonzero(flat == 32)
+    start, end = np.r_[0, blank + 1], np.r_[blank, len(raw)]
+    # A word's hash sums its bytes' values, weighed by their places; some 256 KB of words at a time.
+    edge = np.unique(np.searchsorted(start, np.arange(0, len(raw), CHUNK)))
+    out = np.empty(len(start), np.uint64)
+    for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(start)]):
+        lo, hi = start[i], end[j - 1]
+        up, down = powers(int(hi - lo) + 1)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTE[flat[lo:hi]] * up[:-1], out=total[1:])
+        out[i:j] = mix((total[end[i:j] - lo] - total[start[i:j] - lo]) * down[start[i:j] - lo])
+    return out, lambda a, b: raw[start[a] : end[b - 1]]
+
+
+_BYTEWISE = Kind(BYTES, BYTE_GRAM, _by_bytes, True)
+_WORDWISE = Kind(WORDS, WORD_GRAM, _by_words, False)
 _STARTS = "id long, th long, lo long, hi long"
 
 
@@ -162,6 +168,7 @@ def byte_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
             for k in np.flatnonzero(np.isin(g, list(to.hot))).tolist() if to.hot else ():
                 bucket[k] = zlib.crc32(contexts[k]) % to.buckets
             again = times[item] > 1
+            made = (*made[:4], np.zeros(len(g), np.int32), *made[5:])  # anchors are told by their bytes
             out = [(b, 0, x) for b, x in bundles(made, bucket, ~again)]
             if again.any():
                 out.append((out[0][0], 1, pack(ids[again], th[again], start[again], start[again] + count[item[again]])))
@@ -183,10 +190,10 @@ def byte_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return stage(dealt.repartition(to.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(judge, _STARTS))
 
 
-def _coded(found: Packed, code: dict[str, str], grow: bool) -> list[str]:
+def _coded(segments: list[bytes], code: dict[str, str], grow: bool) -> list[str]:
     """Segments with one character for each word; words without a code share one."""
     out = []
-    for c in found.contexts():
+    for c in segments:
         ws = c.decode().split(" ")
         if grow:
             for w in ws:
@@ -197,56 +204,52 @@ def _coded(found: Packed, code: dict[str, str], grow: bool) -> list[str]:
     return out
 
 
-def confirmed(found: Packed, width: int = WORDS) -> list[str]:
-    """The recurring passages: different runs of words all of whose windows occur more than once in the segments."""
+def confirmed(found: Packed, width: int = WORDS) -> tuple[list[str], set[int]]:
+    """The recurring passages, and their anchors: the different runs of words all of whose windows occur more than once.
+
+    A run is one of some segment and ends where a window occurs once, so each segment's recurring windows are passages.
+    """
     shared = np.unique(found.g, return_inverse=True)[1]
-    some = np.bincount(shared, found.times)[shared] > 1
-    code: dict[str, str] = {}
-    shown = _coded(found, code, True)
+    some = np.flatnonzero(np.bincount(shared, found.times)[shared] > 1)
+    contexts, code = found.contexts(), {}
+    shown = _coded([contexts[i] for i in some.tolist()], code, True)
+    facts = list(zip(shown, found.count[some].tolist(), found.times[some].tolist(), found.g[some].tolist()))
     seen: Counter[str] = Counter()
-    for s, n, t, ok in zip(shown, found.count.tolist(), found.times.tolist(), some.tolist()):
-        if ok:
-            for k in range(n):
-                seen[s[k : k + width]] += t
+    for s, n, t, _ in facts:
+        for k in range(n):
+            seen[s[k : k + width]] += t
     word = {x: w for w, x in code.items()}
     out: dict[str, None] = {}
-    for s, n, ok in zip(shown, found.count.tolist(), some.tolist()):
-        if ok:
-            hit = np.fromiter((seen[s[k : k + width]] > 1 for k in range(n)), bool, n)
-            edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
-            for a, b in zip(edge[::2], edge[1::2]):
-                out[s[a : b - 1 + width]] = None
-    return [" ".join([word[x] for x in s]) for s in out]
+    anchors = set()
+    for s, n, _, g in facts:
+        hit = np.fromiter((seen[s[k : k + width]] > 1 for k in range(n)), bool, n)
+        edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
+        for a, b in zip(edge[::2], edge[1::2]):
+            out[s[a : b - 1 + width]] = None
+            anchors.add(g)
+    return [" ".join([word[x] for x in s]) for s in out], anchors
 
 
 class Automaton:
-    """Finds the windows of some passages in segments, by Aho-Corasick over words."""
+    """Finds passages, and so the windows in them, in segments: Aho-Corasick over words."""
 
-    def __init__(self, passages: list[str], width: int = WORDS):
+    def __init__(self, passages: list[str], anchors: set[int], width: int = WORDS):
         self.code: dict[str, str] = {}
-        self.machine, self.width = ahocorasick.Automaton(), width
-        for p in passages:
-            s = []
-            for w in p.split(" "):
-                if (x := self.code.get(w)) is None:
-                    k = 256 + len(self.code)
-                    x = self.code[w] = chr(k if k < 0xD800 else k + 0x800)
-                s.append(x)
-            s = "".join(s)
-            for k in range(len(s) - width + 1):
-                self.machine.add_word(s[k : k + width], True)
+        self.machine, self.width, self.anchors = ahocorasick.Automaton(), width, np.array(sorted(anchors), np.int64)
+        for s in _coded([p.encode() for p in passages], self.code, True):
+            self.machine.add_word(s, len(s))
         if len(self.machine):
             self.machine.make_automaton()
 
     def locate(self, found: Packed) -> np.ndarray:
-        """Whether each window of each segment is in a passage, one flag after the other."""
-        hit, base = np.zeros(int(found.count.sum()), bool), 0
-        if len(self.machine):
-            for s, n in zip(_coded(found, self.code, False), found.count.tolist()):
-                at = [end for end, _ in self.machine.iter(s)]
-                if at:
-                    hit[np.array(at) + (base - self.width + 1)] = True
-                base += n
+        """Whether each window of each segment is in a passage, one flag after the other; other anchors have no passage."""
+        hit, base = np.zeros(int(found.count.sum()), bool), np.cumsum(found.count) - found.count
+        some = np.flatnonzero(np.isin(found.g, self.anchors)).tolist() if len(self.machine) else []
+        contexts = found.contexts() if some else []
+        for i, s in zip(some, _coded([contexts[i] for i in some], self.code, False)):
+            for end, n in self.machine.iter(s):
+                stop = int(base[i]) + end + 2 - self.width
+                hit[stop - (n - self.width + 1) : stop] = True
         return hit
 
 
@@ -274,9 +277,9 @@ def word_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _grouped(batches):
-            passages = confirmed(Packed.merged([blob for _, blob in rows]))
+            passages, anchors = confirmed(Packed.merged([blob for _, blob in rows]))
             if passages:
-                blob = pack(passages)
+                blob = pack(passages, anchors)
                 yield _dealt([(shard + k, 0, blob) for k in range(SALTS if shard >= shards else 1)])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
