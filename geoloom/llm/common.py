@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -13,6 +12,9 @@ from pyspark.sql import functions as F
 #: White space that separates words, as a Java and Python regex class body.
 SPACE = r"\x20\x09-\x0D"
 
+#: Shuffle files of a statement go when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -31,16 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the table read back.
 
-    This cuts lineage so that a lost executor costs only its own tasks, and lets the shuffle files that fed the
-    table go. The tables are removed when the driver ends, or earlier by :func:`release`.
+    This cuts lineage so that a lost executor costs only its own tasks, and drops the shuffle files that fed the
+    table. The tables are removed when the driver ends, or earlier by :func:`release`.
     """
     spark = df.sparkSession
     path, schema = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     _written.append((spark, path))
-    del df  # or the plan that was run would keep its shuffle files
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop shuffle files that nothing refers to
     return spark.read.schema(schema).parquet(path)
 
 

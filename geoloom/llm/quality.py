@@ -1,11 +1,14 @@
 """Quality rules with weak supervision.
 
-Rules vote good (1), junk (-1) or abstain (0). Expectation-maximisation over the counts of vote patterns estimates each
-rule's accuracies and the share of good documents; the posterior probability of being good decides.
+Rules vote good (1), junk (-1) or abstain (0). Junk is of several kinds, which different rules see; so the votes are modelled by
+a latent class of good documents and one for each kind of junk. Expectation-maximisation over the counts of vote patterns
+estimates each class's share and how its documents make every rule vote, and the posterior probability of being good decides.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +16,11 @@ from geoloom.llm.common import SPACE, stage
 
 WINDOW = 8
 STRETCH = 100
-#: Class-conditional priors of a rule's votes, (junk, abstain, good): on good documents, on junk, and how many times the
-#: documents' own counts they weigh. The rules look for junk, so one misfires rarely but sees only some kinds of it.
-ON_GOOD, ON_JUNK, WEIGHT = {-1: 0.001, 0: 0.4, 1: 0.599}, {-1: 0.25, 0: 0.375, 1: 0.375}, 10.0
+#: The rules that a kind of junk is first thought to be seen by. Only start values: the fit may end with others.
+KINDS = (("symbols", "marks", "letters"), ("repeats", "variety", "lines"), ("word_length", "capitals", "sentences"))
+#: Start values: a class's share, and chances of the votes junk, abstain and good on good documents, of a kind's own rules on its junk, of other
+#: rules on junk. SMOOTH is added to each count.
+SHARE, ON_GOOD, OWN, OTHER, SMOOTH = 0.7, (0.05, 0.15, 0.8), (0.7, 0.15, 0.15), (0.1, 0.2, 0.7), 0.5
 
 
 def _let(value: Column, then) -> Column:
@@ -67,8 +72,8 @@ def features(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored; a null text has no words. Words are runs of characters other than
     the six ASCII white spaces. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all as
-    documented in :func:`quality`), n_distinct, n_varied (distinct words of each stretch of STRETCH words, summed), n_upper,
-    n_lines.
+    documented in :func:`quality`), n_varied (distinct words of each stretch of STRETCH words, summed), n_upper, n_lines (with a
+    word), n_marks (runs of symbols), n_ends (full stops, exclamation and question marks).
     """
     text = F.coalesce("text", F.lit(""))
     blanks = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -84,77 +89,76 @@ def features(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0)).otherwise(_covered(F.col("windows"))).cast("long").alias("n_repeat_words"),
-        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
         _let(F.col("words"), _varied).cast("long").alias("n_varied"),
         (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
         F.size("lines").cast("long").alias("n_lines"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]+")).cast("long").alias("n_marks"),
+        (F.length("text") - F.length(F.translate("text", ".!?", ""))).cast("long").alias("n_ends"),
     )
 
 
 def votes() -> dict[str, Column]:
-    """The rules: name to vote. Each says good and junk only where it is sure, and abstains between."""
-    n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+    """The rules: name to vote. Each may say good or junk, and abstains between; single votes may be wrong."""
+    n, chars, lines = (F.greatest(F.col(k), F.lit(1)) for k in ("n_words", "word_chars", "n_lines"))
 
-    def rule(junk: Column, good: Column | None = None) -> Column:
-        out = F.when(junk, -1)
-        return (out if good is None else out.when(good, 1)).otherwise(0)
+    def rule(junk: Column, good: Column) -> Column:
+        return F.when(junk, -1).when(good, 1).otherwise(0)
 
-    mean = F.col("word_chars") / n
+    mean, letters, ends = F.col("word_chars") / n, (F.col("word_chars") - F.col("n_symbols")) / n, F.col("n_ends") / n
     return {
-        "symbols": rule(F.col("n_symbols") > 0.1 * n),
+        "symbols": rule(F.col("n_symbols") > 0.1 * n, F.col("n_symbols") <= 0.02 * n),
         "word_length": rule((mean < 3.0) | (mean > 7.0), (mean >= 4.0) & (mean <= 6.2)),
-        "repeats": rule(F.col("n_repeat_words") > 0.25 * n),
-        "variety": rule(F.col("n_varied") < 0.25 * n, F.col("n_varied") >= 0.5 * n),
-        "capitals": rule(F.col("n_upper") > 0.3 * chars),
-        "lines": rule(F.col("n_dup_lines") > 0.5 * F.col("n_lines")),
+        "repeats": rule(F.col("n_repeat_words") > 0.25 * n, F.col("n_repeat_words") <= 0.05 * n),
+        "variety": rule(F.col("n_varied") < 0.35 * n, F.col("n_varied") >= 0.5 * n),
+        "capitals": rule(F.col("n_upper") > 0.3 * chars, F.col("n_upper") <= 0.1 * chars),
+        "lines": rule(F.col("n_dup_lines") > 0.3 * lines, F.col("n_dup_lines") <= 0.1 * lines),
+        "marks": rule(F.col("n_marks") > 0.08 * n, F.col("n_marks") <= 0.02 * n),
+        "sentences": rule((ends < 0.01) | (ends > 0.3), ends.between(0.03, 0.2)),
+        "letters": rule(letters < 3.6, letters >= 4.0),
     }
 
 
-def fit(patterns: DataFrame, names: list[str], rounds: int = 12) -> tuple[float, dict[str, dict[int, float]]]:
+def posterior(shares: list[float], chances: list[dict[str, tuple[float, float, float]]]) -> Column:
+    """Array of the classes' probabilities, the good one first, given the vote columns.
+
+    chances: for each class and rule those of the votes -1, 0 and 1.
+    """
+    logs = []
+    for share, by in zip(shares, chances):
+        total = F.lit(log(share))
+        for k, p in by.items():
+            total = total + F.get(F.array(*[F.lit(log(x)) for x in p]), F.col(k) + 1)
+        logs.append(total)
+    scaled = lambda z: F.transform(z, lambda x: F.exp(x - F.array_max(z)))
+    part = lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    return _let(_let(F.array(*logs), scaled), part)
+
+
+def fit(patterns: DataFrame, names: list[str], rounds: int = 20) -> tuple[list[float], list[dict[str, tuple[float, float, float]]]]:
     """Expectation-maximisation over ``patterns`` (a vote column per rule, and n), at most 3 ** len(names) rows.
 
-    Returns the log prior odds and, for each rule and vote, the log odds that the vote adds. Each round is one
-    aggregate of the pattern table; only the sums reach the driver. That a rule abstains says
-    something too: rules for junk abstain on good documents. The estimates start at the
-    class-conditional priors and stay weighed with them (WEIGHT): by counts alone, junk of one rare kind, which only one
-    rule sees, would be taken for good. With no rows the prior odds are even.
+    names: ``vote_`` and a rule's name. Returns the classes' shares and each class's chances of every rule's votes, the good class
+    first. Each round is one aggregate of the pattern table; only its sums, three for each rule and class, reach the driver.
+    That a rule abstains says something too. With no rows the start values stay.
     """
-    start = {v: _log(ON_GOOD[v] / ON_JUNK[v]) for v in (-1, 0, 1)}
-    prior, odds = 2.0, {k: dict(start) for k in names}
+    kinds = [{f"vote_{k}" for k in kind} for kind in KINDS]
+    shares = [SHARE] + [(1 - SHARE) / len(kinds)] * len(kinds)
+    chances = [dict.fromkeys(names, ON_GOOD)] + [{k: OWN if k in kind else OTHER for k in names} for kind in kinds]
+    classes = range(len(shares))
     for _ in range(rounds):
-        good = F.col("n") * posterior(prior, odds)
-        sums = [F.sum("n").alias("n"), F.sum(good).alias("good")]
-        for k in names:
-            for v in (-1, 0, 1):
-                hit = F.col(k) == v
-                sums += [F.sum(F.when(hit, F.col("n"))).alias(f"{k}{v}n"), F.sum(F.when(hit, good)).alias(f"{k}{v}g")]
-        got = patterns.agg(*sums).first()
-        if not got["n"]:
-            return 0.0, {k: dict.fromkeys((-1, 0, 1), 0.0) for k in names}
-        n_good = min(max(got["good"], 1.0), got["n"] + 1.0)
-        n_junk = max(got["n"] - got["good"], 1.0)
-        prior = _log(n_good / n_junk)
-        for k in names:
-            for v in (-1, 0, 1):
-                g, n = got[f"{k}{v}g"] or 0.0, got[f"{k}{v}n"] or 0
-                on_good = (g + 1 + WEIGHT * n_good * ON_GOOD[v]) / (n_good * (1 + WEIGHT) + 3)
-                on_junk = (max(n - g, 0.0) + 1 + WEIGHT * n_junk * ON_JUNK[v]) / (n_junk * (1 + WEIGHT) + 3)
-                odds[k][v] = _log(on_good) - _log(on_junk) if n else 0.0
-    return prior, odds
-
-
-def _log(x: float) -> float:
-    from math import log
-
-    return log(x)
-
-
-def posterior(prior: float, odds: dict[str, dict[int, float]]) -> Column:
-    """Probability of good given the vote columns."""
-    total = F.lit(float(prior))
-    for k, by in odds.items():
-        total = total + F.when(F.col(k) == -1, F.lit(float(by[-1]))).when(F.col(k) == 1, F.lit(float(by[1]))).otherwise(F.lit(float(by[0])))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+        weighed = patterns.withColumn("p", posterior(shares, chances)).select(
+            "n", "p", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("vote")) for k in names])).alias("v")
+        )
+        got = weighed.groupBy("v.rule", "v.vote").agg(*[F.sum(F.col("n") * F.get("p", F.lit(c))).alias(f"c{c}") for c in classes]).collect()
+        if not got:
+            break
+        sums = {(r.rule, r.vote): [r[f"c{c}"] for c in classes] for r in got}
+        whole = [sum(sums.get((names[0], v), [0.0] * len(shares))[c] for v in (-1, 0, 1)) for c in classes]
+        shares = [(x + 1) / (sum(whole) + len(shares)) for x in whole]
+        chances = [
+            {k: tuple((sums.get((k, v), [0.0] * len(shares))[c] + SMOOTH) / (whole[c] + 3 * SMOOTH) for v in (-1, 0, 1)) for k in names} for c in classes
+        ]
+    return shares, chances
 
 
 def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -171,11 +175,11 @@ def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
     voted = counted.select("*", *[c.alias(f"vote_{k}") for k, c in rules.items()])
     names = [f"vote_{k}" for k in rules]
     patterns = stage(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1))
-    prior, odds = fit(patterns, names)
+    shares, chances = fit(patterns, names)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
         voted.withColumn("base_failed", failed)
-        .withColumn("p_good", posterior(prior, odds))
+        .withColumn("p_good", F.get(posterior(shares, chances), F.lit(0)))
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
             (~F.col("base_failed") & (F.col("p_good") >= least)).alias("kept"), "p_good", *names,

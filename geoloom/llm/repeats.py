@@ -31,8 +31,8 @@ BASE = 0x9E3779B97F4A7C15
 CHUNK, PACKED = 1 << 18, 1 << 24
 #: Segments with one anchor that a bucket takes, about 80 MB of them; bytes of segments that a bucket is planned for.
 HOT, BUCKET = 1 << 18, 1 << 24
-#: Rows of the sample per bucket; how many times the text its segments take.
-SAMPLED, SPREAD = 64, 4
+#: Anchors of the sample per bucket; how many times the text its segments take; bytes of text from anchor to anchor, about.
+SAMPLED, SPREAD, APART = 64, 4, 75
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -118,7 +118,7 @@ def plan(docs: DataFrame, kind: Kind, hot: int = HOT, bucket: int = BUCKET) -> P
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     buckets = max(parts(spark), -(-size * SPREAD // bucket))
     wanted = SAMPLED * buckets
-    share = min(1.0, 4.0 * wanted * (kind.width // 2) / max(size, 1))
+    share = min(1.0, 4.0 * wanted * APART / max(size, 1))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,11 +131,11 @@ def plan(docs: DataFrame, kind: Kind, hot: int = HOT, bucket: int = BUCKET) -> P
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(lead, pa.binary())], ["g", "lead"])
 
     found = docs.select("text").sample(share, 7).mapInArrow(anchors, "g long, lead binary")
-    thinned = min(1.0, wanted / max(share * size / (kind.width // 2), 1))
+    thinned = min(1.0, wanted * APART / max(share * size, 1))
     some = found.where(F.rand(7) < thinned).collect()
     leads = sorted(bytes(r.lead) for r in some if kind.ranged)
     splitters = sorted({leads[len(leads) * k // buckets] for k in range(1, buckets)}) if leads else []
-    each = (size / (kind.width / 2)) / max(len(some), 1)
+    each = 1 / (share * thinned)  # anchors that one of the sample stands for
     often: dict[int, int] = {}
     for r in some:
         often[r.g] = often.get(r.g, 0) + 1
