@@ -123,11 +123,13 @@ def posterior(shares: list[float], chances: list[dict[str, tuple[float, float, f
 
     chances: for each class and rule those of the votes -1, 0 and 1.
     """
+    # Numbers stand in array literals, which are not written into compiled code, so that all rounds of a fit share that code.
     logs = []
     for share, by in zip(shares, chances):
-        total = F.lit(log(share))
-        for k, p in by.items():
-            total = total + F.get(F.array(*[F.lit(log(x)) for x in p]), F.col(k) + 1)
+        held = F.lit([log(share)] + [log(x) for p in by.values() for x in p])
+        total = F.get(held, F.lit(0))
+        for k, name in enumerate(by):
+            total = total + F.get(held, F.col(name) + (3 * k + 2))
         logs.append(total)
     scaled = lambda z: F.transform(z, lambda x: F.exp(x - F.array_max(z)))
     part = lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))

@@ -14,7 +14,7 @@ groups spread too; equal windows have been combined by then.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -254,10 +254,10 @@ def with_spans(docs: DataFrame, starts: DataFrame) -> DataFrame:
     return docs.join(spans, ["id", "th"], "left")
 
 
-def removed(spans: list[dict] | None, width: int) -> list[tuple[int, int]]:
+def removed(spans: Iterable[dict] | None, width: int) -> list[tuple[int, int]]:
     """Maximal runs of tokens that repeated windows cover."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"] - 1 + width) for s in spans or ()):
+    for lo, hi in sorted((s["lo"], s["hi"] - 1 + width) for s in (() if spans is None else spans)):
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], hi))
         else:

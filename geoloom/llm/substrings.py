@@ -207,27 +207,39 @@ def _coded(segments: list[bytes], code: dict[str, str], grow: bool) -> list[str]
 def confirmed(found: Packed, width: int = WORDS) -> tuple[list[str], set[int]]:
     """The recurring passages, and their anchors: the different runs of words all of whose windows occur more than once.
 
-    A run is one of some segment and ends where a window occurs once, so each segment's recurring windows are passages.
+    A run is one of some segment and ends where a window occurs once, so each segment's recurring windows are passages. Equal
+    windows have equal anchors, so segments are looked at by anchor; one that stands alone is a passage if it occurs twice.
     """
-    shared = np.unique(found.g, return_inverse=True)[1]
-    some = np.flatnonzero(np.bincount(shared, found.times)[shared] > 1)
-    contexts, code = found.contexts(), {}
-    shown = _coded([contexts[i] for i in some.tolist()], code, True)
-    facts = list(zip(shown, found.count[some].tolist(), found.times[some].tolist(), found.g[some].tolist()))
-    seen: Counter[str] = Counter()
-    for s, n, t, _ in facts:
-        for k in range(n):
-            seen[s[k : k + width]] += t
-    word = {x: w for w, x in code.items()}
-    out: dict[str, None] = {}
-    anchors = set()
-    for s, n, _, g in facts:
-        hit = np.fromiter((seen[s[k : k + width]] > 1 for k in range(n)), bool, n)
-        edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
-        for a, b in zip(edge[::2], edge[1::2]):
-            out[s[a : b - 1 + width]] = None
-            anchors.add(g)
-    return [" ".join([word[x] for x in s]) for s in out], anchors
+    by = np.argsort(found.g, kind="stable")
+    edge = np.flatnonzero(np.r_[True, np.diff(found.g[by]) != 0, True]).tolist()
+    contexts, out, anchors = found.contexts(), {}, set()
+    for lo, hi in zip(edge, edge[1:]):
+        some = by[lo:hi].tolist()
+        if len(some) == 1:
+            if found.times[some[0]] > 1:
+                out[contexts[some[0]].decode()] = None
+                anchors.add(int(found.g[some[0]]))
+            continue
+        code: dict[str, str] = {}
+        facts = list(zip(_coded([contexts[i] for i in some], code, True), found.count[some].tolist(), found.times[some].tolist()))
+        seen: Counter[str] = Counter()
+        for s, n, t in facts:
+            for k in range(n):
+                seen[s[k : k + width]] += t
+        word: dict[str, str] = {}
+        for i, (s, n, t) in zip(some, facts):
+            hit = [True] * n if t > 1 else [seen[s[k : k + width]] > 1 for k in range(n)]
+            if all(hit):
+                out[contexts[i].decode()] = None
+            elif any(hit):
+                word = word or {x: w for w, x in code.items()}
+                runs_ = np.flatnonzero(np.diff(np.r_[0, np.array(hit, np.int8), 0])).tolist()
+                for a, b in zip(runs_[::2], runs_[1::2]):
+                    out[" ".join([word[x] for x in s[a : b - 1 + width]])] = None
+            else:
+                continue
+            anchors.add(int(found.g[i]))
+    return list(out), anchors
 
 
 class Automaton:
@@ -235,6 +247,8 @@ class Automaton:
 
     def __init__(self, passages: list[str], anchors: set[int], width: int = WORDS):
         self.code: dict[str, str] = {}
+        #: What was found in the shard's different segments, which are as many as a bucket is planned for.
+        self.known: dict[bytes, tuple[tuple[int, int], ...]] = {}
         self.machine, self.width, self.anchors = ahocorasick.Automaton(), width, np.array(sorted(anchors), np.int64)
         for s in _coded([p.encode() for p in passages], self.code, True):
             self.machine.add_word(s, len(s))
@@ -246,12 +260,26 @@ class Automaton:
         hit, base = np.zeros(int(found.count.sum()), bool), np.cumsum(found.count) - found.count
         some = np.flatnonzero(np.isin(found.g, self.anchors)).tolist() if len(self.machine) else []
         contexts = found.contexts() if some else []
-        for i, s in zip(some, _coded([contexts[i] for i in some], self.code, False)):
-            for end, n in self.machine.iter(s):
-                stop = int(base[i]) + end + 2 - self.width
-                hit[stop - (n - self.width + 1) : stop] = True
+        for i in some:
+            if (runs_ := self.known.get(contexts[i])) is None:
+                runs_ = self.known[contexts[i]] = self._search(contexts[i])
+            for a, b in runs_:
+                hit[base[i] + a : base[i] + b] = True
         return hit
 
+    def _search(self, context: bytes) -> tuple[tuple[int, int], ...]:
+        """Runs of the windows that passages cover."""
+        out: list[tuple[int, int]] = []
+        (s,) = _coded([context], self.code, False)
+        for end, n in self.machine.iter(s):
+            stop = end + 2 - self.width
+            start = stop - (n - self.width + 1)
+            while out and out[-1][1] >= start:
+                last = out.pop()
+                start = min(start, last[0])
+            out.append((start, stop))
+        return tuple(out)
+
 
 def word_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Runs of starts of repeated word windows, as (id, th, lo, hi), hi exclusive; runs of a text may touch or repeat.
