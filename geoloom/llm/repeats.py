@@ -74,9 +74,12 @@ def segments(tokens: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.nda
         low = np.uint64((1 << 22) - 1)
         order = (g & ~low) | np.arange(len(g), dtype=np.uint64)
         anchor = (_least(order, width - gram + 1) & low).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        end = np.r_[first[1:], len(anchor)]
-        yield first + at, end - first, anchor[first] - first, g[anchor[first]].view(np.int64)
+        later = np.flatnonzero(anchor[1:] != anchor[:-1])
+        edge = np.empty(len(later) + 2, np.int64)
+        edge[0], edge[1:-1], edge[-1] = 0, later + 1, len(anchor)
+        first = edge[:-1]
+        place = anchor[first]
+        yield first + at, np.diff(edge), place - first, g[place].view(np.int64)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -88,19 +91,19 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Kind:
-    """What is compared. opened: a text's token hashes, and the function from a range of tokens to its bytes; ranged: whether
-    buckets are ranges of anchors' bytes."""
+    """What is compared. opened: a text's token hashes, its bytes, and where tokens begin and end in them (None: tokens are
+    bytes); ranged: whether buckets are ranges of anchors' bytes, which takes tokens that are bytes."""
 
     width: int
     gram: int
-    opened: Callable[[str], tuple[np.ndarray, Callable[[int, int], bytes]]]
+    opened: Callable[[str], tuple[np.ndarray, bytes, np.ndarray | None, np.ndarray | None]]
     ranged: bool
 
 
 @dataclass
 class Plan:
-    """Where segments go. leads: sorted splitters, the tokens that buckets begin with; hot: hashes of anchors that
-    name no bucket."""
+    """Where segments go. leads: sorted splitters, the tokens that buckets begin with; hot: the upper 32 bits of the hashes of
+    anchors that name no bucket."""
 
     buckets: int
     leads: list[bytes] = field(default_factory=list)
@@ -124,10 +127,10 @@ def plan(docs: DataFrame, kind: Kind, hot: int = HOT, bucket: int = BUCKET) -> P
         for batch in batches:
             g, lead = [], []
             for text in batch.column(0).to_pylist():
-                tokens, cut = kind.opened(text)
+                tokens, raw, _, _ = kind.opened(text)
                 for start, _, off, hashes in segments(tokens, kind.width, kind.gram):
                     g += hashes.tolist()
-                    lead += [cut(a, a + kind.gram) if kind.ranged else None for a in (start + off).tolist()]
+                    lead += [raw[a : a + kind.gram] if kind.ranged else None for a in (start + off).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(lead, pa.binary())], ["g", "lead"])
 
     found = docs.select("text").sample(share, 7).mapInArrow(anchors, "g long, lead binary")
@@ -138,16 +141,19 @@ def plan(docs: DataFrame, kind: Kind, hot: int = HOT, bucket: int = BUCKET) -> P
     each = 1 / (share * thinned)  # anchors that one of the sample stands for
     often: dict[int, int] = {}
     for r in some:
-        often[r.g] = often.get(r.g, 0) + 1
+        often[r.g >> 32] = often.get(r.g >> 32, 0) + 1
     return Plan(buckets, splitters, frozenset(g for g, n in often.items() if n > 1 and n * each > hot))
 
 
-def pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
+_squeeze, _expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack(*values) -> bytes:
+    return _squeeze.compress(pickle.dumps(values, protocol=5))
 
 
 def unpack(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    return pickle.loads(_expand.decompress(blob))
 
 
 @dataclass
@@ -191,7 +197,7 @@ class Packed:
 
 def bundles(made: tuple, bucket: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(bucket, blob of a Packed) of the segments that :func:`gathered` made, with the occurrences flagged in ``which``."""
-    contexts, times, count, off, g, _, item, ids, th, start = made
+    contexts, times, count, off, g, item, ids, th, start = made
     item, ids, th, start = item[which], ids[which], th[which], start[which]
     by, rows = np.argsort(bucket, kind="stable"), np.argsort(bucket[item], kind="stable")
     place = np.empty(len(by), np.int64)
@@ -206,46 +212,55 @@ def bundles(made: tuple, bucket: np.ndarray, which: np.ndarray) -> Iterator[tupl
         yield int(k), pack(times[some], count[some], off[some], g[some], size, b"".join(held), place[item[r]] - a, ids[r], th[r], start[r])
 
 
+def by_window(made: tuple, hot: frozenset[int]) -> list[int]:
+    """The segments of hot anchors, each of one window."""
+    return np.flatnonzero(np.isin(made[4], np.array(sorted(hot), np.int32))).tolist() if hot else []
+
+
 def gathered(batches: Iterator[pa.RecordBatch], kind: Kind, hot: frozenset[int]) -> Iterator[tuple]:
-    """The different segments of about PACKED bytes of texts at a time.
+    """The different segments of about PACKED bytes of them at a time.
 
-    batches: id, th, text. Yields (contexts, times, count, off, g, anchors' tokens, item, id, th, start); the last four
-    tell of each occurrence. The windows of hot anchors are segments of their own.
+    batches: id, th, text. Yields (contexts, times, count, off, g, item, id, th, start); the last four tell of each
+    occurrence. The windows of hot anchors are segments of their own. Of an anchor's hash 32 bits are passed on.
     """
     seen: dict[bytes, int] = {}
-    facts: list[tuple] = []
-    rows: list[tuple] = []
-    held = 0
-
-    def out():
-        times = np.bincount(np.fromiter((r[0] for r in rows), np.int64, len(rows)), minlength=len(seen))
-        count, off, g, lead = zip(*facts)
-        item, ids, th, start = (np.array(x, np.int64) for x in zip(*rows))
-        yield list(seen), times, np.array(count), np.array(off), np.array(g, np.int64), lead, item, ids, th, start
-        seen.clear(), facts.clear(), rows.clear()
+    items: list[int] = []
+    facts: list[tuple[np.ndarray, ...]] = []
+    names: list[tuple[int, int, int]] = []
+    held, hot_hashes = 0, np.array(sorted(hot), np.int32)
+
+    def out() -> tuple:
+        start, count, off, g = (np.concatenate(x) for x in zip(*facts))
+        n, ids, th = (np.array(x, np.int64) for x in zip(*names))
+        item = np.array(items, np.int64)
+        first = np.unique(item, return_index=True)[1]
+        made = list(seen), np.bincount(item), count[first], off[first], (g[first] >> 32).astype(np.int32), item, np.repeat(ids, n), np.repeat(th, n), start
+        seen.clear(), items.clear(), facts.clear(), names.clear()
+        return made
 
     for batch in batches:
         for id_, th, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            tokens, cut = kind.opened(text)
-            for found in segments(tokens, kind.width, kind.gram):
-                for start, count, off, g in zip(*(x.tolist() for x in found)):
-                    one = g in hot
-                    for s, n, o in [(start + k, 1, off - k) for k in range(count)] if one else [(start, count, off)]:
-                        held += 40
-                        context = cut(s, s + n - 1 + kind.width)
-                        if (i := seen.get(context)) is None:
-                            i = seen[context] = len(seen)
-                            held += len(context)
-                            facts.append((n, o, g, cut(s + o, s + o + kind.gram) if kind.ranged else None))
-                        rows.append((i, id_, th, s))
-                        if held >= PACKED and one:
-                            yield from out()
-                            held = 0
-                if held >= PACKED and rows:
-                    yield from out()
-                    held = 0
-    if rows:
-        yield from out()
+            tokens, raw, begin, end = kind.opened(text)
+            for start, count, off, g in segments(tokens, kind.width, kind.gram):
+                if len(hot_hashes) and (one := np.isin((g >> 32).astype(np.int32), hot_hashes)).any():
+                    times = np.where(one, count, 1)
+                    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    start, off, g, count = np.repeat(start, times) + step, np.repeat(off, times) - step, np.repeat(g, times), np.repeat(np.where(one, 1, count), times)
+                for lo in range(0, len(start), 20_000):
+                    part = tuple(x[lo : lo + 20_000] for x in (start, count, off, g))
+                    a, b = part[0], part[0] + part[1] - 1 + kind.width
+                    if begin is not None:
+                        a, b = begin[a], end[b - 1]
+                    before = len(seen)
+                    items += [seen.setdefault(raw[x:y], len(seen)) for x, y in zip(a.tolist(), b.tolist())]
+                    facts.append(part)
+                    names.append((len(a), id_, th))
+                    held += 40 * len(a) + int((b - a).sum()) * (len(seen) - before) // len(a)
+                    if held >= PACKED:
+                        yield out()
+                        held = 0
+    if items:
+        yield out()
 
 
 def with_spans(docs: DataFrame, starts: DataFrame) -> DataFrame:

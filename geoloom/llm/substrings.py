@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import stage
-from geoloom.llm.repeats import CHUNK, HOT, Kind, Packed, bundles, gathered, keyed, pack, plan, powers, removed, runs, unpack, with_spans
+from geoloom.llm.repeats import CHUNK, HOT, Kind, Packed, bundles, by_window, gathered, keyed, pack, plan, powers, removed, runs, unpack, with_spans
 from geoloom.llm.textwords import mix, words
 
 BYTES, BYTE_GRAM = 200, 24
@@ -27,26 +27,27 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 def _by_bytes(text: str):
     raw = text.encode()
-    return _BYTE[np.frombuffer(raw, np.uint8)], lambda a, b: raw[a:b]
+    return _BYTE[np.frombuffer(raw, np.uint8)], raw, None, None
 
 
 def _by_words(text: str):
     raw = " ".join(words(text)).encode()
     if not raw:
-        return np.zeros(0, np.uint64), lambda a, b: b""
+        return np.zeros(0, np.uint64), raw, None, None
     flat = np.frombuffer(raw, np.uint8)
     blank = np.flatnonzero(flat == 32)
-    start, end = np.r_[0, blank + 1], np.r_[blank, len(raw)]
+    start, end = np.empty(len(blank) + 1, np.int64), np.empty(len(blank) + 1, np.int64)
+    start[0], start[1:], end[:-1], end[-1] = 0, blank + 1, blank, len(raw)
     # A word's hash sums its bytes' values, weighed by their places; some 256 KB of words at a time.
-    edge = np.unique(np.searchsorted(start, np.arange(0, len(raw), CHUNK)))
+    edge = np.unique(np.searchsorted(start, np.arange(0, len(raw), CHUNK))).tolist() if len(raw) > CHUNK else [0]
     out = np.empty(len(start), np.uint64)
-    for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(start)]):
+    for i, j in zip(edge, [*edge[1:], len(start)]):
         lo, hi = start[i], end[j - 1]
         up, down = powers(int(hi - lo) + 1)
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_BYTE[flat[lo:hi]] * up[:-1], out=total[1:])
         out[i:j] = mix((total[end[i:j] - lo] - total[start[i:j] - lo]) * down[start[i:j] - lo])
-    return out, lambda a, b: raw[start[a] : end[b - 1]]
+    return out, raw, start, end
 
 
 _BYTEWISE = Kind(BYTES, BYTE_GRAM, _by_bytes, True)
@@ -163,12 +164,13 @@ def byte_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitters = np.array(to.leads or [b""], f"S{kind.gram}")
         for made in gathered(batches, kind, to.hot):
-            contexts, times, count, _, g, lead, item, ids, th, start = made
+            contexts, times, count, off, _, item, ids, th, start = made
+            lead = [c[o : o + kind.gram] for c, o in zip(contexts, off.tolist())]
             bucket = np.searchsorted(splitters, np.array(lead, f"S{kind.gram}"), "right")
-            for k in np.flatnonzero(np.isin(g, list(to.hot))).tolist() if to.hot else ():
+            for k in by_window(made, to.hot):
                 bucket[k] = zlib.crc32(contexts[k]) % to.buckets
             again = times[item] > 1
-            made = (*made[:4], np.zeros(len(g), np.int32), *made[5:])  # anchors are told by their bytes
+            made = (*made[:4], np.zeros(len(contexts), np.int32), *made[5:])  # anchors are told by their bytes
             out = [(b, 0, x) for b, x in bundles(made, bucket, ~again)]
             if again.any():
                 out.append((out[0][0], 1, pack(ids[again], th[again], start[again], start[again] + count[item[again]])))
@@ -249,7 +251,7 @@ class Automaton:
         self.code: dict[str, str] = {}
         #: What was found in the shard's different segments, which are as many as a bucket is planned for.
         self.known: dict[bytes, tuple[tuple[int, int], ...]] = {}
-        self.machine, self.width, self.anchors = ahocorasick.Automaton(), width, np.array(sorted(anchors), np.int64)
+        self.machine, self.width, self.anchors = ahocorasick.Automaton(), width, np.array(sorted(anchors), np.int32)
         for s in _coded([p.encode() for p in passages], self.code, True):
             self.machine.add_word(s, len(s))
         if len(self.machine):
@@ -258,7 +260,10 @@ class Automaton:
     def locate(self, found: Packed) -> np.ndarray:
         """Whether each window of each segment is in a passage, one flag after the other; other anchors have no passage."""
         hit, base = np.zeros(int(found.count.sum()), bool), np.cumsum(found.count) - found.count
-        some = np.flatnonzero(np.isin(found.g, self.anchors)).tolist() if len(self.machine) else []
+        some = []
+        if len(self.machine):
+            near = self.anchors[np.minimum(np.searchsorted(self.anchors, found.g), len(self.anchors) - 1)]
+            some = np.flatnonzero(near == found.g).tolist()
         contexts = found.contexts() if some else []
         for i in some:
             if (runs_ := self.known.get(contexts[i])) is None:
@@ -294,14 +299,14 @@ def word_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     def route(made: tuple) -> np.ndarray:
         """Shards; those of hot windows, which the whole window names, come after the others."""
-        shard = (made[4].view(np.uint64) % np.uint64(shards)).astype(np.int64)
-        for k in np.flatnonzero(np.isin(made[4], list(to.hot))).tolist() if to.hot else ():
+        shard = made[4].view(np.uint32).astype(np.int64) % shards
+        for k in by_window(made, to.hot):
             shard[k] = shards + zlib.crc32(made[0][k]) % shards * SALTS
         return shard
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for made in gathered(batches, kind, to.hot):
-            yield _dealt([(b, 0, x) for b, x in bundles(made, route(made), np.zeros(len(made[6]), bool))])
+            yield _dealt([(b, 0, x) for b, x in bundles(made, route(made), np.zeros(len(made[5]), bool))])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _grouped(batches):
@@ -316,7 +321,7 @@ def word_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
             shard = route(made)
             shard = np.where(shard < shards, shard, shard + turn % SALTS)
             turn += 1
-            yield _dealt([(b, 1, x) for b, x in bundles(made, shard, np.ones(len(made[6]), bool))])
+            yield _dealt([(b, 1, x) for b, x in bundles(made, shard, np.ones(len(made[5]), bool))])
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
