@@ -189,3 +189,50 @@ def ddm_to_degrees(x: Column) -> Column:
 def ddm_to_dms(x: Column) -> Column:
     whole = F.floor(x["min"])
     return F.struct(x["deg"].alias("deg"), whole.cast("int").alias("min"), ((x["min"] - whole) * 60.0).alias("sec"), x["hemi"].alias("hemi"))
+
+
+def crs_name(point: Column) -> Column:
+    """Display name of a coordinate's reference system, null for an unknown one."""
+    return F.when(point["crs"].isin(*CRS), point["crs"])
+
+
+def height_length(point: Column) -> Column:
+    """The height in metres, whatever surface it is measured from."""
+    return point["height_m"]
+
+
+def approx_map(a: Column, then) -> Column:
+    """Another value with the same error bound."""
+    return F.struct(then(a["value"]).alias("value"), a["max_error_m"].alias("max_error_m"))
+
+
+def raw_source(raw: Column, sure: Num) -> Column:
+    """Where an observation came from: STRUCT<raw, confidence, axis_order, notes>; null for a confidence outside [0, 1]."""
+    source = F.struct(
+        raw.alias("raw"), c(sure).alias("confidence"), F.lit(None).cast("string").alias("axis_order"), F.array().cast("array<string>").alias("notes")
+    )
+    return checked(source, c(sure).between(0, 1))
+
+
+def ddm(deg: Num, minutes: Num, hemi: Column) -> Column:
+    """Degrees and decimal minutes; null for minutes of 60 or more, or past the axis's range."""
+    top = F.when(hemi.isin("N", "S"), F.lit(90.0)).otherwise(F.lit(180.0))
+    ok = (c(minutes) < 60) & (c(minutes) >= 0) & (c(deg) >= 0) & (c(deg) + c(minutes) / 60 <= top) & hemi.isin("N", "S", "E", "W")
+    return checked(F.struct(c(deg).cast("int").alias("deg"), c(minutes).alias("min"), hemi.alias("hemi")), ok)
+
+
+def datum_point(point: Column, crs: str) -> Column:
+    """STRUCT<lat, lon> of a coordinate of that datum, without its height; null where the datum is another."""
+    return F.when(point["crs"] == crs, F.struct(point["lat"].alias("lat"), point["lon"].alias("lon")))
+
+
+def from_datum_point(p: Column, crs: str) -> Column:
+    return coordinate(p["lat"], p["lon"], crs)
+
+
+def finite_struct(ok: Column | None = None, **fields: Column) -> Column:
+    """A struct of finite doubles; null where one is not finite, or where ``ok`` is false."""
+    good = F.lit(True) if ok is None else ok
+    for v in fields.values():
+        good = good & finite(v)
+    return F.when(good, F.struct(*[(v.cast("double") + 0.0).alias(k) for k, v in fields.items()]))

@@ -47,6 +47,12 @@ def _sines(table: list[list[float]], eps: np.ndarray, angle: np.ndarray) -> np.n
     return sum(_poly(row, eps) * np.sin(2 * (k + 1) * angle) for k, row in enumerate(table))
 
 
+def _turned(degrees: np.ndarray) -> np.ndarray:
+    """Degrees in [0, 360)."""
+    x = degrees % 360.0
+    return np.where(x >= 360.0 - 1e-12, 0.0, x)
+
+
 class Geodesic:
     """Direct and inverse problems on one ellipsoid; arguments and results are arrays in degrees and metres."""
 
@@ -97,7 +103,7 @@ class Geodesic:
         lam1, lam2 = self._longitude(sin_a0, eps, sigma1, turn(omega1, sigma1)), self._longitude(sin_a0, eps, sigma2, turn(omega2, sigma2))
         lat2 = np.degrees(np.arctan2(np.sin(beta2), (1 - self.f) * np.cos(beta2)))
         lon2 = (lon + np.degrees(lam2 - lam1) + 180.0) % 360.0 - 180.0
-        return lat2, lon2, np.degrees(np.arctan2(sin_a0, cos_a0 * np.cos(sigma2))) % 360.0
+        return lat2, lon2, _turned(np.degrees(np.arctan2(sin_a0, cos_a0 * np.cos(sigma2))))
 
     def _hybrid(self, b1, b2, alpha1, order: bool):
         """From reduced latitudes (b1 <= 0, |b2| <= -b1) and a first azimuth: the longitude reached and, by its
@@ -188,8 +194,7 @@ class Geodesic:
         a1, a2 = np.where(turned, np.pi - a1, a1), np.where(turned, np.pi - a2, a2)
         s = np.where((lat1 == lat2) & (lam12 == 0), 0.0, s)
         same = s == 0
-        out = lambda x: np.where(same, 0.0, np.degrees(x) * east) % 360.0
-        return s, out(a1), out(a2)
+        return s, *(_turned(np.where(same, 0.0, np.degrees(x) * east)) for x in (a1, a2))
 
 
 @lru_cache(maxsize=8)
@@ -201,13 +206,18 @@ def _numpy(*columns: pd.Series) -> list[np.ndarray]:
     return [x.to_numpy(dtype=float, na_value=np.nan) for x in columns]
 
 
+def _known(out: pd.DataFrame, ok: np.ndarray) -> pd.DataFrame:
+    """``out`` with null in the rows that are not ``ok``."""
+    return out.where(np.repeat(np.asarray(ok)[:, None], out.shape[1], axis=1))
+
+
 def inverse(lat1: Num, lon1: Num, lat2: Num, lon2: Num, crs: str = WGS84) -> Column:
     """STRUCT<distance_m, initial_deg, final_deg>; nulls give nulls."""
 
     @F.pandas_udf("distance_m double, initial_deg double, final_deg double")
     def run(a: pd.Series, b: pd.Series, p: pd.Series, q: pd.Series) -> pd.DataFrame:
         s, x, y = solver(crs).inverse(*_numpy(a, b, p, q))
-        return pd.DataFrame({"distance_m": s, "initial_deg": x, "final_deg": y}).where(~np.isnan(s)[:, None], None)
+        return _known(pd.DataFrame({"distance_m": s, "initial_deg": x, "final_deg": y}), ~np.isnan(s))
 
     return run(c(lat1), c(lon1), c(lat2), c(lon2))
 
@@ -228,17 +238,177 @@ def destination(lat: Num, lon: Num, bearing_deg: Num, meters: Num, crs: str = WG
 
 
 def intermediate(lat1: Num, lon1: Num, lat2: Num, lon2: Num, fraction: Num, crs: str = WGS84) -> Column:
-    """STRUCT<lat, lon> at a fraction of the geodesic; null for a fraction outside [0, 1]."""
+    """STRUCT<lat, lon> at a fraction of the geodesic; both null for a fraction outside [0, 1]."""
 
     @F.pandas_udf("lat double, lon double")
     def run(a: pd.Series, b: pd.Series, p: pd.Series, q: pd.Series, f: pd.Series) -> pd.DataFrame:
         a, b, p, q, f = _numpy(a, b, p, q, f)
         s, azimuth, _ = solver(crs).inverse(a, b, p, q)
         x, y, _ = solver(crs).direct(a, b, azimuth, s * f)
-        return pd.DataFrame({"lat": x, "lon": y}).where(((f >= 0) & (f <= 1))[:, None], None)
+        return _known(pd.DataFrame({"lat": x, "lon": y}), (f >= 0) & (f <= 1))
 
     return run(c(lat1), c(lon1), c(lat2), c(lon2), c(fraction))
 
 
 def midpoint(lat1: Num, lon1: Num, lat2: Num, lon2: Num, crs: str = WGS84) -> Column:
     return intermediate(lat1, lon1, lat2, lon2, 0.5, crs)
+
+
+def farthest(lat: Num, lon: Num, points: Column, crs: str = WGS84) -> Column:
+    """Metres from a centre to the farthest of an array of STRUCT<lat, lon>; null for no points."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series, ends: pd.Series) -> pd.Series:
+        own = [[] if e is None else list(e) for e in ends]
+        n = np.array([len(e) for e in own])
+        flat = np.array([(p["lat"], p["lon"]) for e in own for p in e], float).reshape(-1, 2)
+        a, b = _numpy(a, b)
+        out = np.full(len(n), np.nan)
+        if len(flat):
+            s, _, _ = solver(crs).inverse(np.repeat(a, n), np.repeat(b, n), flat[:, 0], flat[:, 1])
+            some = n > 0
+            out[some] = np.maximum.reduceat(s, (np.cumsum(n) - n)[some])
+        return pd.Series(out)
+
+    return run(c(lat), c(lon), points)
+
+
+def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    p, l = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(p) * np.cos(l), np.cos(p) * np.sin(l), np.sin(p)], axis=-1)
+
+
+def _heading(lat: np.ndarray, lon: np.ndarray, azimuth: np.ndarray) -> np.ndarray:
+    p, l, t = np.radians(lat), np.radians(lon), np.radians(azimuth)
+    north = np.stack([-np.sin(p) * np.cos(l), -np.sin(p) * np.sin(l), np.cos(p)], axis=-1)
+    east = np.stack([-np.sin(l), np.cos(l), np.zeros_like(l)], axis=-1)
+    return north * np.cos(t)[..., None] + east * np.sin(t)[..., None]
+
+
+def track_foot(g: Geodesic, lat, lon, lat1, lon1, lat2, lon2, steps: int = 100):
+    """Signed metres across a path (positive to its right) and along it from its start to the foot of a point.
+
+    The foot moves along the path by what a sphere of the path's mean radius makes of the point's distance and direction, until it
+    stands still; the ellipsoid's small flattening shrinks each move. NaN for a path of one point.
+    """
+    length, azimuth, _ = g.inverse(lat1, lon1, lat2, lon2)
+    radius, along = (2 * g.a + g.b) / 3, np.zeros_like(length)
+    for _ in range(steps):
+        y, x, heading = g.direct(lat1, lon1, azimuth, along)
+        away, toward, _ = g.inverse(y, x, lat, lon)
+        angle = np.radians(toward - heading)
+        move = radius * np.arctan2(np.cos(angle) * np.sin(away / radius), np.cos(away / radius))
+        along = along + move
+        if np.all(~(np.abs(move) > 1e-6)):
+            break
+    nowhere = length == 0
+    across = away * np.where(np.sin(angle) < 0, -1.0, 1.0)
+    return np.where(nowhere, np.nan, across), np.where(nowhere, np.nan, along)
+
+
+def track_offset(lat: Num, lon: Num, lat1: Num, lon1: Num, lat2: Num, lon2: Num, crs: str = WGS84) -> Column:
+    """STRUCT<cross_m, along_m> of a point beside the geodesic through two others; both null for a path of one point."""
+
+    @F.pandas_udf("cross_m double, along_m double")
+    def run(a: pd.Series, b: pd.Series, p: pd.Series, q: pd.Series, r: pd.Series, s: pd.Series) -> pd.DataFrame:
+        cross, along = track_foot(solver(crs), *_numpy(a, b, p, q, r, s))
+        return _known(pd.DataFrame({"cross_m": cross, "along_m": along}), ~np.isnan(cross))
+
+    return run(*map(c, (lat, lon, lat1, lon1, lat2, lon2)))
+
+
+def cross_track(lat: Num, lon: Num, lat1: Num, lon1: Num, lat2: Num, lon2: Num, crs: str = WGS84) -> Column:
+    return track_offset(lat, lon, lat1, lon1, lat2, lon2, crs)["cross_m"]
+
+
+def along_track(lat: Num, lon: Num, lat1: Num, lon1: Num, lat2: Num, lon2: Num, crs: str = WGS84) -> Column:
+    return track_offset(lat, lon, lat1, lon1, lat2, lon2, crs)["along_m"]
+
+
+def crossings(g: Geodesic, lat1, lon1, bearing1, lat2, lon2, bearing2, steps: int = 50):
+    """(kind, lat, lon) of two geodesics' crossing ahead of both starts; kind 0 crossing, 1 one geodesic, 2 none ahead.
+
+    Seeded on the sphere; at each step both feet move to where great circles through them, under the headings there, cross.
+    """
+    apart, toward, arrive = g.inverse(lat1, lon1, lat2, lon2)
+    flat = lambda x: np.abs((x + 90.0) % 180.0 - 90.0)
+    same = np.where(apart == 0, flat(bearing1 - bearing2) < 1e-9, (flat(toward - bearing1) < 1e-9) & (flat(arrive - bearing2) < 1e-9))
+    radius = (2 * g.a + g.b) / 3
+    s1, s2 = np.zeros_like(apart), np.zeros_like(apart)
+    ahead = np.ones(len(apart), bool)
+    for k in range(steps):
+        y1, x1, h1 = g.direct(lat1, lon1, bearing1, s1)
+        y2, x2, h2 = g.direct(lat2, lon2, bearing2, s2)
+        u1, u2, t1, t2 = _unit(y1, x1), _unit(y2, x2), _heading(y1, x1, h1), _heading(y2, x2, h2)
+        cross = np.cross(np.cross(u1, t1), np.cross(u2, t2))
+        with np.errstate(all="ignore"):
+            cross = cross / np.linalg.norm(cross, axis=1, keepdims=True)
+        dot = lambda a, b: (a * b).sum(axis=1)
+        side = dot(cross, t1) if k == 0 else dot(cross, u1)  # first the one ahead, then the one at hand
+        cross = cross * np.where(side < 0, -1.0, 1.0)[:, None]
+        m1, m2 = (radius * np.arctan2(dot(cross, t), dot(cross, u)) for t, u in ((t1, u1), (t2, u2)))
+        s1, s2 = s1 + m1, s2 + m2
+        if np.all(~(np.maximum(np.abs(m1), np.abs(m2)) > 1e-6) | same):
+            break
+    ahead = (s1 >= -1e-6) & (s2 >= -1e-6)
+    y, x, _ = g.direct(lat1, lon1, bearing1, s1)
+    kind = np.where(same, 1, np.where(ahead, 0, 2))
+    return kind, np.where(kind == 0, y, np.nan), np.where(kind == 0, x, np.nan)
+
+
+def intersection(lat1: Num, lon1: Num, bearing1: Num, lat2: Num, lon2: Num, bearing2: Num, crs: str = WGS84) -> Column:
+    """STRUCT<kind, lat, lon>: Crossing, SameGeodesic or NoForwardCrossing of two geodesics from their starts."""
+
+    @F.pandas_udf("kind string, lat double, lon double")
+    def run(a: pd.Series, b: pd.Series, p: pd.Series, q: pd.Series, r: pd.Series, s: pd.Series) -> pd.DataFrame:
+        given = _numpy(a, b, p, q, r, s)
+        kind, lat, lon = crossings(solver(crs), *given)
+        known = ~np.isnan(np.sum(given, axis=0))
+        names = np.array(["Crossing", "SameGeodesic", "NoForwardCrossing"], object)[kind]
+        return _known(pd.DataFrame({"kind": names, "lat": lat, "lon": lon}), known)
+
+    return run(*map(c, (lat1, lon1, bearing1, lat2, lon2, bearing2)))
+
+
+#: Degrees added to grown boxes against rounding.
+MARGIN_DEG = 1e-9
+
+
+def grown(g: Geodesic, south, west, north, east, meters, steps: int = 60):
+    """Edges of boxes grown by a distance: every point within it of the box is inside.
+
+    Within reach of a pole a box has all longitudes. The farthest longitude lies off the edge next to a pole, at a bearing that is
+    searched for.
+    """
+    up, _, _ = g.direct(north, 0.0, 0.0, meters)
+    down, _, _ = g.direct(south, 0.0, 180.0, meters)
+    to_north, to_south = g.inverse(north, 0.0, 90.0, 0.0)[0] <= meters, g.inverse(south, 0.0, -90.0, 0.0)[0] <= meters
+    polar = np.maximum(np.abs(north), np.abs(south))
+    low, high = np.zeros_like(polar), np.full_like(polar, 180.0)
+    reach = lambda bearing: g.direct(polar, 0.0, bearing, meters)[1]
+    for _ in range(steps):
+        third = (high - low) / 3
+        less = reach(low + third) < reach(high - third)
+        low, high = np.where(less, low + third, low), np.where(less, high, high - third)
+    wide = reach(low) + MARGIN_DEG
+    span = np.where(west > east, east - west + 360.0, east - west)
+    whole = to_north | to_south | (span + 2 * wide >= 360.0)
+    wrap = lambda x: (x + 180.0) % 360.0 - 180.0
+    out = (
+        np.where(to_south, -90.0, np.maximum(down - MARGIN_DEG, -90.0)), np.where(whole, -180.0, wrap(west - wide)),
+        np.where(to_north, 90.0, np.minimum(up + MARGIN_DEG, 90.0)), np.where(whole, 180.0, wrap(east + wide)),
+    )
+    return tuple(np.where(meters == 0, old, new) for old, new in zip((south, west, north, east), out))
+
+
+def box_expand(b: Column, meters: Num, crs: str = WGS84) -> Column:
+    """A box grown by a geodesic distance on every side; null for a negative or infinite one."""
+
+    @F.pandas_udf("south double, west double, north double, east double")
+    def run(s: pd.Series, w: pd.Series, n: pd.Series, e: pd.Series, m: pd.Series) -> pd.DataFrame:
+        given = _numpy(s, w, n, e, m)
+        ok = np.isfinite(np.sum(given, axis=0)) & (given[4] >= 0)
+        edges = grown(solver(crs), *(np.where(ok, x, 0.0) for x in given))
+        return _known(pd.DataFrame(dict(zip(("south", "west", "north", "east"), edges))), ok)
+
+    return run(b["south"], b["west"], b["north"], b["east"], c(meters))

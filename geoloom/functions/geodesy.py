@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import isfinite, pi
 from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from geoloom.functions.core import NAD27, PULKOVO, TOKYO, WGS84, Num, c, let, normalize_degrees, wrap_longitude
+from geoloom.functions.core import NAD27, PULKOVO, TOKYO, WGS84, Num, c, finite, finite_struct, let, normalize_degrees, wrap_longitude
 
 #: Mean radius of the sphere in metres.
 SPHERE_M = 6371008.8
@@ -50,6 +50,26 @@ def haversine(lat1: Num, lon1: Num, lat2: Num, lon2: Num) -> Column:
     return F.atan2(F.sqrt(h), F.sqrt(F.lit(1.0) - h)) * (2.0 * SPHERE_M)
 
 
+def near_distance(lat1: Num, lon1: Num, lat2: Num, lon2: Num, crs: str = WGS84) -> Column:
+    """Metres on the ellipsoid by Lambert's formula, which errs by less than a hundred-thousandth over a grid cell."""
+    e = ELLIPSOIDS[crs]
+    beta = lambda lat: F.atan(F.tan(F.radians(c(lat))) * (1.0 - e.f))
+
+    def arc(b: Column) -> Column:
+        dp, dl = F.sin((b["q"] - b["p"]) / 2.0), F.sin(b["l"] / 2.0)
+        h = F.least(F.greatest(dp * dp + F.cos(b["p"]) * F.cos(b["q"]) * dl * dl, F.lit(0.0)), F.lit(1.0))
+        return let(F.struct(((b["p"] + b["q"]) / 2.0).alias("mean"), ((b["q"] - b["p"]) / 2.0).alias("half"), (F.atan2(F.sqrt(h), F.sqrt(F.lit(1.0) - h)) * 2.0).alias("s")), flat)
+
+    def flat(v: Column) -> Column:
+        sp, cp, sq, cq = (f(v[k]) * f(v[k]) for k in ("mean", "half") for f in (F.sin, F.cos))
+        near, far = F.sin(v["s"] / 2.0), F.cos(v["s"] / 2.0)
+        x = (v["s"] - F.sin(v["s"])) * sp * cq / (far * far)
+        y = (v["s"] + F.sin(v["s"])) * cp * sq / (near * near)
+        return F.when(v["s"] == 0, 0.0).otherwise((v["s"] - (x + y) * (e.f / 2.0)) * e.a)
+
+    return let(F.struct(beta(lat1).alias("p"), beta(lat2).alias("q"), F.radians(c(lon2) - c(lon1)).alias("l")), arc)
+
+
 def initial_bearing_spherical(lat1: Num, lon1: Num, lat2: Num, lon2: Num) -> Column:
     p1, p2, dl = F.radians(c(lat1)), F.radians(c(lat2)), F.radians(c(lon2) - c(lon1))
     return normalize_degrees(F.degrees(F.atan2(F.sin(dl) * F.cos(p2), F.cos(p1) * F.sin(p2) - F.sin(p1) * F.cos(p2) * F.cos(dl))))
@@ -266,3 +286,107 @@ def box_span(b: Column) -> Column:
 
 def box_center(b: Column) -> Column:
     return F.struct((b["south"] + (b["north"] - b["south"]) / 2.0).alias("lat"), wrap_longitude(b["west"] + box_span(b) / 2.0).alias("lon"))
+
+
+def ecef(x_m: Num, y_m: Num, z_m: Num) -> Column:
+    """Earth-centred metres; null where one is not finite."""
+    return finite_struct(x_m=c(x_m), y_m=c(y_m), z_m=c(z_m))
+
+
+def enu(east_m: Num, north_m: Num, up_m: Num) -> Column:
+    return finite_struct(east_m=c(east_m), north_m=c(north_m), up_m=c(up_m))
+
+
+def ned(north_m: Num, east_m: Num, down_m: Num) -> Column:
+    return finite_struct(north_m=c(north_m), east_m=c(east_m), down_m=c(down_m))
+
+
+def aer(azimuth_deg: Num, elevation_deg: Num, range_m: Num) -> Column:
+    """Azimuth brought to [0, 360); null for an elevation past the zenith, a negative range or a value that is not finite."""
+    ok = c(elevation_deg).between(-90, 90) & (c(range_m) >= 0) & finite(azimuth_deg)
+    return finite_struct(ok, azimuth_deg=normalize_degrees(azimuth_deg), elevation_deg=c(elevation_deg), range_m=c(range_m))
+
+
+def to_ned(lat: Num, lon: Num, height_m: Num, lat0: Num, lon0: Num, height0_m: Num, crs: str = WGS84) -> Column:
+    return let(to_enu(lat, lon, height_m, lat0, lon0, height0_m, crs), enu_to_ned)
+
+
+def from_ned(ned: Column, lat0: Num, lon0: Num, height0_m: Num, crs: str = WGS84) -> Column:
+    return from_enu(ned_to_enu(ned), lat0, lon0, height0_m, crs)
+
+
+def ned_to_aer(ned: Column) -> Column:
+    return enu_to_aer(ned_to_enu(ned))
+
+
+def aer_to_ned(aer: Column) -> Column:
+    return let(aer_to_enu(aer), enu_to_ned)
+
+
+def to_aer(lat: Num, lon: Num, height_m: Num, lat0: Num, lon0: Num, height0_m: Num, crs: str = WGS84) -> Column:
+    return let(to_enu(lat, lon, height_m, lat0, lon0, height0_m, crs), enu_to_aer)
+
+
+def from_aer(aer: Column, lat0: Num, lon0: Num, height0_m: Num, crs: str = WGS84) -> Column:
+    return let(aer_to_enu(aer), lambda e: from_enu(e, lat0, lon0, height0_m, crs))
+
+
+class DatumTransform(NamedTuple):
+    """A seven-parameter shift between two datums that have ellipsoids, with the accuracy that is claimed for it."""
+
+    from_crs: str
+    to_crs: str
+    shift: Helmert
+    accuracy_m: float | None = None
+
+    @classmethod
+    def checked(cls, from_crs: str, to_crs: str, shift: Helmert, accuracy_m: float | None = None) -> DatumTransform:
+        if from_crs == to_crs or not {from_crs, to_crs} <= set(ELLIPSOIDS):
+            raise ValueError((from_crs, to_crs))
+        if not all(isfinite(v) for v in shift) or (accuracy_m is not None and not (isfinite(accuracy_m) and accuracy_m >= 0)):
+            raise ValueError("parameters must be finite and the accuracy not negative")
+        return cls(from_crs, to_crs, shift, accuracy_m)
+
+    @classmethod
+    def to_wgs84(cls, datum: str) -> DatumTransform | None:
+        """The catalogued shift of a datum; none for others."""
+        return cls(datum, WGS84, Helmert(*SHIFTS[datum])) if datum in SHIFTS else None
+
+    def reverse(self) -> DatumTransform:
+        return DatumTransform(self.to_crs, self.from_crs, self.shift.inverse_first_order(), self.accuracy_m)
+
+    def apply(self, lat: Num, lon: Num, height_m: Num | None = None) -> Column:
+        """(lat, lon, height_m) in the other datum; without a height the result has none either."""
+        flat = F.lit(None).cast("double") if height_m is None else c(height_m)
+        moved = helmert(to_ecef(lat, lon, F.coalesce(flat, F.lit(0.0)), self.from_crs), self.shift)
+        there = let(moved, lambda e: from_ecef(e["x_m"], e["y_m"], e["z_m"], self.to_crs))
+        return let(there, lambda g: F.struct(g["lat"].alias("lat"), g["lon"].alias("lon"), F.when(flat.isNotNull(), g["height_m"]).alias("height_m")))
+
+
+def box_crosses_antimeridian(b: Column) -> Column:
+    return b["west"] > b["east"]
+
+
+def box_union(a: Column, b: Column) -> Column:
+    """The smallest box over two boxes, the shorter way round; of ways equally long the one from the first box's west.
+
+    A box that is one pole has no longitudes of its own.
+    """
+    pole = lambda x: (x["south"] == x["north"]) & (F.abs(x["south"]) == 90.0)
+    # Going east from a west edge, how far the other box reaches.
+    reach = lambda x, y: F.greatest(box_span(x), F.pmod(y["west"] - x["west"], F.lit(360.0)) + box_span(y))
+    arc = lambda w, e: F.struct(w.alias("west"), e.alias("east"))
+
+    def joined(way: Column) -> Column:
+        first = way["a"] <= way["b"]
+        start, span = F.when(first, a["west"]).otherwise(b["west"]), F.least(way["a"], way["b"])
+        own = F.when(first, F.when(span == box_span(a), a["east"]).otherwise(b["east"])).otherwise(F.when(span == box_span(b), b["east"]).otherwise(a["east"]))
+        return F.when(span >= 360.0, arc(F.lit(-180.0), F.lit(180.0))).otherwise(arc(start, own))
+
+    arcs = (
+        F.when(pole(a) & pole(b), arc(F.lit(0.0), F.lit(0.0)))
+        .when(pole(a), arc(b["west"], b["east"]))
+        .when(pole(b), arc(a["west"], a["east"]))
+        .otherwise(let(F.struct(reach(a, b).alias("a"), reach(b, a).alias("b")), joined))
+    )
+    return let(arcs, lambda r: F.struct(F.least(a["south"], b["south"]).alias("south"), r["west"].alias("west"), F.greatest(a["north"], b["north"]).alias("north"), r["east"].alias("east")))

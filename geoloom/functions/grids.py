@@ -152,30 +152,34 @@ def utm(lat: Num, lon: Num, zone: Column | None = None, crs: str = WGS84) -> Col
     return F.when(zone.isNotNull(), let(let(F.struct(t.alias("t"), dl.alias("dl")), project), place))
 
 
-def utm_inverse(u: Column, crs: str = WGS84) -> Column:
-    """(lat, lon) of a UTM struct; the latitude from its conformal one by Newton's method, four steps."""
+def latitude_of_conformal(target: Column, crs: str = WGS84) -> Column:
+    """Degrees of latitude whose conformal latitude has that tangent, by Newton's method, four steps."""
     e = ELLIPSOIDS[crs]
-    radius, _, beta = kruger(crs)
     ecc = e.e2**0.5
-    y = F.when(u["hemi"] == "N", u["northing_m"]).otherwise(u["northing_m"] - 10000000.0) / (0.9996 * radius)
-    x = (u["easting_m"] - 500000.0) / (0.9996 * radius)
-    xi, eta = y, x
-    for k, b in enumerate(beta, 1):
-        xi = xi - F.sin(y * (2 * k)) * F.cosh(x * (2 * k)) * b
-        eta = eta - F.cos(y * (2 * k)) * F.sinh(x * (2 * k)) * b
-    target = F.sin(xi) / F.hypot(F.sinh(eta), F.cos(xi))
     start = target / (1.0 - e.e2)
 
     def step(t: Column, _: Column) -> Column:
         root = F.sqrt(t * t + 1.0)
         sigma = F.sinh(F.atanh(t / root * ecc) * ecc)
         at = t * F.sqrt(sigma * sigma + 1.0) - sigma * root
-        slope = (t * t * (1.0 - e.e2) + 1.0) / (F.sqrt(at * at + 1.0) * root * (1.0 - e.e2))
+        slope = (t * t * (1.0 - e.e2) + 1.0) / (root * (1.0 - e.e2))
         return t + (target - at) / F.sqrt(at * at + 1.0) * slope
 
-    t = F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, step)
+    return F.degrees(F.atan(F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, step)))
+
+
+def utm_inverse(u: Column, crs: str = WGS84) -> Column:
+    """(lat, lon) of a UTM struct; the latitude from its conformal one by Newton's method, four steps."""
+    radius, _, beta = kruger(crs)
+    y = F.when(u["hemi"] == "N", u["northing_m"]).otherwise(u["northing_m"] - 10000000.0) / (0.9996 * radius)
+    x = (u["easting_m"] - 500000.0) / (0.9996 * radius)
+    xi, eta = y, x
+    for k, b in enumerate(beta, 1):
+        xi = xi - F.sin(y * (2 * k)) * F.cosh(x * (2 * k)) * b
+        eta = eta - F.cos(y * (2 * k)) * F.sinh(x * (2 * k)) * b
+    target = F.sin(xi) / F.hypot(F.sinh(eta), F.cos(xi))
     return F.struct(
-        F.degrees(F.atan(t)).alias("lat"), wrap_longitude(F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (u["zone"] * 6 - 183)).alias("lon")
+        latitude_of_conformal(target, crs).alias("lat"), wrap_longitude(F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (u["zone"] * 6 - 183)).alias("lon")
     )
 
 
@@ -194,7 +198,7 @@ BANDS, COLUMNS, ROWS = "CDEFGHJKLMNPQRSTUVWX", ("ABCDEFGH", "JKLMNPQR", "STUVWXY
 
 
 def mgrs(lat: Num, lon: Num, digits: int = 5) -> Column:
-    """MGRS reference with 0 to 5 digits for each axis, cut and not rounded; null outside the UTM area [-80, 84)."""
+    """MGRS reference with 0 to 5 digits for each axis, cut and not rounded; beyond [-80, 84) in the polar letters."""
     if not 0 <= digits <= 5:
         raise ValueError(digits)
     band = F.least(F.floor((c(lat) + 80.0) / 8.0), F.lit(19))
@@ -207,7 +211,9 @@ def mgrs(lat: Num, lon: Num, digits: int = 5) -> Column:
         part = lambda v: F.lpad(F.floor(v % 100000 / 10 ** (5 - digits)).cast("string"), digits, "0")
         return F.concat(F.lpad(u["zone"].cast("string"), 2, "0"), _digit(BANDS, band), column, row, *([part(e), part(n)] if digits else []))
 
-    return F.when((c(lat) >= -80) & (c(lat) < 84), let(utm(lat, lon), code))
+    from geoloom.functions.codes import mgrs_polar
+
+    return F.when((c(lat) >= -80) & (c(lat) < 84), let(utm(lat, lon), code)).when(c(lat).between(-90, 90), mgrs_polar(lat, lon, digits))
 
 
 # Place on the Hilbert curve of the quarters (0,0), (0,1), (1,0), (1,1) in each of four orientations, and how

@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from geoloom.functions.core import Num, c, wrap_longitude
+from geoloom.functions.core import Num, c, finite_struct, wrap_longitude
 
 #: Radius of the projection, the latitude at the edge of its square, and the deepest tile zoom.
 RADIUS, MAX_LAT, MAX_ZOOM = 6378137.0, 85.05112877980659, 30
@@ -127,9 +127,36 @@ def viewport_bounds(lat: Num, lon: Num, zoom: Num, width_px: float, height_px: f
 
 
 def abbreviated(count: Column) -> Column:
-    """A count as a map label: 999, 1.2k, 12k."""
+    """A count as a map label: 999, 1k, 1.2k, 12k."""
+    tenth = F.round(count / 100.0).cast("bigint")
+    below = F.when(tenth % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("."), (tenth % 10).cast("string")))
     return (
         F.when(count < 1000, count.cast("string"))
-        .when(count < 10_000, F.concat(F.format_string("%.1f", F.round(count / 1000.0, 1)), F.lit("k")))
+        .when(count < 10_000, F.concat(F.floor(tenth / 10).cast("string"), below, F.lit("k")))
         .otherwise(F.concat(F.round(count / 1000.0).cast("bigint").cast("string"), F.lit("k")))
     )
+
+
+def mercator_point(x_m: Num, y_m: Num) -> Column:
+    """Projected metres; null where one is not finite or lies off the projection's square."""
+    edge = pi * RADIUS * (1 + 1e-12)
+    return finite_struct((F.abs(c(x_m)) <= edge) & (F.abs(c(y_m)) <= edge), x_m=c(x_m), y_m=c(y_m))
+
+
+def tile_at(z: Column | int, x: Num, y: Num) -> Column:
+    """A tile; null for a zoom over 30 or coordinates off its grid."""
+    z = z if isinstance(z, Column) else F.lit(z)
+    n = F.pow(F.lit(2.0), z)
+    ok = z.between(0, MAX_ZOOM) & (c(x) >= 0) & (c(x) < n) & (c(y) >= 0) & (c(y) < n)
+    return F.when(ok, F.struct(z.alias("z"), c(x).cast("bigint").alias("x"), c(y).cast("bigint").alias("y")))
+
+
+def viewport(width_px: Num, height_px: Num, tile_px: Num = 512.0) -> Column:
+    """A view's size; null unless all three are finite and positive."""
+    return finite_struct((c(width_px) > 0) & (c(height_px) > 0) & (c(tile_px) > 0), width_px=c(width_px), height_px=c(height_px), tile_px=c(tile_px))
+
+
+def camera(lat: Num, lon: Num, zoom: Num) -> Column:
+    """A centre and a zoom of 0 to 30; else null."""
+    ok = c(lat).between(-90, 90) & c(lon).between(-180, 180) & c(zoom).between(0, MAX_ZOOM)
+    return finite_struct(ok, lat=c(lat), lon=c(lon), zoom=c(zoom))

@@ -87,3 +87,22 @@ def dense_number(rows: DataFrame, order: str, name: str, width: int = 100_000) -
     starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
     nth = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1
     return rows.withColumn("_nth", nth).join(starts, "_part").withColumn(name, F.col("_start") + F.col("_nth")).drop("_part", "_nth", "_start")
+
+
+def summarize(points: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:
+    """Each group's size, centroid with its bound, box and earliest member: keys, n, lat, lon, max_error_m, south, west, north, east, first_idx.
+
+    points: keys, idx, lat, lon. Rows without a key (noise) are left out.
+    """
+    known = points
+    for k in keys:
+        known = known.where(F.col(k).isNotNull())
+    first = known.groupBy(*keys).agg(F.min(idx).alias("first_idx"))
+    return centroid_agg(known, keys).join(bounds_agg(known, keys), keys).join(first, keys)
+
+
+def cluster_record(members: Column, lat: Column, lon: Column, max_error_m: Column) -> Column:
+    """STRUCT<members, lat, lon, max_error_m>; null unless the members are ascending, different and at least one."""
+    rising = F.forall(F.sequence(F.lit(0), F.size(members) - 2), lambda i: F.get(members, i) < F.get(members, i + 1))
+    ok = (F.size(members) == 1) | ((F.size(members) > 1) & rising)
+    return F.when(ok, F.struct(members.alias("members"), lat.alias("lat"), lon.alias("lon"), max_error_m.alias("max_error_m")))

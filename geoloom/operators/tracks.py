@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoloom.functions.geodesy import SPHERE_M, haversine, unit_vector
+from geoloom.functions.core import let
+from geoloom.functions.geodesy import SPHERE_M, along_track_spherical, cross_track_spherical, haversine, unit_vector
 
 
 def _us(x: Column) -> Column:
@@ -36,8 +37,9 @@ def asof_locate(tracks: DataFrame, events: DataFrame, max_gap_s: float = 1800.0,
 
     tracks: track_id, ts, lat, lon with distinct times; events: event_id, track_id, ts. An exact instant matches; between
     two fixes no more than ``max_gap_s`` apart the position lies on the great circle; else the nearer side is held if it is
-    within ``max_hold_s``, the earlier of equals; else the position is null. Both inputs are united and looked at in one
-    window ordered by time, so a track is shuffled once. Time is compared in whole microseconds.
+    within ``max_hold_s``, the earlier of equals; else the position is null. Both inputs are united and looked at in a
+    window ordered by time and one ordered against it, so a track is shuffled once and each row looked at once a window. Time is
+    compared in whole microseconds.
     """
     fixes = tracks.select("track_id", _us(F.col("ts")).alias("t"), F.struct(_us(F.col("ts")).alias("t"), "lat", "lon").alias("fix"), F.lit(None).cast("bigint").alias("event_id"))
     asked = events.select("track_id", (_us(F.col("ts")) + offset_ms * 1000).alias("t"), F.lit(None).cast("struct<t:bigint,lat:double,lon:double>").alias("fix"), "event_id")
@@ -45,7 +47,7 @@ def asof_locate(tracks: DataFrame, events: DataFrame, max_gap_s: float = 1800.0,
     both = (
         fixes.unionByName(asked)
         .withColumn("a", F.last("fix", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0)))
-        .withColumn("b", F.first("fix", ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing)))
+        .withColumn("b", F.last("fix", ignorenulls=True).over(W.partitionBy("track_id").orderBy(F.col("t").desc()).rangeBetween(W.unboundedPreceding, 0)))
         .where("event_id IS NOT NULL")
     )
     a, b, t = F.col("a"), F.col("b"), F.col("t")
@@ -64,13 +66,18 @@ def asof_locate(tracks: DataFrame, events: DataFrame, max_gap_s: float = 1800.0,
 
 def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, fraction: Column) -> Column:
     """(lat, lon) at a fraction of the great circle between two points; the first one where they are the same."""
-    a, b = unit_vector(lat1, lon1), unit_vector(lat2, lon2)
-    arc = haversine(lat1, lon1, lat2, lon2) / SPHERE_M
-    p, q = F.sin(arc * (F.lit(1.0) - fraction)) / F.sin(arc), F.sin(arc * fraction) / F.sin(arc)
-    x, y, z = (u * p + v * q for u, v in zip(a, b))
-    return F.when(arc < 1e-15, F.struct(lat1.alias("lat"), lon1.alias("lon"))).otherwise(
-        F.struct(F.degrees(F.atan2(z, F.hypot(x, y))).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"))
-    )
+
+    def weighed(g: Column) -> Column:
+        part = lambda share: F.sin(g["arc"] * share) / F.sin(g["arc"])
+        return let(F.struct(part(F.lit(1.0) - g["share"]).alias("p"), part(g["share"]).alias("q")), lambda w: let(vector(w), point))
+
+    def vector(w: Column) -> Column:
+        a, b = unit_vector(lat1, lon1), unit_vector(lat2, lon2)
+        return F.struct(*[(u * w["p"] + v * w["q"]).alias(k) for u, v, k in zip(a, b, "xyz")])
+
+    point = lambda v: F.struct(F.degrees(F.atan2(v["z"], F.hypot(v["x"], v["y"]))).alias("lat"), F.degrees(F.atan2(v["y"], v["x"])).alias("lon"))
+    start = F.struct((haversine(lat1, lon1, lat2, lon2) / SPHERE_M).alias("arc"), fraction.alias("share"))
+    return let(start, lambda g: F.when(g["arc"] < 1e-15, F.struct(lat1.alias("lat"), lon1.alias("lon"))).otherwise(weighed(g)))
 
 
 def segment_trips(visits: DataFrame, gap_s: float, keys: list[str], idx: str = "idx") -> DataFrame:
@@ -128,15 +135,62 @@ def zones_strip(fixes: DataFrame, zones: DataFrame, idx: str = "idx") -> DataFra
     """Fixes outside all circular zones (zone_id, lat, lon, radius_m); the edge belongs to a zone.
 
     Zones of like size share a cell join: radii are grouped by powers of two, so that a small zone is not looked for in
-    the cells of a large one.
+    the cells of a large one. Only the powers that there are (26 at most) are joined, and zones, not fixes, are sent to neighbouring cells.
     """
     from geoloom.operators.joins import radius_join
 
-    sized = zones.withColumn("_power", F.ceil(F.log2(F.greatest("radius_m", F.lit(1.0)))).cast("int"))
-    inside = None
-    for power in range(0, 26):
-        some = sized.where(F.col("_power") == power) if power < 25 else sized.where(F.col("_power") >= power)
-        met = radius_join(fixes, some, float(2**power), idx, "zone_id").join(some.select(F.col("zone_id").alias("pid"), "radius_m"), "pid")
-        hit = met.where("distance_m <= radius_m").select(F.col("qid").alias(idx))
-        inside = hit if inside is None else inside.unionByName(hit)
+    sized = zones.withColumn("_power", F.least(F.ceil(F.log2(F.greatest("radius_m", F.lit(1.0)))), F.lit(25)).cast("int"))
+    inside = fixes.select(idx).limit(0)
+    for power in sorted(r[0] for r in sized.select("_power").where("_power IS NOT NULL").distinct().collect()):
+        some = sized.where(F.col("_power") == power)
+        met = radius_join(some, fixes, float(2**power), "zone_id", idx).join(some.select(F.col("zone_id").alias("qid"), "radius_m"), "qid")
+        inside = inside.unionByName(met.where("distance_m <= radius_m").select(F.col("pid").alias(idx)))
     return fixes.join(inside, idx, "left_anti")
+
+
+def zones_apply(fixes: DataFrame, zones: DataFrame, precision, idx: str = "idx") -> DataFrame:
+    """``fixes`` (idx, lat, lon, kind, horizontal_m and others) with those inside a zone moved to their cell's middle.
+
+    zones: circles as for :func:`zones_strip`. Fixes outside all zones stay as they are; inside any, position, error kind and size
+    follow :func:`geoloom.functions.privacy.coarsen_fix`. A column ``source`` names the cell, null outside.
+    """
+    from geoloom.functions.privacy import coarsen_fix
+
+    outside = zones_strip(fixes, zones, idx).select(idx, F.lit(True).alias("_out"))
+    moved = fixes.join(outside, idx, "left").withColumn("_at", F.when(F.col("_out").isNull(), coarsen_fix("lat", "lon", F.col("kind"), "horizontal_m", precision)))
+    inside = F.col("_at").isNotNull()
+    for k in ("lat", "lon", "kind", "horizontal_m"):
+        moved = moved.withColumn(k, F.when(inside, F.col(f"_at.{k}")).otherwise(F.col(k)))
+    return moved.withColumn("source", F.col("_at.source")).drop("_out", "_at")
+
+
+def estimate_offset(track: DataFrame, references: DataFrame) -> DataFrame:
+    """Median of how much later than a clock says a track passes the places of reference photos: track_id, offset_ms, n.
+
+    track: track_id, ts, lat, lon; references: track_id, ts, lat, lon, few for each track (they are broadcast to its segments by an
+    equi-join). A reference is passed where its track comes nearest: at a fix or beside a segment, by great circles; of equally near
+    passes the one nearer to the photo's time. Each reference looks at all of its track's segments.
+    """
+    w = W.partitionBy("track_id").orderBy("t")
+    fixes = track.select("track_id", _us(F.col("ts")).alias("t"), "lat", "lon")
+    legs = fixes.select("*", *[F.lead(k).over(w).alias(f"{k}2") for k in ("t", "lat", "lon")])
+    asked = references.select("track_id", F.monotonically_increasing_id().alias("ref"), _us(F.col("ts")).alias("at"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
+    along = along_track_spherical("rlat", "rlon", "lat", "lon", "lat2", "lon2")
+    length = haversine("lat", "lon", "lat2", "lon2")
+    own = F.struct(haversine("rlat", "rlon", "lat", "lon").alias("m"), F.col("t").cast("double").alias("t"))
+    beside = F.when(
+        (along > 0) & (along < length),
+        F.struct(F.abs(cross_track_spherical("rlat", "rlon", "lat", "lon", "lat2", "lon2")).alias("m"), (F.col("t") + (F.col("t2") - F.col("t")) * (along / length)).alias("t")),
+    )
+    passes = asked.join(legs, "track_id").select("track_id", "ref", "at", F.explode(F.array_compact(F.array(own, beside))).alias("p"))
+    best = passes.groupBy("track_id", "ref", "at").agg(F.min(F.struct(F.round("p.m", 3).alias("m"), F.abs(F.col("p.t") - F.col("at")).alias("apart"), F.col("p.t").alias("t"))).alias("b"))
+    late = (F.col("b.t") - F.col("at")) / 1000.0
+    return best.groupBy("track_id").agg(F.round(F.percentile(late, F.lit(0.5))).cast("bigint").alias("offset_ms"), F.count("*").alias("n"))
+
+
+def points_with_cells(points: DataFrame, meters: float) -> DataFrame:
+    """Points with the cells that radius joins meet on (cx, cy, cz), to be kept as a table bucketed or sorted by them."""
+    from geoloom.operators.joins import _cell, _chord
+
+    x, y, z = _cell(unit_vector(F.col("lat"), F.col("lon")), _chord(meters) * (1 + 1e-9) + 1e-12)
+    return points.select("*", x.alias("cx"), y.alias("cy"), z.alias("cz"))

@@ -561,3 +561,6 @@ def text_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     p = spread(spark, sf_dir).select("event_id", parse_text(written).alias("p"))
     return p.select("event_id", _r(F.col("p.lat"), 6).alias("lat"), _r(F.col("p.lon"), 6).alias("lon"), "p.confidence")
+
+
+from geoloom.plans import exchange, measures  # noqa: E402, F401

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions.grids import geohash
+from geoloom.operators.tables import shared_root
 
 
 def windowed_cells(fixes: DataFrame, length: int, width: str = "1 hour", delay: str = "1 hour", ts: str = "ts") -> DataFrame:
@@ -30,11 +30,7 @@ def windowed_cells(fixes: DataFrame, length: int, width: str = "1 hour", delay:
 def arrived(stream: DataFrame) -> DataFrame:
     """Run an append-mode stream over all that has arrived, into Parquet in the shared folder, and return that table."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="geoloom-stream-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{path}/rows")
