@@ -13,7 +13,10 @@ from geoloom.operators.tracks import estimate_offset, points_with_cells, zones_a
 from geoloom.plans.queries import PLACES, SPREAD, TOWN, _geohash_sql, _hav, _places, _r, query, spread, town
 from geoloom.sources import capture, detect, interchange
 
-_E = F.col("event_id")
+
+def _e() -> Column:
+    return F.col("event_id")
+
 
 
 def _s(name: str) -> Column:
@@ -43,31 +46,31 @@ _HEIGHT = "CAST(event_id % 900 AS DOUBLE) + 0.5"
 def geojson_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a feature or a collection of geometries; one in seven has a position of one number."""
     p = spread(spark, sf_dir)
-    one = F.concat(F.lit("["), _s("lon"), F.when(_E % 7 != 0, F.concat(F.lit(","), _s("lat"), F.lit(","), (_E % 900 + 0.5).cast("double").cast("string"))).otherwise(""), F.lit("]"))
+    one = F.concat(F.lit("["), _s("lon"), F.when(_e() % 7 != 0, F.concat(F.lit(","), _s("lat"), F.lit(","), (_e() % 900 + 0.5).cast("double").cast("string"))).otherwise(""), F.lit("]"))
     two = F.concat(F.lit("["), (-F.col("lon")).cast("string"), F.lit(","), (F.col("lat") / 2).cast("string"), F.lit("]"))
     line = F.concat(F.lit('{"type":"Feature","geometry":{"type":"LineString","coordinates":['), one, F.lit(", "), two, F.lit(']},"properties":{"a":[1,2]}}'))
     both = F.concat(F.lit('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":'), one, F.lit('},{"coordinates":[[['), two, F.lit(']]],"type":"MultiPolygon"}]}'))
-    return _positions(p, interchange.parse_geojson(F.when(_E % 2 == 0, line).otherwise(both)))
+    return _positions(p, interchange.parse_geojson(F.when(_e() % 2 == 0, line).otherwise(both)))
 
 
 @query(_positions_sql("event_id % 7 = 0", "Syntax", "lat/2", _HEIGHT, "ellipsoidal"))
 def wkt_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a collection or a line; one in seven lacks its last bracket."""
-    high = (_E % 900 + 0.5).cast("double").cast("string")
+    high = (_e() % 900 + 0.5).cast("double").cast("string")
     one, two = F.concat_ws(" ", _s("lon"), _s("lat"), high), F.concat_ws(" ", (-F.col("lon")).cast("string"), (F.col("lat") / 2).cast("string"))
     whole = F.concat(F.lit("GEOMETRYCOLLECTION (POINT Z ("), one, F.lit("), point empty, MULTIPOLYGON ((("), two, F.lit("))))"))
     other = F.concat(F.lit("GeometryCollection(LINESTRING("), one, F.lit("), MULTIPOINT(("), two, F.lit(")))"))
-    made = F.when(_E % 2 == 0, whole).otherwise(other)
-    return _positions(spread(spark, sf_dir), interchange.parse_wkt(F.when(_E % 7 == 0, F.left(made, F.length(made) - 1)).otherwise(made)))
+    made = F.when(_e() % 2 == 0, whole).otherwise(other)
+    return _positions(spread(spark, sf_dir), interchange.parse_wkt(F.when(_e() % 7 == 0, F.left(made, F.length(made) - 1)).otherwise(made)))
 
 
 @query(_positions_sql("event_id % 7 = 0", "OutOfRange", "lat/2", _HEIGHT, "orthometric", "12.5::DOUBLE", "epoch_us(ts)"))
 def gpx_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a waypoint, written after a track point with a time and a dilution; one in seven lies off the globe."""
-    high = (_E % 900 + 0.5).cast("double").cast("string")
+    high = (_e() % 900 + 0.5).cast("double").cast("string")
     when = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     track = F.concat(F.lit('<trk><trkseg><trkpt lat="'), (F.col("lat") / 2).cast("string"), F.lit('" lon="'), (-F.col("lon")).cast("string"), F.lit('"><time>'), when, F.lit("</time><hdop>2.5</hdop></trkpt></trkseg></trk>"))
-    lat = F.when(_E % 7 == 0, F.lit("91")).otherwise(_s("lat"))
+    lat = F.when(_e() % 7 == 0, F.lit("91")).otherwise(_s("lat"))
     point = F.concat(F.lit('<wpt lat="'), lat, F.lit('" lon="'), _s("lon"), F.lit('"><ele>'), high, F.lit("</ele></wpt>"))
     return _positions(spread(spark, sf_dir), interchange.parse_gpx(F.concat(F.lit('<gpx xmlns="http://www.topografix.com/GPX/1/1" version="1.1">'), track, point, F.lit("</gpx>"))))
 
@@ -75,8 +78,8 @@ def gpx_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_positions_sql("event_id % 7 = 0", "Syntax", "lat/2", _HEIGHT, "orthometric"))
 def kml_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a placemark in a folder, then a line; one in seven has a point without a position."""
-    at = F.concat_ws(",", _s("lon"), _s("lat"), (_E % 900 + 0.5).cast("double").cast("string"))
-    point = F.concat(F.lit("<Placemark><Point><coordinates>"), F.when(_E % 7 == 0, "").otherwise(at), F.lit("</coordinates></Point></Placemark>"))
+    at = F.concat_ws(",", _s("lon"), _s("lat"), (_e() % 900 + 0.5).cast("double").cast("string"))
+    point = F.concat(F.lit("<Placemark><Point><coordinates>"), F.when(_e() % 7 == 0, "").otherwise(at), F.lit("</coordinates></Point></Placemark>"))
     line = F.concat(F.lit("<Placemark><MultiGeometry><LineString><coordinates> "), F.concat_ws(",", (-F.col("lon")).cast("string"), (F.col("lat") / 2).cast("string")), F.lit("\n</coordinates></LineString></MultiGeometry></Placemark>"))
     return _positions(spread(spark, sf_dir), interchange.parse_kml(F.concat(F.lit('<kml xmlns="http://www.opengis.net/kml/2.2"><Document><Folder>'), point, F.lit("</Folder>"), line, F.lit("</Document></kml>"))))
 
@@ -108,9 +111,9 @@ def exif_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ts = F.col("ts").cast("timestamp")
     gps = F.struct(
-        F.when(_E % 11 != 0, axis("lat")).alias("latitude"), F.when(F.col("lat") < 0, "S").otherwise("n ").alias("latitude_ref"), axis("lon").alias("longitude"),
-        F.when(F.col("lon") < 0, "W\0").otherwise("E").alias("longitude_ref"), num(_E % 900, 10).alias("altitude"), F.when(_E % 5 == 4, 9).otherwise(_E % 5).cast("int").alias("altitude_ref"),
-        F.when(_E % 3 == 0, "TOKYO").alias("map_datum"), num(F.lit(36), 1).alias("speed"), F.lit("k").alias("speed_ref"), num(_E % 360, 1).alias("img_direction"), F.lit("T").alias("img_direction_ref"),
+        F.when(_e() % 11 != 0, axis("lat")).alias("latitude"), F.when(F.col("lat") < 0, "S").otherwise("n ").alias("latitude_ref"), axis("lon").alias("longitude"),
+        F.when(F.col("lon") < 0, "W\0").otherwise("E").alias("longitude_ref"), num(_e() % 900, 10).alias("altitude"), F.when(_e() % 5 == 4, 9).otherwise(_e() % 5).cast("int").alias("altitude_ref"),
+        F.when(_e() % 3 == 0, "TOKYO").alias("map_datum"), num(F.lit(36), 1).alias("speed"), F.lit("k").alias("speed_ref"), num(_e() % 360, 1).alias("img_direction"), F.lit("T").alias("img_direction_ref"),
         F.date_format(ts, "yyyy:MM:dd").alias("date_stamp"), F.array(*[num(f(ts), 1) for f in (F.hour, F.minute, F.second)]).alias("time_stamp"),
     )
     p = spread(spark, sf_dir).withColumn("gps", gps)
@@ -128,9 +131,9 @@ def xmp_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ts = F.col("ts").cast("timestamp")
     gps = F.struct(
-        F.when(_E % 11 != 0, axis("lat", "N", "S")).alias("latitude"), axis("lon", "E", "W").alias("longitude"), F.concat((_E % 900).cast("string"), F.lit("/10")).alias("altitude"),
-        F.when(_E % 5 == 4, "above").otherwise((_E % 5).cast("string")).alias("altitude_ref"), F.when(_E % 3 == 0, "Tokyo").alias("map_datum"), F.lit("36").alias("speed"), F.lit("K").alias("speed_ref"),
-        (_E % 360).cast("string").alias("img_direction"), F.lit("t").alias("img_direction_ref"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time_stamp"),
+        F.when(_e() % 11 != 0, axis("lat", "N", "S")).alias("latitude"), axis("lon", "E", "W").alias("longitude"), F.concat((_e() % 900).cast("string"), F.lit("/10")).alias("altitude"),
+        F.when(_e() % 5 == 4, "above").otherwise((_e() % 5).cast("string")).alias("altitude_ref"), F.when(_e() % 3 == 0, "Tokyo").alias("map_datum"), F.lit("36").alias("speed"), F.lit("K").alias("speed_ref"),
+        (_e() % 360).cast("string").alias("img_direction"), F.lit("t").alias("img_direction_ref"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time_stamp"),
     )
     p = spread(spark, sf_dir).withColumn("gps", gps)
     return _captured(p, capture.from_xmp(F.col("gps"), p.schema["gps"].dataType))
@@ -259,7 +262,7 @@ def cluster_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SPREAD} SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'geo_uri' WHEN 1 THEN 'plus_code' WHEN 2 THEN 'mgrs' ELSE 'text' END AS how, TRUE AS near, CASE WHEN event_id % 4 < 3 THEN 1.0::DOUBLE WHEN abs(lon) > 90 THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM spread""")
 def detected_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event written in one of four ways, and read without being told which."""
-    turn = _E % 4
+    turn = _e() % 4
     from geoloom.functions.grids import mgrs, plus_code
 
     written = F.when(turn == 0, F.concat(F.lit("geo:"), _s("lat"), F.lit(","), _s("lon"))).when(turn == 1, plus_code("lat", "lon", 11)).when(turn == 2, mgrs("lat", "lon", 5)).otherwise(text.format_dd("lat", "lon", 6))
@@ -277,13 +280,13 @@ def checked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = [
         core.ddm(F.floor(size), (size - F.floor(size)) * 60.0, hemi), core.datum_point(core.gcj02("lat", "lon"), core.GCJ02), core.raw_source(hemi, 0.5), core.crs_name(core.bd09("lat", "lon")),
         geodesy.ecef("lat", "lon", "lat"), geodesy.enu("lat", "lon", "lat"), geodesy.ned("lat", "lon", "lat"), geodesy.aer("lon", "lat", 5.0), mercator.camera("lat", "lon", 3.0), mercator.viewport(800.0, 600.0),
-        mercator.mercator_point("lon", "lat"), mercator.tile_at(3, _E % 8, 0.0), core.from_datum_point(core.datum_point(core.wgs84("lat", "lon"), core.WGS84), core.WGS84),
+        mercator.mercator_point("lon", "lat"), mercator.tile_at(3, _e() % 8, 0.0), core.from_datum_point(core.datum_point(core.wgs84("lat", "lon"), core.WGS84), core.WGS84),
         core.height_length(core.with_height(core.wgs84("lat", "lon"), 3.0, "ellipsoidal")), core.approx_map(core.approx(F.col("lat"), 2.0), lambda v: v * 2.0)["max_error_m"], codes.h3_cell_id(F.lit(0x8928308280FFFFF).cast("bigint")),
         capture.north_bearing(F.abs(F.col("lon")), F.lit("m")),
     ]
     bad = [
         core.ddm(F.floor(size), F.lit(60.0), hemi), core.datum_point(core.gcj02("lat", "lon"), core.BD09), core.raw_source(hemi, 1.5), geodesy.ecef("lat", F.lit(float("nan")), "lat"), geodesy.aer("lon", 91.0, 5.0), geodesy.aer("lon", "lat", -5.0),
-        mercator.camera("lat", "lon", 31.0), mercator.viewport(0.0, 600.0), mercator.mercator_point(big, "lat"), mercator.tile_at(3, 8.0, 0.0), codes.h3_cell_id(F.lit(0x8928308280FFFF0).cast("bigint")), codes.h3_cell_id(_E), capture.north_bearing(F.lit(360.0), F.lit("T")),
+        mercator.camera("lat", "lon", 31.0), mercator.viewport(0.0, 600.0), mercator.mercator_point(big, "lat"), mercator.tile_at(3, 8.0, 0.0), codes.h3_cell_id(F.lit(0x8928308280FFFF0).cast("bigint")), codes.h3_cell_id(_e()), capture.north_bearing(F.lit(360.0), F.lit("T")),
     ]
     all_ = lambda xs, f: F.forall(F.array(*[f(x) for x in xs]), lambda b: b)
     cells = points_with_cells(p, 400_000.0)

@@ -5,10 +5,10 @@ Where an operator has no short SQL, its inverse is run on its result and the SQL
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.functions import china, codes, core, geodesic, geodesy, grids, privacy, rhumb
+from geoloom.functions import china, codes, core, geodesic, geodesy, grids, mercator, privacy, rhumb, text
 from geoloom.plans.queries import CHINA, SPREAD, _ECEF, _geohash_sql, _r, in_china, query, spread
 
 #: A bearing and a distance for every event, off the values where a line is a meridian.
@@ -267,3 +267,71 @@ def coarsened(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", _r(F.col("x.lat"), 7).alias("lat"), _r(F.col("x.lon"), 7).alias("lon"), "x.source", "x.kind", _r(F.col("x.horizontal_m") - F.col("c.max_error_m"), 6).alias("own_m"),
         F.startswith(F.col("s.source"), F.lit("privacy:s2:")).alias("in_s2"),
     )
+
+
+@query(f"""WITH {SPREAD} SELECT event_id, lat + 0.0::DOUBLE AS lat, lon + 0.0::DOUBLE AS lon, 'GCJ-02' AS crs, CAST(event_id % 9000 AS DOUBLE) AS height_m, abs(lat) <= 0.000001 AND abs(lon) <= 0.000001 AS null_island, 2.5::DOUBLE AS error_m, CASE WHEN lat < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sign,
+ round(lat, 9) + 0.0::DOUBLE AS back, round(lon, 9) + 0.0::DOUBLE AS ddm_back, round(abs(lat)*3 + 7, 6) AS meters, epoch_us(ts) AS ts_us, 'Cep50' AS kind, TRUE AS refused FROM spread""")
+def core_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates, heights, bounds, angles and observations made of every event's values, and refused out of range."""
+    p = spread(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    point = core.with_height(core.gcj02("lat", "lon"), (F.col("event_id") % 9000).cast("double"), "orthometric")
+    p = p.withColumn("f", core.fix(point, core.accuracy("Cep50", 3.0), F.col("ts"))).withColumn("d", core.dms_from_degrees("lat", "lat")).withColumn("m", core.ddm_from_degrees("lon", "lon"))
+    d = core.dms("d.deg", "d.min", "d.sec", F.col("d.hemi"))
+    refused = [
+        core.coordinate(F.col("lat") + 200, "lon"), core.from_lon_lat(F.lit(float("nan")), "lat"), core.wgs84(91.0, "lon"), core.bd09("lat", 180.5), core.approx(F.col("lat"), -1.0), core.accuracy("Bound", -1.0),
+        core.confidence(1.01), core.dms(10.0, 60.0, 0.0, F.lit("N")), core.with_height(point, F.lit(float("inf")), "ellipsoidal"),
+    ]
+    bad = F.forall(F.array(*[x.isNull() for x in refused]), lambda b: b)
+    meters = core.from_unit(F.abs("lat"), "m") * 3 + core.from_unit(0.01, "km") - core.to_unit(3.0, "m")
+    ends = core.ddm_to_dms(F.col("m"))
+    return p.select(
+        "event_id", "f.coord.lat", "f.coord.lon", "f.coord.crs", "f.coord.height_m", core.is_null_island("lat", "lon").alias("null_island"), core.approx(F.col("lat"), 2.5)["max_error_m"].alias("error_m"),
+        core.hemisphere_sign(F.col("d.hemi")).alias("sign"), _r(core.dms_to_degrees(d), 9).alias("back"), _r(core.ddm_to_degrees(core.dms_to_ddm(ends)), 9).alias("ddm_back"), _r(meters, 6).alias("meters"),
+        F.unix_micros("f.ts").alias("ts_us"), "f.accuracy.kind", bad.alias("refused"),
+    )
+
+
+@query(f"""WITH {SPREAD} SELECT event_id, round(lat, 7) + 0.0::DOUBLE AS lat, round(CASE WHEN lon = 180 THEN -180 ELSE lon END, 7) + 0.0::DOUBLE AS lon, round(lat, 6) + 0.0::DOUBLE AS pixel_lat, round((lon + 180)/360*512*32, 4) AS pixel_x,
+ round(least(floor((lon+180)/360*128), 127)*360/128 - 180, 7) + 0.0::DOUBLE AS tile_west, TRUE AS inside, round(lat + 1, 6) + 0.0::DOUBLE AS mid_lat FROM spread""")
+def map_roundtrips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projected metres and world pixels unprojected, and the bounds of the tile that holds each event."""
+    p = spread(spark, sf_dir).withColumn("m", mercator.web_mercator("lat", "lon")).withColumn("x", mercator.world_pixel("lat", "lon", 5.0, 512.0)).withColumn("t", mercator.tile("lat", "lon", 7))
+    p = p.withColumn("b", mercator.tile_bounds(F.col("t"))).withColumn("i", mercator.web_mercator_inverse("m.x_m", "m.y_m")).withColumn("w", mercator.world_pixel_inverse("x.x", "x.y", 5.0, 512.0))
+    middle = geodesy.box_center(geodesy.box("lat", "lon", F.col("lat") + 2, core.wrap_longitude(F.col("lon") + 4)))
+    inside = F.col("lat").between(F.col("b.south") - 1e-9, F.col("b.north") + 1e-9) & F.col("lon").between(F.col("b.west"), F.col("b.east"))
+    return p.select(
+        "event_id", _r(F.col("i.lat"), 7).alias("lat"), _r(F.col("i.lon"), 7).alias("lon"), _r(F.col("w.lat"), 6).alias("pixel_lat"), _r(F.col("x.x"), 4).alias("pixel_x"), _r(F.col("b.west"), 7).alias("tile_west"),
+        inside.alias("inside"), _r(middle["lat"], 6).alias("mid_lat"),
+    )
+
+
+@query(f"""WITH {SPREAD}, w AS (SELECT *, {_WAY} FROM spread) SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'NoForwardCrossing' WHEN event_id % 5 = 1 THEN 'SameGreatCircle' ELSE 'Crossing' END AS kind, CASE WHEN event_id % 5 > 1 THEN round(lat, 6) + 0.0::DOUBLE END AS lat FROM w""")
+def spherical_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two great circles led through the event on the sphere; in turn the first heads away from it, or both are one circle."""
+    turn = F.col("event_id") % 5
+    p = _with_way(spread(spark, sf_dir)).withColumn("other", F.when(turn == 1, F.col("bearing")).otherwise(F.col("bearing") + 20.0 + (F.col("event_id") % 141).cast("double")))
+
+    def ahead(bearing: str, meters: Column) -> Column:
+        """The point at a distance on the sphere, as STRUCT<lat, lon>."""
+        d, t, q = meters / geodesy.SPHERE_M, F.radians(F.col(bearing)), F.radians(F.col("lat"))
+        lat = F.asin(F.sin(q) * F.cos(d) + F.cos(q) * F.sin(d) * F.cos(t))
+        lon = F.col("lon") + F.degrees(F.atan2(F.sin(t) * F.sin(d) * F.cos(q), F.cos(d) - F.sin(q) * F.sin(lat)))
+        return F.struct(F.degrees(lat).alias("lat"), core.wrap_longitude(lon).alias("lon"))
+
+    p = p.withColumn("a", ahead("bearing", F.col("meters") + 50_000.0)).withColumn("b", ahead("other", F.col("meters") * 1.5 + 90_000.0))
+    to = lambda k: geodesy.initial_bearing_spherical(f"{k}.lat", f"{k}.lon", "lat", "lon")
+    p = p.withColumn("i", to("a") + F.when(turn == 0, 180.0).otherwise(0.0)).withColumn("j", to("b"))
+    p = p.withColumn("x", geodesy.intersection_spherical("a.lat", "a.lon", "i", "b.lat", "b.lon", "j"))
+    return p.select("event_id", "x.kind", _r(F.col("x.lat"), 6).alias("lat"))
+
+
+@query(f"WITH {CHINA} SELECT event_id, TRUE AS composed, TRUE AS near, FALSE AS outside, TRUE AS formatted FROM china")
+def china_compositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WGS-84 to BD-09 in one go equals both legs, the fast way back lies within its bound, and observations are written with the decimals they earn."""
+    p = in_china(spark, sf_dir).withColumn("g", china.wgs84_to_gcj02("lat", "lon")).withColumn("b", china.wgs84_to_bd09("lat", "lon")).withColumn("c", china.gcj02_to_bd09("g.lat", "g.lon"))
+    p = p.withColumn("w", china.bd09_to_wgs84_fast("b.lat", "b.lon"))
+    near = geodesy.haversine("lat", "lon", "w.lat", "w.lon") <= F.col("w.max_error_m")
+    outside = china.is_outside_china("lat", "lon") | china.is_outside_china("g.lat", "g.lon") & (F.col("lat") < 50) & (F.col("lon") < 130)
+    shown = text.format_fix(core.fix(core.coordinate("lat", "lon"), core.accuracy("OneSigma", 1000.0)))
+    formatted = (shown == text.format_dd("lat", "lon", 2)) & F.lit(text.separator_for_locale("de-AT") == ",")
+    return p.select("event_id", ((F.col("b.lat") == F.col("c.lat")) & (F.col("b.lon") == F.col("c.lon"))).alias("composed"), near.alias("near"), outside.alias("outside"), formatted.alias("formatted"))

@@ -257,11 +257,11 @@ def tiles_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", F.explode(mercator.tiles_covering("lat", "lon", "lat", east, 5)).alias("t")).select("event_id", "t.x", "t.y")
 
 
-@query(f"""WITH {SPREAD}, u AS (SELECT event_id, lon, 0.5 - ln(tan(pi()/4 + radians(least(lat+5, 84))/2))/(2*pi()) AS y0, 0.5 - ln(tan(pi()/4 + radians(lat)/2))/(2*pi()) AS y1 FROM spread WHERE lon < 170 AND lat < 79)
-SELECT event_id, round(degrees(2*atan(exp(pi()*(1-(y0+y1)))) - pi()/2), 6) + 0.0::DOUBLE AS lat, round(lon+5, 6) + 0.0::DOUBLE AS lon, round(least(log2(800.0/512.0/(10.0/360.0)), log2(600.0/512.0/(y1-y0)), 22), 6) AS zoom FROM u""")
+@query(f"""WITH {SPREAD}, u AS (SELECT event_id, lon, 0.5 - ln(tan(pi()/4 + radians(least(lat+5, 84))/2))/(2*pi()) AS y0, 0.5 - ln(tan(pi()/4 + radians(lat)/2))/(2*pi()) AS y1 FROM spread)
+SELECT event_id, round(degrees(2*atan(exp(pi()*(1-(y0+y1)))) - pi()/2), 6) + 0.0::DOUBLE AS lat, round(lon + 5 - 360*floor((lon + 185)/360), 6) + 0.0::DOUBLE AS lon, round(least(log2(800.0/512.0/(10.0/360.0)), log2(600.0/512.0/(y1-y0)), 22), 6) AS zoom FROM u""")
 def fit_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = mercator.fit_bounds("lat", "lon", F.least(F.col("lat") + 5, F.lit(84.0)), F.col("lon") + 10, 800.0, 600.0)
-    p = spread(spark, sf_dir).where("lon < 170 AND lat < 79").withColumn("v", v)
+    v = mercator.fit_bounds("lat", "lon", F.least(F.col("lat") + 5, F.lit(84.0)), core.wrap_longitude(F.col("lon") + 10), 800.0, 600.0)
+    p = spread(spark, sf_dir).withColumn("v", v)
     return p.select("event_id", *[_r(F.col(f"v.{k}"), 6).alias(k) for k in ("lat", "lon", "zoom")])
 
 
@@ -298,14 +298,14 @@ def enu_aer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def helmert_datum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokyo positions in WGS-84 and back; the iterated ECEF inverse has no short SQL, so tests hold it to goldens."""
+    """Tokyo positions in WGS-84 and back; ``tokyo_to_wgs84`` holds the way there to SQL."""
     p = spread(spark, sf_dir).withColumn("w", geodesy.shift_datum("lat", "lon", core.TOKYO)).withColumn("t", geodesy.shift_datum("w.lat", "w.lon", core.WGS84, core.TOKYO))
     return p.select("event_id", _r(F.col("w.lat"), 7).alias("lat"), _r(F.col("w.lon"), 7).alias("lon"), _r(F.col("t.lat"), 5).alias("back_lat"))
 
 
 @query()
 def utm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UTM and back; the hyperbolic series differ in the last digits between engines, so tests hold them to goldens."""
+    """UTM and back; ``utm_roundtrip`` holds the way back to the positions, ``mgrs_squares`` the series to SQL."""
     p = spread(spark, sf_dir).withColumn("u", grids.utm("lat", "lon")).withColumn("g", grids.utm_inverse(F.col("u")))
     return p.select("event_id", "u.zone", "u.hemi", _r(F.col("u.easting_m"), 2).alias("easting_m"), _r(F.col("u.northing_m"), 2).alias("northing_m"), _r(F.col("g.lat"), 7).alias("lat"))
 
@@ -438,15 +438,12 @@ def stay_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_visits(p, 150.0, 1800.0)
 
 
-@query(f"""WITH {SPREAD}, {_geohash_sql(6)} SELECT event_id, cell, round(floor((lat+90)/180*32768)*180/32768 - 90, 7) AS south, round(floor((lon+180)/360*32768)*360/32768 - 180, 7) AS west FROM h""")
+@query(f"""WITH {SPREAD}, {_geohash_sql(6)} SELECT event_id, cell, round(floor((lat+90)/180*32768)*180/32768 - 90, 7) AS south, round(least(floor((lon+180)/360*32768), 32767)*360/32768 - 180, 7) AS west FROM h""")
 def geohash_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spread(spark, sf_dir).where("lon < 180").withColumn("cell", grids.geohash("lat", "lon", 6)).withColumn("b", grids.geohash_bounds(F.col("cell")))
+    p = spread(spark, sf_dir).withColumn("cell", grids.geohash("lat", "lon", 6)).withColumn("b", grids.geohash_bounds(F.col("cell")))
     return p.select("event_id", "cell", _r(F.col("b.south"), 7).alias("south"), _r(F.col("b.west"), 7).alias("west"))
 
 
-ORACLE_SQL["geohash_decode"] += " WHERE lon < 180"
-
-
 @query(f"""WITH {SPREAD}, s AS (SELECT event_id, lat, lon, printf('%.4f', abs(lat)) AS a4, printf('%.4f', abs(lon)) AS b4 FROM spread)
 SELECT event_id, (CASE WHEN lat < 0 AND a4 <> '0.0000' THEN '-' ELSE '' END) || a4 || ', ' || (CASE WHEN lon < 0 AND b4 <> '0.0000' THEN '-' ELSE '' END) || b4 AS point,
  replace(a4, '.', ',') || (CASE WHEN lat < 0 AND a4 <> '0.0000' THEN ' S ' ELSE ' N ' END) || replace(b4, '.', ',') || (CASE WHEN lon < 0 AND b4 <> '0.0000' THEN ' W' ELSE ' E' END) AS comma FROM s""")
