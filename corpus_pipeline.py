@@ -26,8 +26,10 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return _kept(docs, quality(docs))
+    """Documents that the quality rules reject go; a verdict is one on a text, so rows that share a doc_id are judged apart."""
+    verdicts = quality(docs.select(F.xxhash64("text").alias("doc_id"), "text"))
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("kept_text")).distinct()
+    return docs.join(kept, F.xxhash64(docs["text"]) == kept["kept_text"], "left_semi")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
