@@ -18,7 +18,6 @@ def _e() -> Column:
     return F.col("event_id")
 
 
-
 def _s(name: str) -> Column:
     return F.col(name).cast("string")
 
