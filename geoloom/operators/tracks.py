@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoloom.functions.core import let
-from geoloom.functions.geodesy import SPHERE_M, along_track_spherical, cross_track_spherical, haversine, unit_vector
+from geoloom.functions.core import finite_struct, let
+from geoloom.functions.geodesy import SPHERE_M, along_track_spherical, box_contains, cross_track_spherical, haversine, unit_vector
 
 
 def _us(x: Column) -> Column:
@@ -194,3 +194,26 @@ def points_with_cells(points: DataFrame, meters: float) -> DataFrame:
 
     x, y, z = _cell(unit_vector(F.col("lat"), F.col("lon")), _chord(meters) * (1 + 1e-9) + 1e-12)
     return points.select("*", x.alias("cx"), y.alias("cy"), z.alias("cz"))
+
+
+def inside_boxes(fixes: DataFrame, boxes: DataFrame, idx: str = "idx") -> DataFrame:
+    """The ``idx`` of fixes (lat, lon) inside any box zone (south, west, north, east; west > east crosses the antimeridian), each once.
+
+    Both sides meet on cells of one degree, of which a box has 65,000 at most; a fix is in one. Edges belong to a box, a pole has every longitude.
+    """
+    at = lambda x: F.floor(x).cast("int")
+    turn = lambda x: F.pmod(x + 180, F.lit(360)) - 180
+    pole = F.lit(999)
+    box = F.struct("south", "west", "north", "east")
+    span = F.when(F.col("west") <= F.col("east"), at("east") - at("west")).otherwise(at("east") + 360 - at("west"))
+    columns = F.transform(F.sequence(F.lit(0), F.least(span, F.lit(359))), lambda k: turn(at("west") + k))
+    cells = F.flatten(F.transform(F.sequence(at("south"), at("north")), lambda r: F.transform(columns, lambda x: F.struct(r.alias("row"), x.alias("col")))))
+    tips = F.array_compact(F.array(*[F.when(F.col(edge) == deg, F.struct(F.lit(deg).alias("row"), pole.alias("col"))) for edge, deg in (("north", 90), ("south", -90))]))
+    zones = boxes.where("south <= north").select(box.alias("box"), F.explode(F.concat(cells, tips)).alias("cell")).select("box", "cell.row", "cell.col").distinct()
+    own = fixes.select(F.col(idx).alias(idx), "lat", "lon", at("lat").alias("row"), F.when(F.abs("lat") == 90.0, pole).otherwise(turn(at("lon"))).alias("col"))
+    return own.join(zones, ["row", "col"]).where(box_contains(F.col("box"), F.col("lat"), F.col("lon"))).select(idx).distinct()
+
+
+def zone_circle(lat: Column, lon: Column, radius_m: Column) -> Column:
+    """STRUCT<lat, lon, radius_m> of a circular zone; null for a place off the globe, or a negative or infinite radius."""
+    return F.when(lat.between(-90, 90) & lon.between(-180, 180), finite_struct(radius_m >= 0, lat=lat, lon=lon, radius_m=radius_m))

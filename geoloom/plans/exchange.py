@@ -9,7 +9,7 @@ from geoloom.functions import codes, core, geodesy, mercator, privacy, text
 from geoloom.operators import gazetteer, layers
 from geoloom.operators.aggregates import cluster_record, summarize
 from geoloom.operators.dbscan import dbscan
-from geoloom.operators.tracks import estimate_offset, points_with_cells, zones_apply
+from geoloom.operators.tracks import estimate_offset, inside_boxes, points_with_cells, zone_circle, zones_apply
 from geoloom.plans.queries import PLACES, SPREAD, TOWN, _geohash_sql, _hav, _places, _r, query, spread, town
 from geoloom.sources import capture, detect, interchange
 
@@ -281,12 +281,25 @@ def checked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         geodesy.ecef("lat", "lon", "lat"), geodesy.enu("lat", "lon", "lat"), geodesy.ned("lat", "lon", "lat"), geodesy.aer("lon", "lat", 5.0), mercator.camera("lat", "lon", 3.0), mercator.viewport(800.0, 600.0),
         mercator.mercator_point("lon", "lat"), mercator.tile_at(3, _e() % 8, 0.0), core.from_datum_point(core.datum_point(core.wgs84("lat", "lon"), core.WGS84), core.WGS84),
         core.height_length(core.with_height(core.wgs84("lat", "lon"), 3.0, "ellipsoidal")), core.approx_map(core.approx(F.col("lat"), 2.0), lambda v: v * 2.0)["max_error_m"], codes.h3_cell_id(F.lit(0x8928308280FFFFF).cast("bigint")),
-        capture.north_bearing(F.abs(F.col("lon")), F.lit("m")),
+        capture.north_bearing(F.abs(F.col("lon")), F.lit("m")), zone_circle(F.col("lat"), F.col("lon"), F.lit(10.0)),
     ]
     bad = [
         core.ddm(F.floor(size), F.lit(60.0), hemi), core.datum_point(core.gcj02("lat", "lon"), core.BD09), core.raw_source(hemi, 1.5), geodesy.ecef("lat", F.lit(float("nan")), "lat"), geodesy.aer("lon", 91.0, 5.0), geodesy.aer("lon", "lat", -5.0),
         mercator.camera("lat", "lon", 31.0), mercator.viewport(0.0, 600.0), mercator.mercator_point(big, "lat"), mercator.tile_at(3, 8.0, 0.0), codes.h3_cell_id(F.lit(0x8928308280FFFF0).cast("bigint")), codes.h3_cell_id(_e()), capture.north_bearing(F.lit(360.0), F.lit("T")),
+        zone_circle(F.col("lat"), F.col("lon"), F.lit(-1.0)),
     ]
     all_ = lambda xs, f: F.forall(F.array(*[f(x) for x in xs]), lambda b: b)
     cells = points_with_cells(p, 400_000.0)
     return cells.select("event_id", all_(good, lambda x: x.isNotNull()).alias("kept"), all_(bad, lambda x: x.isNull()).alias("refused"), (F.abs("cx") + F.abs("cy") + F.abs("cz") >= 15).alias("celled"))
+
+
+@query(f"""WITH {SPREAD}, {PLACES}, z AS (SELECT greatest(lat - 3, -90) AS s, lat + 3 AS n, CASE WHEN lon - 5 < -180 THEN lon + 355 ELSE lon - 5 END AS w, CASE WHEN lon + 5 > 180 THEN lon - 355 ELSE lon + 5 END AS e FROM places)
+SELECT event_id FROM spread p WHERE NOT EXISTS (SELECT 1 FROM z WHERE p.lat BETWEEN z.s AND z.n AND CASE WHEN z.w <= z.e THEN p.lon BETWEEN z.w AND z.e OR (abs(p.lon) = 180 AND -p.lon BETWEEN z.w AND z.e) ELSE p.lon >= z.w OR p.lon <= z.e END)""")
+def box_zones_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events outside all box zones, some of which cross the antimeridian."""
+    lat, lon = F.col("lat"), F.col("lon")
+    boxes = _places(spark, sf_dir).select(
+        F.greatest(lat - 3, F.lit(-90.0)).alias("south"), F.when(lon - 5 < -180, lon + 355).otherwise(lon - 5).alias("west"), (lat + 3).alias("north"), F.when(lon + 5 > 180, lon - 355).otherwise(lon + 5).alias("east")
+    )
+    p = spread(spark, sf_dir)
+    return p.join(inside_boxes(p, boxes, "event_id"), "event_id", "left_anti").select("event_id")

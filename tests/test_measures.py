@@ -166,3 +166,12 @@ def test_stay_points_by_brute_force(spark):
     frame = spark.createDataFrame(rows, "track_id long, idx long, s long, lat double, lon double").withColumn("ts", F.timestamp_seconds("s"))
     got = segment_visits(frame, 150.0, 300.0).select("track_id", F.unix_seconds("arrival"), F.unix_seconds("departure"), "n_fixes", "anchor_idx").collect()
     assert {tuple(r) for r in got} == want and want
+
+
+def test_box_zones_at_poles_and_the_antimeridian(spark):
+    from geoloom.operators.tracks import inside_boxes
+
+    boxes = spark.createDataFrame([(80.0, 10.0, 90.0, 20.0), (-5.0, 170.0, 5.0, -170.0), (20.0, 30.0, 20.0, 30.0)], "south double, west double, north double, east double")
+    at = [(90.0, -77.0), (85.0, 15.0), (85.0, 25.0), (0.0, 180.0), (0.0, -180.0), (5.0, -170.0), (5.0, 169.0), (20.0, 30.0), (-90.0, 15.0)]
+    fixes = spark.createDataFrame([(k, *p) for k, p in enumerate(at)], "idx long, lat double, lon double")
+    assert sorted(r.idx for r in inside_boxes(fixes, boxes).collect()) == [0, 1, 3, 4, 5, 7]
