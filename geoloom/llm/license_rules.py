@@ -44,7 +44,7 @@ apache-1-0 | 1 | spdx | spdx license identifier apache 1 0
 apache-1-0 | 3 | apache | (?:the )?apache(?: software)? licen[sc]e(?: version)? 1 0
 apache-2 | 1 | spdx | spdx license identifier apache 2 0
 apache-2 | 1 | apache | licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
-apache-2 | 2 | apache | (?:released|licensed|distributed|available|provided) under(?: the)?(?: terms of)?(?: the)? apache(?: software)? licen[sc]e(?: version| v)? ?(?:v?2)(?: 0)?
+apache-2 | 2 | apache | (?:released|licensed|distributed|available|provided) under(?: the)?(?: terms of)?(?: the)? apache(?: software)? licen[sc]e(?: version| v)? v?2(?: 0)?
 apache-2 | 2 | apache | (?:www )?apache org licenses license 2 0(?: txt| html)?
 apache-2 | 2 | apache | opensource org licenses apache 2 0
 apache-2 | 3 | apache | (?:the )?apache(?: software)? licen[sc]e(?: version)? v?2(?: 0)?
@@ -278,7 +278,7 @@ upl | 3 | universal | (?:the )?universal permissive licen[sc]e(?: upl)?(?: versi
 afl-3 | 1 | spdx | spdx license identifier afl 3 0
 afl-3 | 3 | academic | (?:the )?academic free licen[sc]e(?: version| v)?(?: 3 0)?
 osl-3 | 1 | spdx | spdx license identifier osl 3 0
-osl-3 | 3 | osl | (?:the )?osl(?: v)? ?3 0
+osl-3 | 3 | osl | (?:the )?osl(?: v)? v?3 0
 ms-pl | 1 | spdx | spdx license identifier ms pl
 ms-pl | 3 | microsoft | (?:the )?microsoft public licen[sc]e(?: ms pl)?
 ms-rl | 1 | spdx | spdx license identifier ms rl
