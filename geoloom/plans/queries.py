@@ -560,4 +560,4 @@ def text_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", _r(F.col("p.lat"), 6).alias("lat"), _r(F.col("p.lon"), 6).alias("lon"), "p.confidence")
 
 
-from geoloom.plans import exchange, measures  # noqa: E402, F401
+from geoloom.plans import exchange, measures, pins  # noqa: E402, F401

@@ -217,7 +217,7 @@ def test_every_rule_can_match_and_has_its_keyword(spark):
 def test_hits_are_kept_apart_by_their_places(spark):
     text = "see the GNU General Public License, version 3 or later"
     got = {(h.label, h.start, h.stop) for h in licenses.hits(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
-    assert ("gpl-3-or-later", 1, 9) in got and ("gpl-3", 1, 7) in got and ("gpl", 1, 5) in got
+    assert {("gpl-3-or-later", 1, 10), ("gpl-3", 1, 8), ("gpl", 1, 6)} <= got
     assert licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == "gpl-3-or-later"
 
 
