@@ -12,27 +12,45 @@ from geoloom.functions.core import WGS84
 from geoloom.functions.grids import geohash
 
 
+#: Longitudes are looked at in bins of a tenth of a degree, so that neither a group nor a table without keys is one task's.
+_BINS = 10
+
+
+def _met(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``a`` joined with ``b`` by ``keys``, in which null equals null; without keys ``b`` is one row, for all rows."""
+    if not keys:
+        return a.join(b, F.lit(True), how)
+    other = b.select(*[F.col(k).alias(f"_{k}_") for k in keys], *[c for c in b.columns if c not in keys])
+    on = a[keys[0]].eqNullSafe(other[f"_{keys[0]}_"])
+    for k in keys[1:]:
+        on = on & a[k].eqNullSafe(other[f"_{k}_"])
+    return a.join(other, on, how).drop(*[f"_{k}_" for k in keys])
+
+
 def bounds_agg(points: DataFrame, keys: list[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Smallest box of each group: keys, south, west, north, east.
+    """Smallest box of each group: keys, south, west, north, east. Without keys the box of all points; null keys are a group.
 
     The widest gap between neighbouring longitudes is left out; of equal gaps the one over the antimeridian wins, then
     the lowest west edge. Poles have no longitude; a group of poles alone gets the meridian 0. Rows are reduced to
-    distinct longitudes of the group before a window looks at neighbours, so no array of a group is ever built.
+    distinct longitudes; gaps within a bin are looked at bin by bin, and those between bins from the bins' first and last
+    longitudes, of which a group has 3,600.
     """
     lats = points.groupBy(*keys).agg(F.min(lat).alias("south"), F.max(lat).alias("north"))
     lons = (
-        points.where(F.abs(lat) < 90.0).select(*keys, F.when(F.col(lon) == 180.0, F.lit(-180.0)).otherwise(F.col(lon)).alias("x")).distinct()
+        points.where(F.abs(lat) < 90.0).select(*keys, F.when(F.col(lon) == 180.0, F.lit(-180.0)).otherwise(F.col(lon)).alias("x")).where("x IS NOT NULL").distinct()
     )
-    w = W.partitionBy(*keys).orderBy("x")
-    gaps = lons.withColumn("before", F.lag("x").over(w)).groupBy(*keys).agg(
-        F.min("x").alias("first"), F.max("x").alias("last"),
-        F.max(F.struct((F.col("x") - F.col("before")).alias("gap"), (-F.col("x")).alias("minus"), F.col("before").alias("east"))).alias("inner"),
-    )
+    gap = lambda x, before: F.when(before.isNotNull(), F.struct((x - before).alias("gap"), (-x).alias("minus"), before.alias("east")))
+    lons = lons.withColumn("bin", F.floor(F.col("x") * _BINS))
+    bins = lons.withColumn("g", gap(F.col("x"), F.lag("x").over(W.partitionBy(*keys, "bin").orderBy("x")))).groupBy(*keys, "bin").agg(
+        F.min("x").alias("first"), F.max("x").alias("last"), F.max("g").alias("inner")
+    )
+    between = gap(F.col("first"), F.lag("last").over(W.partitionBy(*keys).orderBy("bin")))
+    gaps = bins.withColumn("inner", F.greatest("inner", between)).groupBy(*keys).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("inner").alias("inner"))
     wraps = F.coalesce(F.col("inner.gap"), F.lit(-1.0)) <= F.col("first") + 360.0 - F.col("last")
     west = F.when(wraps, F.col("first")).otherwise(-F.col("inner.minus"))
     east = F.when(wraps, F.col("last")).otherwise(F.col("inner.east"))
     arcs = gaps.select(*keys, west.alias("west"), F.when((east == -180.0) & (west != -180.0), F.lit(180.0)).otherwise(east).alias("east"))
-    out = lats.join(arcs, keys, "left") if keys else lats.crossJoin(arcs)
+    out = _met(lats, arcs, keys, "left")
     return out.select(*keys, "south", F.coalesce("west", F.lit(0.0)).alias("west"), "north", F.coalesce("east", F.lit(0.0)).alias("east"))
 
 
@@ -45,14 +63,15 @@ def centroid_agg(points: DataFrame, keys: list[str], lat: str = "lat", lon: str
     """Normalised mean of each group's surface normals: keys, n, lat, lon, max_error_m.
 
     The bound is the largest angle from the centre times a*a/b, and a millionth of a metre. A group whose normals cancel
-    has a null centre. Sums first (combined before the shuffle), then the largest angle against the joined centre.
+    has a null centre; null keys are a group, and without keys all points are one. Sums first (combined before the
+    shuffle), then the largest angle against the joined centre.
     """
     e = ELLIPSOIDS[crs]
     x, y, z = surface_normal(F.col(lat), F.col(lon))
     sums = points.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(z).alias("sz"))
     size = F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy") + F.col("sz") * F.col("sz"))
     middle = sums.select(*keys, "n", *[F.when(size > F.col("n") * 1e-9, F.col(f"s{k}") / size).alias(f"m{k}") for k in "xyz"])
-    joined = points.select(*keys, x.alias("x"), y.alias("y"), z.alias("z")).join(middle, keys)
+    joined = _met(points.select(*keys, x.alias("x"), y.alias("y"), z.alias("z")), middle, keys)
     cx = F.col("y") * F.col("mz") - F.col("z") * F.col("my")
     cy = F.col("z") * F.col("mx") - F.col("x") * F.col("mz")
     cz = F.col("x") * F.col("my") - F.col("y") * F.col("mx")
@@ -92,13 +111,13 @@ def dense_number(rows: DataFrame, order: str, name: str, width: int = 100_000) -
 def summarize(points: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:
     """Each group's size, centroid with its bound, box and earliest member: keys, n, lat, lon, max_error_m, south, west, north, east, first_idx.
 
-    points: keys, idx, lat, lon. Rows without a key (noise) are left out.
+    points: keys, idx, lat, lon. Rows without a key (noise) are left out; without keys all rows are one group.
     """
     known = points
     for k in keys:
         known = known.where(F.col(k).isNotNull())
     first = known.groupBy(*keys).agg(F.min(idx).alias("first_idx"))
-    return centroid_agg(known, keys).join(bounds_agg(known, keys), keys).join(first, keys)
+    return _met(_met(centroid_agg(known, keys), bounds_agg(known, keys), keys), first, keys)
 
 
 def cluster_record(members: Column, lat: Column, lon: Column, max_error_m: Column) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.functions.core import finite_struct, let
 from geoloom.functions.geodesy import SPHERE_M, along_track_spherical, box_contains, cross_track_spherical, haversine, unit_vector
+from geoloom.operators.aggregates import summarize
+from geoloom.operators.tables import written
 
 
 def _us(x: Column) -> Column:
@@ -94,41 +98,115 @@ def segment_trips(visits: DataFrame, gap_s: float, keys: list[str], idx: str = "
     )
 
 
-def segment_visits(fixes: DataFrame, distance_m: float, dwell_s: float) -> DataFrame:
-    """Stay points: track_id, arrival, departure, n_fixes, anchor_idx.
+def _apart(lat1: float, lon1: float, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Metres on the mean sphere; angles in radians."""
+    h = np.clip(np.sin((lat - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat) * np.sin((lon - lon1) / 2) ** 2, 0.0, 1.0)
+    return 2 * SPHERE_M * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+
+
+def track_stretches(fixes: DataFrame, jump_m: float) -> DataFrame:
+    """``fixes`` (track_id, idx, ts, lat, lon) with ``stretch``, which changes where a track's next fix is over ``jump_m`` away, and ``mark``, ascending.
+
+    The order is that of track, time, latitude, longitude, idx. Rows are sorted into ranges, so a long track spreads over tasks; each
+    range knows its neighbour's last row, and a sum over the ranges numbers the stretches.
+    """
+    order = ["track_id", "t", "lat", "lon", "idx"]
+    timed = fixes.where("ts IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").select("track_id", "idx", "ts", _us(F.col("ts")).alias("t"), "lat", "lon")
+    rows = written(timed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mark", F.monotonically_increasing_id()))
+    part = F.shiftright("mark", 33)
+    ends = rows.groupBy(part.alias("part")).agg(F.max_by(F.struct("track_id", "lat", "lon"), "mark").alias("end"))  # a row per range
+    ends = ends.select(F.lead("part").over(W.orderBy("part")).alias("part"), F.col("end").alias("edge"))
+    inside = W.partitionBy("part").orderBy("mark")
+    rows = rows.withColumn("part", part).join(ends, "part", "left")
+    before = F.coalesce(F.lag(F.struct("track_id", "lat", "lon")).over(inside), F.col("edge"))
+    rows = rows.withColumn("before", before)
+    leap = F.col("before").isNull() | ~F.col("before.track_id").eqNullSafe(F.col("track_id")) | (haversine("before.lat", "before.lon", "lat", "lon") > jump_m)
+    rows = written(rows.select("track_id", "idx", "ts", "lat", "lon", "mark", "part", F.sum(leap.cast("long")).over(inside.rowsBetween(W.unboundedPreceding, 0)).alias("nth")))
+    sums = rows.groupBy("part").agg(F.max("nth").alias("leaps"))
+    starts = sums.select("part", F.coalesce(F.sum("leaps").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return rows.join(starts, "part").select("track_id", "idx", "ts", "lat", "lon", "mark", (F.col("start") + F.col("nth")).alias("stretch"))
+
+
+def visit_members(fixes: DataFrame, distance_m: float, dwell_s: float) -> DataFrame:
+    """The fixes of every stay point: track_id, visit (mark of its first fix), anchor_idx, idx, ts, lat, lon.
 
     fixes: track_id, idx, ts, lat, lon. In the order of time, latitude, longitude and idx a run is every fix within
     ``distance_m`` of its first one; a run that lasts ``dwell_s`` is a visit and the next begins after it, else the next
-    begins one fix later. Limits are inclusive; a fix without a time is left out. The rule restarts from its own
-    outcome, so a track is one group of the cogroup; tracks are shuffled by their id.
+    begins one fix later. Limits are inclusive; a fix without a time or position is left out; a null track is a track.
+
+    No run reaches over a leap of twice the distance, so tracks are cut there and the stretches dealt out. A stretch is streamed in
+    order: a task holds the fixes of the run that isn't yet long enough, never a stretch or a track.
+    """
+    if not (0 <= distance_m < float("inf")):
+        raise ValueError("distance_m must be finite and not negative")
+    dwell = int(dwell_s * 1_000_000)
+    cut = track_stretches(fixes, 2.0 * distance_m * (1 + 1e-9) + 1e-6)
+    kinds = {f.name: f.dataType.simpleString() for f in fixes.schema}
+
+    def stays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, anchor = None, None  # anchor: lat, lon, mark, idx of a run that is a visit already
+        held: list[tuple] = []  # fixes of the open run: t, lat, lon, mark, row
+        for b in batches:
+            taken, visit, first = [], [], []
+            names = b.column(0).to_numpy(zero_copy_only=False)
+            t, p, l, mark = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4))
+            idx, new = b.column(5).to_pylist(), []
+            for k in range(b.num_rows):
+                if names[k] != stretch:
+                    stretch, anchor, held = names[k], None, []
+                fix = (t[k], p[k], l[k], mark[k], idx[k])
+                if anchor is not None:
+                    if _apart(anchor[0], anchor[1], p[k], l[k]) <= distance_m:
+                        new.append((mark[k], anchor[2], anchor[3]))
+                        continue
+                    anchor = None
+                held.append(fix)
+                if _apart(held[0][1], held[0][2], p[k], l[k]) > distance_m:
+                    held = _reopened(held, distance_m)
+                if t[k] - held[0][0] >= dwell:
+                    anchor = (held[0][1], held[0][2], held[0][3], held[0][4])
+                    new += [(f[3], anchor[2], anchor[3]) for f in held]
+                    held = []
+            for m, v, f in new:
+                taken.append(m)
+                visit.append(v)
+                first.append(f)
+            yield pa.RecordBatch.from_arrays([pa.array(taken, pa.int64()), pa.array(visit, pa.int64()), pa.array(first, b.schema.field(5).type)], ["mark", "visit", "anchor_idx"])
+
+    dealt = cut.select("stretch", _us(F.col("ts")).alias("t"), F.radians("lat").alias("p"), F.radians("lon").alias("l"), "mark", "idx")
+    dealt = dealt.repartition("stretch").sortWithinPartitions("stretch", "mark")
+    found = dealt.mapInArrow(stays, f"mark long, visit long, anchor_idx {kinds['idx']}")
+    return cut.join(found, "mark").select("track_id", "visit", "anchor_idx", "idx", "ts", "lat", "lon")
+
+
+def _reopened(held: list[tuple], distance_m: float) -> list[tuple]:
+    """The open run once its newest fix has left its first one: from the earliest later fix that all after it are in reach of.
+
+    Runs that end among the held fixes are no visits: the one before them lasted longer and was none.
     """
+    lat, lon = np.array([f[1] for f in held]), np.array([f[2] for f in held])
+    start = 1
+    while start < len(held) and (_apart(lat[start], lon[start], lat[start:], lon[start:]) > distance_m).any():
+        start += 1
+    return held[start:]
 
-    def stays(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values(["ts", "lat", "lon", "idx"], kind="stable")
-        t = track["ts"].to_numpy("datetime64[us]").astype(np.int64)
-        p, l, idx = np.radians(track["lat"].to_numpy()), np.radians(track["lon"].to_numpy()), track["idx"].to_numpy()
-        out, i, n = [], 0, len(t)
-        while i < n:
-            j, step = i + 1, 64
-            while j < n:  # the run's end, looked for some fixes at a time
-                s = slice(j, min(n, j + step))
-                h = np.sin((p[s] - p[i]) / 2) ** 2 + np.cos(p[i]) * np.cos(p[s]) * np.sin((l[s] - l[i]) / 2) ** 2
-                h = np.clip(h, 0.0, 1.0)
-                far = np.flatnonzero(2 * SPHERE_M * np.arctan2(np.sqrt(h), np.sqrt(1 - h)) > distance_m)
-                if len(far):
-                    j += int(far[0])
-                    break
-                j, step = s.stop, step * 2
-            if t[j - 1] - t[i] >= dwell_s * 1e6:
-                out.append((track["track_id"].iloc[0], track["ts"].iloc[i], track["ts"].iloc[j - 1], j - i, idx[i]))
-                i = j
-            else:
-                i += 1
-        return pd.DataFrame(out, columns=["track_id", "arrival", "departure", "n_fixes", "anchor_idx"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in fixes.schema}
-    schema = f"track_id {kinds['track_id']}, arrival timestamp, departure timestamp, n_fixes long, anchor_idx {kinds['idx']}"
-    return fixes.select("track_id", "idx", "ts", "lat", "lon").where("ts IS NOT NULL").groupBy("track_id").applyInPandas(stays, schema)
+def segment_visits(fixes: DataFrame, distance_m: float, dwell_s: float) -> DataFrame:
+    """Stay points: track_id, arrival, departure, n_fixes, anchor_idx; see :func:`visit_members`."""
+    return (
+        visit_members(fixes, distance_m, dwell_s)
+        .groupBy("visit")
+        .agg(F.first("track_id").alias("track_id"), F.min("ts").alias("arrival"), F.max("ts").alias("departure"), F.count("*").alias("n_fixes"), F.first("anchor_idx").alias("anchor_idx"))
+        .drop("visit")
+    )
+
+
+def visit_summaries(members: DataFrame) -> DataFrame:
+    """Each visit of :func:`visit_members`: track_id, arrival, departure, n_fixes, anchor_idx, lat, lon, max_error_m (mean and bound), south,
+    west, north, east (box)."""
+    kept = written(members)
+    times = kept.groupBy("visit").agg(F.first("track_id").alias("track_id"), F.min("ts").alias("arrival"), F.max("ts").alias("departure"), F.first("anchor_idx").alias("anchor_idx"))
+    return times.join(summarize(kept, ["visit"]).withColumnRenamed("n", "n_fixes").drop("first_idx"), "visit").drop("visit")
 
 
 def zones_strip(fixes: DataFrame, zones: DataFrame, idx: str = "idx") -> DataFrame:

@@ -15,7 +15,7 @@ from geoloom.functions import china, core, geodesy, grids, mercator, text
 from geoloom.operators.aggregates import bounds_agg, bucket_by_geohash, centroid_agg
 from geoloom.operators.dbscan import dbscan
 from geoloom.operators.joins import knn_join, radius_join, reverse_lookup
-from geoloom.operators.tracks import asof_locate, segment_trips, segment_visits, zones_strip
+from geoloom.operators.tracks import asof_locate, segment_trips, segment_visits, visit_members, visit_summaries, zones_strip
 from geoloom.sources.freetext import parse_text
 from geoloom.sources.sentences import parse_geo_uri, parse_nmea
 from geoloom.streaming.cells import arrived, windowed_cells
@@ -431,11 +431,69 @@ def dbscan_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("idx", "is_core", F.col("cluster_id").isNotNull().alias("clustered"))
 
 
-@query()
+#: Where each run ends and what begins after it: a table that a recursion walks from each track's first fix.
+_VISITS = f"""{TOWN}, o AS MATERIALIZED (SELECT user_id, event_id, ts, lat, lon, row_number() OVER (PARTITION BY user_id ORDER BY ts, lat, lon, event_id) AS k FROM town),
+far AS (SELECT a.user_id, a.k, min(b.k) AS stop FROM o a JOIN o b ON a.user_id = b.user_id AND b.k > a.k AND {_hav('a.lat','a.lon','b.lat','b.lon')} > 150 GROUP BY a.user_id, a.k),
+run AS MATERIALIZED (SELECT o.user_id, o.k, o.event_id AS anchor_idx, o.ts AS arrival, e.ts AS departure, e.k + 1 AS stop, epoch_us(e.ts) - epoch_us(o.ts) >= 1800000000 AS stays
+  FROM o LEFT JOIN far USING (user_id, k) JOIN (SELECT user_id, max(k) AS n FROM o GROUP BY user_id) s ON s.user_id = o.user_id JOIN o e ON e.user_id = o.user_id AND e.k = coalesce(far.stop - 1, s.n)),
+walk AS (SELECT user_id, 1::BIGINT AS k FROM o WHERE k = 1 UNION ALL SELECT w.user_id, CASE WHEN r.stays THEN r.stop ELSE r.k + 1 END FROM walk w JOIN run r USING (user_id, k)),
+visit AS MATERIALIZED (SELECT run.* FROM walk JOIN run USING (user_id, k) WHERE stays)"""
+
+
+def _timed_town(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return town(spark, sf_dir).select(F.col("user_id").alias("track_id"), F.col("event_id").alias("idx"), F.col("ts").cast("timestamp").alias("ts"), "lat", "lon")
+
+
+@query(f"""WITH RECURSIVE {_VISITS} SELECT user_id AS track_id, epoch_us(arrival) AS arrival_us, epoch_us(departure) AS departure_us, stop - k AS n_fixes, anchor_idx FROM visit""")
 def stay_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stay points of every user; the rule restarts from its own outcome, so tests hold it to brute force."""
-    p = town(spark, sf_dir).select(F.col("user_id").alias("track_id"), F.col("event_id").alias("idx"), F.col("ts").cast("timestamp").alias("ts"), "lat", "lon")
-    return segment_visits(p, 150.0, 1800.0)
+    """Stay points of every user."""
+    v = segment_visits(_timed_town(spark, sf_dir), 150.0, 1800.0)
+    return v.select("track_id", _us("arrival").alias("arrival_us"), _us("departure").alias("departure_us"), "n_fixes", "anchor_idx")
+
+
+@query(f"""WITH RECURSIVE {_VISITS}, m AS (SELECT v.anchor_idx, o.* FROM visit v JOIN o ON o.user_id = v.user_id AND o.k >= v.k AND o.k < v.stop),
+s AS (SELECT anchor_idx, user_id, count(*) AS n, min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east, sum(cos(radians(lat))*cos(radians(lon))) AS x, sum(cos(radians(lat))*sin(radians(lon))) AS y, sum(sin(radians(lat))) AS z FROM m GROUP BY anchor_idx, user_id),
+c AS (SELECT *, x/sqrt(x*x+y*y+z*z) AS cx, y/sqrt(x*x+y*y+z*z) AS cy, z/sqrt(x*x+y*y+z*z) AS cz FROM s),
+b AS (SELECT c.anchor_idx, max(sqrt(power(cos(radians(lat))*cos(radians(lon))-cx, 2) + power(cos(radians(lat))*sin(radians(lon))-cy, 2) + power(sin(radians(lat))-cz, 2))) AS chord FROM c JOIN m USING (anchor_idx) GROUP BY c.anchor_idx)
+SELECT user_id AS track_id, anchor_idx, n AS n_fixes, floor(degrees(atan2(z, sqrt(x*x+y*y)))*1000000 + 0.31415)::BIGINT AS lat_e6, floor(degrees(atan2(y, x))*1000000 + 0.31415)::BIGINT AS lon_e6,
+ round(2*asin(chord/2)*6378137.0*6378137.0/6356752.314245179, 2) AS max_error_m, round(south, 7) + 0.0::DOUBLE AS south, round(west, 7) + 0.0::DOUBLE AS west, round(north, 7) + 0.0::DOUBLE AS north, round(east, 7) + 0.0::DOUBLE AS east FROM c JOIN b USING (anchor_idx)""")
+def visit_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members, mean position, bound and box of every stay point."""
+    v = visit_summaries(visit_members(_timed_town(spark, sf_dir), 150.0, 1800.0))
+    e6 = lambda k: F.floor(F.col(k) * 1000000 + 0.31415).alias(f"{k}_e6")
+    return v.select("track_id", "anchor_idx", "n_fixes", e6("lat"), e6("lon"), *[_r(F.col(k), d).alias(k) for k, d in (("max_error_m", 2), ("south", 7), ("west", 7), ("north", 7), ("east", 7))])
+
+
+@query(f"""WITH RECURSIVE {_VISITS} SELECT v.user_id AS track_id, v.anchor_idx, o.event_id AS idx FROM visit v JOIN o ON o.user_id = v.user_id AND o.k >= v.k AND o.k < v.stop""")
+def visit_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixes of every stay point, a row each."""
+    return visit_members(_timed_town(spark, sf_dir), 150.0, 1800.0).select("track_id", "anchor_idx", "idx")
+
+
+@query(f"""WITH {SPREAD}, k AS (SELECT CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id % 3 END AS k, lat, lon FROM spread),
+x AS (SELECT DISTINCT k, CASE WHEN lon = 180 THEN -180 ELSE lon END AS x FROM k WHERE abs(lat) < 90),
+g AS (SELECT k, x, lag(x) OVER (PARTITION BY k ORDER BY x) AS b FROM x), m AS (SELECT k, min(x) AS f, max(x) AS l, arg_max(b, (x - b, -x)) FILTER (WHERE b IS NOT NULL) AS e, arg_max(x, (x - b, -x)) FILTER (WHERE b IS NOT NULL) AS w, max(x - b) AS gap FROM g GROUP BY k),
+s AS (SELECT k, min(lat) AS south, max(lat) AS north, count(*) AS n, sum(cos(radians(lat))*cos(radians(lon))) AS vx, sum(cos(radians(lat))*sin(radians(lon))) AS vy, sum(sin(radians(lat))) AS vz FROM k GROUP BY k)
+SELECT s.k, n, round(south, 7) + 0.0::DOUBLE AS south, round(north, 7) + 0.0::DOUBLE AS north, round(CASE WHEN coalesce(gap, -1) <= f + 360 - l THEN f ELSE w END, 7) + 0.0::DOUBLE AS west, round(CASE WHEN coalesce(gap, -1) <= f + 360 - l THEN l ELSE e END, 7) + 0.0::DOUBLE AS east,
+ round(degrees(atan2(vz, sqrt(vx*vx+vy*vy))), 6) + 0.0::DOUBLE AS lat, round(degrees(atan2(vy, vx)), 6) + 0.0::DOUBLE AS lon FROM s JOIN m ON s.k IS NOT DISTINCT FROM m.k""")
+def boxes_of_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes and centres of groups of which one has no key and a third of all rows."""
+    p = spread(spark, sf_dir).select(F.when(F.col("event_id") % 3 != 0, F.col("user_id") % 3).alias("k"), "lat", "lon")
+    r = lambda k, d: _r(F.col(k), d).alias(k)
+    both = bounds_agg(p, ["k"]).withColumnRenamed("k", "b").join(centroid_agg(p, ["k"]), F.col("b").eqNullSafe(F.col("k")))
+    return both.select("k", "n", r("south", 7), r("north", 7), r("west", 7), r("east", 7), r("lat", 6), r("lon", 6))
+
+
+@query(f"""WITH {SPREAD}, x AS (SELECT DISTINCT CASE WHEN lon = 180 THEN -180 ELSE lon END AS x FROM spread), g AS (SELECT x, lag(x) OVER (ORDER BY x) AS b FROM x),
+m AS (SELECT min(x) AS f, max(x) AS l, arg_max(b, (x - b, -x)) FILTER (WHERE b IS NOT NULL) AS e, arg_max(x, (x - b, -x)) FILTER (WHERE b IS NOT NULL) AS w, max(x - b) AS gap FROM g),
+s AS (SELECT count(*) AS n, min(lat) AS south, max(lat) AS north, sum(cos(radians(lat))*cos(radians(lon))) AS vx, sum(cos(radians(lat))*sin(radians(lon))) AS vy, sum(sin(radians(lat))) AS vz FROM spread)
+SELECT n, round(south, 7) + 0.0::DOUBLE AS south, round(north, 7) + 0.0::DOUBLE AS north, round(CASE WHEN gap <= f + 360 - l THEN f ELSE w END, 7) + 0.0::DOUBLE AS west, round(CASE WHEN gap <= f + 360 - l THEN l ELSE e END, 7) + 0.0::DOUBLE AS east,
+ round(degrees(atan2(vz, sqrt(vx*vx+vy*vy))), 6) + 0.0::DOUBLE AS lat, round(degrees(atan2(vy, vx)), 6) + 0.0::DOUBLE AS lon FROM s, m""")
+def box_of_everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box and centre of the whole table, without a key."""
+    p = spread(spark, sf_dir)
+    r = lambda k, d: _r(F.col(k), d).alias(k)
+    return bounds_agg(p, []).join(centroid_agg(p, []), F.lit(True)).select("n", r("south", 7), r("north", 7), r("west", 7), r("east", 7), r("lat", 6), r("lon", 6))
 
 
 @query(f"""WITH {SPREAD}, {_geohash_sql(6)} SELECT event_id, cell, round(floor((lat+90)/180*32768)*180/32768 - 90, 7) AS south, round(least(floor((lon+180)/360*32768), 32767)*360/32768 - 180, 7) AS west FROM h""")
