@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from geoloom.functions import geodesic
 from geoloom.functions.core import finite_struct, let
 from geoloom.functions.geodesy import SPHERE_M, along_track_spherical, box_contains, cross_track_spherical, haversine, unit_vector
 from geoloom.operators.aggregates import summarize
@@ -36,24 +37,45 @@ def clean_track(fixes: DataFrame, track: str = "track_id", ts: str = "ts", idx:
     )
 
 
-def asof_locate(tracks: DataFrame, events: DataFrame, max_gap_s: float = 1800.0, max_hold_s: float = 0.0, offset_ms: int = 0) -> DataFrame:
-    """Place events on tracks by time: event_id, lat, lon, how (matched, interpolated, held or null).
+def _beside(fixes: DataFrame, asked: DataFrame, chunk_s: float) -> DataFrame:
+    """``asked`` (track_id, t, any others) with the track's last fix up to t as ``a`` and its first one from t on as ``b``.
 
-    tracks: track_id, ts, lat, lon with distinct times; events: event_id, track_id, ts. An exact instant matches; between
-    two fixes no more than ``max_gap_s`` apart the position lies on the great circle; else the nearer side is held if it is
-    within ``max_hold_s``, the earlier of equals; else the position is null. Both inputs are united and looked at in a
-    window ordered by time and one ordered against it, so a track is shuffled once and each row looked at once a window. Time is
-    compared in whole microseconds.
+    fixes: track_id, fix (struct whose first field is t, microseconds; distinct in a track). Both are cut into chunks of time, which
+    are windows of their own; what lies before and after a chunk comes from each chunk's first and last fix, so no
+    task holds a track. A null track is a track.
     """
-    fixes = tracks.select("track_id", _us(F.col("ts")).alias("t"), F.struct(_us(F.col("ts")).alias("t"), "lat", "lon").alias("fix"), F.lit(None).cast("bigint").alias("event_id"))
-    asked = events.select("track_id", (_us(F.col("ts")) + offset_ms * 1000).alias("t"), F.lit(None).cast("struct<t:bigint,lat:double,lon:double>").alias("fix"), "event_id")
-    w = W.partitionBy("track_id").orderBy("t")
-    both = (
-        fixes.unionByName(asked)
-        .withColumn("a", F.last("fix", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0)))
-        .withColumn("b", F.last("fix", ignorenulls=True).over(W.partitionBy("track_id").orderBy(F.col("t").desc()).rangeBetween(W.unboundedPreceding, 0)))
-        .where("event_id IS NOT NULL")
+    size = int(chunk_s * 1_000_000)
+    kind = fixes.schema["fix"].dataType.simpleString()
+    own = [k for k in asked.columns if k not in ("track_id", "t")]
+    rows = fixes.select("track_id", F.col("fix.t").alias("t"), "fix", F.lit(None).cast(asked.select(F.struct(*own)).schema[0].dataType).alias("event"))
+    rows = rows.unionByName(asked.select("track_id", "t", F.lit(None).cast(kind).alias("fix"), F.struct(*own).alias("event"))).withColumn("chunk", F.floor(F.col("t") / size))
+    ends = rows.groupBy("track_id", "chunk").agg(F.min("fix").alias("first"), F.max("fix").alias("last"))
+    upto, since = W.partitionBy("track_id").orderBy("chunk"), W.partitionBy("track_id").orderBy(F.col("chunk").desc())
+    ends = ends.select(
+        F.col("track_id").alias("_track"), F.col("chunk").alias("_chunk"), F.last("last", ignorenulls=True).over(upto.rowsBetween(W.unboundedPreceding, -1)).alias("before"),
+        F.last("first", ignorenulls=True).over(since.rowsBetween(W.unboundedPreceding, -1)).alias("after"),
+    )
+    w = W.partitionBy("track_id", "chunk")
+    rows = (
+        rows.withColumn("a", F.last("fix", ignorenulls=True).over(w.orderBy("t").rangeBetween(W.unboundedPreceding, 0)))
+        .withColumn("b", F.last("fix", ignorenulls=True).over(w.orderBy(F.col("t").desc()).rangeBetween(W.unboundedPreceding, 0)))
+        .where("event IS NOT NULL")
     )
+    met = rows.join(ends, rows["track_id"].eqNullSafe(ends["_track"]) & (rows["chunk"] == ends["_chunk"]))
+    return met.select("track_id", "t", *[F.col(f"event.{k}").alias(k) for k in own], F.coalesce("a", "before").alias("a"), F.coalesce("b", "after").alias("b"))
+
+
+def asof_locate(tracks: DataFrame, events: DataFrame, max_gap_s: float = 1800.0, max_hold_s: float = 0.0, offset_ms: int = 0, chunk_s: float = 86_400.0) -> DataFrame:
+    """Place events on tracks by time: event_id, lat, lon, how (matched, interpolated, held or null).
+
+    tracks: track_id, ts, lat, lon with distinct times; events: event_id, track_id, ts; events without a time are left out. An exact
+    instant matches; between two fixes no more than ``max_gap_s`` apart the position lies on the great circle; else the nearer side is held if it is
+    within ``max_hold_s``, the earlier of equals; else the position is null. Time is compared in whole microseconds and looked
+    at in chunks of ``chunk_s``.
+    """
+    fixes = tracks.select("track_id", F.struct(_us(F.col("ts")).alias("t"), "lat", "lon").alias("fix")).where("fix.t IS NOT NULL")
+    asked = events.select("track_id", (_us(F.col("ts")) + offset_ms * 1000).alias("t"), "event_id").where("t IS NOT NULL")
+    both = _beside(fixes, asked, chunk_s)
     a, b, t = F.col("a"), F.col("b"), F.col("t")
     to_a, to_b = t - a["t"], b["t"] - t
     between = great_circle(a["lat"], a["lon"], b["lat"], b["lon"], to_a / (b["t"] - a["t"]))
@@ -68,6 +90,67 @@ def asof_locate(tracks: DataFrame, events: DataFrame, max_gap_s: float = 1800.0,
     return both.withColumn("at", at).select("event_id", "at.lat", "at.lon", "at.how")
 
 
+def locate_fixes(
+    tracks: DataFrame, events: DataFrame, max_gap_s: float = 1800.0, max_hold_s: float = 0.0, offset_ms: int = 0, max_speed_mps: float = 50.0, nearest: bool = False, chunk_s: float = 86_400.0
+) -> DataFrame:
+    """Fixes of events from tracks, with how far off they may be and where they come from.
+
+    tracks: track_id, ts, lat, lon, and where there are such columns accuracy_m, accuracy_kind (``bound``, or another: no guarantee),
+    height_m, height_kind, ambiguity; cleaned by :func:`clean_track` (give it idx). events: event_id, track_id, ts.
+    Returns event_id, t_us (the event's time with the offset), how (matched, interpolated, nearest, extrapolated or null), lat, lon,
+    height_m, height_kind, accuracy_m, accuracy_kind (bound, unspecified), source, ambiguity, notes.
+
+    Between two fixes no more than ``max_gap_s`` apart the place lies on the geodesic, or is the nearer fix's, the earlier of equals, with
+    ``nearest``; heights of one kind are drawn straight between. Outside, the nearer fix within ``max_hold_s`` is kept. Each fix that is used
+    reaches as far as its own accuracy, the speed times the time away, and the distance to the place; the smallest reach
+    is the accuracy, and it is a bound if all fixes used have a bound of their own.
+    """
+    if not (0 <= max_speed_mps < float("inf")):
+        raise ValueError("max_speed_mps must be finite and not negative")
+    of = lambda k, kind: (F.col(k) if k in tracks.columns else F.lit(None)).cast(kind).alias(k)
+    extra = [of("accuracy_m", "double"), of("accuracy_kind", "string"), of("height_m", "double"), of("height_kind", "string"), of("ambiguity", "string")]
+    timed = clean_track(tracks) if "idx" in tracks.columns else tracks
+    fixes = timed.select("track_id", F.struct(_us(F.col("ts")).alias("t"), "lat", "lon", *extra).alias("fix")).where("fix.t IS NOT NULL")
+    asked = events.select("track_id", (_us(F.col("ts")) + offset_ms * 1000).alias("t"), "event_id").where("t IS NOT NULL")
+    a, b, t = F.col("a"), F.col("b"), F.col("t")
+    hold, gap = F.lit(int(max_hold_s * 1_000_000)), F.lit(int(max_gap_s * 1_000_000))
+    how = (
+        F.when(a["t"] == t, "matched").when(a.isNotNull() & b.isNotNull() & (b["t"] - a["t"] <= gap), "nearest" if nearest else "interpolated")
+        .when(a.isNotNull() & (t - a["t"] <= hold) & (b.isNull() | (t - a["t"] <= b["t"] - t)), "extrapolated").when(b.isNotNull() & (b["t"] - t <= hold), "extrapolated")
+    )
+    rows = _beside(fixes, asked, chunk_s).withColumn("how", how)
+    later = ((F.col("how") == "nearest") & (b["t"] - t < t - a["t"])) | ((F.col("how") == "extrapolated") & (a.isNull() | (t - a["t"] > hold) | (b["t"] - t < t - a["t"])))
+    rows = rows.withColumn("f", F.when(F.col("how").isNotNull(), F.when(F.coalesce(later, F.lit(False)), b).otherwise(a)))
+    drawn, two = F.col("how") == "interpolated", F.col("how").isin("interpolated", "nearest")
+    share = F.when(drawn, F.try_divide(t - a["t"], b["t"] - a["t"]))
+    middle = geodesic.intermediate(a["lat"], a["lon"], b["lat"], b["lon"], share)
+    rows = rows.withColumn("share", share).withColumn("middle", middle)
+    f = F.col("f")
+    rows = rows.withColumn("lat", F.when(drawn, F.col("middle.lat")).otherwise(f["lat"])).withColumn("lon", F.when(drawn, F.col("middle.lon")).otherwise(f["lon"]))
+    # Distances from the fixes used; one that is the place itself is at none.
+    for k, x in (("a", a), ("b", b)):
+        rows = rows.withColumn(f"{k}_m", F.when(two, geodesic.geodesic_distance(x["lat"], x["lon"], F.when(two, F.col("lat")), F.when(two, F.col("lon")))).otherwise(0.0))
+    reach = lambda x, m: F.coalesce(x["accuracy_m"], F.lit(0.0)) + F.abs(t - x["t"]) / 1e6 * max_speed_mps + m
+    sure = lambda x: F.coalesce((x["accuracy_kind"] == "bound") & x["accuracy_m"].isNotNull(), F.lit(False))
+    same = a["height_kind"].isNotNull() & (a["height_kind"] == b["height_kind"]) & a["height_m"].isNotNull() & b["height_m"].isNotNull()
+    height = F.when(drawn, F.when(same, a["height_m"] + (b["height_m"] - a["height_m"]) * F.col("share"))).otherwise(f["height_m"])
+    s = lambda x: x["t"] / 1e6
+    source = (
+        F.when(F.col("how") == "matched", F.format_string("geotag:matched t=%.3f", s(f)))
+        .when(drawn, F.format_string("geotag:interpolated t0=%.3f t1=%.3f f=%.3f", s(a), s(b), F.col("share")))
+        .when(F.col("how") == "nearest", F.format_string("geotag:nearest t=%.3f t0=%.3f t1=%.3f", s(f), s(a), s(b)))
+        .when(F.col("how") == "extrapolated", F.format_string("geotag:extrapolated t=%.3f dt=%.3f", s(f), (t - f["t"]) / 1e6))
+    )
+    note = F.lit(f"clock offset of {offset_ms:+} ms applied to the photo time" if offset_ms else None).cast("string")
+    return rows.select(
+        "event_id", F.when(F.col("how").isNotNull(), t).alias("t_us"), "how", "lat", "lon", height.alias("height_m"),
+        F.when(height.isNotNull(), F.when(drawn, a["height_kind"]).otherwise(f["height_kind"])).alias("height_kind"),
+        F.when(two, F.least(reach(a, F.col("a_m")), reach(b, F.col("b_m")))).otherwise(reach(f, F.lit(0.0))).alias("accuracy_m"),
+        F.when(F.col("how").isNotNull(), F.when(F.when(two, sure(a) & sure(b)).otherwise(sure(f)), "bound").otherwise("unspecified")).alias("accuracy_kind"),
+        source.alias("source"), F.when(two, F.coalesce(a["ambiguity"], b["ambiguity"])).otherwise(f["ambiguity"]).alias("ambiguity"), F.when(F.col("how").isNotNull(), note).alias("notes"),
+    )
+
+
 def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, fraction: Column) -> Column:
     """(lat, lon) at a fraction of the great circle between two points; the first one where they are the same."""
 

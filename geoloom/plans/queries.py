@@ -15,7 +15,7 @@ from geoloom.functions import china, core, geodesy, grids, mercator, text
 from geoloom.operators.aggregates import bounds_agg, bucket_by_geohash, centroid_agg
 from geoloom.operators.dbscan import dbscan
 from geoloom.operators.joins import knn_join, radius_join, reverse_lookup
-from geoloom.operators.tracks import asof_locate, segment_trips, segment_visits, visit_members, visit_summaries, zones_strip
+from geoloom.operators.tracks import asof_locate, locate_fixes, segment_trips, segment_visits, visit_members, visit_summaries, zones_strip
 from geoloom.sources.freetext import parse_text
 from geoloom.sources.sentences import parse_geo_uri, parse_nmea
 from geoloom.streaming.cells import arrived, windowed_cells
@@ -381,6 +381,33 @@ def asof_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_locate(_fixes(spark, sf_dir), asked, 36000.0, 7200.0).select("event_id", _r(F.col("lat"), 6).alias("lat"), _r(F.col("lon"), 6).alias("lon"), "how")
 
 
+_METERS = """sqrt(power(6378137.0::DOUBLE*(1-0.0066943799901413165)/power(1-0.0066943799901413165*power(sin(radians((a1+a2)/2)),2), 1.5)*radians(a2-a1), 2)
+ + power(6378137.0::DOUBLE/sqrt(1-0.0066943799901413165*power(sin(radians((a1+a2)/2)),2))*cos(radians((a1+a2)/2))*radians(o2-o1), 2))"""
+
+
+@query(f"""WITH {TOWN}, f AS (SELECT user_id, ts, arg_min(event_id, event_id) AS e, arg_min(lat, event_id) AS lat, arg_min(lon, event_id) AS lon FROM town WHERE event_type <> 'purchase' GROUP BY user_id, ts),
+q AS (SELECT event_id, user_id, ts FROM town),
+b AS (SELECT q.*, f.ts AS t1, f.e AS e1, f.lat AS a1, f.lon AS o1 FROM q ASOF LEFT JOIN f ON q.user_id = f.user_id AND q.ts >= f.ts),
+n AS (SELECT b.*, f.ts AS t2, f.e AS e2, f.lat AS a2, f.lon AS o2 FROM b ASOF LEFT JOIN f ON b.user_id = f.user_id AND b.ts <= f.ts),
+w AS (SELECT *, (epoch_us(ts) - epoch_us(t1))/1e6 AS d1, (epoch_us(t2) - epoch_us(ts))/1e6 AS d2, {_METERS} AS m FROM n),
+c AS (SELECT *, CASE WHEN t1 = ts THEN 'matched' WHEN t1 IS NOT NULL AND t2 IS NOT NULL AND d1 + d2 <= 36000 THEN 'interpolated' WHEN t1 IS NOT NULL AND d1 <= 7200 AND (t2 IS NULL OR d1 <= d2) THEN 'held1' WHEN t2 IS NOT NULL AND d2 <= 7200 THEN 'held2' END AS k,
+  CASE WHEN e1 % 4 > 0 THEN CAST(e1 % 9 AS DOUBLE) END AS acc1, CASE WHEN e2 % 4 > 0 THEN CAST(e2 % 9 AS DOUBLE) END AS acc2, CASE WHEN e1 % 5 > 0 THEN CAST(e1 % 100 AS DOUBLE) END AS h1, CASE WHEN e2 % 5 > 0 THEN CAST(e2 % 100 AS DOUBLE) END AS h2 FROM w)
+SELECT event_id, CASE WHEN k LIKE 'held%' THEN 'extrapolated' ELSE k END AS how,
+ floor(10*CASE WHEN k IN ('matched', 'held1') THEN coalesce(acc1, 0) + 0.01*d1 WHEN k = 'held2' THEN coalesce(acc2, 0) + 0.01*d2 WHEN k = 'interpolated' THEN least(coalesce(acc1, 0) + 0.01*d1 + m*d1/(d1+d2), coalesce(acc2, 0) + 0.01*d2 + m*d2/(d1+d2)) END + 0.31415)::BIGINT AS accuracy_dm,
+ CASE WHEN k IN ('matched', 'held1') THEN CASE WHEN acc1 IS NOT NULL AND e1 % 2 = 0 THEN 'bound' ELSE 'unspecified' END WHEN k = 'held2' THEN CASE WHEN acc2 IS NOT NULL AND e2 % 2 = 0 THEN 'bound' ELSE 'unspecified' END
+  WHEN k = 'interpolated' THEN CASE WHEN acc1 IS NOT NULL AND acc2 IS NOT NULL AND e1 % 2 = 0 AND e2 % 2 = 0 THEN 'bound' ELSE 'unspecified' END END AS accuracy_kind,
+ floor(1000*CASE WHEN k IN ('matched', 'held1') THEN h1 WHEN k = 'held2' THEN h2 WHEN k = 'interpolated' AND e1 % 3 = e2 % 3 THEN h1 + (h2-h1)*d1/(d1+d2) END + 0.31415)::BIGINT AS height_mm FROM c""")
+def located_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events placed on the tracks of those that are no purchases, with accuracy and height."""
+    p, e = town(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), F.col("event_id")
+    tracks = p.where("event_type != 'purchase'").select(
+        F.col("user_id").alias("track_id"), e.alias("idx"), "ts", "lat", "lon", F.when(e % 4 > 0, (e % 9).cast("double")).alias("accuracy_m"), F.when(e % 2 == 0, "bound").otherwise("guess").alias("accuracy_kind"),
+        F.when(e % 5 > 0, (e % 100).cast("double")).alias("height_m"), (e % 3).cast("string").alias("height_kind"),
+    )
+    got = locate_fixes(tracks, p.select("event_id", F.col("user_id").alias("track_id"), "ts"), 36000.0, 7200.0, max_speed_mps=0.01)
+    return got.select("event_id", "how", F.floor(F.col("accuracy_m") * 10 + 0.31415).alias("accuracy_dm"), "accuracy_kind", F.floor(F.col("height_m") * 1000 + 0.31415).alias("height_mm"))
+
+
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
