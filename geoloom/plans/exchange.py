@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from geoloom.functions import codes, core, geodesy, mercator, privacy, text
 from geoloom.operators import gazetteer, layers
 from geoloom.operators.aggregates import cluster_record, summarize
 from geoloom.operators.dbscan import dbscan
+from geoloom.operators.tables import shared_root
 from geoloom.operators.tracks import estimate_offset, inside_boxes, points_with_cells, zone_circle, zones_apply
 from geoloom.plans.queries import PLACES, SPREAD, TOWN, _geohash_sql, _hav, _places, _r, query, spread, town
-from geoloom.sources import capture, detect, interchange
+from geoloom.sources import capture, detect, interchange, placefile
 
 
 def _e() -> Column:
@@ -178,6 +181,18 @@ def gazetteer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"WITH {_GAZETTEER} SELECT idx, name, round(lat, 5) + 0.0::DOUBLE AS lat, round(lon, 5) + 0.0::DOUBLE AS lon, country, class, population, CASE WHEN admin1_name IS NOT NULL THEN CAST(s_nationkey % 3 AS VARCHAR) END AS admin1_code, admin1_name, admin2_name, fr, '2024-05-06' AS source_date FROM p")
+def gazetteer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gazetteer written as binary files into the shared folder and read back; of two languages one is kept."""
+    folder = f"{shared_root(spark)}/gaz-{uuid.uuid4().hex}"
+    placefile.write_place_files(gazetteer.from_geonames(*_geonames(spark, sf_dir), languages=["fr", "ja"]), folder, "2024-05-06", "made of suppliers", ["fr"], 5000)
+    p = placefile.open_place_files(spark, folder)
+    return p.select(
+        "idx", "name", _r(F.col("lat"), 5).alias("lat"), _r(F.col("lon"), 5).alias("lon"), "country", "class", "population", "admin1_code", "admin1_name", "admin2_name",
+        gazetteer.localized_name(F.col("localized"), "fr").alias("fr"), "source_date",
+    )
+
+
 @query(f"""WITH {SPREAD}, {_GAZETTEER}, d AS (SELECT s.event_id AS qid, p.idx, {_hav('s.lat', 's.lon', 'p.lat', 'p.lon')} AS m FROM spread s JOIN p ON p.class >= 2 AND p.population >= 10000 AND {_hav('s.lat', 's.lon', 'p.lat', 'p.lon')} <= 900000),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY m, idx) AS rn FROM d) SELECT s.event_id AS qid, p.name, p.country, p.admin1_name, coalesce(p.ja, p.name) AS shown, p.name IS NULL OR NOT isnan(r.m) AS placed FROM spread s LEFT JOIN r ON r.qid = s.event_id AND r.rn = 1 LEFT JOIN p ON p.idx = r.idx""")
 def reverse_named(spark: SparkSession, sf_dir: str) -> DataFrame:
