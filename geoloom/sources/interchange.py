@@ -230,6 +230,8 @@ def exploded(docs: DataFrame, parsed: str) -> DataFrame:
 
 
 def read_documents(spark, path: str, kind: str) -> DataFrame:
-    """Positions of whole files of one kind: file, nth and the position's fields; files that cannot be read give no rows."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return exploded(files.withColumn("parsed", READERS[kind](F.col("value"))).drop("value"), "parsed")
+    """Positions of whole files of one kind: file, error_kind, nth and the position's fields. A file that cannot be read, or has no
+    position, gives one row with its error_kind (null if it just has none) and nulls."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), READERS[kind](F.col("value")).alias("parsed"))
+    found = files.select("file", "parsed.error_kind", F.posexplode_outer("parsed.positions").alias("nth", "position"))
+    return found.select("file", "error_kind", "nth", "position.*")

@@ -91,7 +91,7 @@ def _nmea(s: Column) -> Column:
     malformed = lambda k: (at(k) != "") & _number(at(k)).isNull()
     bad = lat.isNull() | lon.isNull()
     bad_gga = (
-        malformed(9) | malformed(11) | malformed(8) | ((at(9) != "") & (at(10) != "M")) | ((at(11) != "") & (at(12) != "M")) | (_number(at(8)) < 0)
+        malformed(9) | malformed(11) | malformed(8) | ((at(9) != "") & (at(10) != "M")) | ((at(11) != "") & (at(12) != "M")) | F.coalesce(_number(at(8)) < 0, F.lit(False))
     )
     error = (
         F.when(s["sign"].isNotNull() & (~s["sign"].rlike("^[0-9A-Fa-f]{2}$") | (F.upper(s["sign"]) != _checksum(s["data"]))), "Checksum")

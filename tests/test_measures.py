@@ -111,9 +111,10 @@ def test_documents_without_positions(spark, tmp_path):
     for kind, text in texts.items():
         r = spark.createDataFrame([(text,)], "t string").select(interchange.READERS[kind](F.col("t")).alias("p")).first()
         assert r.p.positions == [] and r.p.error_kind is None
-    (tmp_path / "a.wkt").write_text("LINESTRING (1 2,\n 3 4)")
-    got = interchange.read_documents(spark, str(tmp_path), "wkt").select("nth", "lat", "lon").orderBy("nth").collect()
-    assert [tuple(r) for r in got] == [(0, 2.0, 1.0), (1, 4.0, 3.0)]
+    for name, text in (("a", "LINESTRING (1 2,\n 3 4)"), ("b", "LINESTRING (1"), ("c", "POLYGON EMPTY")):
+        (tmp_path / f"{name}.wkt").write_text(text)
+    got = interchange.read_documents(spark, str(tmp_path), "wkt").select(F.element_at(F.split("file", "/"), -1), "error_kind", "nth", "lat", "lon").collect()
+    assert sorted(map(tuple, got), key=repr) == [("a.wkt", None, 0, 2.0, 1.0), ("a.wkt", None, 1, 4.0, 3.0), ("b.wkt", "Syntax", None, None, None), ("c.wkt", None, None, None, None)]
 
 
 def _meters(a, b) -> float:
