@@ -318,3 +318,37 @@ def box_zones_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     p = spread(spark, sf_dir)
     return p.join(inside_boxes(p, boxes, "event_id"), "event_id", "left_anti").select("event_id")
+
+
+_EDGE = "(2*sin(400000/6371008.8/2)*(1+1e-9) + 1e-12)"
+
+
+@query(f"""WITH {SPREAD}, v AS (SELECT *, floor(abs(lat)) AS d, CAST(event_id % 70 AS DOUBLE) AS m, CAST(event_id % 15 AS DOUBLE)/10 AS conf, event_id % 400 AS deg FROM spread)
+SELECT event_id, CASE WHEN m < 60 AND d + m/60 <= 90 THEN CAST(d AS INT) END AS ddm_deg, CASE WHEN m < 60 AND d + m/60 <= 90 THEN m END AS ddm_min, CASE WHEN event_id % 2 = 0 THEN lat END AS datum_lat,
+ CASE WHEN event_id % 2 = 0 THEN '{core.GCJ02}' END AS datum_crs, '{core.BD09}' AS named, CASE WHEN conf <= 1 THEN conf END AS raw_conf, CASE WHEN conf <= 1 THEN CASE WHEN lat < 0 THEN 'S' ELSE 'N' END END AS raw_text,
+ CASE WHEN event_id % 7 > 0 THEN lon + 0.0::DOUBLE END AS ecef_y, CASE WHEN event_id % 7 > 0 THEN lat + 0.0::DOUBLE END AS enu_east, CASE WHEN event_id % 7 > 0 THEN lon + 0.0::DOUBLE END AS ned_down,
+ CASE WHEN abs(lat*1.5) <= 90 AND event_id % 11 > 0 THEN round(lon*3 - 360*floor(lon*3/360), 9) + 0.0::DOUBLE END AS aer_azimuth, CASE WHEN abs(lat*1.5) <= 90 AND event_id % 11 > 0 THEN CAST(event_id % 11 - 1 AS DOUBLE) END AS aer_range,
+ CASE WHEN abs(lat*1.2) <= 90 AND event_id % 35 <= 30 THEN CAST(event_id % 35 AS DOUBLE) END AS camera_zoom, CASE WHEN event_id % 4 > 0 THEN CAST(event_id % 4 * 100 AS DOUBLE) END AS view_width,
+ CASE WHEN abs(lon*130000) <= pi()*6378137 AND abs(lat*300000) <= pi()*6378137 THEN lat*300000 + 0.0::DOUBLE END AS mercator_y, CASE WHEN event_id % 9 < 8 AND event_id % 10 < 8 THEN event_id % 10 END AS tile_y,
+ CAST(event_id % 100 AS DOUBLE) AS height, CASE WHEN event_id % 3 > 0 THEN lat*2 END AS mapped, CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 3 - 1 AS DOUBLE) END AS mapped_bound, CASE WHEN event_id % 2 = 0 THEN {0x8928308280FFFFF}::BIGINT END AS h3,
+ CASE WHEN deg < 360 AND event_id % 3 < 2 THEN CAST(deg AS DOUBLE) END AS bearing, CASE WHEN deg < 360 THEN CASE event_id % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'T' END END AS bearing_of, CASE WHEN abs(lat*1.3) <= 90 AND event_id % 6 > 0 THEN CAST(event_id % 6 - 1 AS DOUBLE) END AS zone_radius,
+ CAST(floor(cos(radians(lat))*cos(radians(lon))/{_EDGE}) AS INT) AS cx, CAST(floor(cos(radians(lat))*sin(radians(lon))/{_EDGE}) AS INT) AS cy, CAST(floor(sin(radians(lat))/{_EDGE}) AS INT) AS cz FROM v""")
+def constructed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checked constructors keep and refuse of values that change from row to row, and the cells of points."""
+    lat, lon, e = F.col("lat"), F.col("lon"), _e()
+    of = lambda n, scale=1.0: (e % n).cast("double") / scale
+    hemi, odd = F.when(lat < 0, "S").otherwise("N"), F.when(e % 7 == 0, F.lit(float("nan")))
+    both = F.when(e % 2 == 0, core.gcj02(lat, lon)).otherwise(core.bd09(lat, lon))
+    there = core.datum_point(both, core.GCJ02)
+    ddm, raw = core.ddm(F.floor(F.abs(lat)), of(70), hemi), core.raw_source(hemi, of(15, 10.0))
+    aer, bearing = geodesy.aer(lon * 3, lat * 1.5, of(11) - 1), capture.north_bearing(of(400), F.get(F.array(F.lit("m"), F.lit(" t"), F.lit("q")), (e % 3).cast("int")))
+    mapped = core.approx_map(core.approx(lat, of(3) - 1), lambda v: v * 2.0)
+    h3 = F.when(e % 2 == 0, F.lit(0x8928308280FFFFF)).otherwise(F.lit(0x8928308280FFFF0))
+    return points_with_cells(spread(spark, sf_dir), 400_000.0).select(
+        "event_id", ddm["deg"].alias("ddm_deg"), ddm["min"].alias("ddm_min"), there["lat"].alias("datum_lat"), core.crs_name(core.from_datum_point(there, core.GCJ02)).alias("datum_crs"),
+        core.crs_name(core.bd09(lat, lon)).alias("named"), raw["confidence"].alias("raw_conf"), raw["raw"].alias("raw_text"), geodesy.ecef(lat, F.coalesce(odd, lon), lat)["y_m"].alias("ecef_y"),
+        geodesy.enu(lat, F.coalesce(odd, lon), lon)["east_m"].alias("enu_east"), geodesy.ned(F.coalesce(odd, lon), lat, lon)["down_m"].alias("ned_down"), _r(aer["azimuth_deg"], 9).alias("aer_azimuth"), aer["range_m"].alias("aer_range"),
+        mercator.camera(lat * 1.2, lon, of(35))["zoom"].alias("camera_zoom"), mercator.viewport(of(4) * 100, 600.0)["width_px"].alias("view_width"), mercator.mercator_point(lon * 130000, lat * 300000)["y_m"].alias("mercator_y"),
+        mercator.tile_at(3, of(9), of(10))["y"].alias("tile_y"), core.height_length(core.with_height(core.wgs84(lat, lon), of(100), "ellipsoidal")).alias("height"), mapped["value"].alias("mapped"), F.when(mapped["value"].isNotNull(), mapped["max_error_m"]).alias("mapped_bound"),
+        codes.h3_cell_id(h3).alias("h3"), bearing["degrees"].alias("bearing"), bearing["reference"].alias("bearing_of"), zone_circle(lat * 1.3, lon, of(6) - 1)["radius_m"].alias("zone_radius"), "cx", "cy", "cz",
+    )
