@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.functions import codes, core, geodesy, mercator, privacy, text
+from geoloom.functions import china, codes, core, geodesy, grids, mercator, privacy, text
 from geoloom.operators import gazetteer, layers
 from geoloom.operators.aggregates import cluster_record, summarize
 from geoloom.operators.dbscan import dbscan
 from geoloom.operators.tables import shared_root
-from geoloom.operators.tracks import estimate_offset, inside_boxes, points_with_cells, zone_circle, zones_apply
+from geoloom.operators.tracks import clean_track, estimate_offset, inside_boxes, points_with_cells, zone_circle, zones_apply
 from geoloom.plans.queries import PLACES, SPREAD, TOWN, _geohash_sql, _hav, _places, _r, query, spread, town
 from geoloom.sources import capture, detect, interchange, placefile
 
@@ -352,3 +352,31 @@ def constructed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         mercator.tile_at(3, of(9), of(10))["y"].alias("tile_y"), core.height_length(core.with_height(core.wgs84(lat, lon), of(100), "ellipsoidal")).alias("height"), mapped["value"].alias("mapped"), F.when(mapped["value"].isNotNull(), mapped["max_error_m"]).alias("mapped_bound"),
         codes.h3_cell_id(h3).alias("h3"), bearing["degrees"].alias("bearing"), bearing["reference"].alias("bearing_of"), zone_circle(lat * 1.3, lon, of(6) - 1)["radius_m"].alias("zone_radius"), "cx", "cy", "cz",
     )
+
+
+@query(f"""WITH {SPREAD} SELECT event_id, floor(((lat*0.3048 + lon*1609.344)*2 - 3*1852)/0.9144*1000 + 0.31415)::BIGINT AS length_myd, event_id % 3 = 0 AS is_finite, CASE WHEN event_id % 3 = 0 THEN lon + 0.0::DOUBLE END AS baidu_x,
+ lon + 170 > 180 OR lon > 20 AS crosses, power(10.0::DOUBLE, 5 - event_id % 6) AS mgrs_side, CAST(event_id % 16 AS INT) AS h3_res, 6 AS geohash_length, floor(180.0/32768*110574)::BIGINT AS cell_m, 9 AS s2_level,
+ floor(6378206.4*(1 - 1/294.9786982)*1000)::BIGINT AS b_mm, floor(1/294.9786982*(2 - 1/294.9786982)*1e12)::BIGINT AS e2_e12 FROM spread""")
+def derived_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and multiples of lengths, finiteness, projected metres, crossings, sides and levels of cells, and an ellipsoid's axes."""
+    lat, lon, e = F.col("lat"), F.col("lon"), _e()
+    length = (core.from_unit(lat, "ft") + core.from_unit(lon, "mi")) * 2 - core.from_unit(3.0, "nmi")
+    broken = F.when(e % 3 == 0, lon).when(e % 3 == 1, F.lit(float("nan"))).otherwise(F.lit(float("-inf")))
+    east = F.when(lon + 170 > 180, lon - 190).otherwise(lon + 170)
+    precision, clarke = privacy.Precision.at_least(500.0), geodesy.ELLIPSOIDS[core.NAD27]
+    side = F.get(F.array(*[F.lit(codes.mgrs_side(k)) for k in range(6)]), (e % 6).cast("int"))
+    h3 = F.lit(0x0800000000000000) + (e % 16) * (1 << 52)
+    return spread(spark, sf_dir).select(
+        "event_id", F.floor(core.to_unit(length, "yd") * 1000 + 0.31415).alias("length_myd"), core.finite(broken).alias("is_finite"), china.baidu_point(broken, lat)["x_m"].alias("baidu_x"),
+        geodesy.box_crosses_antimeridian(geodesy.box(lat, lon, lat, east)).alias("crosses"), side.alias("mgrs_side"), grids.h3_resolution(h3).alias("h3_res"),
+        F.lit(precision.level).alias("geohash_length"), F.lit(int(precision.min_cell_height_m)).cast("long").alias("cell_m"), F.lit(privacy.Precision.s2(9).level).alias("s2_level"),
+        F.lit(int(clarke.b * 1000)).cast("long").alias("b_mm"), F.lit(int(clarke.e2 * 1e12)).cast("long").alias("e2_e12"),
+    )
+
+
+@query(f"""WITH {TOWN}, g AS (SELECT user_id % 40 AS track, ts, min(event_id) AS idx, arg_min(lat, event_id) AS lat, arg_min(lon, event_id) AS lon, min(lat) <> max(lat) OR min(lon) <> max(lon) AS conflict FROM town GROUP BY track, ts)
+SELECT track, epoch_us(ts) AS t_us, idx, round(lat, 7) + 0.0::DOUBLE AS lat, round(lon, 7) + 0.0::DOUBLE AS lon, conflict FROM g""")
+def clean_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixes of forty tracks, one for each instant, and whether others of that instant contradict it."""
+    p = town(spark, sf_dir).select((F.col("user_id") % 40).alias("track_id"), F.col("ts").cast("timestamp").alias("ts"), _e().alias("idx"), "lat", "lon")
+    return clean_track(p).select(F.col("track_id").alias("track"), F.unix_micros("ts").alias("t_us"), "idx", _r(F.col("lat"), 7).alias("lat"), _r(F.col("lon"), 7).alias("lon"), "conflict")
