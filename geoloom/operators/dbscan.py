@@ -8,27 +8,25 @@ from pyspark.sql import functions as F
 
 from geoloom.operators.aggregates import dense_number
 from geoloom.operators.joins import radius_join
-from geoloom.operators.tables import written
+from geoloom.operators.tables import counted, written
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable vertex of each vertex of ``edges(a, b)``, as (id, component).
 
-    Labels take the minimum over neighbours and then jump to their label's label, until no label changes. Each round's
-    labels are written out; only a count of changes reaches the driver.
+    Labels take the minimum over neighbours and then jump to their label's label, until no label changes; each round lowers one, so
+    this ends. Each round's labels are written out; only a count of changes reaches the driver.
     """
     links = written(edges.union(edges.select("b", "a")).distinct())
     labels = written(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(most_rounds):
+    while True:
         lower = links.join(labels, links["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("low"))
         taken = labels.join(lower, "id", "left").select("id", F.least("component", "low").alias("component"), F.col("component").alias("was"))
         root = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        now = written(taken.join(root, "component", "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component"), "was"))
-        changed = now.where("component != was").limit(1).count()
+        now, n = counted(taken.join(root, "component", "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component"), "was"), changed=F.count_if(F.expr("component != was")))
         labels = now.select("id", "component")
-        if not changed:
+        if not n["changed"]:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def dbscan(points: DataFrame, eps_m: float, min_points: int, idx: str = "idx") -> DataFrame:
@@ -39,11 +37,14 @@ def dbscan(points: DataFrame, eps_m: float, min_points: int, idx: str = "idx") -
     latitude and then longitude. Clusters are numbered from 0 by their earliest member.
     """
     p = points.select(F.col(idx).alias("idx"), "lat", "lon")
-    near = written(radius_join(p, p, eps_m, "idx", "idx"))
-    core = written(near.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(F.col("qid").alias("idx")))
+    # Points at one position share their fate, so a crowded position is one row with a count.
+    spots = written(p.groupBy("lat", "lon").agg(F.min("idx").alias("idx"), F.count("*").alias("n")))
+    near = written(radius_join(spots, spots, eps_m, "idx", "idx"))
+    held = near.join(spots.select(F.col("idx").alias("pid"), "n"), "pid").groupBy("qid").agg(F.sum("n").alias("n"))
+    core = written(held.where(F.col("n") >= min_points).select(F.col("qid").alias("idx")))
     a, b = core.select(F.col("idx").alias("qid")), core.select(F.col("idx").alias("pid"))
     label = components(near.join(a, "qid", "left_semi").join(b, "pid", "left_semi").select(F.col("qid").alias("a"), F.col("pid").alias("b")))
-    at = label.select(F.col("id").alias("pid"), "component").join(p.select(F.col("idx").alias("pid"), "lat", "lon"), "pid")
+    at = label.select(F.col("id").alias("pid"), "component").join(spots.select(F.col("idx").alias("pid"), "lat", "lon"), "pid")
     border = (
         near.join(a, "qid", "left_anti")
         .join(at, "pid")
@@ -55,4 +56,6 @@ def dbscan(points: DataFrame, eps_m: float, min_points: int, idx: str = "idx") -
     members = written(members)
     first = members.groupBy("component").agg(F.min("idx").alias("first"))
     ids = dense_number(first, "first", "cluster_id").select("component", "cluster_id")
-    return p.join(members.join(ids, "component"), "idx", "left").select("idx", "cluster_id", F.coalesce("is_core", F.lit(False)).alias("is_core"))
+    found = spots.join(members.join(ids, "component"), "idx").select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "cluster_id", "is_core")
+    met = p.join(found, (p["lat"] == found["_lat"]) & (p["lon"] == found["_lon"]), "left")
+    return met.select("idx", "cluster_id", F.coalesce("is_core", F.lit(False)).alias("is_core"))

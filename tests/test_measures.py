@@ -176,3 +176,11 @@ def test_box_zones_at_poles_and_the_antimeridian(spark):
     at = [(90.0, -77.0), (85.0, 15.0), (85.0, 25.0), (0.0, 180.0), (0.0, -180.0), (5.0, -170.0), (5.0, 169.0), (20.0, 30.0), (-90.0, 15.0)]
     fixes = spark.createDataFrame([(k, *p) for k, p in enumerate(at)], "idx long, lat double, lon double")
     assert sorted(r.idx for r in inside_boxes(fixes, boxes).collect()) == [0, 1, 3, 4, 5, 7]
+
+
+def test_a_crowded_position_is_one_row(spark):
+    # A third of all points at one place, a bridge to a second place, and a lone one.
+    at = [(10.0, 20.0)] * 3000 + [(10.0002, 20.0)] + [(10.0004, 20.0)] * 4 + [(11.0, 20.0)] * 3 + [(None, 20.0)]
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "idx long, lat double, lon double")
+    got = {r.idx: (r.cluster_id, r.is_core) for r in dbscan(frame, 25.0, 4).collect()}
+    assert set(got[i] for i in range(3005)) == {(0, True)} and {got[i] for i in range(3005, 3009)} == {(None, False)} and len(got) == 3009
