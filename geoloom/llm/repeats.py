@@ -264,8 +264,11 @@ def gathered(batches: Iterator[pa.RecordBatch], kind: Kind, hot: frozenset[int])
 
 
 def with_spans(docs: DataFrame, starts: DataFrame) -> DataFrame:
-    """``docs`` of :func:`keyed` with ``spans``: the text's repeated starts as an array of (lo, hi), null if none."""
-    spans = starts.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    """``docs`` of :func:`keyed` with ``spans``: the text's repeated starts as an array of (lo, hi), null if none.
+
+    Rows of one id and text have the same spans, which are told once, however many such rows there are.
+    """
+    spans = starts.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return docs.join(spans, ["id", "th"], "left")
 
 

@@ -70,3 +70,12 @@ def test_sorted_suffixes():
 
 def test_empty_table(spark):
     assert byte_starts(repeats.keyed(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_equal_rows_have_their_spans_once(spark):
+    text = _texts(1)[-3] * 2
+    rows = spark.createDataFrame([(None, text)] * 600 + [(7, text), (8, "short")], "doc_id long, text string").repartition(8)
+    held = repeats.keyed(rows)
+    spans = repeats.with_spans(held, byte_starts(held)).select("doc_id", "spans").collect()
+    assert max(len(r.spans or ()) for r in spans) <= 40
+    assert {len(r.kept) for r in dedup_bytes(rows).collect()} == {0, 5}
