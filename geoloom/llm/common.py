@@ -21,10 +21,14 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Where the session has none (a single machine, as in tests) one temporary folder is made and set.
+    Where the session has none, a single machine, as in tests, gets a temporary folder; a cluster gets an error, as its
+    executors would each write to a disk of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="geoloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
