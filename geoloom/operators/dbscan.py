@@ -1,15 +1,24 @@
-"""Density clustering as joins."""
+"""Density clustering as joins of grid cells: crowded cells are counted and linked whole, and only sparse ones meet point by point."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import product
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from geoloom.functions.geodesy import haversine, unit_vector
 from geoloom.operators.aggregates import dense_number
-from geoloom.operators.joins import radius_join
+from geoloom.operators.joins import chord
 from geoloom.operators.tables import counted, written
 
+#: Two sets of cores of which one has at most so many meet point by point; larger ones are cut into 4 ** 3 parts each.
+_FEW = 32
+#: Neighbours of a cell whose diagonal is the radius.
+_STEPS = list(product((-2, -1, 0, 1, 2), repeat=3))
+_AXES = ("x", "y", "z")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable vertex of each vertex of ``edges(a, b)``, as (id, component).
@@ -29,33 +38,154 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _steps(which: list[tuple[int, int, int]]) -> Column:
+    return F.explode(F.array(*[F.struct(*[F.lit(k).alias(a) for k, a in zip(o, _AXES)]) for o in which]))
+
+
+def _moved(cell: str, step: str) -> Column:
+    return F.struct(*[(F.col(f"{cell}.{a}") + F.col(f"{step}.{a}")).alias(a) for a in _AXES])
+
+
+def _on_sphere(cell: str, edge: float) -> Column:
+    """Whether the unit sphere passes the cell, with a margin for rounding."""
+    near = far = F.lit(0.0)
+    for a in _AXES:
+        lo, hi = F.col(f"{cell}.{a}") * edge, (F.col(f"{cell}.{a}") + 1) * edge
+        near = near + F.pow(F.greatest(lo, -hi, F.lit(0.0)), 2)
+        far = far + F.pow(F.greatest(F.abs(lo), F.abs(hi)), 2)
+    return (near <= 1 + 1e-9) & (far >= 1 - 1e-9)
+
+
+def _within(level: int) -> Column:
+    """A point's cell at ``level``, of which each is cut into 4 ** 3 at the next."""
+    return F.struct(*[F.floor(F.col(a) * 4.0**level).alias(a) for a in _AXES])
+
+
+def _spots(points: DataFrame, edge: float, min_points: int) -> DataFrame:
+    """Distinct positions with their number and earliest idx, place in units of ``edge``, cell, and whether the cell is full.
+
+    All points of a full cell are cores: it has ``min_points``, and none is further from another than the radius.
+    """
+    spots = points.groupBy("lat", "lon").agg(F.min("idx").alias("idx"), F.count("*").alias("n"))
+    place = unit_vector(F.col("lat"), F.col("lon"))
+    spots = spots.select("*", *[(v / edge).alias(a) for v, a in zip(place, _AXES)]).where(" AND ".join(f"NOT isnan({a})" for a in _AXES))
+    spots = spots.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("cell", _within(0))
+    held = spots.groupBy("cell").agg((F.sum("n") >= min_points).alias("full"))
+    return written(spots.join(held, "cell"))
+
+
+def _near(spots: DataFrame, eps_m: float, edge: float, reach: float) -> DataFrame:
+    """What each position of a cell that is not full has within ``eps_m``: lat, lon, n, m (the nearest as distance, lat, lon and
+    cell), full, and qlat, qlon.
+
+    A full cell is one row, whatever it holds, and another cell has fewer than ``min_points``; so a position has a bounded number of rows.
+    """
+    seek = spots.where("NOT full").select("lat", "lon", "x", "y", "z", "cell", _steps(_STEPS).alias("step")).withColumn("to", _moved("cell", "step"))
+    gap = F.lit(0.0)
+    for a in _AXES:
+        gap = gap + F.pow(F.greatest(F.col(f"to.{a}") - F.col(a), F.col(a) - F.col(f"to.{a}") - 1, F.lit(0.0)), 2)
+    seek = seek.where((gap <= reach * reach) & _on_sphere("to", edge)).select("lat", "lon", F.col("to").alias("cell"))
+    met = seek.join(spots.select("cell", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "n", "full"), "cell")
+    met = met.withColumn("d", haversine(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"))).where(F.col("d") <= eps_m)
+    alone = lambda c: F.when(~F.col("full"), F.col(c)).alias(f"_{c}")
+    rows = met.groupBy("lat", "lon", "cell", "full", alone("qlat"), alone("qlon")).agg(F.sum("n").alias("n"), F.min(F.struct("d", "qlat", "qlon", "cell")).alias("m"))
+    return written(rows.select("lat", "lon", "full", F.col("_qlat").alias("qlat"), F.col("_qlon").alias("qlon"), "n", "m"))
+
+
+def _nodes(core: DataFrame, level: int) -> DataFrame:
+    """The cores' cells at ``level`` with their home cell, the cell above, number of positions, box and earliest position."""
+    above = F.first(_within(level - 1)) if level else F.first("cell")
+    return core.groupBy(_within(level).alias("sub")).agg(
+        F.first("cell").alias("home"), above.alias("above"), F.count("*").alias("n"), F.min(F.struct("idx", "lat", "lon")).alias("rep"),
+        *[F.struct(F.min(a).alias("lo"), F.max(a).alias("hi")).alias(a) for a in _AXES],
+    )
+
+
+def _linked(core: DataFrame, eps_m: float, edge: float, reach: float) -> DataFrame:
+    """Cells that a pair of cores within ``eps_m`` links: (a, b), each link one way.
+
+    Two cells are linked if their earliest cores are near, and not if their boxes are apart. What that leaves open is settled by all
+    cores of both where one has at most ``_FEW``; otherwise both are cut and their parts judged alike, until parts are some micrometres
+    wide. So a crowded cell's cores meet at most ``_FEW`` of any other cell's.
+    """
+    level, found = 0, []
+    nodes = written(_nodes(core, 0))
+    side = lambda k: nodes.select(*[F.col(c).alias(f"{k}_{c}") for c in nodes.columns])
+    ahead = nodes.select(F.col("sub").alias("a_sub"), _steps([o for o in _STEPS if o > (0, 0, 0)]).alias("step")).withColumn("b_sub", _moved("a_sub", "step"))
+    pairs = ahead.where(_on_sphere("b_sub", edge)).select("a_sub", "b_sub").join(side("a"), "a_sub").join(side("b"), "b_sub")
+    while True:
+        gap = F.lit(0.0)
+        for a in _AXES:
+            gap = gap + F.pow(F.greatest(F.col(f"a_{a}.lo") - F.col(f"b_{a}.hi"), F.col(f"b_{a}.lo") - F.col(f"a_{a}.hi"), F.lit(0.0)), 2)
+        near = haversine(F.col("a_rep.lat"), F.col("a_rep.lon"), F.col("b_rep.lat"), F.col("b_rep.lon")) <= eps_m
+        few = (F.least("a_n", "b_n") <= _FEW) | F.lit(edge / 4.0**level < 1e-12)
+        kind = F.when(near, F.lit("met")).when(F.greatest("a_n", "b_n") == 1, F.lit("apart")).when(few, F.lit("few")).otherwise(F.lit("many"))
+        judged = pairs.where(gap <= reach * reach).select("a_sub", "b_sub", "a_home", "b_home", kind.alias("kind")).where("kind != 'apart'")
+        judged, left = counted(judged, few=F.count_if(F.expr("kind = 'few'")), many=F.count_if(F.expr("kind = 'many'")))
+        met = judged.where("kind = 'met'").select("a_home", "b_home").distinct()
+        found.append(met)
+        rest = judged.where("kind != 'met'").join(met, ["a_home", "b_home"], "left_anti")
+        if left["few"]:
+            at = lambda k, lv=level: core.select(_within(lv).alias(f"{k}_sub"), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon"))
+            both = rest.where("kind = 'few'").join(at("a"), "a_sub").join(at("b"), "b_sub")
+            both = both.where(haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= eps_m)
+            found.append(written(both.select("a_home", "b_home").distinct()))
+        if not left["many"]:
+            break
+        rest = written(rest.where("kind = 'many'").join(found[-1], ["a_home", "b_home"], "left_anti").select("a_sub", "b_sub"))
+        cut = rest.select(F.col("a_sub").alias("sub")).union(rest.select("b_sub")).distinct()
+        nodes = written(_nodes(core.join(cut, _within(level) == cut["sub"], "left_semi"), level + 1))
+        level += 1
+        child = lambda k: nodes.select(*[F.col(c).alias(f"{k}_{c}") for c in nodes.columns])
+        up = rest.select(F.col("a_sub").alias("a_above"), F.col("b_sub").alias("b_above"))
+        pairs = up.join(child("a"), "a_above").join(child("b"), "b_above")
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links.select(F.col("a_home").alias("a"), F.col("b_home").alias("b")).distinct()
+
+
+def _labelled(p: DataFrame, found: DataFrame) -> DataFrame:
+    found = found.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "cluster_id", "is_core")
+    met = p.join(found, (p["lat"] == found["_lat"]) & (p["lon"] == found["_lon"]), "left")
+    return met.select("idx", "cluster_id", F.coalesce("is_core", F.lit(False)).alias("is_core"))
+
+
 def dbscan(points: DataFrame, eps_m: float, min_points: int, idx: str = "idx") -> DataFrame:
     """Clusters of dense points: idx, cluster_id (null: noise), is_core.
 
-    points: idx bigint, lat, lon. A point with ``min_points`` within ``eps_m`` (itself counted, the limit included) is a
-    core; cores in reach of each other are one cluster; another point joins its nearest core's cluster, ties to the lower
-    latitude and then longitude. Clusters are numbered from 0 by their earliest member.
+    points: idx bigint, each once, lat, lon; a null or NaN position is noise. A point with ``min_points`` within ``eps_m`` (itself
+    counted, the limit included) is a core; cores in reach of each other are one cluster; another point joins its nearest core's
+    cluster, ties to the lower latitude and then longitude. Clusters are numbered from 0 by their earliest member. With a
+    radius of 0 equal positions are a cluster; one between that and a tenth of a millimetre, and no ``min_points``, are errors.
+
+    Cells of the unit cube have the radius as diagonal, so a cell with ``min_points`` holds nothing but cores of one cluster. The points
+    of other cells, fewer than ``min_points`` each, look around themselves; crowded cells never look at each other point by point.
     """
     p = points.select(F.col(idx).alias("idx"), "lat", "lon")
-    # Points at one position share their fate, so a crowded position is one row with a count.
-    spots = written(p.groupBy("lat", "lon").agg(F.min("idx").alias("idx"), F.count("*").alias("n")))
-    near = written(radius_join(spots, spots, eps_m, "idx", "idx"))
-    held = near.join(spots.select(F.col("idx").alias("pid"), "n"), "pid").groupBy("qid").agg(F.sum("n").alias("n"))
-    core = written(held.where(F.col("n") >= min_points).select(F.col("qid").alias("idx")))
-    a, b = core.select(F.col("idx").alias("qid")), core.select(F.col("idx").alias("pid"))
-    label = components(near.join(a, "qid", "left_semi").join(b, "pid", "left_semi").select(F.col("qid").alias("a"), F.col("pid").alias("b")))
-    at = label.select(F.col("id").alias("pid"), "component").join(spots.select(F.col("idx").alias("pid"), "lat", "lon"), "pid")
-    border = (
-        near.join(a, "qid", "left_anti")
-        .join(at, "pid")
-        .groupBy("qid")
-        .agg(F.min(F.struct("distance_m", "lat", "lon", "component")).alias("m"))
-        .select(F.col("qid").alias("idx"), F.col("m.component").alias("component"), F.lit(False).alias("is_core"))
-    )
-    members = label.select(F.col("id").alias("idx"), "component", F.lit(True).alias("is_core")).unionByName(border)
-    members = written(members)
-    first = members.groupBy("component").agg(F.min("idx").alias("first"))
-    ids = dense_number(first, "first", "cluster_id").select("component", "cluster_id")
-    found = spots.join(members.join(ids, "component"), "idx").select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "cluster_id", "is_core")
-    met = p.join(found, (p["lat"] == found["_lat"]) & (p["lon"] == found["_lon"]), "left")
-    return met.select("idx", "cluster_id", F.coalesce("is_core", F.lit(False)).alias("is_core"))
+    if not 0 <= eps_m < float("inf") or 0 < eps_m < 1e-4:
+        raise ValueError("eps_m must be 0 or a finite number from 1e-4")
+    if min_points < 1:
+        raise ValueError("min_points must be at least 1")
+    if eps_m == 0:
+        held = p.where("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)").groupBy("lat", "lon").agg(F.min("idx").alias("first"), F.count("*").alias("n"))
+        return _labelled(p, dense_number(held.where(F.col("n") >= min_points), "first", "cluster_id").withColumn("is_core", F.lit(True)))
+    edge = chord(eps_m) / 3**0.5 * (1 - 1e-4)
+    reach = (chord(eps_m) * (1 + 1e-9) + 1e-12) / edge
+    spots = _spots(p, edge, min_points)
+    near = _near(spots, eps_m, edge, reach)
+    dense = near.groupBy("lat", "lon").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("lat", "lon")
+    core = written(spots.where("full").unionByName(spots.where("NOT full").join(dense, ["lat", "lon"], "left_semi")))
+    homes = written(core.groupBy("cell").agg(F.min("idx").alias("id")))
+    links = _linked(core, eps_m, edge, reach)
+    ends = links.join(homes.select(F.col("cell").alias("a"), F.col("id").alias("ia")), "a").join(homes.select(F.col("cell").alias("b"), F.col("id").alias("ib")), "b")
+    label = components(ends.select(F.col("ia").alias("a"), F.col("ib").alias("b")).unionByName(homes.select(F.col("id").alias("a"), F.col("id").alias("b"))))
+    of = written(homes.join(label, "id").select("cell", "component"))
+    taken = near.join(core.select("lat", "lon"), ["lat", "lon"], "left_anti")
+    known = core.select(F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
+    border = taken.where("full").select("lat", "lon", "m").unionByName(taken.where("NOT full").join(known, ["qlat", "qlon"], "left_semi").select("lat", "lon", "m"))
+    border = border.groupBy("lat", "lon").agg(F.min("m").alias("m")).select("lat", "lon", F.col("m.cell").alias("cell"), F.lit(False).alias("is_core"))
+    members = core.select("lat", "lon", "cell", F.lit(True).alias("is_core")).unionByName(border).join(of, "cell").select("lat", "lon", "component", "is_core")
+    members = written(members.join(spots.select("lat", "lon", "idx"), ["lat", "lon"]))
+    ids = dense_number(members.groupBy("component").agg(F.min("idx").alias("first")), "first", "cluster_id").select("component", "cluster_id")
+    return _labelled(p, members.join(ids, "component"))

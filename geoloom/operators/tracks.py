@@ -351,9 +351,9 @@ def estimate_offset(track: DataFrame, references: DataFrame) -> DataFrame:
 
 def points_with_cells(points: DataFrame, meters: float) -> DataFrame:
     """Points with the cells that radius joins meet on (cx, cy, cz), to be kept as a table bucketed or sorted by them."""
-    from geoloom.operators.joins import _cell, _chord
+    from geoloom.operators.joins import _cell, chord
 
-    x, y, z = _cell(unit_vector(F.col("lat"), F.col("lon")), _chord(meters) * (1 + 1e-9) + 1e-12)
+    x, y, z = _cell(unit_vector(F.col("lat"), F.col("lon")), chord(meters) * (1 + 1e-9) + 1e-12)
     return points.select("*", x.alias("cx"), y.alias("cy"), z.alias("cz"))
 
 

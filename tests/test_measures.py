@@ -183,4 +183,46 @@ def test_a_crowded_position_is_one_row(spark):
     at = [(10.0, 20.0)] * 3000 + [(10.0002, 20.0)] + [(10.0004, 20.0)] * 4 + [(11.0, 20.0)] * 3 + [(None, 20.0)]
     frame = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "idx long, lat double, lon double")
     got = {r.idx: (r.cluster_id, r.is_core) for r in dbscan(frame, 25.0, 4).collect()}
+    same = {r.idx: (r.cluster_id, r.is_core) for r in dbscan(frame, 0.0, 4).collect()}
+    assert {same[i] for i in range(3000)} == {(0, True)} and same[3000] == (None, False) and same[3001] == (1, True) and same[3008] == (None, False)
     assert set(got[i] for i in range(3005)) == {(0, True)} and {got[i] for i in range(3005, 3009)} == {(None, False)} and len(got) == 3009
+
+
+def test_a_crowded_spot_is_never_paired(spark):
+    """A third of all points at places of their own within a cell, and dense clumps of which some come just into reach."""
+    from geoloom.operators import dbscan as m
+    from geoloom.operators.joins import chord
+
+    rng = random.Random(4)
+    east = lambda meters: 20 + math.degrees(meters / 6371008.8) / math.cos(math.radians(10))
+    clump = lambda at, n, wide: [(10 + rng.random() * wide, east(at) + rng.random() * wide) for _ in range(n)]
+    at = clump(0, 900, 5e-5)
+    # Clumps 3 m wide whose nearest points are a little less, and a little more, than 30 m apart; then loose points.
+    at += [(10.01 + rng.random() * 2e-5, east(-rng.random() * 3)) for _ in range(150)] + [(10.01, 20.0)]
+    at += [(10.01 + rng.random() * 2e-5, east(29.999 + rng.random() * 3)) for _ in range(150)] + [(10.01, east(29.999))]
+    at += [(10.01, east(29.999 + 3.0 + 30.01 + rng.random() * 3)) for _ in range(150)]
+    at += [(10 + rng.random() * 0.004, east(rng.random() * 400)) for _ in range(400)]
+    n = len(at)
+    near = [[j for j in range(n) if abs(at[i][0] - at[j][0]) < 3e-4 and _meters(at[i], at[j]) <= 30.0] for i in range(n)]
+    for least in (4, 60):
+        core_ = [len(x) >= least for x in near]
+        label: dict[int, int] = {}
+        for i in range(n):
+            todo = [i] if core_[i] and i not in label else []
+            while todo:
+                k = todo.pop()
+                if k not in label:
+                    label[k] = i
+                    todo += [j for j in near[k] if core_[j]]
+        for i in range(n):
+            if not core_[i] and (found := [(_meters(at[i], at[j]), at[j], label[j]) for j in near[i] if core_[j]]):
+                label[i] = min(found)[2]
+        first = sorted({min(k for k in label if label[k] == c): c for c in set(label.values())}.items())
+        number = {c: k for k, (_, c) in enumerate(first)}
+        frame = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "idx long, lat double, lon double")
+        got = {r.idx: (r.cluster_id, r.is_core) for r in dbscan(frame, 30.0, least).collect()}
+        assert got == {i: (number[label[i]] if i in label else None, core_[i]) for i in range(n)}
+    edge = chord(30.0) / 3**0.5 * (1 - 1e-4)
+    spots = m._spots(frame, edge, 4)
+    rows = m._near(spots, 30.0, edge, chord(30.0) * (1 + 1e-9) / edge).count()
+    assert rows < 20 * spots.where("NOT full").count() < sum(map(len, near)) / 10
