@@ -23,19 +23,22 @@ _AXES = ("x", "y", "z")
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable vertex of each vertex of ``edges(a, b)``, as (id, component).
 
-    Labels take the minimum over neighbours and then jump to their label's label, until no label changes; each round lowers one, so
-    this ends. Each round's labels are written out; only a count of changes reaches the driver.
+    Every vertex has a pointer to a vertex of its component that is not larger. A round takes the least pointer's pointer among the
+    neighbours of each vertex and gives it to the vertex and to what it points at, so that whole trees are hooked at once and chains
+    shorten by halves. This ends when no pointer changes: then neighbours have one pointer. Each round is written out; only a count of
+    changes reaches the driver.
     """
     links = written(edges.union(edges.select("b", "a")).distinct())
-    labels = written(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    labels = written(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("f")))
     while True:
-        lower = links.join(labels, links["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("low"))
-        taken = labels.join(lower, "id", "left").select("id", F.least("component", "low").alias("component"), F.col("component").alias("was"))
-        root = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        now, n = counted(taken.join(root, "component", "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component"), "was"), changed=F.count_if(F.expr("component != was")))
-        labels = now.select("id", "component")
+        held = written(labels.join(labels.select(F.col("id").alias("f"), F.col("f").alias("g")), "f"))
+        low = links.join(held, links["b"] == held["id"]).groupBy(F.col("a").alias("id")).agg(F.min("g").alias("low"))
+        best = held.join(low, "id").select("id", "f", F.least("g", "low").alias("m"))
+        both = best.select("id", "m", F.col("f").alias("was")).unionByName(best.select(F.col("f").alias("id"), "m", F.lit(None).cast("long").alias("was")))
+        now, n = counted(both.groupBy("id").agg(F.min("m").alias("f"), F.max("was").alias("was")), changed=F.count_if(F.expr("f != was")))
+        labels = now.select("id", "f")
         if not n["changed"]:
-            return labels
+            return labels.withColumnRenamed("f", "component")
 
 
 def _steps(which: list[tuple[int, int, int]]) -> Column:
@@ -46,13 +49,17 @@ def _moved(cell: str, step: str) -> Column:
     return F.struct(*[(F.col(f"{cell}.{a}") + F.col(f"{step}.{a}")).alias(a) for a in _AXES])
 
 
+def _square(x: Column) -> Column:
+    return F.pow(x, F.lit(2.0))
+
+
 def _on_sphere(cell: str, edge: float) -> Column:
     """Whether the unit sphere passes the cell, with a margin for rounding."""
     near = far = F.lit(0.0)
     for a in _AXES:
         lo, hi = F.col(f"{cell}.{a}") * edge, (F.col(f"{cell}.{a}") + 1) * edge
-        near = near + F.pow(F.greatest(lo, -hi, F.lit(0.0)), 2)
-        far = far + F.pow(F.greatest(F.abs(lo), F.abs(hi)), 2)
+        near = near + _square(F.greatest(lo, -hi, F.lit(0.0)))
+        far = far + _square(F.greatest(F.abs(lo), F.abs(hi)))
     return (near <= 1 + 1e-9) & (far >= 1 - 1e-9)
 
 
@@ -80,10 +87,12 @@ def _near(spots: DataFrame, eps_m: float, edge: float, reach: float) -> DataFram
 
     A full cell is one row, whatever it holds, and another cell has fewer than ``min_points``; so a position has a bounded number of rows.
     """
-    seek = spots.where("NOT full").select("lat", "lon", "x", "y", "z", "cell", _steps(_STEPS).alias("step")).withColumn("to", _moved("cell", "step"))
+    # A row looks into 125 cells, so rows are dealt out evenly first, which moves much less than what they look for.
+    loose = spots.where("NOT full").repartition(int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    seek = loose.select("lat", "lon", "x", "y", "z", "cell", _steps(_STEPS).alias("step")).withColumn("to", _moved("cell", "step"))
     gap = F.lit(0.0)
     for a in _AXES:
-        gap = gap + F.pow(F.greatest(F.col(f"to.{a}") - F.col(a), F.col(a) - F.col(f"to.{a}") - 1, F.lit(0.0)), 2)
+        gap = gap + _square(F.greatest(F.col(f"to.{a}") - F.col(a), F.col(a) - F.col(f"to.{a}") - 1, F.lit(0.0)))
     seek = seek.where((gap <= reach * reach) & _on_sphere("to", edge)).select("lat", "lon", F.col("to").alias("cell"))
     met = seek.join(spots.select("cell", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "n", "full"), "cell")
     met = met.withColumn("d", haversine(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"))).where(F.col("d") <= eps_m)
@@ -116,7 +125,7 @@ def _linked(core: DataFrame, eps_m: float, edge: float, reach: float) -> DataFra
     while True:
         gap = F.lit(0.0)
         for a in _AXES:
-            gap = gap + F.pow(F.greatest(F.col(f"a_{a}.lo") - F.col(f"b_{a}.hi"), F.col(f"b_{a}.lo") - F.col(f"a_{a}.hi"), F.lit(0.0)), 2)
+            gap = gap + _square(F.greatest(F.col(f"a_{a}.lo") - F.col(f"b_{a}.hi"), F.col(f"b_{a}.lo") - F.col(f"a_{a}.hi"), F.lit(0.0)))
         near = haversine(F.col("a_rep.lat"), F.col("a_rep.lon"), F.col("b_rep.lat"), F.col("b_rep.lon")) <= eps_m
         few = (F.least("a_n", "b_n") <= _FEW) | F.lit(edge / 4.0**level < 1e-12)
         kind = F.when(near, F.lit("met")).when(F.greatest("a_n", "b_n") == 1, F.lit("apart")).when(few, F.lit("few")).otherwise(F.lit("many"))
