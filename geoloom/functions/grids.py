@@ -102,6 +102,12 @@ def utm_zone(lat: Num, lon: Num) -> Column:
     )
 
 
+def utm_central_meridian(zone: Num) -> Column:
+    """Degrees of longitude of a zone's middle; null outside 1 to 60."""
+    zone = c(zone)
+    return F.when(zone.between(1, 60), zone * 6.0 - 183.0)
+
+
 def kruger(crs: str = WGS84) -> tuple[float, list[float], list[float]]:
     """Rectifying radius and the fourth-order series to and from the rectifying sphere, in the third flattening."""
     e = ELLIPSOIDS[crs]

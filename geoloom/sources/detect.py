@@ -26,10 +26,11 @@ def _tried(how: str, text: Column, rest: Column) -> Column:
 
 
 def parse_coordinate(text: Column, expected: str | None = None, default_order: str = "LatLon", decimal_comma: bool = False) -> Column:
-    """STRUCT<lat, lon, max_error_m, confidence, how, error_kind>.
+    """STRUCT<lat, lon, max_error_m, confidence, how, error_kind, error_detail>.
 
     ``expected`` names a grid (plus_code, mgrs, geohash or maidenhead) that is tried first; geohashes and locators are only read when
-    expected, as plain words can look like them. A text that is nothing else is read as free text. A null text gives null.
+    expected, as plain words can look like them. A text that is nothing else is read as free text; where that fails too, ``error_detail`` says that it is no
+    code of the expected grid either. It is null without an error or an expected grid. A null text gives null.
     """
     if expected is not None and expected not in GRIDS:
         raise ValueError(expected)
@@ -39,6 +40,8 @@ def parse_coordinate(text: Column, expected: str | None = None, default_order: s
     out = F.when(F.lower(F.left(F.trim(text), F.lit(4))) == "geo:", uri()).otherwise(free())
     for how in ["mgrs", "plus_code", *([expected] if expected else [])]:
         out = _tried(how, text, out)
+    detail = F.lit(f"not a {expected} reference") if expected else F.lit(None).cast("string")
+    out = let(out, lambda p: p.withField("error_detail", F.when(p["error_kind"].isNotNull() & (p["how"] == "text"), detail)))
     return F.when(text.isNotNull(), out)
 
 

@@ -226,3 +226,22 @@ def test_a_crowded_spot_is_never_paired(spark):
     spots = m._spots(frame, edge, 4)
     rows = m._near(spots, 30.0, edge, chord(30.0) * (1 + 1e-9) / edge).count()
     assert rows < 20 * spots.where("NOT full").count() < sum(map(len, near)) / 10
+
+
+def test_middles_of_zones(spark):
+    from geoloom.functions.grids import utm_central_meridian
+
+    rows = spark.range(0, 62).select("id", utm_central_meridian("id").alias("m")).collect()
+    assert [r.m for r in rows] == [None, *[-177.0 + 6 * k for k in range(60)], None]
+
+
+def test_what_an_expected_grid_says_of_a_text_that_is_none(spark):
+    from geoloom.sources.detect import parse_coordinate
+
+    texts = ["u09tvw0f6szy", "nothing here", "48.5, 2.25", "geo:91,0", None]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r.p for r in frame.select("k", parse_coordinate(F.col("t"), "geohash").alias("p")).orderBy("k").collect()]
+    assert got[0].how == "geohash" and got[2].how == "text" and got[4] is None
+    assert got[1].error_kind and got[3].error_kind and [p and p.error_detail for p in got] == [None, "not a geohash reference", None, None, None]
+    plain = frame.where("k = 1").select(parse_coordinate(F.col("t")).alias("p")).first().p
+    assert plain.error_kind and plain.error_detail is None
