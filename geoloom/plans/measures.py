@@ -218,7 +218,7 @@ def utm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spread(spark, sf_dir).withColumn("u", grids.utm("lat", "lon")).withColumn("g", grids.utm_inverse(F.col("u")))
     p = p.withColumn("r", codes.utm_reference("u.zone", F.col("u.hemi"), "u.easting_m", "u.northing_m"))
     far = codes.utm_reference(F.col("u.zone") % 60 + 1, F.col("u.hemi"), "u.easting_m", F.lit(1.0e7 + 1))
-    return p.select("event_id", _r(F.col("g.lat"), 7).alias("lat"), _r(core.wrap_longitude(F.col("g.lon")), 7).alias("lon"), ((F.col("r.easting_m") == F.col("u.easting_m")) & far.isNull()).alias("same"))
+    return p.select("event_id", _r(F.col("g.lat"), 7).alias("lat"), core.wrap_longitude(_r(F.col("g.lon"), 7)).alias("lon"), ((F.col("r.easting_m") == F.col("u.easting_m")) & far.isNull()).alias("same"))
 
 
 @query("""WITH polar AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 84 + CAST(event_id*7919 % 60001 AS DOUBLE)/10000 ELSE -80.0001 - CAST(event_id*7919 % 99999 AS DOUBLE)/10000 END AS lat, CAST(event_id*15485863 % 3600000 AS DOUBLE)/10000 - 180 AS lon FROM events),
