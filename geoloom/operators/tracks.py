@@ -357,24 +357,34 @@ def points_with_cells(points: DataFrame, meters: float) -> DataFrame:
     return points.select("*", x.alias("cx"), y.alias("cy"), z.alias("cz"))
 
 
+it_vector(F.col("lat"), F.col("lon")), chord(meters) * (1 + 1e-9) + 1e-12)
+    return points.select("*", x.alias("cx"), y.alias("cy"), z.alias("cz"))
+
+
 def inside_boxes(fixes: DataFrame, boxes: DataFrame, idx: str = "idx") -> DataFrame:
     """The ``idx`` of fixes (lat, lon) inside any box zone (south, west, north, east; west > east crosses the antimeridian), each once.
 
-    Both sides meet on cells of one degree, of which a box has 65,000 at most; a fix is in one. Edges belong to a box, a pole has every longitude.
+    Both sides meet on cells of one degree, of which a box has 65,000 at most; a fix is in one. A cell that some box covers is one row, and only
+    fixes of other cells look at boxes, until one holds them. Edges belong to a box, a pole has every longitude; a place off the globe is in no box.
     """
     at = lambda x: F.floor(x).cast("int")
     turn = lambda x: F.pmod(x + 180, F.lit(360)) - 180
     pole = F.lit(999)
     box = F.struct("south", "west", "north", "east")
-    span = F.when(F.col("west") <= F.col("east"), at("east") - at("west")).otherwise(at("east") + 360 - at("west"))
-    columns = F.transform(F.sequence(F.lit(0), F.least(span, F.lit(359))), lambda k: turn(at("west") + k))
-    cells = F.flatten(F.transform(F.sequence(at("south"), at("north")), lambda r: F.transform(columns, lambda x: F.struct(r.alias("row"), x.alias("col")))))
-    tips = F.array_compact(F.array(*[F.when(F.col(edge) == deg, F.struct(F.lit(deg).alias("row"), pole.alias("col"))) for edge, deg in (("north", 90), ("south", -90))]))
-    zones = boxes.where("south <= north").select(box.alias("box"), F.explode(F.concat(cells, tips)).alias("cell")).select("box", "cell.row", "cell.col").distinct()
-    own = fixes.select(F.col(idx).alias(idx), "lat", "lon", at("lat").alias("row"), F.when(F.abs("lat") == 90.0, pole).otherwise(turn(at("lon"))).alias("col"))
-    return own.join(zones, ["row", "col"]).where(box_contains(F.col("box"), F.col("lat"), F.col("lon"))).select(idx).distinct()
-
-
-def zone_circle(lat: Column, lon: Column, radius_m: Column) -> Column:
+    end = F.when(F.col("west") <= F.col("east"), F.col("east")).otherwise(F.col("east") + 360.0)
+    columns = F.sequence(at("west"), at("west") + F.least(at(end) - at("west"), F.lit(359)))
+    tall = boxes.where("south <= north").select(box.alias("box"), end.alias("end"), "south", "west", "north", F.explode(columns).alias("x"))
+    cells = tall.select("*", F.explode(F.sequence(at("south"), at("north"))).alias("row"))
+    whole = (F.col("south") <= F.col("row")) & (F.col("row") + 1 <= F.col("north")) & (F.col("west") <= F.col("x")) & (F.col("x") + 1 <= F.col("end"))
+    cells = cells.select("box", "row", turn(F.col("x")).alias("col"), whole.alias("whole"))
+    tips = F.array_compact(F.array(*[F.when(F.col(edge) == deg, F.lit(deg)) for edge, deg in (("north", 90), ("south", -90))]))
+    cells = cells.unionByName(boxes.where("south <= north").select(box.alias("box"), F.explode(tips).alias("row"), pole.alias("col"), F.lit(True).alias("whole")))
+    there = F.col("lat").between(-90, 90) & ((F.abs("lat") == 90.0) | F.col("lon").between(-180, 180))
+    own = fixes.where(there).select(F.col(idx).alias(idx), "lat", "lon", at("lat").alias("row"), F.when(F.abs("lat") == 90.0, pole).otherwise(turn(at("lon"))).alias("col"))
+    # At most 65,000 cells, whatever the number of boxes; the boxes' parts are many, and are never broadcast.
+    seen = own.join(cells.groupBy("row", "col").agg(F.max("whole").alias("full")), ["row", "col"])
+    covered = cells.where("whole").select("row", "col").distinct()
+    parts = cells.where("NOT whole").join(covered, ["row", "col"], "left_anti").distinct().hint("merge")
+    met = (seen["row"] == parts["row"]) & (seen["col"] == parts["col"]) & box_contains(parts["box"], seen["ldef zone_circle(lat: Column, lon: Column, radius_m: Column) -> Column:
     """STRUCT<lat, lon, radius_m> of a circular zone; null for a place off the globe, or a negative or infinite radius."""
     return F.when(lat.between(-90, 90) & lon.between(-180, 180), finite_struct(radius_m >= 0, lat=lat, lon=lon, radius_m=radius_m))
