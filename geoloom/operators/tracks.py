@@ -357,10 +357,6 @@ def points_with_cells(points: DataFrame, meters: float) -> DataFrame:
     return points.select("*", x.alias("cx"), y.alias("cy"), z.alias("cz"))
 
 
-it_vector(F.col("lat"), F.col("lon")), chord(meters) * (1 + 1e-9) + 1e-12)
-    return points.select("*", x.alias("cx"), y.alias("cy"), z.alias("cz"))
-
-
 def inside_boxes(fixes: DataFrame, boxes: DataFrame, idx: str = "idx") -> DataFrame:
     """The ``idx`` of fixes (lat, lon) inside any box zone (south, west, north, east; west > east crosses the antimeridian), each once.
 
@@ -385,6 +381,10 @@ def inside_boxes(fixes: DataFrame, boxes: DataFrame, idx: str = "idx") -> DataFr
     seen = own.join(cells.groupBy("row", "col").agg(F.max("whole").alias("full")), ["row", "col"])
     covered = cells.where("whole").select("row", "col").distinct()
     parts = cells.where("NOT whole").join(covered, ["row", "col"], "left_anti").distinct().hint("merge")
-    met = (seen["row"] == parts["row"]) & (seen["col"] == parts["col"]) & box_contains(parts["box"], seen["ldef zone_circle(lat: Column, lon: Column, radius_m: Column) -> Column:
+    met = (seen["row"] == parts["row"]) & (seen["col"] == parts["col"]) & box_contains(parts["box"], seen["lat"], seen["lon"])
+    return seen.where("full").select(idx).unionByName(seen.where("NOT full").join(parts, met, "left_semi").select(idx)).distinct()
+
+
+def zone_circle(lat: Column, lon: Column, radius_m: Column) -> Column:
     """STRUCT<lat, lon, radius_m> of a circular zone; null for a place off the globe, or a negative or infinite radius."""
     return F.when(lat.between(-90, 90) & lon.between(-180, 180), finite_struct(radius_m >= 0, lat=lat, lon=lon, radius_m=radius_m))
