@@ -302,10 +302,11 @@ def zones_strip(fixes: DataFrame, zones: DataFrame, idx: str = "idx") -> DataFra
 
     sized = zones.withColumn("_power", F.least(F.ceil(F.log2(F.greatest("radius_m", F.lit(1.0)))), F.lit(25)).cast("int"))
     inside = fixes.select(idx).limit(0)
+    known = fixes.where(~F.isnan(F.col("lat") + F.col("lon")))  # NaN would count as half the way round
     for power in sorted(r[0] for r in sized.select("_power").where("_power IS NOT NULL").distinct().collect()):
         some = sized.where(F.col("_power") == power)
-        met = radius_join(some, fixes, float(2**power), "zone_id", idx).join(some.select(F.col("zone_id").alias("qid"), "radius_m"), "qid")
-        inside = inside.unionByName(met.where("distance_m <= radius_m").select(F.col("pid").alias(idx)))
+        met = radius_join(known, some, float(2**power), idx, "zone_id").join(some.select(F.col("zone_id").alias("pid"), "radius_m"), "pid")
+        inside = inside.unionByName(met.where("distance_m <= radius_m").select(F.col("qid").alias(idx)))
     return fixes.join(inside, idx, "left_anti")
 
 
