@@ -109,3 +109,26 @@ def test_vectors_on_a_budget_edge(spark):
         want[i] = sum(j != i and float(vec[i] @ vec[j]) >= 0.95 for j in vec)
     got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == want and sum(want.values()) > 20
+
+
+def test_blocks_of_vectors_meet_without_a_shuffle(spark, monkeypatch):
+    """Vectors are shuffled to find equal ones, and never to meet others; huge ones have cosines as well."""
+    import numpy as np
+
+    from geoloom.llm import vectors
+
+    plans, stage = [], vectors.stage
+    monkeypatch.setattr(vectors, "stage", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df, *a))
+    g = np.random.default_rng(4)
+    some = g.standard_normal((300, 8)).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(some)] + [(1000 + k, v.tolist()) for k, v in enumerate(some[:50])]
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), tile=32).collect()}
+    v = np.array([w for _, w in rows], float)
+    size = np.linalg.norm(v, axis=1)
+    near = v @ v.T >= 0.95 * size[:, None] * size[None, :]
+    assert got == {k: int(n) - 1 for (k, _), n in zip(rows, near.sum(axis=1))}
+    [meet] = [p for p in plans if "block" in p and "CartesianProduct" in p]
+    assert "Exchange" not in meet and sum("Exchange" in p and "v#" in p for p in plans) <= 2
+    huge = [(0, [1e200, 0.0, 0.0]), (1, [0.0, 1e200, 0.0]), (2, [1e200, 1e198, 0.0]), (3, [1e-200, 0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (2, 0), 1: (0, 1), 2: (2, 0), 3: (2, 0)}
