@@ -33,8 +33,9 @@ def bounded(cell: Column, crs: str = WGS84) -> Column:
 
 
 def box_corners(b: Column) -> Column:
+    """A box's western corners; the eastern ones are as far from its middle."""
     at = lambda lat, lon: F.struct(b[lat].alias("lat"), b[lon].alias("lon"))
-    return F.array(*[at(y, x) for y in ("south", "north") for x in ("west", "east")])
+    return F.array(*[at(y, "west") for y in ("south", "north")])
 
 
 def _decoded(box: Column, crs: str) -> Column:
@@ -78,10 +79,10 @@ def maidenhead_decode(code: Column, crs: str = WGS84) -> Column:
 
 def parse_plus_code(code: Column) -> Column:
     """A full open location code in capitals; short codes are none."""
-    text, d = F.upper(F.trim(code)), f"[{PLUS}]"
+    d = f"[{PLUS}]"
     start = f"[{PLUS[:9]}][{PLUS[:18]}]"
     full = rf"^{start}({d}{{6}}\+({d}{{2,7}})?|{d}{{4}}00\+|{d}{{2}}0000\+|000000\+)$"
-    return F.when(text.rlike(full), text)
+    return let(F.upper(F.trim(code)), lambda text: F.when(text.rlike(full), text))
 
 
 def plus_code_bounds(code: Column) -> Column:
@@ -243,8 +244,7 @@ def _zone_edges(zone: Column, band: Column) -> Column:
 
 
 def _mgrs_text(code: Column) -> Column:
-    text = F.upper(F.regexp_replace(code, r"\s", ""))
-    return F.when(text.rlike("^[0-9][A-Z]"), F.concat(F.lit("0"), text)).otherwise(text)
+    return let(F.upper(F.regexp_replace(code, r"\s", "")), lambda text: F.when(text.rlike("^[0-9][A-Z]"), F.concat(F.lit("0"), text)).otherwise(text))
 
 
 def mgrs_decode(code: Column, crs: str = WGS84) -> Column:

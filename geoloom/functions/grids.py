@@ -25,22 +25,24 @@ def geohash(lat: Num, lon: Num, length: int) -> Column:
     n_lon, n_lat = (bits + 1) // 2, bits // 2
     part = lambda u, n: F.greatest(F.least(F.floor(u * float(1 << n)).cast("bigint"), F.lit((1 << n) - 1)), F.lit(0))
     x, y = part((c(lon) + 180.0) / 360.0, n_lon), part((c(lat) + 90.0) / 180.0, n_lat)
-    out = []
-    for k in range(length):
-        value = None
-        for b in range(5):
-            at = 5 * k + b
-            source, shift = (x, n_lon - 1 - at // 2) if at % 2 == 0 else (y, n_lat - 1 - at // 2)
-            bit = F.shiftright(source, shift).bitwiseAND(1) * (1 << (4 - b))
-            value = bit if value is None else value + bit
-        out.append(_digit(GEOHASH, value))
-    return F.concat(*out)
+
+    def code(p: Column) -> Column:
+        out = []
+        for k in range(length):
+            value = None
+            for b in range(5):
+                at = 5 * k + b
+                source, shift = (p["x"], n_lon - 1 - at // 2) if at % 2 == 0 else (p["y"], n_lat - 1 - at // 2)
+                bit = F.shiftright(source, shift).bitwiseAND(1) * (1 << (4 - b))
+                value = bit if value is None else value + bit
+            out.append(_digit(GEOHASH, value))
+        return F.concat(*out)
+
+    return let(F.struct(x.alias("x"), y.alias("y")), code)
 
 
 def geohash_bounds(code: Column) -> Column:
     """(south, west, north, east) of a geohash; null for another string."""
-    low = F.lower(F.trim(code))
-    digits = F.transform(F.filter(F.split(low, ""), lambda d: d != ""), lambda d: F.instr(F.lit(GEOHASH), d) - 1)
     start = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"), F.lit(False).alias("odd"))
 
     def step(a: Column, d: Column) -> Column:
@@ -51,12 +53,17 @@ def geohash_bounds(code: Column) -> Column:
             F.when(a["odd"], odd_x).otherwise(even_x).cast("bigint").alias("x"), F.when(a["odd"], odd_y).otherwise(even_y).cast("bigint").alias("y"), (~a["odd"]).alias("odd")
         )
 
-    end = F.aggregate(digits, start, step)
-    n = F.length(low) * 5
-    w, h = F.lit(360.0) / F.pow(F.lit(2.0), F.ceil(n / 2)), F.lit(180.0) / F.pow(F.lit(2.0), F.floor(n / 2))
-    south, west = end["y"] * h - 90.0, end["x"] * w - 180.0
-    box = F.struct(south.alias("south"), west.alias("west"), (south + h).alias("north"), (west + w).alias("east"))
-    return F.when(low.rlike(f"^[{GEOHASH}]{{1,12}}$"), box)
+    def read(low: Column) -> Column:
+        digits = F.transform(F.filter(F.split(low, ""), lambda d: d != ""), lambda d: F.instr(F.lit(GEOHASH), d) - 1)
+        n = F.length(low) * 5
+        w, h = F.lit(360.0) / F.pow(F.lit(2.0), F.ceil(n / 2)), F.lit(180.0) / F.pow(F.lit(2.0), F.floor(n / 2))
+        return F.when(low.rlike(f"^[{GEOHASH}]{{1,12}}$"), let(F.struct(F.aggregate(digits, start, step).alias("end"), w.alias("w"), h.alias("h")), box))
+
+    def box(q: Column) -> Column:
+        south, west = q["end"]["y"] * q["h"] - 90.0, q["end"]["x"] * q["w"] - 180.0
+        return F.struct(south.alias("south"), west.alias("west"), (south + q["h"]).alias("north"), (west + q["w"]).alias("east"))
+
+    return let(F.lower(F.trim(code)), read)
 
 
 def maidenhead(lat: Num, lon: Num, pairs: int) -> Column:
@@ -81,25 +88,33 @@ def plus_code(lat: Num, lon: Num, length: int) -> Column:
     y = F.floor(clamp_latitude(lat) * float(8000 * rows)).cast("bigint") + lat_units // 2
     y = F.greatest(F.least(y, F.lit(lat_units - 1)), F.lit(0))
     x = (F.floor(wrap_longitude(lon) * float(8000 * cols)).cast("bigint") + lon_units // 2) % lon_units
-    digits = []
-    for k in range(5):
-        digits += [_digit(PLUS, F.floor(v / F.lit(unit * 20 ** (4 - k))) % 20) for v, unit in ((y, rows), (x, cols))]
-    for k in range(max(0, length - 10)):
-        r, s = F.floor(y / F.lit(5 ** (4 - k))) % 5, F.floor(x / F.lit(4 ** (4 - k))) % 4
-        digits.append(_digit(PLUS, r * 4 + s))
-    shown = [*digits[: min(length, 8)], *[F.lit("0")] * max(0, 8 - length)]
-    return F.concat(*shown, F.lit("+"), *digits[8:length])
+
+    def code(p: Column) -> Column:
+        y, x, digits = p["y"], p["x"], []
+        for k in range(5):
+            digits += [_digit(PLUS, F.floor(v / F.lit(unit * 20 ** (4 - k))) % 20) for v, unit in ((y, rows), (x, cols))]
+        for k in range(max(0, length - 10)):
+            r, s = F.floor(y / F.lit(5 ** (4 - k))) % 5, F.floor(x / F.lit(4 ** (4 - k))) % 4
+            digits.append(_digit(PLUS, r * 4 + s))
+        shown = [*digits[: min(length, 8)], *[F.lit("0")] * max(0, 8 - length)]
+        return F.concat(*shown, F.lit("+"), *digits[8:length])
+
+    return let(F.struct(y.alias("y"), x.alias("x")), code)
 
 
 def utm_zone(lat: Num, lon: Num) -> Column:
     """Zone 1 to 60 with the exceptions of south-west Norway and Svalbard; null outside [-80, 84)."""
-    lat, lon = c(lat), wrap_longitude(lon)
-    plain = F.floor((lon + 180.0) / 6.0).cast("int") + 1
-    svalbard = F.when(lon < 9, 31).when(lon < 21, 33).when(lon < 33, 35).otherwise(37)
-    return F.when(
-        (lat >= -80) & (lat < 84),
-        F.when((lat >= 56) & (lat < 64) & (lon >= 3) & (lon < 12), 32).when((lat >= 72) & (lon >= 0) & (lon < 42), svalbard).otherwise(plain),
-    )
+
+    def zone(p: Column) -> Column:
+        lat, lon = p["lat"], p["lon"]
+        plain = F.floor((lon + 180.0) / 6.0).cast("int") + 1
+        svalbard = F.when(lon < 9, 31).when(lon < 21, 33).when(lon < 33, 35).otherwise(37)
+        return F.when(
+            (lat >= -80) & (lat < 84),
+            F.when((lat >= 56) & (lat < 64) & (lon >= 3) & (lon < 12), 32).when((lat >= 72) & (lon >= 0) & (lon < 42), svalbard).otherwise(plain),
+        )
+
+    return let(F.struct(c(lat).alias("lat"), wrap_longitude(lon).alias("lon")), zone)
 
 
 def utm_central_meridian(zone: Num) -> Column:
@@ -132,11 +147,14 @@ def utm(lat: Num, lon: Num, zone: Column | None = None, crs: str = WGS84) -> Col
     """STRUCT<zone, hemi, easting_m, northing_m> by the Krüger series; null outside [-80, 84)."""
     e = ELLIPSOIDS[crs]
     radius, alpha, _ = kruger(crs)
-    zone = utm_zone(lat, lon) if zone is None else zone
-    p, ecc = F.radians(c(lat)), e.e2**0.5
-    dl = F.radians(wrap_longitude(wrap_longitude(lon) - (zone * 6 - 183)))
-    s = F.sin(p)
-    t = F.sinh(F.atanh(s) - F.atanh(s * ecc) * ecc)
+    ecc = e.e2**0.5
+    given = F.struct(c(lat).alias("lat"), wrap_longitude(lon).alias("lon"), (F.lit(None).cast("int") if zone is None else zone).alias("zone"))
+
+    def conformal(p: Column) -> Column:
+        s = F.sin(F.radians(p["lat"]))
+        of = lambda s: F.sinh(F.atanh(s) - F.atanh(s * ecc) * ecc)
+        dl = F.radians(wrap_longitude(p["lon"] - (p["zone"] * 6 - 183)))
+        return let(F.struct(let(s, of).alias("t"), dl.alias("dl")), project)
 
     def project(v: Column) -> Column:
         xi, eta = F.atan2(v["t"], F.cos(v["dl"])), F.asinh(F.sin(v["dl"]) / F.hypot(v["t"], F.cos(v["dl"])))
@@ -149,44 +167,59 @@ def utm(lat: Num, lon: Num, zone: Column | None = None, crs: str = WGS84) -> Col
             y = y + F.sin(q["xi"] * (2 * k)) * F.cosh(q["eta"] * (2 * k)) * a
         return F.struct((x * (0.9996 * radius)).alias("x"), (y * (0.9996 * radius)).alias("y"))
 
-    def place(q: Column) -> Column:
+    def place(p: Column, q: Column) -> Column:
         return F.struct(
-            zone.alias("zone"), F.when(c(lat) >= 0, "N").otherwise("S").alias("hemi"), (q["x"] + 500000.0).alias("easting_m"),
-            F.when(c(lat) >= 0, q["y"]).otherwise(q["y"] + 10000000.0).alias("northing_m"),
+            p["zone"].alias("zone"), F.when(p["lat"] >= 0, "N").otherwise("S").alias("hemi"), (q["x"] + 500000.0).alias("easting_m"),
+            F.when(p["lat"] >= 0, q["y"]).otherwise(q["y"] + 10000000.0).alias("northing_m"),
         )
 
-    return F.when(zone.isNotNull(), let(let(F.struct(t.alias("t"), dl.alias("dl")), project), place))
+    placed = lambda p: F.when(p["zone"].isNotNull(), let(conformal(p), lambda q: place(p, q)))
+    if zone is None:
+        return let(let(given, lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), utm_zone(p["lat"], p["lon"]).alias("zone"))), placed)
+    return let(given, placed)
 
 
 def latitude_of_conformal(target: Column, crs: str = WGS84) -> Column:
     """Degrees of latitude whose conformal latitude has that tangent, by Newton's method, four steps."""
     e = ELLIPSOIDS[crs]
     ecc = e.e2**0.5
-    start = target / (1.0 - e.e2)
+    def step(t: Column, target: Column) -> Column:
+        def moved(r: Column) -> Column:
+            root, sigma = r["root"], r["sigma"]
+            slope = (t * t * (1.0 - e.e2) + 1.0) / (root * (1.0 - e.e2))
+            return let(t * F.sqrt(sigma * sigma + 1.0) - sigma * root, lambda at: t + (target - at) / F.sqrt(at * at + 1.0) * slope)
 
-    def step(t: Column, _: Column) -> Column:
-        root = F.sqrt(t * t + 1.0)
-        sigma = F.sinh(F.atanh(t / root * ecc) * ecc)
-        at = t * F.sqrt(sigma * sigma + 1.0) - sigma * root
-        slope = (t * t * (1.0 - e.e2) + 1.0) / (root * (1.0 - e.e2))
-        return t + (target - at) / F.sqrt(at * at + 1.0) * slope
+        sized = lambda root: F.struct(root.alias("root"), F.sinh(F.atanh(t / root * ecc) * ecc).alias("sigma"))
+        return let(let(F.sqrt(t * t + 1.0), sized), moved)
 
-    return F.degrees(F.atan(F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, step)))
+    solved = lambda target: F.aggregate(F.array_repeat(target, 4), target / (1.0 - e.e2), step)
+    return F.degrees(F.atan(let(target, solved)))
 
 
 def utm_inverse(u: Column, crs: str = WGS84) -> Column:
     """(lat, lon) of a UTM struct; the latitude from its conformal one by Newton's method, four steps."""
     radius, _, beta = kruger(crs)
-    y = F.when(u["hemi"] == "N", u["northing_m"]).otherwise(u["northing_m"] - 10000000.0) / (0.9996 * radius)
-    x = (u["easting_m"] - 500000.0) / (0.9996 * radius)
-    xi, eta = y, x
-    for k, b in enumerate(beta, 1):
-        xi = xi - F.sin(y * (2 * k)) * F.cosh(x * (2 * k)) * b
-        eta = eta - F.cos(y * (2 * k)) * F.sinh(x * (2 * k)) * b
-    target = F.sin(xi) / F.hypot(F.sinh(eta), F.cos(xi))
-    return F.struct(
-        latitude_of_conformal(target, crs).alias("lat"), wrap_longitude(F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (u["zone"] * 6 - 183)).alias("lon")
-    )
+
+    def plane(u: Column) -> Column:
+        y = F.when(u["hemi"] == "N", u["northing_m"]).otherwise(u["northing_m"] - 10000000.0) / (0.9996 * radius)
+        x = (u["easting_m"] - 500000.0) / (0.9996 * radius)
+        return let(let(let(F.struct(x.alias("x"), y.alias("y")), rectified), sides), lambda q: place(u, q))
+
+    def rectified(q: Column) -> Column:
+        x, y = q["x"], q["y"]
+        xi, eta = y, x
+        for k, b in enumerate(beta, 1):
+            xi = xi - F.sin(y * (2 * k)) * F.cosh(x * (2 * k)) * b
+            eta = eta - F.cos(y * (2 * k)) * F.sinh(x * (2 * k)) * b
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
+
+    sides = lambda q: F.struct(F.sin(q["xi"]).alias("s"), F.cos(q["xi"]).alias("c"), F.sinh(q["eta"]).alias("h"))
+
+    def place(u: Column, q: Column) -> Column:
+        lon = wrap_longitude(F.degrees(F.atan2(q["h"], q["c"])) + (u["zone"] * 6 - 183))
+        return F.struct(latitude_of_conformal(q["s"] / F.hypot(q["h"], q["c"]), crs).alias("lat"), lon.alias("lon"))
+
+    return let(u, plane)
 
 
 def s2_level(cell: Column) -> Column:
@@ -207,9 +240,9 @@ def mgrs(lat: Num, lon: Num, digits: int = 5) -> Column:
     """MGRS reference with 0 to 5 digits for each axis, cut and not rounded; beyond [-80, 84) in the polar letters."""
     if not 0 <= digits <= 5:
         raise ValueError(digits)
-    band = F.least(F.floor((c(lat) + 80.0) / 8.0), F.lit(19))
 
-    def code(u: Column) -> Column:
+    def code(lat: Column, u: Column) -> Column:
+        band = F.least(F.floor((lat + 80.0) / 8.0), F.lit(19))
         e, n = F.floor(u["easting_m"]).cast("bigint"), F.floor(u["northing_m"]).cast("bigint")
         turn = (u["zone"] - 1) % 3
         column = F.substring(F.lit("".join(COLUMNS)), (turn * 8 + F.floor(e / 100000)).cast("int"), F.lit(1))
@@ -219,7 +252,11 @@ def mgrs(lat: Num, lon: Num, digits: int = 5) -> Column:
 
     from geoloom.functions.codes import mgrs_polar
 
-    return F.when((c(lat) >= -80) & (c(lat) < 84), let(utm(lat, lon), code)).when(c(lat).between(-90, 90), mgrs_polar(lat, lon, digits))
+    def named(p: Column) -> Column:
+        lat, lon = p["lat"], p["lon"]
+        return F.when((lat >= -80) & (lat < 84), let(utm(lat, lon), lambda u: code(lat, u))).when(lat.between(-90, 90), mgrs_polar(lat, lon, digits))
+
+    return let(F.struct(c(lat).alias("lat"), c(lon).alias("lon")), named)
 
 
 # Place on the Hilbert curve of the quarters (0,0), (0,1), (1,0), (1,1) in each of four orientations, and how

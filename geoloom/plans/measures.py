@@ -239,11 +239,11 @@ def ups_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SPREAD} SELECT event_id, TRUE AS near, TRUE AS same FROM spread")
 def mgrs_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squares of 100 m read from small letters with blanks: the point lies within the bound, and the middle has the same reference."""
-    code = grids.mgrs("lat", "lon", 3)
+    code = F.col("code")
     shown = F.lower(F.concat(F.substring(code, 1, 3), F.lit(" "), F.substring(code, 4, 2), F.lit(" "), F.substr(code, F.lit(6))))
-    p = spread(spark, sf_dir).withColumn("code", code).withColumn("m", codes.mgrs_decode(shown))
+    p = spread(spark, sf_dir).withColumn("code", grids.mgrs("lat", "lon", 3)).withColumn("shown", shown).withColumn("m", codes.mgrs_decode(F.col("shown")))
     near = geodesy.haversine("lat", "lon", "m.lat", "m.lon") <= F.col("m.max_error_m") * 1.01
-    return p.select("event_id", near.alias("near"), ((grids.mgrs("m.lat", "m.lon", 3) == F.col("code")) & (codes.parse_mgrs(shown) == F.col("code"))).alias("same"))
+    return p.select("event_id", near.alias("near"), ((grids.mgrs("m.lat", "m.lon", 3) == F.col("code")) & (codes.parse_mgrs(F.col("shown")) == F.col("code"))).alias("same"))
 
 
 @query(f"WITH {SPREAD} SELECT event_id, 14 AS level, TRUE AS same, TRUE AS near, TRUE AS refused FROM spread")
