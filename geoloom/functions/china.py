@@ -62,6 +62,38 @@ def _pair(lat: Column, lon: Column) -> Column:
     return F.struct(lat.alias("lat"), lon.alias("lon"))
 
 
+def _until_rest(start: Column, step, steps: int, run: int = 8) -> Column:
+    """A fold of ``steps`` steps that stand still once ``rest`` is small; runs of steps after that are passed over."""
+    many = lambda at, n: F.when(at["rest"] < 1e-9, at).otherwise(F.aggregate(F.sequence(F.lit(1), n), at, step))
+    return F.aggregate(F.array(*[F.lit(min(run, steps - k)) for k in range(0, steps, run)]), start, many)
+
+
+def _offset_once(lat: Column, lon: Column) -> Column:
+    """:func:`_offset` as a pair for use inside of folds, where nothing finds what formulas share."""
+    x, y, phi = lon - 105.0, lat - 35.0, F.radians(lat)
+
+    def degrees(v: Column) -> Column:
+        x, y, root, shared = v["x"], v["y"], v["root"], v["shared"]
+        north = (
+            F.lit(-100.0) + x * 2.0 + y * 3.0 + y * y * 0.2 + x * y * 0.1 + root * 0.2
+            + shared
+            + _waves([(20.0, y * pi), (40.0, y * (pi / 3.0))])
+            + _waves([(160.0, y * (pi / 12.0)), (320.0, y * (pi / 30.0))])
+        )
+        east = (
+            F.lit(300.0) + x + y * 2.0 + x * x * 0.1 + x * y * 0.1 + root * 0.1
+            + shared
+            + _waves([(20.0, x * pi), (40.0, x * (pi / 3.0))])
+            + _waves([(150.0, x * (pi / 12.0)), (300.0, x * (pi / 30.0))])
+        )
+        w2 = F.lit(1.0) - v["s"] * v["s"] * GCJ_EE
+        scaled = lambda q: _pair(north * 180.0 / (F.lit(GCJ_A * (1.0 - GCJ_EE)) / (q["w2"] * q["w"]) * pi), east * 180.0 / (F.lit(GCJ_A) / q["w"] * F.cos(v["phi"]) * pi))
+        return let(let(w2, lambda q: F.struct(q.alias("w2"), F.sqrt(q).alias("w"))), scaled)
+
+    shared = lambda x: _waves([(20.0, x * 6.0 * pi), (20.0, x * 2.0 * pi)])
+    return let(F.struct(x.alias("x"), y.alias("y"), F.sqrt(F.abs(x)).alias("root"), shared(x).alias("shared"), phi.alias("phi"), F.sin(phi).alias("s")), degrees)
+
+
 def wgs84_to_gcj02(lat: Num, lon: Num) -> Column:
     """(lat, lon) in GCJ-02; unchanged outside the box."""
     lat, lon = c(lat), c(lon)
@@ -101,18 +133,17 @@ def gcj02_to_wgs84_refined(lat: Num, lon: Num, steps: int = 100) -> Column:
     start = F.struct(lat.alias("lat"), lon.alias("lon"), F.lit(float("inf")).alias("rest"))
 
     def step(at: Column, _: Column) -> Column:
-        dlat, dlon = _offset(at["lat"], at["lon"])
-        miss_lat, miss_lon = at["lat"] + dlat - lat, at["lon"] + dlon - lon
-        moved = F.struct(
-            (at["lat"] - miss_lat).alias("lat"), (at["lon"] - miss_lon).alias("lon"), F.greatest(F.abs(miss_lat), F.abs(miss_lon)).alias("rest")
+        missed = lambda d: _pair(at["lat"] + d["lat"] - lat, at["lon"] + d["lon"] - lon)
+        moved = lambda m: F.struct(
+            (at["lat"] - m["lat"]).alias("lat"), (at["lon"] - m["lon"]).alias("lon"), F.greatest(F.abs(m["lat"]), F.abs(m["lon"])).alias("rest")
         )
-        return F.when(at["rest"] < 1e-9, at).otherwise(moved)
+        return F.when(at["rest"] < 1e-9, at).otherwise(let(let(_offset_once(at["lat"], at["lon"]), missed), moved))
 
     def finish(end: Column) -> Column:
         bound = F.when(end["rest"] < 1e-9, F.lit(0.5)).otherwise(F.radians(end["rest"]) * METERS_PER_RADIAN + 0.5)
         return F.struct(end["lat"].alias("lat"), end["lon"].alias("lon"), bound.alias("max_error_m"))
 
-    inside = let(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step), finish)
+    inside = let(_until_rest(start, step, steps), finish)
     return F.when(in_china_box(lat, lon), inside).otherwise(F.struct(lat.alias("lat"), lon.alias("lon"), F.lit(0.0).alias("max_error_m")))
 
 
@@ -121,8 +152,9 @@ def gcj02_to_bd09(lat: Num, lon: Num) -> Column:
     lat, lon = c(lat), c(lon)
     z = F.sqrt(lon * lon + lat * lat) + F.sin(lat * X_PI) * 0.00002
     theta = F.atan2(lat, lon) + F.cos(lon * X_PI) * 0.000003
-    new = z * F.sin(theta) + 0.006
-    return F.when(new.between(-90, 90), _pair(new, wrap_longitude(z * F.cos(theta) + 0.0065)))
+    flat = lambda p: _pair(p["z"] * F.sin(p["theta"]) + 0.006, p["z"] * F.cos(p["theta"]) + 0.0065)
+    there = lambda p: F.when(p["lat"].between(-90, 90), _pair(p["lat"], wrap_longitude(p["lon"])))
+    return let(let(F.struct(z.alias("z"), theta.alias("theta")), flat), there)
 
 
 def bd09_to_gcj02_fast(lat: Num, lon: Num) -> Column:
@@ -131,9 +163,10 @@ def bd09_to_gcj02_fast(lat: Num, lon: Num) -> Column:
     x, y = lon - 0.0065, lat - 0.006
     z = F.sqrt(x * x + y * y) - F.sin(y * X_PI) * 0.00002
     theta = F.atan2(y, x) - F.cos(x * X_PI) * 0.000003
-    new = z * F.sin(theta)
     bound = F.when(F.abs(lon) >= 180.0 - 0.02, F.lit(FAST_BD_EDGE_M)).otherwise(F.lit(FAST_BD_M))
-    return F.when(new.between(-90, 90), F.struct(new.alias("lat"), wrap_longitude(z * F.cos(theta)).alias("lon"), bound.alias("max_error_m")))
+    flat = lambda p: _pair(p["z"] * F.sin(p["theta"]), p["z"] * F.cos(p["theta"]))
+    there = lambda p: F.when(p["lat"].between(-90, 90), F.struct(p["lat"].alias("lat"), wrap_longitude(p["lon"]).alias("lon"), bound.alias("max_error_m")))
+    return let(let(F.struct(z.alias("z"), theta.alias("theta")), flat), there)
 
 
 def wgs84_to_bd09(lat: Num, lon: Num) -> Column:
@@ -164,10 +197,10 @@ def bd09_to_gcj02_refined(lat: Num, lon: Num, steps: int = 100) -> Column:
 
         def step(at: Column, _: Column) -> Column:
             def moved(again: Column) -> Column:
-                miss_lat, miss_lon = again["lat"] - lat, wrap_longitude(again["lon"] - lon)
-                return F.struct(
-                    (at["lat"] - miss_lat).alias("lat"), wrap_longitude(at["lon"] - miss_lon).alias("lon"), F.greatest(F.abs(miss_lat), F.abs(miss_lon)).alias("rest")
+                back = lambda m: F.struct(
+                    (at["lat"] - m["lat"]).alias("lat"), wrap_longitude(at["lon"] - m["lon"]).alias("lon"), F.greatest(F.abs(m["lat"]), F.abs(m["lon"])).alias("rest")
                 )
+                return let(_pair(again["lat"] - lat, wrap_longitude(again["lon"] - lon)), back)
 
             next_ = let(gcj02_to_bd09(at["lat"], at["lon"]), moved)
             return F.when(at["rest"] < 1e-9, at).otherwise(F.coalesce(next_, at))
@@ -176,7 +209,7 @@ def bd09_to_gcj02_refined(lat: Num, lon: Num, steps: int = 100) -> Column:
             bound = F.when(end["rest"] < 1e-9, F.lit(FAST_BD_M)).otherwise(F.radians(F.least(end["rest"], F.lit(180.0))) * METERS_PER_RADIAN + FAST_BD_M)
             return F.struct(end["lat"].alias("lat"), end["lon"].alias("lon"), bound.alias("max_error_m"))
 
-        return F.when(first.isNotNull(), let(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step), finish))
+        return F.when(first.isNotNull(), let(_until_rest(start, step, steps), finish))
 
     return let(bd09_to_gcj02_fast(lat, lon), solve)
 
@@ -267,6 +300,10 @@ def to_crs(point: Column, crs: str) -> Column:
     """
     if crs not in CRS:
         raise ValueError(crs)
+    return let(point, lambda p: _in_crs(p, crs))
+
+
+def _in_crs(point: Column, crs: str) -> Column:
     lat, lon = point["lat"], point["lon"]
     exact = lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), F.lit(0.0).alias("max_error_m"))
     same = F.struct(lat.alias("lat"), lon.alias("lon"), F.lit(0.0).alias("max_error_m"))

@@ -89,3 +89,17 @@ def test_xmp_tags_are_cleaned_once(spark):
     made = gps.select(from_xmp(F.col("gps"), gps.schema["gps"].dataType).alias("x"))
     assert [(r.x.lat, r.x.lon, r.x.height_m, r.x.speed_mps, r.x.error_kind) for r in made.collect()] == [(48 + 12.5 / 60, 11 + 30.25 / 60, -5.0, 10.0, None), (None, None, None, None, "Syntax")]
     assert made._jdf.queryExecution().analyzed().toString().count("regexp_replace(") < 60
+
+
+def test_steps_of_grids_and_datums_are_worked_out_once(spark, monkeypatch):
+    """Steps in the plan, not seconds: nothing that a formula uses more than once is written out again."""
+    from geoloom.functions import china, codes, core, grids
+
+    p = spark.createDataFrame([("31UDQ4825111932", 48.9, 2.3)], "code string, lat double, lon double")
+    plan = lambda x: p.select(x.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan(grids.utm("lat", "lon")).count("pmod(") < 10
+    assert plan(codes.mgrs_decode(F.lower("code"))).count("lower(") == 1
+    assert plan(grids.utm_inverse(grids.utm("lat", "lon"))).lower().count("atanh(") < 8
+    assert len(plan(china.to_crs(core.coordinate("lat", "lon", core.BD09), core.WGS84))) < 100_000
+    assert plan(codes.plus_code_decode(F.lower(grids.plus_code("lat", "lon", 11)))).count("lower(") == 1
+    assert plan(codes.geohash_decode(F.upper(grids.geohash("lat", "lon", 5)))).count("upper(") == 1
