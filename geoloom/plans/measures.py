@@ -53,7 +53,8 @@ def geodesic_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     ahead = F.col("i.initial_deg") + 180.0
     p = p.withColumn("x", geodesic.destination("f.lat", "f.lon", F.when(F.col("side") > 0, ahead + 90.0).otherwise(ahead - 90.0), F.abs("side")))
     path = ("x.lat", "x.lon", "lat", "lon", "e.lat", "e.lon")
-    return p.select("event_id", _r(geodesic.cross_track(*path), 3).alias("cross_m"), _r(geodesic.along_track(*path), 3).alias("along_m"))
+    p = p.withColumn("k", geodesic.track_offset(*path))
+    return p.select("event_id", _r(F.col("k.cross_m"), 3).alias("cross_m"), _r(F.col("k.along_m"), 3).alias("along_m"))
 
 
 @query(f"""WITH {SPREAD}, w AS (SELECT *, {_WAY} FROM spread) SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'NoForwardCrossing' WHEN event_id % 5 = 1 THEN 'SameGeodesic' ELSE 'Crossing' END AS kind,
