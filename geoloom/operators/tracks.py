@@ -344,8 +344,10 @@ def estimate_offset(track: DataFrame, references: DataFrame) -> DataFrame:
         (along > 0) & (along < length),
         F.struct(F.abs(cross_track_spherical("rlat", "rlon", "lat", "lon", "lat2", "lon2")).alias("m"), (F.col("t") + (F.col("t2") - F.col("t")) * (along / length)).alias("t")),
     )
-    passes = asked.join(legs, "track_id").select("track_id", "ref", "at", F.explode(F.array_compact(F.array(own, beside))).alias("p"))
-    best = passes.groupBy("track_id", "ref", "at").agg(F.min(F.struct(F.round("p.m", 3).alias("m"), F.abs(F.col("p.t") - F.col("at")).alias("apart"), F.col("p.t").alias("t"))).alias("b"))
+    passes = asked.join(legs, "track_id").select("track_id", "ref", "at", own.alias("own"), beside.alias("beside"))
+    order = lambda p: F.struct(F.round(f"{p}.m", 3).alias("m"), F.abs(F.col(f"{p}.t") - F.col("at")).alias("apart"), F.col(f"{p}.t").alias("t"))
+    nearer = F.least(order("own"), F.when(F.col("beside").isNotNull(), order("beside")))
+    best = passes.groupBy("track_id", "ref", "at").agg(F.min(nearer).alias("b"))
     late = (F.col("b.t") - F.col("at")) / 1000.0
     return best.groupBy("track_id").agg(F.round(F.percentile(late, F.lit(0.5))).cast("bigint").alias("offset_ms"), F.count("*").alias("n"))
 

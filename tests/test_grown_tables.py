@@ -125,3 +125,14 @@ def test_rows_leave_the_search_for_a_geodesic(monkeypatch):
     assert sum(rows) < 200 * 4000 and not np.isnan(cross + along).any()
     s, a, b = g.inverse(0.0, np.array([10.0, 0.0, 3.0]), 0.0, np.array([100.0, -30.0, 3.0]))
     assert np.allclose(s, [6378137.0 * np.pi / 2, 6378137.0 * np.pi / 6, 0.0]) and a.tolist() == b.tolist() == [90.0, 270.0, 0.0]
+
+
+def test_a_segment_is_passed_once(spark):
+    """The nearer of a segment's start and the place beside it is taken in the row, not by a row for each."""
+    from geoloom.operators.tracks import estimate_offset
+
+    track = spark.createDataFrame([(1, f"2024-01-01 00:0{k}:00", 0.0, k / 10) for k in range(5)], "track_id long, ts string, lat double, lon double").withColumn("ts", F.to_timestamp("ts"))
+    photos = spark.createDataFrame([(1, "2024-01-01 00:01:28", 0.01, 0.15), (1, "2024-01-01 00:01:58", 0.0, 0.2)], "track_id long, ts string, lat double, lon double").withColumn("ts", F.to_timestamp("ts"))
+    got = estimate_offset(track, photos)
+    assert [(r.track_id, r.offset_ms, r.n) for r in got.collect()] == [(1, 2000, 2)]
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
