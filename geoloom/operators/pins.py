@@ -118,14 +118,17 @@ def _tiles(zoom: int, up: int, radius: float) -> Column:
 
 
 def settle(batches: Iterator[pa.RecordBatch], radius: float) -> Iterator[pa.RecordBatch]:
-    """Nodes (tile, own, id, klon, x, y, state), by tile and order, to what is found of a tile's own unsettled nodes: id, state, parent, plon."""
+    """Nodes (tile, own, id, klon, x, y, state, klat), by tile and order, to what is found of a tile's own unsettled nodes: id, state, parent, plon.
+
+    Seeds and nodes that are still open come with their klat, klon, x and y, so that later rounds need no join to have them.
+    """
     columns = max(1, min(int(1.0 / radius), 1 << 31))
     around = sorted({-1 % columns, 0, 1 % columns})
     square, tile = radius * radius, None
     seeds: dict[tuple[int, int], list] = {}
     opens: dict[tuple[int, int], list] = {}
     for b in batches:
-        out: tuple[list, list, list, list] = [], [], [], []
+        out: tuple[list, ...] = [], [], [], [], []
         rows = zip(*(b.column(k).to_pylist() for k in range(7)))
         for nth, (at, own, name, klon, x, y, state) in enumerate(rows):
             if at != tile:
@@ -165,10 +168,12 @@ def settle(batches: Iterator[pa.RecordBatch], radius: float) -> Iterator[pa.Reco
                 found = OPEN, None, None
                 opens.setdefault((cx, cy), []).append((order, x, y))
             if own:
-                for column, value in zip(out, (name, *found)):
+                for column, value in zip(out, (name, *found, None if found[0] == MEMBER else nth)):
                     column.append(value)
+        place = pa.array(out[4], pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], ["id", "state", "parent", "plon"]
+            [*(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))), *(b.column(k).take(place) for k in (7, 3, 4, 5))],
+            ["id", "state", "parent", "plon", "klat", "klon", "x", "y"],
         )
 
 
@@ -181,9 +186,9 @@ def join_seeds(nodes: DataFrame, zoom: int, radius: float, size: int, known: Dat
     up = LEAF if size <= TILE_NODES else TILE_UP_POINTS if zoom == DEEPEST else TILE_UP
     at = nodes.select(*_KEY, "x", "y")
     rest, settled, seeds, members, rounds = at.withColumn("state", F.lit(OPEN)), [], None, 0, 0
-    of = lambda ids: at.join(ids.where(F.col("state") == SEED).select("id"), "id", "left_semi").withColumn("state", F.lit(SEED))
     if known is not None:
-        rest, settled, seeds = rest.join(known.select("id"), "id", "left_anti").select(*rest.columns), [known], of(known)
+        rest, settled = rest.join(known.select("id"), "id", "left_anti").select(*rest.columns), [known]
+        seeds = at.join(known.where(F.col("state") == SEED).select("id"), "id", "left_semi").withColumn("state", F.lit(SEED))
     tally = lambda *states: F.count_if(F.col("state").isin(*states))
     while True:
         rounds += 1
@@ -192,14 +197,15 @@ def join_seeds(nodes: DataFrame, zoom: int, radius: float, size: int, known: Dat
             there = dealt.where("own").select("tile").distinct()
             beside = seeds.select("*", F.explode(_tiles(zoom, up, radius)).alias("t")).select(*seeds.columns, "t.*")
             dealt = dealt.unionByName(beside.join(there, "tile", "left_semi").select(*dealt.columns))
-        dealt = dealt.repartition("tile").sortWithinPartitions("tile", *_KEY).select("tile", "own", "id", "klon", "x", "y", "state")
-        found, n = counted(dealt.mapInArrow(lambda b: settle(b, radius), "id long, state int, parent long, plon double"), open=tally(OPEN, WAITING), members=tally(MEMBER))
+        dealt = dealt.repartition("tile").sortWithinPartitions("tile", *_KEY).select("tile", "own", "id", "klon", "x", "y", "state", "klat")
+        what = "id long, state int, parent long, plon double, klat double, klon double, x double, y double"
+        found, n = counted(dealt.mapInArrow(lambda b: settle(b, radius), what), open=tally(OPEN, WAITING), members=tally(MEMBER))
         members += n["members"]
         settled.append(found.where(F.col("state").isin(SEED, MEMBER)) if n["open"] else found)
         if not n["open"]:
             break
-        rest = at.join(found.where(F.col("state").isin(OPEN, WAITING)).select("id", "state"), "id").select(*at.columns, "state")
-        seeds = of(found) if seeds is None else seeds.unionByName(of(found))
+        rest, new = (found.where(F.col("state").isin(*k)).select(*at.columns, "state") for k in ([OPEN, WAITING], [SEED]))
+        seeds = new if seeds is None else seeds.unionByName(new)
     whole = settled[0].select("id", "state", "parent", "plon")
     for more in settled[1:]:
         whole = whole.unionByName(more.select("id", "state", "parent", "plon"))

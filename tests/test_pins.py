@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,12 @@ def test_options_and_empty_tables(spark):
     codes = spark.range(1).select(P.pin_code(F.lit(5), F.lit(7)).alias("a"), P.pin_code(F.lit(5), F.lit(1 << 33)).alias("b"))
     assert codes.first() == ((5 << 32) | 7, None)
     assert spark.range(1).select(P.pin_of_code(F.lit((5 << 32) | 7)).alias("a")).first().a == (5, 7)
+
+
+def test_seeds_and_open_nodes_bring_their_places():
+    """Later rounds read them from what was found: an open node behind one beyond the edge, a seed, and a member, which needs none."""
+    names = ["tile", "own", "id", "klon", "x", "y", "state", "klat"]
+    rows = [(0, False, 1, 5.0, 0.1, 0.1, P.OPEN, 4.0), (0, True, 2, 6.0, 0.1005, 0.1, P.OPEN, 4.5), (0, True, 3, 7.0, 0.3, 0.3, P.OPEN, 5.0), (0, True, 4, 8.0, 0.3005, 0.3, P.OPEN, 5.5)]
+    (found,) = P.settle(iter([pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])]), 0.001)
+    assert [tuple(r[k] for k in ("id", "state", "klat", "klon", "x", "y")) for r in found.to_pylist()][:2] == [(2, P.OPEN, 4.5, 6.0, 0.1005, 0.1), (3, P.SEED, 5.0, 7.0, 0.3, 0.3)]
+    assert found.to_pylist()[2] == {"id": 4, "state": P.MEMBER, "parent": 3, "plon": 7.0, "klat": None, "klon": None, "x": None, "y": None}
