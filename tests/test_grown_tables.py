@@ -136,3 +136,26 @@ def test_a_segment_is_passed_once(spark):
     got = estimate_offset(track, photos)
     assert [(r.track_id, r.offset_ms, r.n) for r in got.collect()] == [(1, 2000, 2)]
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_density_looks_around_without_shuffling_what_it_looks_for(spark, monkeypatch, capsys):
+    """Positions travel by tile, to their own and to those beside them; the cells that each of them looks into don't."""
+    from geoloom.operators import dbscan as D
+
+    points = spark.createDataFrame([(i, 48.0 + i * 1e-4, 2.0 + (i * 7 % 40) * 1e-4) for i in range(60)], "idx long, lat double, lon double")
+    edge = D.chord(25.0) / 3**0.5 * (1 - 1e-4)
+    spots, plans, write = D._spots(points, edge, 4), [], D.written
+
+    def explained(df):
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return write(df)
+
+    monkeypatch.setattr(D, "written", explained)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        D._near(spots, 25.0, edge, 3**0.5 * 1.001)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans[0].count("Exchange hashpartitioning(tile") == plans[0].count("Exchange ") == 2
