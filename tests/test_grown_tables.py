@@ -159,3 +159,21 @@ def test_density_looks_around_without_shuffling_what_it_looks_for(spark, monkeyp
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plans[0].count("Exchange hashpartitioning(tile") == plans[0].count("Exchange ") == 2
+
+
+def test_links_within_a_tile_are_joined_there(spark, monkeypatch):
+    """A town's cells come to the rounds of pointers as a root for each tile, not pair by pair; smaller tiles and cells without short cuts say the same."""
+    from geoloom.operators import dbscan as D
+
+    r = random.Random(3)
+    at = [(48.0 + r.random() * 2e-3, 2.0 + r.random() * 3e-3) for _ in range(900)] + [(49.0 + k * 1e-4, 2.0 + k % 3 * 1e-4) for k in range(40)] + [(50.0, 2.0)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "idx long, lat double, lon double")
+    rounds, edges = D.components, []
+    monkeypatch.setattr(D, "components", lambda links: edges.append(links.count()) or rounds(links))
+    said = []
+    for tile, few in ((32, 32), (5, 32), (5, 0)):
+        monkeypatch.setattr(D, "_TILE", tile)
+        monkeypatch.setattr(D, "_FEW", few)
+        said.append(sorted(tuple(x) for x in D.dbscan(points, 25.0, 4).collect()))
+    assert said[0] == said[1] == said[2] and len({c for _, c, _ in said[0]}) > 2
+    assert edges[0] < 20 < edges[1], edges
