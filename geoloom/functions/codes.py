@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from geoloom.functions.core import WGS84, Num, c, finite, let, wrap_longitude
 from geoloom.functions.geodesy import ELLIPSOIDS, near_distance
 from geoloom.functions.grids import (
-    BANDS, COLUMNS, CURVE, GEOHASH, PLUS, ROWS, TURN, _faces, geohash_bounds, kruger, latitude_of_conformal, s2_level, utm, utm_inverse, utm_zone,
+    BANDS, COLUMNS, CURVE, GEOHASH, PLUS, ROWS, TURN, _faces, geohash_bounds, geohash_box, kruger, latitude_of_conformal, s2_level, utm, utm_inverse, utm_zone,
 )
 
 
@@ -48,6 +48,11 @@ def parse_geohash(code: Column) -> Column:
     return F.when(low.rlike(f"^[{GEOHASH}]{{1,12}}$"), low)
 
 
+def geohash_middle(cell: Column, length: int, crs: str = WGS84) -> Column:
+    """:func:`geohash_decode` of a cell of :func:`geoloom.functions.grids.geohash_cell`."""
+    return _decoded(geohash_box(cell, length), crs)
+
+
 def geohash_decode(code: Column, crs: str = WGS84) -> Column:
     return _decoded(geohash_bounds(code), crs)
 
@@ -349,6 +354,30 @@ def _s2_vector(face: Column, u: Column, v: Column) -> tuple[Column, Column, Colu
     return tuple(out)
 
 
+def _s2_place(q: Column, bound: bool) -> Column:
+    """Middle and corners, or with no ``bound`` the middle, of a cell's STRUCT<face, size, at>: its side and its place in units of that."""
+    flat = lambda x: F.when(x >= 0.5, (x * x * 4.0 - 1.0) / 3.0).otherwise((F.lit(1.0) - (F.lit(1.0) - x) * (F.lit(1.0) - x) * 4.0) / 3.0)
+    spots = (0.0, 0.5, 1.0) if bound else (0.5,)
+
+    def point(w: Column, dx: float, dy: float) -> Column:
+        axes = F.struct(*[x.alias(k) for k, x in zip("xyz", _s2_vector(w["face"], w[f"u{dx}"], w[f"v{dy}"]))])
+        return let(axes, lambda p: F.struct(F.degrees(F.atan2(p["z"], F.hypot(p["x"], p["y"]))).alias("lat"), wrap_longitude(F.degrees(F.atan2(p["y"], p["x"]))).alias("lon")))
+
+    def seen(w: Column) -> Column:
+        middle = point(w, 0.5, 0.5)
+        return F.struct(middle.alias("middle"), F.array(*[point(w, x, y) for x in (0.0, 1.0) for y in (0.0, 1.0)]).alias("corners")) if bound else middle
+
+    place = lambda w: F.struct(w["face"].alias("face"), *[flat(w[f"{k}{d}"]).alias(f"{k}{d}") for k in "uv" for d in spots])
+    side = F.struct(q["face"].alias("face"), *[((q["at"][a] + d) * q["size"]).alias(f"{k}{d}") for k, a in (("u", "i"), ("v", "j")) for d in spots])
+    return let(let(side, place), seen)
+
+
+def s2_middle(grid: Column, level: int, crs: str = WGS84) -> Column:
+    """:func:`s2_decode` of the cell of ``level`` at a place of :func:`geoloom.functions.grids.s2_grid`."""
+    at = F.struct(*[F.shiftright(grid[k], 30 - level).alias(k) for k in "ij"])
+    return let(let(F.struct(grid["face"].alias("face"), at.alias("at"), F.lit(0.5**level).alias("size")), lambda q: _s2_place(q, True)), lambda x: bounded(x, crs))
+
+
 def s2_decode(cell: Column, crs: str = WGS84, bound: bool = True) -> Column:
     """The middle of an S2 cell, and with ``bound`` the distance to its farthest corner; null for bits that are none."""
     inverse = [[row.index(place) for place in range(4)] for row in CURVE]
@@ -370,17 +399,7 @@ def s2_decode(cell: Column, crs: str = WGS84, bound: bool = True) -> Column:
             place,
         )
 
-    def point(face: Column, s: Column, t: Column) -> Column:
-        flat = lambda x: F.when(x >= 0.5, (x * x * 4.0 - 1.0) / 3.0).otherwise((F.lit(1.0) - (F.lit(1.0) - x) * (F.lit(1.0) - x) * 4.0) / 3.0)
-        place = lambda w: let(F.struct(*[x.alias(k) for k, x in zip("xyz", _s2_vector(face, w["u"], w["v"]))]), lambda p: F.struct(F.degrees(F.atan2(p["z"], F.hypot(p["x"], p["y"]))).alias("lat"), wrap_longitude(F.degrees(F.atan2(p["y"], p["x"]))).alias("lon")))
-        return let(F.struct(flat(s).alias("u"), flat(t).alias("v")), place)
-
-    def place(q: Column) -> Column:
-        at = lambda dx, dy: let(F.struct(((q["at"]["i"] + dx) * q["size"]).alias("s"), ((q["at"]["j"] + dy) * q["size"]).alias("t")), lambda w: point(q["face"], w["s"], w["t"]))
-        middle = at(0.5, 0.5)
-        corners = F.transform(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x in (0, 1) for y in (0, 1)]), lambda d: at(d["x"], d["y"]))
-        return F.struct(middle.alias("middle"), corners.alias("corners")) if bound else middle
-
+    place = lambda q: _s2_place(q, bound)
     seen = (lambda v: let(walk(v), lambda x: bounded(x, crs))) if bound else walk
     return let(s2_cell_id(cell), lambda v: F.when(v.isNotNull(), seen(v)))
 

@@ -17,28 +17,43 @@ def _digit(alphabet: str, k: Column) -> Column:
     return F.substring(F.lit(alphabet), k.cast("int") + 1, F.lit(1))
 
 
-def geohash(lat: Num, lon: Num, length: int) -> Column:
-    """Geohash of 1 to 12 characters; the last row and column take the edges 90 and 180."""
+def _geohash_bits(length: int) -> tuple[int, int]:
+    """Bits of longitude and of latitude."""
     if not 1 <= length <= 12:
         raise ValueError(length)
-    bits = 5 * length
-    n_lon, n_lat = (bits + 1) // 2, bits // 2
+    return (5 * length + 1) // 2, 5 * length // 2
+
+
+def geohash_cell(lat: Num, lon: Num, length: int) -> Column:
+    """STRUCT<x, y>: column and row of the cell of a geohash."""
     part = lambda u, n: F.greatest(F.least(F.floor(u * float(1 << n)).cast("bigint"), F.lit((1 << n) - 1)), F.lit(0))
-    x, y = part((c(lon) + 180.0) / 360.0, n_lon), part((c(lat) + 90.0) / 180.0, n_lat)
+    n_lon, n_lat = _geohash_bits(length)
+    return F.struct(part((c(lon) + 180.0) / 360.0, n_lon).alias("x"), part((c(lat) + 90.0) / 180.0, n_lat).alias("y"))
 
-    def code(p: Column) -> Column:
-        out = []
-        for k in range(length):
-            value = None
-            for b in range(5):
-                at = 5 * k + b
-                source, shift = (p["x"], n_lon - 1 - at // 2) if at % 2 == 0 else (p["y"], n_lat - 1 - at // 2)
-                bit = F.shiftright(source, shift).bitwiseAND(1) * (1 << (4 - b))
-                value = bit if value is None else value + bit
-            out.append(_digit(GEOHASH, value))
-        return F.concat(*out)
 
-    return let(F.struct(x.alias("x"), y.alias("y")), code)
+def geohash_name(cell: Column, length: int) -> Column:
+    """A cell's geohash."""
+    n_lon, n_lat = _geohash_bits(length)
+    out = []
+    for k in range(length):
+        # A character has three bits of one axis, and two of the other between them.
+        (three, a), (two, b) = (("x", n_lon - 3 - 5 * k // 2), ("y", n_lat - 2 - 5 * k // 2)) if k % 2 == 0 else (("y", n_lat - 3 - 5 * k // 2), ("x", n_lon - 3 - 5 * k // 2))
+        letters = "".join(GEOHASH[(i & 4) << 2 | (i & 2) << 1 | i & 1 | (j & 2) << 2 | (j & 1) << 1] for i in range(8) for j in range(4))
+        out.append(_digit(letters, F.shiftright(cell[three], a).bitwiseAND(7) * 4 + F.shiftright(cell[two], b).bitwiseAND(3)))
+    return F.concat(*out)
+
+
+def geohash_box(cell: Column, length: int) -> Column:
+    """STRUCT<south, west, north, east> of a cell."""
+    n_lon, n_lat = _geohash_bits(length)
+    w, h = 360.0 / 2**n_lon, 180.0 / 2**n_lat
+    south, west = cell["y"] * h - 90.0, cell["x"] * w - 180.0
+    return F.struct(south.alias("south"), west.alias("west"), (south + h).alias("north"), (west + w).alias("east"))
+
+
+def geohash(lat: Num, lon: Num, length: int) -> Column:
+    """Geohash of 1 to 12 characters; the last row and column take the edges 90 and 180."""
+    return let(geohash_cell(lat, lon, length), lambda cell: geohash_name(cell, length))
 
 
 def geohash_bounds(code: Column) -> Column:
@@ -274,29 +289,53 @@ def _faces(x: Column, y: Column, z: Column) -> Column:
     return F.when((ax > ay) & (ax > az), on_x).when(ay > az, on_y).otherwise(on_z)
 
 
-def s2_cell(lat: Num, lon: Num, level: int) -> Column:
-    """Id of the S2 cell of level 0 to 30 that holds a point, as BIGINT with the bits of the unsigned id."""
-    if not 0 <= level <= 30:
-        raise ValueError(level)
+def s2_grid(lat: Num, lon: Num) -> Column:
+    """STRUCT<face, i, j>: the face of the cube that a point is on, and its place there in units of the finest cells."""
     p, l = F.radians(c(lat)), F.radians(c(lon))
     direction = F.struct((F.cos(p) * F.cos(l)).alias("x"), (F.cos(p) * F.sin(l)).alias("y"), F.sin(p).alias("z"))
     square = lambda u: F.when(u >= 0, F.sqrt(u * 3.0 + 1.0) * 0.5).otherwise(F.lit(1.0) - F.sqrt(F.lit(1.0) - u * 3.0) * 0.5)
     cell = lambda u: F.greatest(F.least(F.floor(square(u) * float(1 << 30)), F.lit((1 << 30) - 1)), F.lit(0)).cast("bigint")
-    places = F.array(*[F.lit(v) for row in CURVE for v in row])
-    turns = F.array(*[F.lit(v) for v in TURN])
+    grid = lambda f: F.struct(f["face"].alias("face"), cell(f["u"]).alias("i"), cell(f["v"]).alias("j"))
+    return let(let(direction, lambda d: _faces(d["x"], d["y"], d["z"])), grid)
 
-    def curve(q: Column) -> Column:
-        start = F.struct(q["face"].cast("bigint").alias("id"), q["face"].bitwiseAND(1).alias("turn"))
 
-        def step(state: Column, k: Column) -> Column:
-            bit = lambda v: F.call_function("shiftright", v, k).bitwiseAND(1).cast("int")
-            place = F.get(places, state["turn"] * 4 + bit(q["i"]) * 2 + bit(q["j"]))
-            return let(place, lambda at: F.struct((F.shiftleft(state["id"], 2) + at).alias("id"), state["turn"].bitwiseXOR(F.get(turns, at)).alias("turn")))
+def _curve(levels: int) -> tuple[list[int], list[int]]:
+    """Place on the curve and turn after so many levels, by turn and the quarters' bits of i and of j."""
+    place, turn, n = [], [], 1 << levels
+    for start in range(4):
+        for k in range(n * n):
+            i, j, at, now = k // n, k % n, 0, start
+            for bit in range(levels - 1, -1, -1):
+                step = CURVE[now][(i >> bit & 1) * 2 + (j >> bit & 1)]
+                at, now = at * 4 + step, now ^ TURN[step]
+            place.append(at)
+            turn.append(now)
+    return place, turn
 
-        levels = F.array(*[F.lit(29 - k) for k in range(level)]) if level else F.array().cast("array<int>")
-        end = F.aggregate(levels, start, step)
-        low = 1 << (2 * (30 - level))
-        return F.shiftleft(F.shiftleft(end["id"], 1).bitwiseOR(F.lit(1).cast("bigint")), (low.bit_length() - 1))
 
-    grid = lambda f: F.struct(f["face"].alias("face"), cell(f["u"]).alias("i"), cell(f["v"]).alias("j"))
-    return let(let(let(direction, lambda d: _faces(d["x"], d["y"], d["z"])), grid), curve)
+def s2_id(grid: Column, level: int) -> Column:
+    """Id of the cell of ``level`` at a place of :func:`s2_grid`."""
+    if not 0 <= level <= 30:
+        raise ValueError(level)
+    state = F.struct(grid["face"].cast("bigint").alias("id"), grid["face"].bitwiseAND(1).alias("turn"))
+
+    def walked(state: Column, wide: int, downs: list[int]) -> Column:
+        """``wide`` levels a step, the last of each ``downs`` above the finest."""
+        places, turns = (F.array(*[F.lit(v) for v in row]) for row in _curve(wide))
+
+        def step(state: Column, down: Column) -> Column:
+            bits = lambda v: F.call_function("shiftright", v, down).bitwiseAND((1 << wide) - 1).cast("int")
+            key = F.shiftleft(state["turn"], 2 * wide) + F.shiftleft(bits(grid["i"]), wide) + bits(grid["j"])
+            return let(key, lambda k: F.struct((F.shiftleft(state["id"], 2 * wide) + F.get(places, k)).alias("id"), F.get(turns, k).alias("turn")))
+
+        return F.aggregate(F.array(*[F.lit(k) for k in downs]), state, step) if downs else state
+
+    odd = level % 3
+    state = walked(state, 1, [29 - k for k in range(odd)])
+    state = walked(state, 3, [30 - odd - 3 * (k + 1) for k in range(level // 3)])
+    return F.shiftleft(F.shiftleft(state["id"], 1).bitwiseOR(F.lit(1).cast("bigint")), 2 * (30 - level))
+
+
+def s2_cell(lat: Num, lon: Num, level: int) -> Column:
+    """Id of the S2 cell of level 0 to 30 that holds a point, as BIGINT with the bits of the unsigned id."""
+    return let(s2_grid(lat, lon), lambda grid: s2_id(grid, level))

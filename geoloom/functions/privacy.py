@@ -59,27 +59,36 @@ def coarsen(lat: Num, lon: Num, precision: Precision, crs: str = WGS84) -> Colum
     """
     lat = c(lat)
     lon = F.when(F.abs(lat) == 90.0, F.lit(0.0)).otherwise(wrap_longitude(lon))
+    level = precision.level
     if precision.grid == "geohash":
-        cell, decode = grids.geohash(lat, lon, precision.level), codes.geohash_decode
-        name = lambda x: F.concat(F.lit("privacy:geohash:"), x)
+        cell = grids.geohash_cell(lat, lon, level)
+        named = lambda x: _named(codes.geohash_middle(x, level, crs), "privacy:geohash:", grids.geohash_name(x, level))
     else:
-        cell, decode = grids.s2_cell(lat, lon, precision.level), codes.s2_decode
-        name = lambda x: F.concat(F.lit("privacy:s2:"), F.lower(F.lpad(F.hex(x), 16, "0")))
-    named = lambda x: let(decode(x, crs), lambda at: F.struct(at["lat"].alias("lat"), at["lon"].alias("lon"), at["max_error_m"].alias("max_error_m"), name(x).alias("source")))
+        cell = grids.s2_grid(lat, lon)
+        named = lambda x: _named(codes.s2_middle(x, level, crs), "privacy:s2:", F.lower(F.lpad(F.hex(grids.s2_id(x, level)), 16, "0")))
     return F.when(lat.between(-90, 90) & lon.isNotNull(), let(cell, named))
 
 
+def _named(middle: Column, grid: str, name: Column) -> Column:
+    source = F.concat(F.lit(grid), name).alias("source")
+    return let(middle, lambda at: F.struct(at["lat"].alias("lat"), at["lon"].alias("lon"), at["max_error_m"].alias("max_error_m"), source))
+
+
 def coarsen_fix(lat: Num, lon: Num, kind: Column, horizontal_m: Num, precision: Precision, crs: str = WGS84) -> Column:
     """STRUCT<lat, lon, kind, horizontal_m, source> of an observation: the cell's radius and its own error add.
 
     A bound stays a bound; another kind of error is no longer of a known kind. With no error of its own the cell bounds it.
     """
+    return let(coarsen(lat, lon, precision, crs), lambda at: widened(at, kind, horizontal_m))
+
+
+def widened(at: Column, kind: Column, horizontal_m: Num) -> Column:
+    """:func:`coarsen_fix` of an observation whose position is :func:`coarsen`'s ``at``."""
     known = kind.isNotNull() & c(horizontal_m).isNotNull()
-    widened = lambda at: F.when(
+    return F.when(
         at.isNotNull(),
         F.struct(
             at["lat"].alias("lat"), at["lon"].alias("lon"), F.when(known & (kind != "Bound"), "Unspecified").otherwise("Bound").alias("kind"),
             (at["max_error_m"] + F.when(known, c(horizontal_m)).otherwise(0.0)).alias("horizontal_m"), at["source"].alias("source"),
         ),
     )
-    return let(coarsen(lat, lon, precision, crs), widened)

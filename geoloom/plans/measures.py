@@ -263,7 +263,7 @@ def coarsened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations moved to the middle of a geohash cell, their own error added to its radius; and to S2 cells."""
     five, twelve = privacy.Precision.at_least(4000.0), privacy.Precision.s2(12)
     p = spread(spark, sf_dir).withColumn("kind", F.when(F.col("event_id") % 2 == 0, "Bound").otherwise("OneSigma"))
-    p = p.withColumn("c", privacy.coarsen("lat", "lon", five)).withColumn("x", privacy.coarsen_fix("lat", "lon", F.col("kind"), 4.5, five)).withColumn("s", privacy.coarsen("lat", "lon", twelve))
+    p = p.withColumn("c", privacy.coarsen("lat", "lon", five)).withColumn("x", privacy.widened(F.col("c"), F.col("kind"), 4.5)).withColumn("s", privacy.coarsen("lat", "lon", twelve))
     return p.select(
         "event_id", _r(F.col("x.lat"), 7).alias("lat"), _r(F.col("x.lon"), 7).alias("lon"), "x.source", "x.kind", _r(F.col("x.horizontal_m") - F.col("c.max_error_m"), 6).alias("own_m"),
         F.startswith(F.col("s.source"), F.lit("privacy:s2:")).alias("in_s2"),

@@ -177,3 +177,17 @@ def test_links_within_a_tile_are_joined_there(spark, monkeypatch):
         said.append(sorted(tuple(x) for x in D.dbscan(points, 25.0, 4).collect()))
     assert said[0] == said[1] == said[2] and len({c for _, c, _ in said[0]}) > 2
     assert edges[0] < 20 < edges[1], edges
+
+
+@pytest.mark.parametrize("grid", ["geohash", "s2"])
+def test_a_cell_is_not_read_back_from_its_name(spark, grid):
+    """The middle comes from the cell's place, and is that of the code."""
+    from geoloom.functions import codes, grids, privacy
+
+    frame = spark.createDataFrame(globe(400, 12), "idx long, lat double, lon double").where("lat IS NOT NULL AND abs(lat) < 90 AND lon < 180")
+    name, decode = {"geohash": (grids.geohash, codes.geohash_decode), "s2": (grids.s2_cell, codes.s2_decode)}[grid]
+    for level in (1, 2, 5, 12):
+        made = frame.select(privacy.coarsen("lat", "lon", privacy.Precision.of(grid, level)).alias("x"), decode(name("lat", "lon", level)).alias("d"))
+        assert [r for r in made.collect() if (r.x.lat, r.x.lon, r.x.max_error_m) != tuple(r.d)] == []
+    plan = frame.select(privacy.coarsen("lat", "lon", privacy.Precision.of(grid, 12)).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert "rlike" not in plan.lower() and "aggregate(transform" not in plan and "sequence(" not in plan
