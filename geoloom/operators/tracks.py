@@ -292,22 +292,51 @@ def visit_summaries(members: DataFrame) -> DataFrame:
     return times.join(summarize(kept, ["visit"]).withColumnRenamed("n", "n_fixes").drop("first_idx"), "visit").drop("visit")
 
 
+def _circle_cells(zones: DataFrame, edge: float) -> DataFrame:
+    """Cells (cx, cy, cz) of the unit cube that circles (lat, lon, radius_m) reach, with the circle as zlat, zlon, radius_m, and whether it holds the ``whole`` cell."""
+    axes, steps = ("x", "y", "z"), F.explode(F.sequence(F.lit(-4), F.lit(4)))
+    half = F.least(F.col("radius_m") / (2 * SPHERE_M), F.lit(np.pi / 2))
+    cells = zones.select(F.col("lat").alias("zlat"), F.col("lon").alias("zlon"), "radius_m", (F.sin(half) * (2 / edge)).alias("reach"), *[(v / edge).alias(a) for v, a in zip(unit_vector(F.col("lat"), F.col("lon")), axes)])
+    low = high = near = far = F.lit(0.0)
+    for a in axes:
+        cells = cells.withColumn(f"c{a}", steps).withColumn(f"c{a}", F.floor(a) + F.col(f"c{a}"))
+        lo, hi = F.col(f"c{a}"), F.col(f"c{a}") + 1
+        square = lambda v: F.pow(v, F.lit(2.0))
+        low, high = low + square(F.greatest(lo, -hi, F.lit(0))), high + square(F.greatest(F.abs(lo), F.abs(hi)))
+        near, far = near + square(F.greatest(lo - F.col(a), F.col(a) - hi, F.lit(0.0))), far + square(F.greatest(hi - F.col(a), F.col(a) - lo))
+    # The sphere passes the cell and the circle comes near it, with margins for rounding.
+    met = (F.sqrt(low) * edge <= 1 + 1e-9) & (F.sqrt(high) * edge >= 1 - 1e-9) & (F.sqrt(near) * edge <= F.col("reach") * edge * (1 + 1e-9) + 1e-12)
+    whole = (F.sqrt(far) * edge <= F.col("reach") * edge * (1 - 1e-9) - 1e-12) & F.col("zlat").between(-90, 90)
+    return cells.where(met).select("cx", "cy", "cz", "zlat", "zlon", "radius_m", whole.alias("whole"))
+
+
 def zones_strip(fixes: DataFrame, zones: DataFrame, idx: str = "idx") -> DataFrame:
-    """Fixes outside all circular zones (zone_id, lat, lon, radius_m); the edge belongs to a zone.
+    """Fixes outside all circular zones (zone_id, lat, lon, radius_m); the edge belongs to a zone, a place off the globe is in none.
 
-    Zones of like size share a cell join: radii are grouped by powers of two, so that a small zone is not looked for in
-    the cells of a large one. Only the powers that there are (26 at most) are joined, and zones, not fixes, are sent to neighbouring cells.
+    Radii are grouped by powers of two, 26 at most, from the largest down; a circle has cells of at least an eighth of its radius, so 729 at
+    most. A cell that some circle holds is one row and takes its fixes along, whatever the number of circles; what is left looks at
+    the circles that cut its cell, until one holds it.
     """
-    from geoloom.operators.joins import radius_join
-
-    sized = zones.withColumn("_power", F.least(F.ceil(F.log2(F.greatest("radius_m", F.lit(1.0)))), F.lit(25)).cast("int"))
-    inside = fixes.select(idx).limit(0)
-    known = fixes.where(~F.isnan(F.col("lat") + F.col("lon")))  # NaN would count as half the way round
-    for power in sorted(r[0] for r in sized.select("_power").where("_power IS NOT NULL").distinct().collect()):
-        some = sized.where(F.col("_power") == power)
-        met = radius_join(known, some, float(2**power), idx, "zone_id").join(some.select(F.col("zone_id").alias("pid"), "radius_m"), "pid")
-        inside = inside.unionByName(met.where("distance_m <= radius_m").select(F.col("qid").alias(idx)))
-    return fixes.join(inside, idx, "left_anti")
+    from geoloom.operators.joins import chord
+
+    keys = ["cx", "cy", "cz"]
+    there = F.col("lat").between(-90, 90) & ~F.isnan("lon")
+    left = fixes.select("*", *[F.when(there, v).alias(f"_{a}") for v, a in zip(unit_vector(F.col("lat"), F.col("lon")), "xyz")])
+    sized = zones.where("radius_m >= 0").withColumn("_power", F.least(F.ceil(F.log2(F.greatest("radius_m", F.lit(1.0)))), F.lit(25)).cast("int"))
+    for power in sorted((r[0] for r in sized.select("_power").distinct().collect()), reverse=True):
+        edge = (chord(float(2**power)) * (1 + 1e-9) + 1e-12) / 4
+        cells = _circle_cells(sized.where(F.col("_power") == power), edge)
+        # Cells are many more than the circles that the planner knows of, and are never broadcast.
+        covered = cells.where("whole").select(*keys).distinct()
+        parts = cells.where("NOT whole").drop("whole").join(covered.hint("merge"), keys, "left_anti")
+        left = left.select("*", *[F.floor(F.col(f"_{k[1]}") / edge).alias(f"_{k}") for k in keys])
+        for there in (covered, parts):
+            met = (left["_cx"] == there["cx"]) & (left["_cy"] == there["cy"]) & (left["_cz"] == there["cz"])
+            if there is parts:
+                met = met & (haversine(left["lat"], left["lon"], there["zlat"], there["zlon"]) <= there["radius_m"])
+            left = left.join(there.hint("merge"), met, "left_anti")
+        left = left.drop(*[f"_{k}" for k in keys])
+    return left.select(*fixes.columns)
 
 
 def zones_apply(fixes: DataFrame, zones: DataFrame, precision, idx: str = "idx") -> DataFrame:

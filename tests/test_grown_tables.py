@@ -191,3 +191,18 @@ def test_a_cell_is_not_read_back_from_its_name(spark, grid):
         assert [r for r in made.collect() if (r.x.lat, r.x.lon, r.x.max_error_m) != tuple(r.d)] == []
     plan = frame.select(privacy.coarsen("lat", "lon", privacy.Precision.of(grid, 12)).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert "rlike" not in plan.lower() and "aggregate(transform" not in plan and "sequence(" not in plan
+
+
+def test_fixes_are_not_paired_with_the_circles_around_them(spark):
+    """Circles upon circles: a fix is told once by its cell, or by the first circle that holds it; ones at a circle's edge are exact."""
+    r = random.Random(11)
+    circles = [(k, 10.0 + r.random() / 10, 20.0 + r.random() / 10, 40_000.0 + 100 * k) for k in range(200)] + [(200, -90.0, 0.0, 3e5), (201, 0.0, 180.0, 1000.0)]
+    zones = spark.createDataFrame(circles, "zone_id long, lat double, lon double, radius_m double")
+    at = [(10 + r.uniform(-0.7, 0.7), 20 + r.uniform(-0.7, 0.7)) for _ in range(1500)] + [(-90.0, 77.0), (0.0, -180.0), (0.0, -179.99), (0.0, 179.99), (95.0, 20.0), (None, 20.0), (math.nan, 20.0)]
+    fixes = spark.createDataFrame([(k, *p) for k, p in enumerate(at)], "idx long, lat double, lon double")
+    got = zones_strip(fixes, zones)
+    z = zones.toDF("zone_id", "zlat", "zlon", "radius_m")
+    want = fixes.join(z, F.col("lat").between(-90, 90) & (haversine("lat", "lon", "zlat", "zlon") <= F.col("radius_m")), "left_anti")
+    assert sorted(x.idx for x in got.collect()) == sorted(x.idx for x in want.collect()) and 100 < got.count() < 1400
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "Join Inner" not in plan
