@@ -96,31 +96,31 @@ def plus_code_bounds(code: Column) -> Column:
     weights = F.array(*[weight(3125 * 20 ** (4 - k), 1024 * 20 ** (4 - k)) for k in pairs], *[weight(5 ** (4 - k), 4 ** (4 - k)) for k in fine])
 
     def box(text: Column) -> Column:
-        digits = F.transform(F.split(F.regexp_replace(text, "[+0]", ""), ""), lambda d: F.instr(F.lit(PLUS), d) - 1)
-        digits = F.filter(digits, lambda d: d >= 0)
-
-        def place(d: Column) -> Column:
-            n = F.size(d)
-            steps = F.sequence(F.lit(0), F.when(n <= 10, n / 2).otherwise(n - 5).cast("int") - 1)
-
-            def one(k: Column) -> Column:
-                w = F.get(weights, k)
-                in_pairs = k < 5
-                y = F.when(in_pairs, F.get(d, k * 2)).otherwise(F.floor(F.get(d, k + 5) / 4))
-                x = F.when(in_pairs, F.get(d, k * 2 + 1)).otherwise(F.get(d, k + 5) % 4)
-                return F.struct((y * w["y"]).alias("y"), (x * w["x"]).alias("x"), w["y"].alias("h"), w["x"].alias("w"))
-
-            start = F.struct(*[F.lit(0.0).alias(k) for k in "yxhw"])
-            end = F.aggregate(F.transform(steps, one), start, lambda a, s: F.struct((a["y"] + s["y"]).alias("y"), (a["x"] + s["x"]).alias("x"), s["h"].alias("h"), s["w"].alias("w")))
-            up, across = 8000.0 * 3125, 8000.0 * 1024
-            return let(
-                end,
-                lambda e: F.struct(
-                    (e["y"] / up - 90.0).alias("south"), (e["x"] / across - 180.0).alias("west"), ((e["y"] + e["h"]) / up - 90.0).alias("north"), ((e["x"] + e["w"]) / across - 180.0).alias("east")
-                ),
-            )
-
-        return let(digits, place)
+        """A code in capitals has its digits at known places; what it lacks, and the zeros that pad it, count as none."""
+        digit = lambda at: F.greatest(F.instr(F.lit(PLUS), F.substring(text, at, 1)) - 1, F.lit(0))
+        n = F.when(F.instr(text, "0") > 0, F.instr(text, "0")).otherwise(F.length(text)) - 1
+        by = lambda k, base, one: float(one * base ** (4 - k))
+        y = x = F.lit(0.0)
+        for k, at in zip(pairs, (1, 3, 5, 7, 10)):
+            y, x = y + digit(at) * by(k, 20, 3125), x + digit(at + 1) * by(k, 20, 1024)
+        last = F.get(weights, F.when(n <= 10, F.shiftright(n, 1)).otherwise(n - 5) - 1)
+        read = F.struct(y.alias("y"), x.alias("x"), last.alias("last"), n.alias("n"), *[digit(12 + k).alias(f"d{k}") for k in fine])
+
+        def refined(r: Column) -> Column:
+            y, x = r["y"], r["x"]
+            for k in fine:
+                y, x = y + F.shiftright(r[f"d{k}"], 2) * by(k, 5, 1), x + r[f"d{k}"].bitwiseAND(3) * by(k, 4, 1)
+            more = r["n"] > 10
+            return F.struct(F.when(more, y).otherwise(r["y"]).alias("y"), F.when(more, x).otherwise(r["x"]).alias("x"), r["last"].alias("last"))
+
+        up, across = 8000.0 * 3125, 8000.0 * 1024
+        return let(
+            let(read, refined),
+            lambda e: F.struct(
+                (e["y"] / up - 90.0).alias("south"), (e["x"] / across - 180.0).alias("west"),
+                ((e["y"] + e["last"]["y"]) / up - 90.0).alias("north"), ((e["x"] + e["last"]["x"]) / across - 180.0).alias("east"),
+            ),
+        )
 
     return let(parse_plus_code(code), lambda x: F.when(x.isNotNull(), box(x)))
 

@@ -206,3 +206,18 @@ def test_fixes_are_not_paired_with_the_circles_around_them(spark):
     assert sorted(x.idx for x in got.collect()) == sorted(x.idx for x in want.collect()) and 100 < got.count() < 1400
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftAnti" in plan and "Join Inner" not in plan
+
+
+def test_plus_codes_are_read_by_place(spark):
+    """No list of digits is made of a code; long, padded and wrong ones are read as before."""
+    from geoloom.functions import codes
+
+    rows = [("8FVC9G8F+6X", 47.365, 8.524875), ("8fvc0000+", 47.5, 8.5), ("8FVC9G8F+6XC", None, None), ("8FVC9G8F+", None, None), ("9G8F+6X", None, None), ("8FVC9G8F+6", None, None)]
+    frame = spark.createDataFrame(rows, "code string, south double, west double")
+    made = frame.select("code", codes.plus_code_bounds(F.col("code")).alias("b"))
+    got = {r.code: r.b for r in made.collect()}
+    assert [round(x, 9) for x in got["8FVC9G8F+6X"]] == [47.3655, 8.524875, 47.365625, 8.525] and list(got["8fvc0000+"]) == [47.0, 8.0, 48.0, 9.0]
+    assert got["9G8F+6X"] is None and got["8FVC9G8F+6"] is None and round(got["8FVC9G8F+"].north - got["8FVC9G8F+"].south, 9) == 0.0025
+    assert round((got["8FVC9G8F+6XC"].east - got["8FVC9G8F+6XC"].west) / 0.00003125, 6) == 1.0
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "sequence(" not in plan and "split(" not in plan
