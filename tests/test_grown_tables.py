@@ -81,6 +81,25 @@ def test_radius_join_and_nearest_place_by_rings(spark):
     assert {x.qid: x.place_idx for x in reverse_lookup(q, p.limit(0), 2_000_000.0).collect()} == dict.fromkeys(range(600))
 
 
+def test_a_crowded_cell_is_more_than_one_task(spark, monkeypatch):
+    """All pairs of a town: its queries are dealt in parts, each with all the points around; other cells, poles and the antimeridian stay whole."""
+    from geoloom.operators import joins
+
+    monkeypatch.setattr(joins, "_PART", 50, raising=False)
+    r = random.Random(13)
+    town = [(1000 + k, 48.0 + r.random() / 10, 2.0 + r.random() / 10) for k in range(700)]
+    q = spark.createDataFrame(globe(400, 14) + town + town[:20], "qid long, lat double, lon double")
+    p = spark.createDataFrame(globe(300, 15) + town[:200] + [(None, 48.0, 2.0)], "pid long, lat double, lon double")
+    for meters in (0.5, 2_000.0, 400_000.0, 1.9e7, 2.1e7):
+        met = q.join(p.toDF("pid", "plat", "plon"), haversine("lat", "lon", "plat", "plon") <= meters).where("lat IS NOT NULL AND plat IS NOT NULL").select("qid", "pid", haversine("lat", "lon", "plat", "plon").alias("m"))
+        got = radius_join(q, p, meters)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, met.collect())))
+        if meters == 400_000.0:
+            near = got.where("qid >= 1000").groupBy(F.spark_partition_id()).count().collect()
+            assert len(near) > 2 and max(x["count"] for x in near) < 0.6 * sum(x["count"] for x in near) and sum(x["count"] for x in near) > 700 * 200
+    assert radius_join(q.limit(0), p, 400_000.0).collect() == radius_join(q, p.limit(0), 400_000.0).collect() == []
+
+
 def test_xmp_tags_are_cleaned_once(spark):
     """Cleaning steps in the plan, not seconds: each of the 13 tags is cleaned where it is read, whatever the number of rules that ask for it."""
     names = ["latitude", "longitude", "altitude", "altitude_ref", "map_datum", "speed", "speed_ref", "img_direction", "img_direction_ref", "time_stamp"]
